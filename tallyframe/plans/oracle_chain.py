@@ -59,3 +59,41 @@ VIEWS.update({
     "step3": ("""
       SELECT * FROM step2 WHERE hash NOT IN (SELECT hash FROM fate)""", ["step2", "fate"]),
 })
+
+VIEWS.update({
+    "singles": ("""
+      SELECT sample FROM (SELECT DISTINCT sample FROM step3)
+      WHERE split_part(sample, '.', 1) IN (
+        SELECT b FROM (SELECT DISTINCT sample, split_part(sample, '.', 1) AS b FROM step3)
+        GROUP BY b HAVING count(*) = 1)""", ["step3"]),
+    "step3b": ("SELECT * FROM step3 WHERE sample NOT IN (SELECT sample FROM singles)", ["step3", "singles"]),
+    "norm": ("""
+      SELECT sample, hash, p / max(p) OVER (PARTITION BY hash) AS value, split_part(sample, '.', 1) AS bottle
+      FROM (SELECT sample, hash, s / sum(s) OVER (PARTITION BY sample) AS p
+            FROM (SELECT sample, hash, sum(n_reads) AS s FROM step3b GROUP BY sample, hash))""", ["step3b"]),
+    "bpairs": ("""
+      SELECT ta.bottle, ta.sample AS a, tb.sample AS b,
+             1.0 - 2.0 * coalesce(s.S, 0.0) / (ta.t + tb.t) AS bray
+      FROM (SELECT bottle, sample, sum(value) AS t FROM norm WHERE value > 0 GROUP BY bottle, sample) ta
+      JOIN (SELECT bottle, sample, sum(value) AS t FROM norm WHERE value > 0 GROUP BY bottle, sample) tb
+        ON ta.bottle = tb.bottle AND ta.sample < tb.sample
+      LEFT JOIN (SELECT l.bottle, l.sample AS a, r.sample AS b, sum(least(l.value, r.value)) AS S
+                 FROM norm l JOIN norm r ON l.bottle = r.bottle AND l.hash = r.hash AND l.sample < r.sample
+                 WHERE l.value > 0 AND r.value > 0 GROUP BY l.bottle, l.sample, r.sample) s
+        ON s.bottle = ta.bottle AND s.a = ta.sample AND s.b = tb.sample""", ["norm"]),
+    "centroid": ("""
+      WITH m AS (SELECT DISTINCT bottle, sample FROM norm),
+      n AS (SELECT bottle, count(*) AS n FROM m GROUP BY bottle),
+      r AS (SELECT bottle, i, sum(d * d) AS r FROM (SELECT bottle, a AS i, bray AS d FROM bpairs
+                                                   UNION ALL SELECT bottle, b, bray FROM bpairs) GROUP BY bottle, i),
+      t AS (SELECT bottle, 2 * sum(bray * bray) AS t FROM bpairs GROUP BY bottle)
+      SELECT m.bottle, m.sample,
+             sqrt(abs(coalesce(r.r, 0.0) / n.n - 0.5 * coalesce(t.t, 0.0) / (n.n * n.n))) AS distance
+      FROM m JOIN n USING (bottle) LEFT JOIN r ON r.bottle = m.bottle AND r.i = m.sample
+      LEFT JOIN t ON t.bottle = m.bottle""", ["norm", "bpairs"]),
+    "discarded": ("""
+      SELECT sample, distance AS distance_to_centroid FROM centroid
+      WHERE distance > (SELECT avg(distance) + 1.6448536269514715 * stddev_pop(distance) FROM centroid)
+      UNION ALL SELECT sample, CAST(NULL AS DOUBLE) FROM singles""", ["centroid", "singles"]),
+    "step4": ("SELECT * FROM step3 WHERE sample NOT IN (SELECT sample FROM discarded)", ["step3", "discarded"]),
+})
