@@ -68,7 +68,7 @@ def d24(spark, d):
     return round_cols(X.distance_classes(pairs, value="bray"), "value")
 
 
-EXCLUDED_DATE = "199201"
+EXCLUDED_DATE = "199501"
 
 _COVERAGE_SQL = f"""
 cov AS (
