@@ -100,7 +100,7 @@ def _classifier(thr: float, m: int) -> str:
   SELECT CAST(p_partkey AS VARCHAR) AS hash,
          CASE WHEN p_partkey % {m} = 0 THEN p_brand ELSE '' END AS family,
          CASE WHEN p_partkey % {m} = 0 AND p_partkey % 4 <> 0 THEN p_name ELSE '' END AS species,
-         {thr} AS threshold
+         CAST({thr} AS DOUBLE) AS threshold
   FROM part
 """
 
