@@ -47,9 +47,11 @@ def annotated(spark, d):
 
 def planktonic(spark, d):
     """Exclude dates and benthic (or unknown) rows, then the replicate-aware index."""
-    a = K.with_sample_parts(annotated(spark, d), parts=("event", "biol"))
-    a = a.where(~F.col("event").rlike(EXCLUDED_EVENTS)).where(F.col("lifestyle") != "BEN")
-    return A.edna_index(a, "event", "taxon", "n_reads", biol_rep="biol", out="edna_index")
+    def build():
+        a = K.with_sample_parts(annotated(spark, d), parts=("event", "biol"))
+        a = a.where(~F.col("event").rlike(EXCLUDED_EVENTS)).where(F.col("lifestyle") != "BEN")
+        return A.edna_index(a, "event", "taxon", "n_reads", biol_rep="biol", out="edna_index")
+    return C.materialized(spark, d, "planktonic", build)
 
 
 VIEWS.update({
