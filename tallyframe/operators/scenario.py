@@ -365,3 +365,69 @@ def expand_cross(df1: DataFrame, df2: DataFrame, max_small_rows: int = 1_000_000
     if not is_small(df2, max_small_rows):
         raise ValueError("expand_cross: second table exceeds the broadcast bound")
     return df1.join(F.broadcast(df2), how="cross")
+
+
+def _below_counts(xs: DataFrame, ys: DataFrame, keys) -> DataFrame:
+    """For every x row (value ``u``), the number of y values strictly below ``u``.
+
+    One sort per key: y rows carry their counts, x rows sort before equal y values.
+    """
+    u = (xs.select(*keys, "u", F.lit(0).alias("__t"), F.lit(0).cast("bigint").alias("__c"))
+         .unionByName(ys.select(*keys, F.col("v").alias("u"), F.lit(1).alias("__t"), F.col("c").alias("__c"))))
+    w = Window.partitionBy(*keys).orderBy("u", "__t").rowsBetween(Window.unboundedPreceding, -1)
+    u = u.withColumn("__below", F.coalesce(F.sum("__c").over(w), F.lit(0)))
+    return u.where(F.col("__t") == 0)
+
+
+def hodges_lehmann(df: DataFrame, by, group: str, x: str, g1, g2, rounds: int = 6,
+                   fan: int = 64) -> DataFrame:
+    """Hodges-Lehmann shift, the median of all differences x_i - y_j, without
+    forming the pairs.
+
+    ``count(d) = #{x - y <= d}`` is a sort-based count (each x against the sorted y
+    values), evaluated for ``fan`` candidate values per round; each round narrows the
+    bracket of the middle order statistics by ``fan``. The bracket state is one small
+    row per (test, target) and is checkpointed between rounds. The final value is the
+    smallest difference above the bracket's lower end.
+    """
+    by = as_list(by)
+    keys = by + ["target"]
+    X = df.where(F.col(group) == g1).where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("x"))
+    Y = df.where(F.col(group) == g2).where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("v"))
+    X = X.checkpoint()
+    Yc = Y.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c")).checkpoint()
+    sx = X.groupBy(*by).agg(F.count(F.lit(1)).alias("n1"), F.min("x").alias("xmin"), F.max("x").alias("xmax"))
+    sy = Y.groupBy(*by).agg(F.count(F.lit(1)).alias("n2"), F.min("v").alias("ymin"), F.max("v").alias("ymax"))
+    s = sx.join(sy, by)
+    n = F.col("n1") * F.col("n2")
+    t = s.withColumn("target", F.explode(F.array(F.lit(1), F.lit(2))))
+    t = t.withColumn("k", F.when(F.col("target") == 1, F.floor((n + 1) / 2)).otherwise(F.floor(n / 2) + 1))
+    span = F.col("xmax") - F.col("ymin") - (F.col("xmin") - F.col("ymax"))
+    state = t.select(*keys, "n2", "k", (F.col("xmin") - F.col("ymax") - 1e-9 * (span + 1)).alias("lo"),
+                     (F.col("xmax") - F.col("ymin")).alias("hi")).checkpoint()
+    for _ in range(rounds):
+        cand = state.withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(fan))))
+        cand = cand.withColumn("d", F.when(F.col("m") == fan, F.col("hi"))
+                               .otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("m") / fan))
+        xs = X.join(cand.select(*keys, "m", "d"), by).withColumn("u", F.col("x") - F.col("d"))
+        ys = Yc.join(cand.select(*keys, "m"), by)
+        b = _below_counts(xs, ys, keys + ["m"])
+        cnt = b.join(cand.select(*keys, "m", "n2"), keys + ["m"]).groupBy(*keys, "m").agg(
+            F.sum(F.col("n2") - F.col("__below")).alias("cnt"))
+        cnt = cnt.join(cand.select(*keys, "m", "d", "k", "lo"), keys + ["m"])
+        hit = cnt.where(F.col("cnt") >= F.col("k")).groupBy(*keys).agg(F.min("m").alias("m"))
+        new = hit.join(cnt.select(*keys, "m", "d"), keys + ["m"]).withColumnRenamed("d", "hi")
+        prev = cnt.select(*keys, (F.col("m") + 1).alias("m"), F.col("d").alias("lo2"))
+        new = new.join(prev, keys + ["m"], "left")
+        state = (state.drop("hi").join(new.select(*keys, "hi", "lo2"), keys)
+                 .withColumn("lo", F.coalesce("lo2", "lo")).drop("lo2").checkpoint())
+    # smallest difference above lo: for each x, the largest y below x - lo
+    xs = X.join(state.select(*keys, "lo"), by).withColumn("u", F.col("x") - F.col("lo"))
+    u = (xs.select(*keys, "x", "u", F.lit(0).alias("__t"), F.lit(None).cast("double").alias("__y"))
+         .unionByName(Yc.join(state.select(*keys), by).select(
+             *keys, F.lit(None).cast("double").alias("x"), F.col("v").alias("u"), F.lit(1).alias("__t"),
+             F.col("v").alias("__y"))))
+    w = Window.partitionBy(*keys).orderBy("u", F.desc("__t")).rowsBetween(Window.unboundedPreceding, -1)
+    u = u.withColumn("__ymax", F.last("__y", ignorenulls=True).over(w)).where(F.col("__t") == 0)
+    kth = u.groupBy(*keys).agg(F.min(F.col("x") - F.col("__ymax")).alias("dk"))
+    return kth.groupBy(*by).agg(F.avg("dk").alias("hl"))

@@ -340,3 +340,14 @@ CROSS JOIN (SELECT DISTINCT area FROM env_valid) p(area) CROSS JOIN (SELECT unne
 def m28(spark, d):
     params = M.scenario_params(env_valid(spark, d), YEARS).select("area", "year")
     return M.expand_cross(V.coef(spark, d).select("taxon").distinct(), params)
+
+
+@query("m25_hodges_lehmann", """
+WITH x AS (SELECT CAST(hour(ts) AS INTEGER) AS hour, event_type, value FROM events
+           WHERE event_type IN ('click', 'view') AND value IS NOT NULL)
+SELECT a.hour, round(quantile_cont(a.value - b.value, 0.5), 6) AS hl
+FROM x a JOIN x b ON a.hour = b.hour AND a.event_type = 'click' AND b.event_type = 'view'
+GROUP BY a.hour""")
+def m25(spark, d):
+    e = V.table(spark, d, "events").select(F.hour("ts").alias("hour"), "event_type", "value")
+    return round_cols(M.hodges_lehmann(e, "hour", "event_type", "value", "click", "view"), "hl")
