@@ -225,3 +225,118 @@ def shared_taxa(df: DataFrame, taxon: str, site: str, area: str) -> DataFrame:
     n_areas = df.select(F.count_distinct(area)).scalar()
     g = df.groupBy(taxon).agg(F.count_distinct(site).alias("n_sites"), F.count_distinct(area).alias("n_areas"))
     return g.withColumn("in_all_areas", F.col("n_areas") == n_areas).withColumn("in_one_area", F.col("n_areas") == 1)
+
+
+# ---- constrained ordination (distance-based RDA) ------------------------------------
+
+def constraint_moments(pairs: DataFrame, env: DataFrame, terms, sample: str = "sample",
+                       a: str = "sample1", b: str = "sample2", d: str = "bray") -> DataFrame:
+    """U10 building block: with Z the standardised, centred constraints, the p x p
+    matrices M = Z' G Z (G the Gower-centred distance matrix) and C = Z'Z, as rows
+    (term_a, term_b, m, c), plus the total inertia on the diagonal rows.
+
+    With centred Z, M_ab = -0.5 * sum_{i<j} d_ij^2 (z_ia z_jb + z_ja z_ib): one
+    aggregate over the pair table joined to Z at both ends.
+    """
+    from .scenario import standardize_by
+    terms = as_list(terms)
+    z = env.select(F.col(sample).alias("s"), *terms).na.drop()
+    z = standardize_by(z, terms, suffix="")
+    pr = pairs.select(F.col(a).alias("s1"), F.col(b).alias("s2"), F.col(d).alias("d"))
+    za = z.select(F.col("s").alias("s1"), *[F.col(t).alias(f"a_{t}") for t in terms])
+    zb = z.select(F.col("s").alias("s2"), *[F.col(t).alias(f"b_{t}") for t in terms])
+    j = pr.join(za, "s1").join(zb, "s2")
+    d2 = F.col("d") * F.col("d")
+    aggs = [F.sum(d2).alias("__sd2")]
+    for t1 in terms:
+        for t2 in terms:
+            aggs.append(F.sum(-0.5 * d2 * (F.col(f"a_{t1}") * F.col(f"b_{t2}") + F.col(f"a_{t2}") * F.col(f"b_{t1}")))
+                        .alias(f"m__{t1}__{t2}"))
+    m = j.agg(*aggs)
+    caggs = [F.count(F.lit(1)).alias("__n")]
+    caggs += [F.sum(F.col(t1) * F.col(t2)).alias(f"c__{t1}__{t2}") for t1 in terms for t2 in terms]
+    c = z.agg(*caggs)
+    rows = F.array(*[F.struct(F.lit(t1).alias("term_a"), F.lit(t2).alias("term_b"),
+                              F.col(f"m__{t1}__{t2}").alias("m"), F.col(f"c__{t1}__{t2}").alias("c"))
+                     for t1 in terms for t2 in terms])
+    out = m.withColumn("__k", F.lit(0)).join(c.withColumn("__k", F.lit(0)), "__k")
+    return out.select((F.col("__sd2") / F.col("__n")).alias("total_inertia"), F.col("__n").alias("n"),
+                      F.explode(rows).alias("r")).select("r.*", "total_inertia", "n")
+
+
+def constrained_ordination(pairs: DataFrame, env: DataFrame, terms, sample: str = "sample",
+                           a: str = "sample1", b: str = "sample2", d: str = "bray"):
+    """Distance-based redundancy analysis (capscale-style).
+
+    The p x p moments come from Spark aggregates; the eigenproblem of
+    C^-1/2 M C^-1/2 (p x p, p = number of constraints) is solved on the driver; site
+    scores are a linear combination of each sample's standardised constraints.
+    Returns (eigen, site_scores, biplot) DataFrames.
+    """
+    import numpy as np
+    from .scenario import standardize_by
+    terms = as_list(terms)
+    mom = constraint_moments(pairs, env, terms, sample, a, b, d).collect()  # p*p rows
+    p = len(terms)
+    idx = {t: i for i, t in enumerate(terms)}
+    M = np.zeros((p, p))
+    Cm = np.zeros((p, p))
+    for r in mom:
+        M[idx[r["term_a"]], idx[r["term_b"]]] = r["m"]
+        Cm[idx[r["term_a"]], idx[r["term_b"]]] = r["c"]
+    total = mom[0]["total_inertia"]
+    w, V = np.linalg.eigh(Cm)
+    c_isqrt = V @ np.diag(1 / np.sqrt(w)) @ V.T
+    lam, vec = np.linalg.eigh(c_isqrt @ M @ c_isqrt)
+    order = np.argsort(lam)[::-1]
+    lam, vec = lam[order], vec[:, order]
+    W = c_isqrt @ vec
+    spark = pairs.sparkSession
+    axes = [f"CAP{k + 1}" for k in range(p)]
+    eigen = spark.createDataFrame([(axes[k], float(lam[k]), float(lam[k] / total)) for k in range(p)],
+                                  "axis string, eigenvalue double, proportion double")
+    z = standardize_by(env.select(F.col(sample), *terms).na.drop(), terms, suffix="")
+    scores = z.select(sample, *[sum(F.col(t) * float(W[idx[t], k]) for t in terms).alias(axes[k]) * float(np.sqrt(max(lam[k], 0)))
+                                for k in range(p)])
+    cw = Cm @ W
+    biplot = spark.createDataFrame([(t, *[float(cw[idx[t], k] / np.sqrt(Cm[idx[t], idx[t]])) for k in range(p)])
+                                    for t in terms], "term string, " + ", ".join(f"{x} double" for x in axes))
+    return eigen, scores, biplot
+
+
+def ordination_test(pairs: DataFrame, env: DataFrame, terms, nperm: int = 199, seed: int = 1,
+                    sample: str = "sample", a: str = "sample1", b: str = "sample2", d: str = "bray") -> DataFrame:
+    """Permutation test of the constrained ordination.
+
+    F = (constrained / p) / ((total - constrained) / (n - p - 1)) with
+    constrained = trace(C^-1 M). Permuting the constraint rows leaves C unchanged, so
+    each permutation only needs sum over pairs of -d^2 * z_i' C^-1 z_j, one aggregate
+    per permutation id over the pair table.
+    """
+    import numpy as np
+    from .scenario import standardize_by
+    terms = as_list(terms)
+    p = len(terms)
+    mom = constraint_moments(pairs, env, terms, sample, a, b, d).collect()
+    idx = {t: i for i, t in enumerate(terms)}
+    M = np.zeros((p, p))
+    Cm = np.zeros((p, p))
+    for r in mom:
+        M[idx[r["term_a"]], idx[r["term_b"]]] = r["m"]
+        Cm[idx[r["term_a"]], idx[r["term_b"]]] = r["c"]
+    n, total = mom[0]["n"], mom[0]["total_inertia"]
+    Ci = np.linalg.inv(Cm)
+    obs = float(np.trace(Ci @ M))
+    f_obs = (obs / p) / ((total - obs) / (n - p - 1))
+    z = standardize_by(env.select(F.col(sample).alias("s"), *terms).na.drop(), terms, suffix="")
+    lab = z.select("s", F.struct(*terms).alias("g"))
+    perm = permuted_labels(lab, nperm, seed)  # (perm, s, g): g = another sample's z
+    pr = pairs.select(F.col(a).alias("s1"), F.col(b).alias("s2"), F.col(d).alias("d"))
+    pa = perm.select("perm", F.col("s").alias("s1"), F.col("g").alias("g1"))
+    pb = perm.select("perm", F.col("s").alias("s2"), F.col("g").alias("g2"))
+    j = pr.join(pa, "s1").join(pb, ["perm", "s2"])
+    q = sum(F.col("g1")[ta] * F.col("g2")[tb] * float(Ci[idx[ta], idx[tb]]) for ta in terms for tb in terms)
+    con = j.groupBy("perm").agg(F.sum(-F.col("d") * F.col("d") * q).alias("con"))
+    fp = (F.col("con") / p) / ((F.lit(total) - F.col("con")) / (n - p - 1))
+    res = con.agg(((F.count_if(fp >= f_obs - 1e-12) + 1) / (nperm + 1)).alias("p"), F.count(F.lit(1)).alias("nperm"))
+    return res.select(F.lit(f_obs).alias("F"), F.lit(obs).alias("constrained"), F.lit(total).alias("total"), "p", "nperm")

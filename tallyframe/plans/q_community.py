@@ -270,3 +270,69 @@ SELECT event, taxon,
 FROM planktonic""", ("planktonic",))
 def u8(spark, d):
     return _tr(spark, d, ["chi.square", "log"])
+
+
+# ---- constrained ordination ------------------------------------------------------------
+
+ORD_TERMS = ["temperature", "ph", "salinity"]
+
+
+def event_env(spark, d):
+    """(sample = event, temperature, ph, salinity) for events with complete data."""
+    ev = event_table(spark, d).select("event").distinct()
+    j = M.join_environment(ev, V.env(spark, d)).where(F.col("area").isNotNull())
+    return j.select(F.col("event").alias("sample"), *ORD_TERMS).na.drop()
+
+
+_ZSQL = """
+ev AS (SELECT DISTINCT event FROM planktonic),
+e AS (SELECT ev.event AS s, env.temperature, env.ph, env.salinity FROM ev JOIN env
+        ON split_part(ev.event, '_', 1) = env.site
+       AND strptime(split_part(ev.event, '_', 2) || '01', '%Y%m%d')::DATE = env.date
+      WHERE env.temperature IS NOT NULL AND env.ph IS NOT NULL AND env.salinity IS NOT NULL AND env.area IS NOT NULL),
+z AS (SELECT s, """ + ", ".join(
+    f"CASE WHEN coalesce(stddev_samp({t}) OVER (), 0) = 0 THEN {t} ELSE ({t} - avg({t}) OVER ()) / stddev_samp({t}) OVER () END AS {t}"
+    for t in ORD_TERMS) + """ FROM e),
+j AS (SELECT p.bray * p.bray AS d2, """ + ", ".join(f"za.{t} AS a_{t}, zb.{t} AS b_{t}" for t in ORD_TERMS) + """
+      FROM epairs p JOIN z za ON p.sample1 = za.s JOIN z zb ON p.sample2 = zb.s),
+tot AS (SELECT sum(d2) / (SELECT count(*) FROM z) AS total_inertia, (SELECT count(*) FROM z) AS n FROM j)
+"""
+
+
+@query("u10_constraint_moments", "WITH " + _ZSQL + " SELECT * FROM (" + " UNION ALL ".join(
+    f"""SELECT '{t1}' AS term_a, '{t2}' AS term_b,
+        round((SELECT sum(-0.5 * d2 * (a_{t1} * b_{t2} + a_{t2} * b_{t1})) FROM j), 6) AS m,
+        round((SELECT sum({t1} * {t2}) FROM z), 6) AS c,
+        round((SELECT total_inertia FROM tot), 6) AS total_inertia, (SELECT n FROM tot) AS n"""
+    for t1 in ORD_TERMS for t2 in ORD_TERMS) + ")", ("epairs", "planktonic", "env"))
+def u10m(spark, d):
+    r = U.constraint_moments(event_pairs(spark, d), event_env(spark, d), ORD_TERMS,
+                             a="event1", b="event2")
+    return round_cols(r, ["m", "c", "total_inertia"])
+
+
+@query("u10_ordination_eigen")
+def u10e(spark, d):
+    eig, _, _ = U.constrained_ordination(event_pairs(spark, d), event_env(spark, d), ORD_TERMS,
+                                         a="event1", b="event2")
+    return eig
+
+
+@query("u10_site_scores")
+def u10s(spark, d):
+    _, scores, _ = U.constrained_ordination(event_pairs(spark, d), event_env(spark, d), ORD_TERMS,
+                                            a="event1", b="event2")
+    return scores
+
+
+@query("u10_biplot_scores")
+def u10b(spark, d):
+    _, _, bp = U.constrained_ordination(event_pairs(spark, d), event_env(spark, d), ORD_TERMS,
+                                        a="event1", b="event2")
+    return bp
+
+
+@query("u11_ordination_test")
+def u11(spark, d):
+    return U.ordination_test(event_pairs(spark, d), event_env(spark, d), ORD_TERMS, nperm=99, seed=2,
+                             a="event1", b="event2")
