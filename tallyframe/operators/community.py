@@ -46,16 +46,17 @@ def permanova(pairs: DataFrame, groups: DataFrame, sample: str = "sample", group
 
 
 def permuted_labels(groups: DataFrame, nperm: int, seed: int = 1, sample: str = "s",
-                    group: str = "g") -> DataFrame:
-    """Seeded permutations of group labels: (perm, s, g). Position i in the hash order
-    of permutation k takes the label of position i in sample order. One row per
-    sample and permutation; ranks are computed within each permutation."""
-    lab = groups.select(sample, group)
-    orig = lab.withColumn("_pos", F.row_number().over(Window.orderBy(sample)))
-    p = lab.select(sample).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(nperm))))
+                    group: str = "g", within: str | None = None) -> DataFrame:
+    """Seeded permutations of group labels: (perm, [within,] s, g). Position i in the
+    hash order of permutation k takes the label of position i in sample order;
+    ``within`` restricts the shuffling to strata. One row per sample and permutation."""
+    w = [within] if within else []
+    lab = groups.select(*w, sample, group)
+    orig = lab.withColumn("_pos", F.row_number().over(Window.partitionBy(*w).orderBy(sample)))
+    p = lab.select(*w, sample).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(nperm))))
     p = p.withColumn("_pos", F.row_number().over(
-        Window.partitionBy("perm").orderBy(F.xxhash64(F.col(sample), F.col("perm"), F.lit(seed)), sample)))
-    return p.join(orig.select("_pos", group), "_pos").select("perm", sample, group)
+        Window.partitionBy("perm", *w).orderBy(F.xxhash64(F.col(sample), F.col("perm"), F.lit(seed)), sample)))
+    return p.join(orig.select(*w, "_pos", group), w + ["_pos"]).select("perm", *w, sample, group)
 
 
 def permanova_test(pairs: DataFrame, groups: DataFrame, nperm: int = 199, seed: int = 1,
@@ -340,3 +341,117 @@ def ordination_test(pairs: DataFrame, env: DataFrame, terms, nperm: int = 199, s
     fp = (F.col("con") / p) / ((F.lit(total) - F.col("con")) / (n - p - 1))
     res = con.agg(((F.count_if(fp >= f_obs - 1e-12) + 1) / (nperm + 1)).alias("p"), F.count(F.lit(1)).alias("nperm"))
     return res.select(F.lit(f_obs).alias("F"), F.lit(obs).alias("constrained"), F.lit(total).alias("total"), "p", "nperm")
+
+
+# ---- SIMPER -----------------------------------------------------------------------------
+
+SIMPER_PARTS = "by string, ga string, gb string, taxon string, s1 double, s2 double"
+
+
+def _simper_block(pdf):
+    import numpy as np
+    import pandas as pd
+    by, ga, gb = pdf["by"].iloc[0], pdf["ga"].iloc[0], pdf["gb"].iloc[0]
+    A = pdf[pdf["side"] == 0]
+    B = pdf[pdf["side"] == 1]
+    sa, sb = np.sort(A["s"].unique()), np.sort(B["s"].unique())
+    if len(sa) == 0 or len(sb) == 0:
+        return pd.DataFrame(columns=["by", "ga", "gb", "taxon", "s1", "s2"])
+    ia, ib = pd.Index(sa).get_indexer(A["s"]), pd.Index(sb).get_indexer(B["s"])
+    va, vb = A["v"].to_numpy(float), B["v"].to_numpy(float)
+    ta = np.bincount(ia, weights=va, minlength=len(sa))
+    tb = np.bincount(ib, weights=vb, minlength=len(sb))
+    w = 1.0 / (ta[:, None] + tb[None, :])
+    Wa, Wb, W2a, W2b = w.sum(1), w.sum(0), (w * w).sum(1), (w * w).sum(0)
+    taxa, ca = np.unique(np.concatenate([A["f"].to_numpy(), B["f"].to_numpy()]), return_inverse=True)
+    ca, cb = ca[:len(A)], ca[len(A):]
+    k = len(taxa)
+    s1 = np.bincount(ca, weights=va * Wa[ia], minlength=k) + np.bincount(cb, weights=vb * Wb[ib], minlength=k)
+    s2 = np.bincount(ca, weights=va * va * W2a[ia], minlength=k) + np.bincount(cb, weights=vb * vb * W2b[ib], minlength=k)
+    # both non-zero: pairs (A entry, B entry) sharing a taxon, generated per taxon
+    order = np.argsort(cb, kind="stable")
+    cb_s, ib_s, vb_s = cb[order], ib[order], vb[order]
+    cnt = np.bincount(cb_s, minlength=k)
+    start = np.concatenate([[0], np.cumsum(cnt)[:-1]])
+    reps = cnt[ca]
+    tot = int(reps.sum())
+    if tot:
+        ia_r, va_r, ca_r = np.repeat(ia, reps), np.repeat(va, reps), np.repeat(ca, reps)
+        pos = np.repeat(start[ca], reps) + np.arange(tot) - np.repeat(np.cumsum(reps) - reps, reps)
+        wij = w[ia_r, ib_s[pos]]
+        s1 -= 2 * np.bincount(ca_r, weights=np.minimum(va_r, vb_s[pos]) * wij, minlength=k)
+        s2 -= 2 * np.bincount(ca_r, weights=va_r * vb_s[pos] * wij * wij, minlength=k)
+    return pd.DataFrame({"by": by, "ga": ga, "gb": gb, "taxon": taxa, "s1": s1, "s2": s2})
+
+
+def simper(df: DataFrame, groups: DataFrame, sample: str = "sample", taxon: str = "taxon",
+           value: str = "value", group: str = "group", by: str | None = None,
+           block_size: int = 256) -> DataFrame:
+    """SIMPER contributions of each taxon to the Bray-Curtis dissimilarity between
+    every pair of groups (within ``by``): average, sd, ratio, group means and the
+    cumulative share.
+
+    Contribution of taxon k to pair (i, j) is |x_ik - x_jk| / (T_i + T_j). Its sums
+    over all between-group pairs are split into per-sample terms plus a shared-taxon
+    correction, computed in tasks that each hold one block of each group, so no pair
+    table and no dense matrix is built in Spark.
+    """
+    import math
+    g = groups.select(F.col(sample).alias("s"), F.col(group).cast("string").alias("g"),
+                      (F.col(by).cast("string") if by else F.lit("all")).alias("by")).distinct()
+    x = df.select(F.col(sample).alias("s"), F.col(taxon).alias("f"), F.col(value).cast("double").alias("v")) \
+        .where(F.col("v") > 0).join(g, "s")
+    sizes = g.groupBy("by", "g").agg(F.count(F.lit(1)).alias("n"))
+    nmax = sizes.agg(F.max("n")).first()[0] or 1
+    nb = max(1, math.ceil(nmax / block_size))
+    x = x.withColumn("blk", F.pmod(F.xxhash64("s"), F.lit(nb)).cast("int"))
+    gl = g.select("by", "g").distinct()
+    cmp = gl.alias("l").join(gl.alias("r"), (F.col("l.by") == F.col("r.by")) & (F.col("l.g") < F.col("r.g"))) \
+        .select(F.col("l.by").alias("by"), F.col("l.g").alias("ga"), F.col("r.g").alias("gb"))
+    left = x.join(cmp.withColumnRenamed("ga", "g"), ["by", "g"]).withColumnRenamed("g", "ga") \
+        .withColumn("side", F.lit(0)).withColumn("ob", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))) \
+        .withColumn("ba", F.col("blk")).withColumn("bb", F.col("ob"))
+    right = x.join(cmp.withColumnRenamed("gb", "g"), ["by", "g"]).withColumnRenamed("g", "gb") \
+        .withColumn("side", F.lit(1)).withColumn("ob", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))) \
+        .withColumn("ba", F.col("ob")).withColumn("bb", F.col("blk"))
+    cols = ["by", "ga", "gb", "ba", "bb", "side", "s", "f", "v"]
+    parts = left.select(*cols).unionByName(right.select(*cols))
+    sums = parts.groupBy("by", "ga", "gb", "ba", "bb").applyInPandas(_simper_block, SIMPER_PARTS)
+    sums = sums.groupBy("by", "ga", "gb", "taxon").agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
+    na = sizes.select("by", F.col("g").alias("ga"), F.col("n").alias("na"))
+    nbb = sizes.select("by", F.col("g").alias("gb"), F.col("n").alias("nb"))
+    means = x.groupBy("by", "g", F.col("f").alias("taxon")).agg(F.sum("v").alias("sv"))
+    r = sums.join(na, ["by", "ga"]).join(nbb, ["by", "gb"])
+    r = r.join(means.select("by", F.col("g").alias("ga"), "taxon", F.col("sv").alias("sva")), ["by", "ga", "taxon"], "left")
+    r = r.join(means.select("by", F.col("g").alias("gb"), "taxon", F.col("sv").alias("svb")), ["by", "gb", "taxon"], "left")
+    npair = F.col("na") * F.col("nb")
+    avg = F.col("s1") / npair
+    r = r.withColumn("average", avg).withColumn(
+        "sd", F.sqrt(F.greatest((F.col("s2") - npair * avg * avg) / (npair - 1), F.lit(0.0))))
+    r = r.withColumn("ratio", F.col("average") / F.col("sd"))
+    r = r.withColumn("ava", F.coalesce(F.col("sva"), F.lit(0.0)) / F.col("na")) \
+         .withColumn("avb", F.coalesce(F.col("svb"), F.lit(0.0)) / F.col("nb"))
+    w = Window.partitionBy("by", "ga", "gb").orderBy(F.desc("average"), "taxon") \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    r = r.withColumn("cusum", F.sum("average").over(w) / F.sum("average").over(Window.partitionBy("by", "ga", "gb")))
+    return r.select("by", F.concat("ga", F.lit("_"), "gb").alias("comparison"), "taxon", "average", "sd", "ratio",
+                    "ava", "avb", "cusum")
+
+
+def simper_permutation_p(df: DataFrame, groups: DataFrame, nperm: int = 99, seed: int = 1,
+                         sample: str = "sample", taxon: str = "taxon", value: str = "value",
+                         group: str = "group", by: str | None = None) -> DataFrame:
+    """U16: permutation p-value of each SIMPER average: labels are shuffled within
+    ``by``; every permutation is one more key of the same blocked computation."""
+    obs = simper(df, groups, sample, taxon, value, group, by)
+    g = groups.select(F.col(sample).alias("s"), F.col(group).cast("string").alias("g"),
+                      (F.col(by).cast("string") if by else F.lit("all")).alias("by")).distinct()
+    perm = permuted_labels(g, nperm, seed, within="by")
+    perm = perm.select(F.col("s").alias(sample), F.col("g").alias(group),
+                       F.concat("by", F.lit("#"), F.col("perm").cast("string")).alias("__pby"))
+    ps = simper(df, perm, sample, taxon, value, group, "__pby")
+    ps = ps.select(F.substring_index("by", "#", 1).alias("by"), "comparison", "taxon",
+                   F.col("average").alias("perm_average"))
+    j = obs.join(ps, ["by", "comparison", "taxon"], "left")
+    return j.groupBy("by", "comparison", "taxon", "average").agg(
+        ((F.count_if(F.col("perm_average") >= F.col("average") - 1e-12) + 1) / (nperm + 1)).alias("p"))

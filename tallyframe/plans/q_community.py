@@ -336,3 +336,56 @@ def u10b(spark, d):
 def u11(spark, d):
     return U.ordination_test(event_pairs(spark, d), event_env(spark, d), ORD_TERMS, nperm=99, seed=2,
                              a="event1", b="event2")
+
+
+# ---- SIMPER -------------------------------------------------------------------------
+
+def event_clusters(spark, d):
+    """(event, area, cluster) from the environment-based class of each event."""
+    ev = event_table(spark, d).select("event").distinct()
+    j = M.join_environment(ev, V.env(spark, d)).where(F.col("area").isNotNull())
+    cl = env_clusters(spark, d)
+    return j.join(cl, ["area", "site", "date"]).select("event", "area", F.col("cluster").cast("string").alias("cluster"))
+
+
+@query("u15_simper", """
+WITH ev AS (SELECT event, taxon, edna_index AS v FROM planktonic WHERE edna_index > 0),
+cc AS (SELECT area, site, date, cluster FROM (
+  SELECT e.area, e.site, e.date, k.cluster,
+         row_number() OVER (PARTITION BY e.area, e.site, e.date
+                            ORDER BY k.intercept + k.b_t * e.temperature + k.b_ph * e.ph DESC, k.cluster) AS rn
+  FROM env_valid e JOIN cluster_coef k ON e.area = k.area) WHERE rn = 1),
+cl AS (SELECT DISTINCT x.event, c.area, CAST(c.cluster AS VARCHAR) AS cluster FROM (SELECT DISTINCT event FROM planktonic) x
+       JOIN cc c ON split_part(x.event, '_', 1) = c.site
+        AND strptime(split_part(x.event, '_', 2) || '01', '%Y%m%d')::DATE = c.date),
+tot AS (SELECT event, sum(v) AS t FROM ev GROUP BY event),
+n AS (SELECT area, cluster, count(*) AS n FROM cl GROUP BY area, cluster),
+pr AS (SELECT a.area, a.cluster AS ga, b.cluster AS gb, a.event AS ea, b.event AS eb, 1.0 / (ta.t + tb.t) AS w
+       FROM cl a JOIN cl b ON a.area = b.area AND a.cluster < b.cluster
+       JOIN tot ta ON ta.event = a.event JOIN tot tb ON tb.event = b.event),
+tx AS (SELECT DISTINCT p.area, p.ga, p.gb, e.taxon FROM pr p JOIN ev e ON e.event = p.ea OR e.event = p.eb),
+c AS (SELECT p.area, p.ga, p.gb, t.taxon, abs(coalesce(xa.v, 0) - coalesce(xb.v, 0)) * p.w AS c
+      FROM pr p JOIN tx t ON t.area = p.area AND t.ga = p.ga AND t.gb = p.gb
+      LEFT JOIN ev xa ON xa.event = p.ea AND xa.taxon = t.taxon
+      LEFT JOIN ev xb ON xb.event = p.eb AND xb.taxon = t.taxon),
+s AS (SELECT area, ga, gb, taxon, avg(c) AS average, stddev_samp(c) AS sd FROM c GROUP BY 1, 2, 3, 4),
+m AS (SELECT cl.area, cl.cluster, ev.taxon, sum(ev.v) AS sv FROM ev JOIN cl ON ev.event = cl.event GROUP BY 1, 2, 3)
+SELECT s.area AS by, s.ga || '_' || s.gb AS comparison, s.taxon, round(s.average, 6) AS average, round(s.sd, 6) AS sd,
+       round(s.average / s.sd, 6) AS ratio,
+       round(coalesce(ma.sv, 0) / na.n, 6) AS ava, round(coalesce(mb.sv, 0) / nb.n, 6) AS avb,
+       round(sum(s.average) OVER (PARTITION BY s.area, s.ga, s.gb ORDER BY s.average DESC, s.taxon
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+             / sum(s.average) OVER (PARTITION BY s.area, s.ga, s.gb), 6) AS cusum
+FROM s JOIN n na ON na.area = s.area AND na.cluster = s.ga JOIN n nb ON nb.area = s.area AND nb.cluster = s.gb
+LEFT JOIN m ma ON ma.area = s.area AND ma.cluster = s.ga AND ma.taxon = s.taxon
+LEFT JOIN m mb ON mb.area = s.area AND mb.cluster = s.gb AND mb.taxon = s.taxon""",
+       ("planktonic", "env_valid", "cluster_coef"))
+def u15(spark, d):
+    r = U.simper(event_table(spark, d), event_clusters(spark, d), "event", "taxon", "edna_index", "cluster", "area")
+    return round_cols(r, ["average", "sd", "ratio", "ava", "avb", "cusum"])
+
+
+@query("u16_simper_permutation_p")
+def u16(spark, d):
+    return U.simper_permutation_p(event_table(spark, d), event_clusters(spark, d), nperm=19, seed=4,
+                                  sample="event", taxon="taxon", value="edna_index", group="cluster", by="area")
