@@ -244,3 +244,17 @@ def test_constrained_ordination_matches_dense_algebra(spark):
     assert np.allclose(lam, want, atol=1e-9)
     t = U.ordination_test(pairs, envdf, ["t", "p"], nperm=19, seed=1).first()
     assert t["constrained"] == pytest.approx(sum(want), rel=1e-9) and 0 < t["p"] <= 1
+
+
+def test_incremental_stream_classifies_each_key_once(spark, tmpdir_path):
+    from tallyframe.streaming.incremental import classify_new_keys
+    src, res, ck = (os.path.join(tmpdir_path, x) for x in ("src", "res", "ck"))
+    cls = spark.createDataFrame([("h1", "F1"), ("h2", "F2"), ("h3", "F3")], "hash string, family string")
+    spark.createDataFrame([("h1",), ("h2",)], "hash string").write.parquet(os.path.join(src, "b1"))
+    q = classify_new_keys(spark, src + "/*", "hash string", cls, res, ck)
+    q.awaitTermination()
+    spark.createDataFrame([("h2",), ("h3",)], "hash string").write.parquet(os.path.join(src, "b2"))
+    q = classify_new_keys(spark, src + "/*", "hash string", cls, res, ck)
+    q.awaitTermination()
+    got = sorted((r["hash"], r["family"]) for r in spark.read.parquet(res).collect())
+    assert got == [("h1", "F1"), ("h2", "F2"), ("h3", "F3")]
