@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,17 +14,26 @@ def as_list(x) -> list:
     return [x] if isinstance(x, (str, Column)) else list(x)
 
 
-def with_group_agg(df: DataFrame, keys, **aggs: Column) -> DataFrame:
+def with_group_agg(df: DataFrame, keys, how: str = "window", **aggs: Column) -> DataFrame:
     """Attach per-group aggregates to every row.
 
-    An aggregate plus an equi-join instead of an unordered window: the aggregate is
-    combined map-side, the small per-group table is broadcast when AQE sees it is
-    small, and a hot group is split by AQE's skew join instead of landing whole in one
-    window task. Group keys must be non-null.
+    ``window`` (default) computes them with an unordered window: one shuffle on the
+    keys and a single pass over ``df``. The operators call it on tables that are
+    already aggregated to one row per (group, other key) -- e.g. (sample, feature)
+    after summing reads -- so a group holds at most as many rows as there are
+    distinct other keys, not a share of the raw rows.
+
+    ``join`` computes a grouped aggregate (combined map-side) and joins it back; AQE
+    broadcasts the small per-group table and splits hot groups with its skew-join
+    handling. Use it on raw, unaggregated rows; it evaluates ``df`` twice.
+    Group keys must be non-null for ``join``.
     """
     keys = as_list(keys)
-    g = df.groupBy(*keys).agg(*[e.alias(n) for n, e in aggs.items()])
-    return df.join(g, keys)
+    if how == "join":
+        g = df.groupBy(*keys).agg(*[e.alias(n) for n, e in aggs.items()])
+        return df.join(g, keys)
+    w = Window.partitionBy(*keys)
+    return df.withColumns({n: e.over(w) for n, e in aggs.items()})
 
 
 def union_all(dfs) -> DataFrame:

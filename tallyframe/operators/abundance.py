@@ -43,7 +43,8 @@ def edna_index(df: DataFrame, sample: str = "sample", otu: str = "hash", n: str
     else:
         s = df.groupBy(sample, otu, biol_rep).agg(F.sum(n).alias("_s"))
         s = with_group_agg(s, [sample, biol_rep], _tot=F.sum("_s"))
-        s = with_group_agg(s, sample, _nrep=F.count_distinct(biol_rep))
+        s = with_group_agg(s, sample, _reps=F.collect_set(biol_rep))
+        s = s.withColumn("_nrep", F.size("_reps")).drop("_reps")
         s = (s.groupBy(sample, otu)
              .agg((F.sum(F.col("_s") / F.col("_tot")) / F.max("_nrep")).alias("_p")))
     s = with_group_agg(s, otu, _mx=F.max("_p"))

@@ -68,9 +68,9 @@ def low_read_samples(df: DataFrame, p: float = 0.075, sample: str = "sample",
     """D6 (report): samples whose total is in the lower ``p`` tail of a normal fit of all
     totals and below the mean. Totals pool runs, as in the reference."""
     tot = df.groupBy(sample).agg(F.sum(n).alias("tot"))
-    mu = tot.select(F.avg("tot")).scalar()
-    sd = tot.select(F.stddev_pop("tot")).scalar()
-    cut = mu + F.lit(norm_ppf(p)) * sd
+    fit = tot.select(F.struct(F.avg("tot").alias("m"), F.stddev_pop("tot").alias("s"))).scalar()
+    mu = fit["m"]
+    cut = mu + F.lit(norm_ppf(p)) * fit["s"]
     return tot.where((F.col("tot") < cut) & (F.col("tot") < mu))
 
 
@@ -192,9 +192,8 @@ def tail_outliers(dist: DataFrame, p: float = 0.95, singles: DataFrame | None =
     """Replicates whose distance to the bottle centre is in the upper ``p`` tail of
     a normal fit over all distances; single replicates are appended with a null
     distance. Output (sample, distance_to_centroid)."""
-    mu = dist.select(F.avg(d)).scalar()
-    sd = dist.select(F.stddev_pop(d)).scalar()
-    out = (dist.where(F.col(d) > mu + F.lit(norm_ppf(p)) * sd)
+    fit = dist.select(F.struct(F.avg(d).alias("m"), F.stddev_pop(d).alias("s"))).scalar()
+    out = (dist.where(F.col(d) > fit["m"] + F.lit(norm_ppf(p)) * fit["s"])
            .select(sample, F.col(d).alias("distance_to_centroid")))
     if singles is not None:
         out = out.unionByName(singles.select(sample, F.lit(None).cast("double").alias("distance_to_centroid")))

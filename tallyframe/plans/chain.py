@@ -35,8 +35,8 @@ def reset() -> None:
 
 
 def collapsed(spark: SparkSession, d: str) -> DataFrame:
-    """N4 + N5: summed (run, sample, hash) with a source tag."""
-    return D.tag_source(A.collapse_counts(V.reads(spark, d)))
+    """N4 + N5: summed (run, sample, hash) with a source tag (read by every step)."""
+    return materialized(spark, d, "collapsed", lambda: D.tag_source(A.collapse_counts(V.reads(spark, d))))
 
 
 def positives(spark, d):

@@ -29,6 +29,8 @@ def run_denoising(reads: DataFrame, low_p: float = 0.075, outlier_p: float = 0.9
     if checkpoint:
         ensure_checkpoint_dir(spark)
     c = D.tag_source(A.collapse_counts(reads))
+    if checkpoint:
+        c = c.checkpoint()  # read by the subtraction, the fate statistics and the occurrences
     pos = c.where(F.col("source") == "Positives")
     smp = c.where(F.col("source") == "Samples")
     s1 = D.subtract_contamination(smp, D.contamination_vector(pos))
