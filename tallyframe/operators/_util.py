@@ -52,14 +52,7 @@ def round_cols(df: DataFrame, cols, digits: int = 6) -> DataFrame:
     return df.withColumns({c: round_half_away(c, digits) for c in as_list(cols)})
 
 
-def check_small(df: DataFrame, max_rows: int, what: str) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows."""
-    n = df.count()
-    if n > max_rows:
-        raise ValueError(f"{what}: {n} rows exceeds the broadcast bound {max_rows}")
-    return F.broadcast(df)
-
-
 def is_small(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1)."""
-    return len(df.limit(max_rows + 1).collect()) <= max_rows
+    """True when ``df`` has at most ``max_rows`` rows. Counted on the executors with an
+    early stop (``limit``); no rows come to the driver."""
+    return df.limit(max_rows + 1).count() <= max_rows
