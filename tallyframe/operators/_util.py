@@ -56,3 +56,48 @@ def is_small(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows. Counted on the executors with an
     early stop (``limit``); no rows come to the driver."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def prefix_sum(df: DataFrame, keys, order, value: str, out: str = "prefix",
+               partitions: int | None = None) -> DataFrame:
+    """Exclusive running sum of ``value`` within ``keys`` in ``order``, without
+    putting a whole key into one task.
+
+    Rows are range-partitioned on (keys, order) -- equal sort keys land in the same
+    partition -- and sorted within partitions; each partition computes local running
+    sums (Arrow batches, in order), and every (partition, key) is shifted by the
+    totals of the earlier partitions of the same key (a table of partitions x keys).
+    """
+    import pandas as pd
+    from pyspark.sql import types as T
+    keys, order = as_list(keys), as_list(order)
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    r = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
+    schema = T.StructType(list(df.schema.fields) + [T.StructField("__pid", T.IntegerType()),
+                                                    T.StructField("__local", T.DoubleType())])
+
+    def local(it):
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        carry: dict = {}
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            k = pdf[keys].astype(str).agg("\x1f".join, axis=1) if keys else pd.Series([""] * len(pdf))
+            v = pdf[value].astype(float).fillna(0.0)
+            incl = v.groupby(k.values).cumsum()
+            start = k.map(lambda x: carry.get(x, 0.0))
+            pdf["__pid"] = pid
+            pdf["__local"] = (start + incl - v).to_numpy()
+            last = (start + incl).groupby(k.values).last()
+            carry.update(last.to_dict())
+            yield pdf
+
+    loc = r.mapInPandas(local, schema)
+    tot = loc.groupBy("__pid", *keys).agg(F.sum(value).cast("double").alias("__t"))
+    w = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.withColumn("__off", F.coalesce(F.sum("__t").over(w), F.lit(0.0))).drop("__t")
+    j = loc.join(off, ["__pid", *keys], "left")
+    return j.withColumn(out, F.col("__local") + F.coalesce(F.col("__off"), F.lit(0.0))) \
+        .drop("__pid", "__local", "__off")

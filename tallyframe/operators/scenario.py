@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import norm_ppf, pnorm_col
-from ._util import as_list, is_small, with_group_agg
+from ._util import as_list, is_small, prefix_sum, with_group_agg
 
 # Fixed values that must equal the reference's for identical results:
 # linear trends over 2000-2095 (pH -0.18, temperature +1.51) and the year window
@@ -321,14 +321,13 @@ def rank_sum_test(df: DataFrame, by, group: str, x: str, g1, g2) -> DataFrame:
     """Wilcoxon rank-sum test of ``x`` between two groups per test key ``by``:
     W, tie-corrected z with continuity correction, two-sided normal p.
 
-    Ties are collapsed first (value counts), so the ordered window runs over the
-    distinct values of each test key, not over every row.
+    Ties are collapsed first (value counts); the count of smaller values comes from a
+    range-partitioned prefix sum, so a large test key is spread over many tasks.
     """
     by = as_list(by)
     d = df.where(F.col(group).isin(g1, g2)).where(F.col(x).isNotNull())
     c = d.groupBy(*by, x).agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col(group) == g1).alias("t1"))
-    w = Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("__below", F.coalesce(F.sum("t").over(w), F.lit(0)))
+    c = prefix_sum(c, by, [x], "t", "__below")
     c = c.withColumn("__rank", F.col("__below") + (F.col("t") + 1) / 2.0)
     s = c.groupBy(*by).agg(
         F.sum(F.col("t1")).alias("n1"), (F.sum("t") - F.sum("t1")).alias("n2"),
@@ -374,8 +373,7 @@ def _below_counts(xs: DataFrame, ys: DataFrame, keys) -> DataFrame:
     """
     u = (xs.select(*keys, "u", F.lit(0).alias("__t"), F.lit(0).cast("bigint").alias("__c"))
          .unionByName(ys.select(*keys, F.col("v").alias("u"), F.lit(1).alias("__t"), F.col("c").alias("__c"))))
-    w = Window.partitionBy(*keys).orderBy("u", "__t").rowsBetween(Window.unboundedPreceding, -1)
-    u = u.withColumn("__below", F.coalesce(F.sum("__c").over(w), F.lit(0)))
+    u = prefix_sum(u, keys, ["u", "__t"], "__c", "__below")
     return u.where(F.col("__t") == 0)
 
 

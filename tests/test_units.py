@@ -258,3 +258,12 @@ def test_incremental_stream_classifies_each_key_once(spark, tmpdir_path):
     q.awaitTermination()
     got = sorted((r["hash"], r["family"]) for r in spark.read.parquet(res).collect())
     assert got == [("h1", "F1"), ("h2", "F2"), ("h3", "F3")]
+
+
+def test_prefix_sum_spans_partitions(spark):
+    from tallyframe.operators._util import prefix_sum
+    rows = [("k", float(i), 1) for i in range(100)] + [("j", float(i), 2) for i in range(10)]
+    df = spark.createDataFrame(rows, "key string, v double, c long")
+    got = {(r["key"], r["v"]): r["p"] for r in prefix_sum(df, "key", ["v"], "c", "p", partitions=6).collect()}
+    assert all(got[("k", float(i))] == i for i in range(100))
+    assert all(got[("j", float(i))] == 2 * i for i in range(10))
