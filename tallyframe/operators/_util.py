@@ -96,6 +96,7 @@ def prefix_sum(df: DataFrame, keys, order, value: str, out: str = "prefix",
 
     loc = r.mapInPandas(local, schema)
     tot = loc.groupBy("__pid", *keys).agg(F.sum(value).cast("double").alias("__t"))
+    # partitions x keys rows; with no keys this is one row per partition
     w = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.withColumn("__off", F.coalesce(F.sum("__t").over(w), F.lit(0.0))).drop("__t")
     j = loc.join(off, ["__pid", *keys], "left")

@@ -107,10 +107,12 @@ def prevalence_filter(df: DataFrame, taxon: str = "taxon", presence: str = "pres
 
 
 def dense_index(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
-    """M5: integer code 1..k for the sorted distinct values of ``col`` (the distinct
-    values are ranked, then joined back; rows are never globally sorted)."""
-    vals = df.select(col).distinct()
-    codes = vals.withColumn(out or f"{col}_id", F.dense_rank().over(Window.orderBy(col)))
+    """M5: integer code 1..k for the sorted distinct values of ``col``: the distinct
+    values get 1 + (number of smaller values) from a range-partitioned prefix sum,
+    then are joined back; no single-task global sort."""
+    vals = df.select(col).distinct().where(F.col(col).isNotNull()).withColumn("__one", F.lit(1))
+    codes = prefix_sum(vals, [], [col], "__one", "__p")
+    codes = codes.select(col, (F.col("__p") + 1).cast("int").alias(out or f"{col}_id"))
     return df.join(codes, col, "left")
 
 
