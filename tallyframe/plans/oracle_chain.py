@@ -53,7 +53,7 @@ VIEWS.update({
     "fate": ("""
       SELECT coalesce(o.hash, u.hash) AS hash, o.positives, o.samples,
              coalesce(o.hash IS NOT NULL, false) AS by_occurrence, u.hash IS NOT NULL AS by_stats
-      FROM (SELECT hash, count_if(source = 'Positives') AS positives, count_if(source = 'Samples') AS samples
+      FROM (SELECT hash, CAST(count_if(source = 'Positives') AS BIGINT) AS positives, CAST(count_if(source = 'Samples') AS BIGINT) AS samples
             FROM collapsed GROUP BY hash HAVING count_if(source = 'Positives') >= count_if(source = 'Samples')) o
       FULL JOIN unanimous u ON o.hash = u.hash""", ["collapsed", "unanimous"]),
     "step3": ("""

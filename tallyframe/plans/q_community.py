@@ -129,7 +129,7 @@ def u17(spark, d):
 
 
 @query("u18_richness", """
-SELECT event, phylum, richness, sum(richness) OVER (PARTITION BY event) AS total FROM (
+SELECT event, phylum, richness, CAST(sum(richness) OVER (PARTITION BY event) AS BIGINT) AS total FROM (
   SELECT split_part(split_part(s.sample, '.', 1), '_', 1) || '_' ||
          left(split_part(split_part(s.sample, '.', 1), '_', 2), length(split_part(split_part(s.sample, '.', 1), '_', 2)) - 1) AS event,
          t.phylum, count(DISTINCT s.hash) AS richness
@@ -149,13 +149,13 @@ def u19(spark, d):
 
 
 _BOX_SQL = """
-WITH t AS (SELECT split_part(sample, '_', 1) AS site, sum(n_reads) AS tot FROM step4 GROUP BY sample),
+WITH t AS (SELECT split_part(sample, '_', 1) AS site, CAST(sum(n_reads) AS BIGINT) AS tot FROM step4 GROUP BY sample),
 q AS (SELECT site, min(tot) AS min, quantile_cont(tot, 0.25) AS q1, median(tot) AS median,
              quantile_cont(tot, 0.75) AS q3, max(tot) AS max FROM t GROUP BY site)
 SELECT q.site, q.min, q.q1, q.median, q.q3, q.max,
        min(CASE WHEN t.tot >= q.q1 - 1.5 * (q.q3 - q.q1) THEN t.tot END) AS whisker_lo,
        max(CASE WHEN t.tot <= q.q3 + 1.5 * (q.q3 - q.q1) THEN t.tot END) AS whisker_hi,
-       count_if(t.tot < q.q1 - 1.5 * (q.q3 - q.q1) OR t.tot > q.q3 + 1.5 * (q.q3 - q.q1)) AS n_outliers
+       CAST(count_if(t.tot < q.q1 - 1.5 * (q.q3 - q.q1) OR t.tot > q.q3 + 1.5 * (q.q3 - q.q1)) AS BIGINT) AS n_outliers
 FROM t JOIN q ON t.site = q.site GROUP BY q.site, q.min, q.q1, q.median, q.q3, q.max"""
 
 
@@ -169,7 +169,7 @@ def u20(spark, d):
 @query("u21_histogram", """
 SELECT bin, count, lo, count / max(count) OVER () AS ndensity FROM (
   SELECT CAST(floor((distance - 0.0) / 0.05) AS BIGINT) AS bin, count(*) AS count,
-         0.0 + CAST(floor((distance - 0.0) / 0.05) AS BIGINT) * 0.05 AS lo
+         CAST(0.0 + CAST(floor((distance - 0.0) / 0.05) AS BIGINT) * 0.05 AS DOUBLE) AS lo
   FROM centroid WHERE distance IS NOT NULL GROUP BY 1)""", ("centroid",))
 def u21(spark, d):
     return U.histogram(C.centroid_distances(spark, d), "distance", 0.05)
@@ -218,7 +218,7 @@ SELECT event, taxon,
   round(edna_index / sum(edna_index) OVER (PARTITION BY event), 6) AS total,
   round(edna_index / sqrt(sum(edna_index * edna_index) OVER (PARTITION BY event)), 6) AS normalize,
   round(sqrt(edna_index / sum(edna_index) OVER (PARTITION BY event)), 6) AS hellinger,
-  CASE WHEN edna_index > 0 THEN 1.0 ELSE 0.0 END AS pa,
+  CAST(CASE WHEN edna_index > 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS pa,
   round(sqrt(edna_index), 6) AS sqrt
 FROM planktonic""", ("planktonic",))
 def u5(spark, d):

@@ -86,8 +86,8 @@ _ENV_COLS = ["site", "date", "area", "temperature", "ph", "salinity"]
 
 
 @query("n9_quality_report", " UNION ALL ".join(
-    f"""SELECT '{c}' AS "column", count(*) AS n_rows, count_if({c} IS NULL) AS n_null,
-        count_if(CAST({c} AS VARCHAR) = '') AS n_empty, count(DISTINCT {c}) AS n_distinct FROM env"""
+    f"""SELECT '{c}' AS "column", count(*) AS n_rows, CAST(count_if({c} IS NULL) AS BIGINT) AS n_null,
+        CAST(count_if(CAST({c} AS VARCHAR) = '') AS BIGINT) AS n_empty, count(DISTINCT {c}) AS n_distinct FROM env"""
     for c in _ENV_COLS), ("env",))
 def n9(spark, d):
     return R.quality_report(V.env(spark, d), _ENV_COLS)

@@ -74,8 +74,8 @@ VIEWS.update({
       SELECT h.site, h.hash, nb.nb - (h.n1 + h.n2 + h.n3) AS n0, h.n1, h.n2, h.n3,
              CAST(nb.nb - (h.n1 + h.n2 + h.n3) AS VARCHAR) || '.' || CAST(h.n1 AS VARCHAR) || '.' ||
              CAST(h.n2 AS VARCHAR) || '.' || CAST(h.n3 AS VARCHAR) AS pattern
-      FROM (SELECT site, hash, count_if(detections = 1) AS n1, count_if(detections = 2) AS n2,
-                   count_if(detections = 3) AS n3 FROM hist GROUP BY site, hash) h
+      FROM (SELECT site, hash, CAST(count_if(detections = 1) AS BIGINT) AS n1, CAST(count_if(detections = 2) AS BIGINT) AS n2,
+                   CAST(count_if(detections = 3) AS BIGINT) AS n3 FROM hist GROUP BY site, hash) h
       JOIN (SELECT site, count(*) AS nb FROM (SELECT DISTINCT split_part(sample, '_', 1) AS site,
                                                      split_part(sample, '.', 1) AS bottle FROM step3)
             GROUP BY site) nb ON h.site = nb.site""", ["hist", "step3"]),

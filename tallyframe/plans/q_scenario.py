@@ -296,7 +296,7 @@ c AS (SELECT hour, value, count(*) AS t, count_if(event_type = 'click') AS t1 FR
 r AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY hour ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
                 + (t + 1) / 2.0 AS rk FROM c),
 s AS (SELECT hour, sum(t1) AS n1, sum(t) - sum(t1) AS n2, sum(rk * t1) AS r1, sum(t * t * t - t) AS ties FROM r GROUP BY hour)
-SELECT hour, n1, n2, round(r1 - n1 * (n1 + 1) / 2.0, 6) AS W,
+SELECT hour, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(r1 - n1 * (n1 + 1) / 2.0, 6) AS W,
        round(((r1 - n1 * (n1 + 1) / 2.0 - n1 * n2 / 2.0) - sign(r1 - n1 * (n1 + 1) / 2.0 - n1 * n2 / 2.0) * 0.5)
              / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))), 6) AS z
 FROM s"""
@@ -324,7 +324,7 @@ def m26(spark, d):
 
 
 @query("m27_condition_share", """
-SELECT area, count(*) AS n, count_if(temperature > 10 AND ph < 8.1) AS n_cond,
+SELECT area, count(*) AS n, CAST(count_if(temperature > 10 AND ph < 8.1) AS BIGINT) AS n_cond,
        round(avg(CASE WHEN temperature > 10 AND ph < 8.1 THEN p END), 6) AS mean_p,
        count_if(temperature > 10 AND ph < 8.1) / count(*) AS share
 FROM score GROUP BY area""", ("score",))
