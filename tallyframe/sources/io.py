@@ -54,7 +54,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=Non
     if partition_by:
         w = w.partitionBy(*as_list(partition_by))
     if fmt == "csv":
-        w.option("header", "true").csv(path)
+        w.option("header", "true").option("nullValue", "NA").csv(path)
     else:
         w.format(fmt).save(path)
 
