@@ -2,9 +2,11 @@
 
 The positives/samples split, contamination subtraction, low-read filter,
 positive-hash removal, replicate check and replicate-outlier removal, composed as
-one Spark plan with two lineage cuts: ``checkpoint()`` into the cluster's shared
-``spark.checkpoint.dir`` after the positive-hash removal (the reference's hand-off to
-the occupancy step) and after the outlier step. A checkpoint survives executor loss.
+one Spark plan with lineage cuts: ``checkpoint()`` into the cluster's shared
+``spark.checkpoint.dir`` after collapsing, after the subtraction, after the positive-hash removal (the
+reference's hand-off to the occupancy step), for the normalised table and the
+per-sample centre distances (each read several times) and at the end. A checkpoint
+survives executor loss.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ def run_denoising(reads: DataFrame, low_p: float = 0.075, outlier_p: float = 0.9
     pos = c.where(F.col("source") == "Positives")
     smp = c.where(F.col("source") == "Samples")
     s1 = D.subtract_contamination(smp, D.contamination_vector(pos))
+    if checkpoint:
+        s1 = s1.checkpoint()  # read by the per-sample totals, their fit and the anti join
     s2 = D.drop_low_reads(s1, low_p)
     fate = D.occurrence_fate(c, D.unanimous_fate(D.origin_stats(c)), extra=extra_remove)
     s3 = D.drop_keys(s2, fate, "hash")
@@ -44,8 +48,12 @@ def run_denoising(reads: DataFrame, low_p: float = 0.075, outlier_p: float = 0.9
     singles = D.single_replicates(s3)
     rep = D.drop_keys(s3, singles, "sample")
     norm = A.edna_index(rep, out="value").withColumn("bottle", F.substring_index("sample", ".", 1))
+    if checkpoint:
+        norm = norm.checkpoint()  # read three times by the replicate pairs
     pairs = X.within_group_distances(norm, "bottle", "sample", "hash", "value")
     cent = X.centroid_distance(pairs, norm.select("bottle", "sample"), "bottle")
+    if checkpoint:
+        cent = cent.checkpoint()  # one row per sample; read by the fit and the cut
     disc = D.tail_outliers(cent, outlier_p, singles=singles)
     out = D.drop_keys(s3, disc, "sample")
     if checkpoint:
