@@ -25,7 +25,9 @@ def event_table(spark, d):
 
 
 def event_pairs(spark, d):
-    return X.dissimilarity(event_table(spark, d), "event", "taxon", "edna_index")
+    """Bray-Curtis between events, materialised: read by several statistics."""
+    return C.materialized(spark, d, "event_pairs",
+                          lambda: X.dissimilarity(event_table(spark, d), "event", "taxon", "edna_index"))
 
 
 def event_groups(spark, d):
