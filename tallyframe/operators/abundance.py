@@ -147,7 +147,7 @@ def transform(df: DataFrame, method: str, sample: str = "sample", otu: str = "ha
         # because zeros become non-zero after centring.
         d = densify(df.select(sample, otu, value), sample, otu, value)
         r = with_group_agg(d, otu, _m=F.avg(value), _sd=F.stddev_samp(value))
-        return r.withColumn(out, (v - F.col("_m")) / F.col("_sd")).drop("_m", "_sd")
+        return r.withColumn(out, F.try_divide(v - F.col("_m"), F.col("_sd"))).drop("_m", "_sd")
     if method == "chi.square":
         # sqrt(grand total) * x / (row total * sqrt(col total))   (vegan, MARGIN = 1)
         r = with_group_agg(df, sample, _rs=F.sum(value))

@@ -40,7 +40,7 @@ def permanova(pairs: DataFrame, groups: DataFrame, sample: str = "sample", group
     r = stats.join(sst, "_k").join(ssw, "_k")
     r = r.withColumn("ss_total", F.col("_sd2") / F.col("n"))
     r = r.withColumn("ss_between", F.col("ss_total") - F.col("ss_within"))
-    f = (F.col("ss_between") / (F.col("n_groups") - 1)) / (F.col("ss_within") / (F.col("n") - F.col("n_groups")))
+    f = F.try_divide(F.col("ss_between") / (F.col("n_groups") - 1), F.col("ss_within") / (F.col("n") - F.col("n_groups")))
     return r.select("n", "n_groups", "ss_total", "ss_within", "ss_between", f.alias("F"),
                     (F.col("ss_between") / F.col("ss_total")).alias("R2"))
 
@@ -428,7 +428,7 @@ def simper(df: DataFrame, groups: DataFrame, sample: str = "sample", taxon: str
     avg = F.col("s1") / npair
     r = r.withColumn("average", avg).withColumn(
         "sd", F.sqrt(F.greatest((F.col("s2") - npair * avg * avg) / (npair - 1), F.lit(0.0))))
-    r = r.withColumn("ratio", F.col("average") / F.col("sd"))
+    r = r.withColumn("ratio", F.try_divide(F.col("average"), F.col("sd")))
     r = r.withColumn("ava", F.coalesce(F.col("sva"), F.lit(0.0)) / F.col("na")) \
          .withColumn("avb", F.coalesce(F.col("svb"), F.lit(0.0)) / F.col("nb"))
     w = Window.partitionBy("by", "ga", "gb").orderBy(F.desc("average"), "taxon") \

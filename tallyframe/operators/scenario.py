@@ -69,7 +69,7 @@ def to_std(df: DataFrame, constants: DataFrame, col: str, key: str, by, out: str
     """M2: (x - mean) / sd with the constants of ``key`` for the row's group."""
     by = as_list(by)
     c = constants.where(F.col("key") == key).select(*by, F.col("mean").alias("__m"), F.col("sd").alias("__s"))
-    return df.join(F.broadcast(c), by, "left").withColumn(out or f"{col}_std", (F.col(col) - F.col("__m")) / F.col("__s")) \
+    return df.join(F.broadcast(c), by, "left").withColumn(out or f"{col}_std", F.try_divide(F.col(col) - F.col("__m"), F.col("__s"))) \
         .drop("__m", "__s")
 
 
@@ -341,7 +341,7 @@ def rank_sum_test(df: DataFrame, by, group: str, x: str, g1, g2) -> DataFrame:
     z0 = W - n1 * n2 / 2.0
     sigma = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.col("__ties") / (n * (n - 1))))
     corr = F.signum(z0) * 0.5
-    z = (z0 - corr) / sigma
+    z = F.try_divide(z0 - corr, sigma)  # all values tied: no spread, no z
     return s.select(*by, "n1", "n2", W.alias("W"), z.alias("z"),
                     (2 * (1 - pnorm_col(F.abs(z)))).alias("p"))
 
