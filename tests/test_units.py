@@ -300,3 +300,19 @@ def test_golden_run_metadata_counts(spark):
     from tallyframe.functions.keys import pad_tag
     tags = [r[0] for r in md.select(pad_tag("Tag")).where(F.col("Tag").isNotNull()).distinct().collect()]
     assert all(not t.endswith(tuple(f"_{i}" for i in range(10))) for t in tags if t.startswith("Tag_"))
+
+
+@pytest.mark.skipif(not os.path.isdir(REF), reason="reference data files not present")
+def test_golden_env_quality_report(spark):
+    """Environment table: 172 rows unique on (Site, Date); nulls TA 39, DIC 37,
+    DIC.new 40, pH 39, pH_new 42, DO% 48; oxygen columns dropped, complete cases kept."""
+    from tallyframe.operators import rules as R
+    schema = ("Site string, Date date, `mean.TA` double, `mean.DIC` double, `mean.DIC.new.sal` double, "
+              "Salinity double, `Salinity.new` double, `DO (%)` double, `DO (mg/l)` double, Temperature double, "
+              "Area string, `Omega.aragonite` double, pH double, pH_new double")
+    env = S.read_table(spark, f"{REF}/Input/env.data.updated.csv", schema)
+    q = {r["column"]: r for r in R.quality_report(env, env.columns).collect()}
+    assert q["Site"]["n_rows"] == 172
+    assert env.select("Site", "Date").distinct().count() == 172
+    nulls = {c: q[c]["n_null"] for c in ("mean.TA", "mean.DIC", "mean.DIC.new.sal", "pH", "pH_new", "DO (%)")}
+    assert nulls == {"mean.TA": 39, "mean.DIC": 37, "mean.DIC.new.sal": 40, "pH": 39, "pH_new": 42, "DO (%)": 48}
