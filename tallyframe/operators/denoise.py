@@ -225,9 +225,10 @@ def coverage_matrix(kept: DataFrame, site_area: DataFrame, exclude_date: str | N
 
 
 def coverage_report(df: DataFrame, coverage: DataFrame, sample: str = "sample",
-                    n: str = "n_reads", wide: bool = False) -> DataFrame:
+                    n: str = "n_reads", wide: bool = False, site_order=None) -> DataFrame:
     """Per event ``"k (mean +- sd)"`` of reads per sample (R rounding: half to even),
-    with a ``Mon'YYYY`` column label. Long form by default; ``wide`` pivots months."""
+    with a ``Mon'YYYY`` column label. Long form by default; ``wide`` pivots months
+    (one row per area and site, rows ranked by ``site_order`` when given)."""
     tot = df.groupBy(sample).agg(F.sum(n).alias("_n"))
     tot = tot.select(F.expr(f"substring({sample}, 1, length({sample}) - 3)").alias("event"), "_n")
     st = tot.groupBy("event").agg(F.avg("_n").alias("_m"), F.stddev_samp("_n").alias("_s"))
@@ -240,4 +241,8 @@ def coverage_report(df: DataFrame, coverage: DataFrame, sample: str = "sample",
                  F.concat(F.date_format("date", "MMM"), F.lit("'"), F.year("date").cast("string")).alias("month"))
     if not wide:
         return r
-    return r.groupBy("area", "site").pivot("month").agg(F.first("data")).fillna("")
+    w = r.groupBy("area", "site").pivot("month").agg(F.first("data")).fillna("")
+    if site_order:
+        from ..functions.keys import order_rank
+        w = w.withColumn("site_rank", order_rank("site", list(site_order))).orderBy("site_rank", "area", "site")
+    return w

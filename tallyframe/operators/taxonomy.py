@@ -50,11 +50,16 @@ def trait_conflicts(df: DataFrame, by, traits) -> DataFrame:
 
 
 def lineage_wide(df: DataFrame, key: str = "key", rank: str = "rank", name: str = "name",
-                 ranks=("kingdom", "phylum", "family", "genus", "species")) -> DataFrame:
-    """(key, rank, name) rows -> one column per rank (``no rank`` rows dropped).
-    An explicit rank list avoids the extra pass that discovers pivot values."""
-    return (df.where(F.col(rank) != "no rank").groupBy(key)
-            .pivot(rank, list(ranks)).agg(F.min(name)))
+                 ranks=("kingdom", "phylum", "family", "genus", "species"),
+                 relabel: dict | None = None) -> DataFrame:
+    """(key, rank, name) rows -> one column per rank (``no rank`` rows dropped),
+    columns optionally renamed (``relabel``). An explicit rank list avoids the extra
+    pass that discovers pivot values."""
+    w = (df.where(F.col(rank) != "no rank").groupBy(key)
+         .pivot(rank, list(ranks)).agg(F.min(name)))
+    for old, new in (relabel or {}).items():
+        w = w.withColumnRenamed(old, new)
+    return w
 
 
 def backfill_rank(df: DataFrame, target: str, fallbacks) -> DataFrame:

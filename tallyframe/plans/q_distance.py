@@ -107,9 +107,12 @@ def d26(spark, d):
     return D.coverage_report(C.step4(spark, d), _coverage(spark, d))
 
 
+SITE_ORDER = [f"{i:02d}" for i in range(24, -1, -1)]  # a custom display order of the sites
+
+
 @query("d26_coverage_report_wide")
 def d26w(spark, d):
-    return D.coverage_report(C.step4(spark, d), _coverage(spark, d), wide=True)
+    return D.coverage_report(C.step4(spark, d), _coverage(spark, d), wide=True, site_order=SITE_ORDER)
 
 
 @query("d27_run_denoising", "SELECT * FROM step4", ("step4",))
