@@ -86,17 +86,7 @@ def origin_stats(df: DataFrame, source: str = "source", sample: str = "sample",
 
     Output (hash, stat, positives, samples, origin, n_origins); missing source = 0.
     """
-    pos = df.where(F.col(source) == "Positives").select(hash).distinct()
-    x = df.join(pos, hash, "left_semi")
-    x = with_group_agg(x, sample, _tot=F.sum(n))
-    prop = F.col(n) / F.col("_tot")
-    st = x.groupBy(hash).agg(
-        F.max(F.when(F.col(source) == "Positives", prop)).alias("max_Positives"),
-        F.max(F.when(F.col(source) == "Samples", prop)).alias("max_Samples"),
-        F.avg(F.when(F.col(source) == "Positives", prop)).alias("mean_Positives"),
-        F.avg(F.when(F.col(source) == "Samples", prop)).alias("mean_Samples"),
-        F.sum(F.when(F.col(source) == "Positives", F.col(n))).cast("double").alias("tot_Positives"),
-        F.sum(F.when(F.col(source) == "Samples", F.col(n))).cast("double").alias("tot_Samples"))
+    st = origin_stats_wide(df, source, sample, hash, n)
     stats = ["max", "mean", "tot"]
     long = st.select(hash, F.explode(F.array(*[
         F.struct(F.lit(s).alias("stat"),
@@ -109,6 +99,31 @@ def origin_stats(df: DataFrame, source: str = "source", sample: str = "sample",
     return long.withColumn("n_origins", F.size(F.collect_set("origin").over(Window.partitionBy(hash))))
 
 
+def origin_stats_wide(df: DataFrame, source: str = "source", sample: str = "sample",
+                      hash: str = "hash", n: str = "n_reads") -> DataFrame:
+    """D7 in wide form: one row per hash seen in positives with the three statistics
+    for each source (null when the hash never occurs in that source)."""
+    pos = df.where(F.col(source) == "Positives").select(hash).distinct()
+    x = df.join(pos, hash, "left_semi")
+    x = with_group_agg(x, sample, _tot=F.sum(n))
+    prop = F.col(n) / F.col("_tot")
+    return x.groupBy(hash).agg(
+        F.max(F.when(F.col(source) == "Positives", prop)).alias("max_Positives"),
+        F.max(F.when(F.col(source) == "Samples", prop)).alias("max_Samples"),
+        F.avg(F.when(F.col(source) == "Positives", prop)).alias("mean_Positives"),
+        F.avg(F.when(F.col(source) == "Samples", prop)).alias("mean_Samples"),
+        F.sum(F.when(F.col(source) == "Positives", F.col(n))).cast("double").alias("tot_Positives"),
+        F.sum(F.when(F.col(source) == "Samples", F.col(n))).cast("double").alias("tot_Samples"))
+
+
+def unanimous_from_wide(wide: DataFrame, hash: str = "hash") -> DataFrame:
+    """D8 from the wide statistics: all three say positives (missing source = 0)."""
+    cond = F.lit(True)
+    for s in ("max", "mean", "tot"):
+        cond = cond & (F.coalesce(F.col(f"{s}_Positives"), F.lit(0.0)) > F.coalesce(F.col(f"{s}_Samples"), F.lit(0.0)))
+    return wide.where(cond).select(hash)
+
+
 def unanimous_fate(stats: DataFrame, hash: str = "hash") -> DataFrame:
     """Hashes on which all statistics agree on ``Positive.control``."""
     return (stats.groupBy(hash)

@@ -64,7 +64,7 @@ def fate(spark, d) -> DataFrame:
     """Hashes to remove (D7 -> D8 -> D9)."""
     def build():
         c = collapsed(spark, d)
-        return D.occurrence_fate(c, D.unanimous_fate(D.origin_stats(c)))
+        return D.occurrence_fate(c, D.unanimous_from_wide(D.origin_stats_wide(c)))
     return materialized(spark, d, "fate", build)
 
 

@@ -39,7 +39,7 @@ def run_denoising(reads: DataFrame, low_p: float = 0.075, outlier_p: float = 0.9
     if checkpoint:
         s1 = s1.checkpoint()  # read by the per-sample totals, their fit and the anti join
     s2 = D.drop_low_reads(s1, low_p)
-    fate = D.occurrence_fate(c, D.unanimous_fate(D.origin_stats(c)), extra=extra_remove)
+    fate = D.occurrence_fate(c, D.unanimous_from_wide(D.origin_stats_wide(c)), extra=extra_remove)
     s3 = D.drop_keys(s2, fate, "hash")
     if checkpoint:
         s3 = s3.checkpoint()
