@@ -17,12 +17,16 @@ from .registry import query
 # ---- shared inputs ------------------------------------------------------------------
 
 
-def lifestyle(spark, d):
-    """Per-hash lifestyle from an ordered rule list (as the N12 query)."""
-    t = V.taxonomy(spark, d)
+def lifestyle_rule():
+    """Lifestyle from an ordered rule list (as the N12 query), as a column."""
     label = K.unite_label(["family", "genus", "species"])
-    return t.select("hash", F.when(F.col("phylum") == "P1", "BEN").when(label.rlike("ECONOMY"), "PLK")
-                    .when(F.col("species").isNull(), F.col("family")).otherwise("Unknown").alias("lifestyle"))
+    return (F.when(F.col("phylum") == "P1", "BEN").when(label.rlike("ECONOMY"), "PLK")
+            .when(F.col("species").isNull(), F.col("family")).otherwise("Unknown"))
+
+
+def lifestyle(spark, d):
+    """Per-hash lifestyle."""
+    return V.taxonomy(spark, d).select("hash", lifestyle_rule().alias("lifestyle"))
 
 
 BEN_TOKEN, PLK_TOKEN = "STANDARD", "SMALL"
@@ -41,7 +45,7 @@ EXCLUDED_EVENTS = "199501|199601"
 
 
 def annotated(spark, d):
-    annot = V.taxonomy(spark, d).join(lifestyle(spark, d), "hash")
+    annot = V.taxonomy(spark, d).withColumn("lifestyle", lifestyle_rule())
     return T.annotate_reads(C.step4(spark, d), annot, human_hashes(spark, d), keep=["lifestyle"])
 
 
