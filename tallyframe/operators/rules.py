@@ -50,7 +50,7 @@ def rule_cascade(df: DataFrame, out: str, rules: list[tuple[Column, Column]],
     return df.withColumn(out, expr)
 
 
-def patch_rows(df: DataFrame, patches: DataFrame, key, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+def patch_rows(df: DataFrame, patches: DataFrame, key, max_broadcast_rows: int = 200_000) -> DataFrame:
     """Listed keys take the patch's non-null values; other rows unchanged.
 
     The patch list is broadcast when it is proven small, else shuffled with the table.

@@ -69,7 +69,8 @@ def to_std(df: DataFrame, constants: DataFrame, col: str, key: str, by, out: str
     """M2: (x - mean) / sd with the constants of ``key`` for the row's group."""
     by = as_list(by)
     c = constants.where(F.col("key") == key).select(*by, F.col("mean").alias("__m"), F.col("sd").alias("__s"))
-    return df.join(F.broadcast(c), by, "left").withColumn(out or f"{col}_std", F.try_divide(F.col(col) - F.col("__m"), F.col("__s"))) \
+    # one row per group: the planner broadcasts it when its statistics say it is small
+    return df.join(c, by, "left").withColumn(out or f"{col}_std", F.try_divide(F.col(col) - F.col("__m"), F.col("__s"))) \
         .drop("__m", "__s")
 
 
@@ -77,12 +78,12 @@ def from_std(df: DataFrame, constants: DataFrame, col: str, key: str, by, out: s
     """M2: inverse of ``to_std``."""
     by = as_list(by)
     c = constants.where(F.col("key") == key).select(*by, F.col("mean").alias("__m"), F.col("sd").alias("__s"))
-    return df.join(F.broadcast(c), by, "left").withColumn(out or f"{col}_value", F.col(col) * F.col("__s") + F.col("__m")) \
+    return df.join(c, by, "left").withColumn(out or f"{col}_value", F.col(col) * F.col("__s") + F.col("__m")) \
         .drop("__m", "__s")
 
 
 def presence_matrix(df: DataFrame, event: str = "event", taxon: str = "taxon", value: str = "edna_index",
-                    event_attrs=(), exclude: str | None = None, max_events: int = 1_000_000) -> DataFrame:
+                    event_attrs=(), exclude: str | None = None, max_events: int = 200_000) -> DataFrame:
     """M3: every event x taxon with 1 when present (value > 0) and 0 otherwise.
 
     Dense by definition (the model needs the absences). The event list is a small
@@ -360,7 +361,7 @@ def condition_share(df: DataFrame, by, cond: Column, value: str | None = None) -
     return g.withColumn("share", F.col("n_cond") / F.col("n"))
 
 
-def expand_cross(df1: DataFrame, df2: DataFrame, max_small_rows: int = 1_000_000) -> DataFrame:
+def expand_cross(df1: DataFrame, df2: DataFrame, max_small_rows: int = 200_000) -> DataFrame:
     """Every combination of two tables (``crossing``). The smaller side must be a
     checked small dimension; it is broadcast so the large side is never shuffled."""
     if not is_small(df2, max_small_rows):

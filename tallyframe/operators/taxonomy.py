@@ -134,7 +134,7 @@ def contains_any(df: DataFrame, key: str, text: str, terms: DataFrame, term: str
         F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))),
         lambda i: F.array_join(F.slice(words, i, n), " "))))
     g = df.select(key, F.explode(grams).alias(term)).distinct()
-    if is_small(t, 1_000_000):
+    if is_small(t, 200_000):
         t = F.broadcast(t)
     return g.join(t, term)
 
