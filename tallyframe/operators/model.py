@@ -97,7 +97,7 @@ def cluster_model(df: DataFrame, by: str = "area", label: str = "cluster", xs=("
     xs = as_list(xs)
     groups = df.select(by).distinct()
     if not is_small(groups, max_groups):
-        raise ValueError("too many groups for per-group fits")
+        raise ValueError("too many groups for one fit each; fit on a grouping with fewer levels")
     rows = []
     for (g,) in groups.collect():
         part = df.where(F.col(by) == g).withColumn("__lab", F.col(label).cast("string"))

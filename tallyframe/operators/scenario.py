@@ -86,15 +86,16 @@ def presence_matrix(df: DataFrame, event: str = "event", taxon: str = "taxon", v
                     event_attrs=(), exclude: str | None = None, max_events: int = 200_000) -> DataFrame:
     """M3: every event x taxon with 1 when present (value > 0) and 0 otherwise.
 
-    Dense by definition (the model needs the absences). The event list is a small
-    dimension; it is broadcast only after its size is checked.
+    Dense by definition (the model needs the absences). The event list is broadcast
+    when its size check passes, otherwise the product is partitioned.
     """
     x = df if exclude is None else df.where(~F.col(taxon).rlike(exclude))
     events = x.select(event, *as_list(event_attrs)).distinct()
     taxa = x.select(taxon).distinct()
-    if not is_small(events, max_events):
-        raise ValueError("event list exceeds the broadcast bound")
-    grid = taxa.join(F.broadcast(events), how="cross")
+    if is_small(events, max_events):
+        grid = taxa.join(F.broadcast(events), how="cross")
+    else:  # beyond the bound: a partitioned cartesian product, no broadcast
+        grid = taxa.join(events, how="cross")
     pres = x.where(F.col(value) > 0).select(event, taxon).distinct().withColumn("__p", F.lit(1))
     return grid.join(pres, [event, taxon], "left").select(
         *grid.columns, F.coalesce("__p", F.lit(0)).alias("presence"))
@@ -362,11 +363,12 @@ def condition_share(df: DataFrame, by, cond: Column, value: str | None = None) -
 
 
 def expand_cross(df1: DataFrame, df2: DataFrame, max_small_rows: int = 200_000) -> DataFrame:
-    """Every combination of two tables (``crossing``). The smaller side must be a
-    checked small dimension; it is broadcast so the large side is never shuffled."""
-    if not is_small(df2, max_small_rows):
-        raise ValueError("expand_cross: second table exceeds the broadcast bound")
-    return df1.join(F.broadcast(df2), how="cross")
+    """Every combination of two tables (``crossing``). When the second table is a
+    checked small dimension it is broadcast so the first is never shuffled; beyond the
+    bound Spark's partitioned cartesian product is used."""
+    if is_small(df2, max_small_rows):
+        return df1.join(F.broadcast(df2), how="cross")
+    return df1.join(df2, how="cross")
 
 
 def _below_counts(xs: DataFrame, ys: DataFrame, keys) -> DataFrame:
