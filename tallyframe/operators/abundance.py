@@ -22,10 +22,24 @@ def duplicate_keys(df: DataFrame, key, name: str = "tot") -> DataFrame:
 
 
 def first_per_key(df: DataFrame, key, order) -> DataFrame:
-    """One row per key, the first by an explicit tie order (``distinct(.keep_all)``)."""
+    """One row per key, the first by an explicit tie order (``distinct(.keep_all)``).
+
+    ``order`` lists column names (ascending) or ``(name, ascending)`` pairs. It is an
+    aggregate -- the minimum of a struct of the sort keys and the row -- so rows are
+    combined map-side and a key holding a third of the rows is not sorted in one task.
+    Descending string keys fall back to a window.
+    """
     keys = as_list(key)
-    w = Window.partitionBy(*keys).orderBy(*as_list(order))
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    spec = [(o, True) if isinstance(o, str) else tuple(o) for o in as_list(order)]
+    types = dict((f.name, f.dataType.simpleString()) for f in df.schema.fields)
+    numeric = ("int", "bigint", "double", "float", "smallint", "tinyint")
+    if any(not asc and not types[c].startswith(numeric) for c, asc in spec):
+        w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc() if asc else F.col(c).desc() for c, asc in spec])
+        return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    rest = [c for c in df.columns if c not in keys]
+    sort = [(F.col(c) if asc else -F.col(c)).alias(f"_o{i}") for i, (c, asc) in enumerate(spec)]
+    best = F.min(F.struct(*sort, F.struct(*[F.col(c) for c in rest]).alias("_row")))
+    return df.groupBy(*keys).agg(best.alias("_b")).select(*keys, *[F.col(f"_b._row.{c}").alias(c) for c in rest])
 
 
 def edna_index(df: DataFrame, sample: str = "sample", otu: str = "hash", n: str = "n_reads",

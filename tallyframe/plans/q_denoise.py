@@ -53,7 +53,7 @@ SELECT hash, sample, n_reads FROM (
   FROM collapsed) WHERE rn = 1""", ("collapsed",))
 def s7(spark, d):
     c = C.collapsed(spark, d)
-    return A.first_per_key(c, "hash", [F.desc("n_reads"), "sample", "run"]).select("hash", "sample", "n_reads")
+    return A.first_per_key(c, "hash", [("n_reads", False), "sample", "run"]).select("hash", "sample", "n_reads")
 
 
 @query("u1_edna_index", """
