@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import as_list, with_group_agg
+from ._util import as_list, prefix_sum, with_group_agg
 
 
 # ---- PERMANOVA ------------------------------------------------------------------------
@@ -52,7 +52,9 @@ def permuted_labels(groups: DataFrame, nperm: int, seed: int = 1, sample: str =
     ``within`` restricts the shuffling to strata. One row per sample and permutation."""
     w = [within] if within else []
     lab = groups.select(*w, sample, group)
-    orig = lab.withColumn("_pos", F.row_number().over(Window.partitionBy(*w).orderBy(sample)))
+    # sample-order position 1..n per stratum from a range-partitioned prefix count
+    orig = prefix_sum(lab.withColumn("_one", F.lit(1)), w, [sample], "_one", "_p")
+    orig = orig.withColumn("_pos", (F.col("_p") + 1).cast("int")).drop("_one", "_p")
     p = lab.select(*w, sample).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(nperm))))
     p = p.withColumn("_pos", F.row_number().over(
         Window.partitionBy("perm", *w).orderBy(F.xxhash64(F.col(sample), F.col("perm"), F.lit(seed)), sample)))
