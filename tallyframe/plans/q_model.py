@@ -46,3 +46,22 @@ def m16p(spark, d):
     coef = ML.cluster_model(QS.predicted(spark, d), "area", "cluster", ["temperature", "ph"])
     coef = coef.withColumnRenamed("b_temperature", "b_t").withColumnRenamed("b_ph", "b_ph")
     return M.predict_class(coef, QS.grid(spark, d), ["temperature", "ph"])
+
+
+@query("entry2_prepare_model_data")
+def entry2(spark, d):
+    """Second entry point: cleaned reads to the model-ready presence table."""
+    from . import q_taxonomy as QT
+    from .analysis import planktonic_index, prepare_model_data
+    annot = V.taxonomy(spark, d).withColumn("lifestyle", QT.lifestyle_rule())
+    idx = planktonic_index(C.step4(spark, d), annot, QT.human_hashes(spark, d), QT.EXCLUDED_EVENTS)
+    return prepare_model_data(idx, V.env(spark, d), QS.EXCLUDE_TAXA)
+
+
+@query("entry3_project_scenarios")
+def entry3(spark, d):
+    """Third entry point: scenario draws to expected richness per draw and phylum."""
+    from .analysis import project_scenarios
+    groups = V.taxonomy(spark, d).select(F.col("hash").alias("taxon"), "phylum")
+    return project_scenarios(QS.env_valid(spark, d), V.coef(spark, d), groups, QS.YEARS,
+                             n_draws=50, seed=9, presence_draws=20)
