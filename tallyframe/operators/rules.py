@@ -63,3 +63,10 @@ def patch_rows(df: DataFrame, patches: DataFrame, key, max_broadcast_rows: int =
     j = df.join(p, keys, "left")
     return j.select(*[F.coalesce(F.col(f"__p_{c}"), F.col(c)).alias(c) if c in cols else F.col(c)
                       for c in df.columns])
+
+
+def replicate_levels(df: DataFrame, sample: str = "sample") -> DataFrame:
+    """N9 (replicate check): how many bottles have 1, 2, 3, ... technical replicates."""
+    s = df.select(sample).distinct().withColumn("bottle", F.substring_index(sample, ".", 1))
+    per = s.groupBy("bottle").agg(F.count(F.lit(1)).alias("n_replicates"))
+    return per.groupBy("n_replicates").agg(F.count(F.lit(1)).alias("n_bottles"))

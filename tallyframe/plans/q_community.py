@@ -391,3 +391,12 @@ def u15(spark, d):
 def u16(spark, d):
     return U.simper_permutation_p(event_table(spark, d), event_clusters(spark, d), nperm=19, seed=4,
                                   sample="event", taxon="taxon", value="edna_index", group="cluster", by="area")
+
+
+@query("u3_sample_attributes", """
+SELECT DISTINCT event, split_part(event, '_', 1) AS site, split_part(event, '_', 2) AS yyyymm FROM planktonic""",
+       ("planktonic",))
+def u3a(spark, d):
+    x = event_table(spark, d).withColumn("site", F.substring_index("event", "_", 1)) \
+        .withColumn("yyyymm", F.regexp_extract("event", r"_(.*)$", 1))
+    return A.sample_attributes(x, "event", ["site", "yyyymm"])

@@ -167,3 +167,13 @@ def n14(spark, d):
 SELECT '>' || hash || chr(10) || sequence AS record FROM hash_key""", ("hash_key",))
 def s5(spark, d):
     return S.fasta_records(V.hash_key(spark, d), "hash", "sequence")
+
+
+@query("n9_replicate_levels", """
+SELECT n_replicates, count(*) AS n_bottles FROM (
+  SELECT split_part(sample, '.', 1) AS bottle, count(*) AS n_replicates
+  FROM (SELECT DISTINCT sample FROM reads WHERE NOT starts_with(sample, 'Kangaroo')) GROUP BY 1)
+GROUP BY n_replicates""", ("reads",))
+def n9r(spark, d):
+    r = V.reads(spark, d).where(~F.col("sample").startswith("Kangaroo"))
+    return R.replicate_levels(r)

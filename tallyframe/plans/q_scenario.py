@@ -351,3 +351,4 @@ GROUP BY a.hour""")
 def m25(spark, d):
     e = V.table(spark, d, "events").select(F.hour("ts").alias("hour"), "event_type", "value")
     return round_cols(M.hodges_lehmann(e, "hour", "event_type", "value", "click", "view"), "hl")
+

@@ -316,3 +316,13 @@ def test_golden_env_quality_report(spark):
     assert env.select("Site", "Date").distinct().count() == 172
     nulls = {c: q[c]["n_null"] for c in ("mean.TA", "mean.DIC", "mean.DIC.new.sal", "pH", "pH_new", "DO (%)")}
     assert nulls == {"mean.TA": 39, "mean.DIC": 37, "mean.DIC.new.sal": 40, "pH": 39, "pH_new": 42, "DO (%)": 48}
+
+
+def test_bernoulli_draws_agree_with_mean(spark):
+    rows = [(f"t{i}", "A", 0.1 * (i % 10)) for i in range(30)]
+    df = spark.createDataFrame(rows, "taxon string, area string, p double")
+    mean = {r["taxon"]: r["mean_presence"] for r in M.bernoulli_mean(df, "p", ["taxon", "area"], n=50, seed=3).collect()}
+    draws = M.bernoulli_draws(df, "p", ["taxon", "area"], n=50, seed=3)
+    got = {r["taxon"]: r["m"] for r in draws.groupBy("taxon").agg(F.avg("present").alias("m")).collect()}
+    assert got == pytest.approx(mean)
+    assert mean["t0"] == 0.0
