@@ -78,20 +78,34 @@ def prefix_sum(df: DataFrame, keys, order, value: str, out: str = "prefix",
                                                     T.StructField("__local", T.DoubleType())])
 
     def local(it):
+        import numpy as np
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
-        carry: dict = {}
+        last_key, last_total = None, 0.0   # rows of one key are contiguous (sorted)
         for pdf in it:
             if len(pdf) == 0:
                 continue
-            k = pdf[keys].astype(str).agg("\x1f".join, axis=1) if keys else pd.Series([""] * len(pdf))
             v = pdf[value].astype(float).fillna(0.0)
-            incl = v.groupby(k.values).cumsum()
-            start = k.map(lambda x: carry.get(x, 0.0))
+            if keys:
+                grp = [pdf[k] for k in keys]
+                incl = v.groupby(grp, sort=False, dropna=False).cumsum().to_numpy()
+                same = np.ones(len(pdf), bool)
+                if last_key is None:
+                    same[:] = False
+                else:
+                    for k, lv in zip(keys, last_key):
+                        col = pdf[k]
+                        same &= (col == lv).to_numpy() | (col.isna().to_numpy() & (lv is None))
+                tail = tuple(None if pd.isna(pdf[k].iloc[-1]) else pdf[k].iloc[-1] for k in keys)
+            else:
+                incl = v.cumsum().to_numpy()
+                same = np.full(len(pdf), last_key is not None)
+                tail = ()
+            start = np.where(same, last_total, 0.0)
             pdf["__pid"] = pid
-            pdf["__local"] = (start + incl - v).to_numpy()
-            last = (start + incl).groupby(k.values).last()
-            carry.update(last.to_dict())
+            pdf["__local"] = start + incl - v.to_numpy()
+            last_total = float(start[-1] + incl[-1])
+            last_key = tail
             yield pdf
 
     loc = r.mapInPandas(local, schema)

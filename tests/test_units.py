@@ -277,3 +277,19 @@ def test_bernoulli_draws_agree_with_mean(spark):
     got = {r["taxon"]: r["m"] for r in draws.groupBy("taxon").agg(F.avg("present").alias("m")).collect()}
     assert got == pytest.approx(mean)
     assert mean["t0"] == 0.0
+
+
+def test_prefix_sum_across_arrow_batches(spark):
+    from tallyframe.operators._util import prefix_sum
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [("k", float(i), 1) for i in range(60)] + [("j", float(i), 3) for i in range(25)]
+        df = spark.createDataFrame(rows, "key string, v double, c long")
+        got = {(r["key"], r["v"]): r["p"] for r in prefix_sum(df, "key", ["v"], "c", "p", partitions=2).collect()}
+        assert all(got[("k", float(i))] == i for i in range(60))
+        assert all(got[("j", float(i))] == 3 * i for i in range(25))
+        nokey = {r["v"]: r["p"] for r in prefix_sum(df.where("key = 'k'"), [], ["v"], "c", "p", partitions=3).collect()}
+        assert all(nokey[float(i)] == i for i in range(60))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
