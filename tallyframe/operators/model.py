@@ -30,7 +30,7 @@ def _design(df: DataFrame, taxon: str, area: str, xs):
 def taxon_response_model(df: DataFrame, taxon: str = "taxon", area: str = "area", y: str = "presence",
                          xs=("temperature", "ph"), reg: float = 0.01, max_iter: int = 100):
     """M7: presence ~ slope per taxon for each predictor + intercept per taxon x area,
-    as one L2-regularised logistic regression. Returns (coefficients, pipeline model,
+    as one L2-regularised logistic regression. Returns (coefficients, fitted feature stages,
     logistic model); coefficients are (taxon, area, intercept, b_<x>...)."""
     from pyspark.ml.classification import LogisticRegression
     xs = as_list(xs)
