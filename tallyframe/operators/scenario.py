@@ -118,6 +118,13 @@ def dense_index(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     return df.join(codes, col, "left")
 
 
+def row_index(df: DataFrame, order, out: str = "row") -> DataFrame:
+    """M5: 1-based row number in a total ``order`` (the order columns must identify a
+    row), from a range-partitioned prefix count: no single-task global sort."""
+    r = prefix_sum(df.withColumn("__one", F.lit(1)), [], as_list(order), "__one", "__p")
+    return r.withColumn(out, (F.col("__p") + 1).cast("bigint")).drop("__one", "__p")
+
+
 def sample_groups(df: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
     """M6: keep ``n`` keys chosen by a seeded hash order (a sampling operator)."""
     keys = df.select(key).distinct().orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)

@@ -134,10 +134,12 @@ def m4(spark, d):
 
 @query("m5_dense_index", """
 SELECT taxon, event, presence, CAST(dense_rank() OVER (ORDER BY taxon) AS INTEGER) AS taxon_id,
-       CAST(dense_rank() OVER (ORDER BY event) AS INTEGER) AS event_id FROM prevalent""", ("prevalent",))
+       CAST(dense_rank() OVER (ORDER BY event) AS INTEGER) AS event_id,
+       row_number() OVER (ORDER BY taxon, event) AS row FROM prevalent""", ("prevalent",))
 def m5(spark, d):
     p = M.prevalence_filter(presence(spark, d), "taxon", "presence", 7, 69)
-    return M.dense_index(M.dense_index(p, "taxon", "taxon_id"), "event", "event_id")
+    p = M.dense_index(M.dense_index(p, "taxon", "taxon_id"), "event", "event_id")
+    return M.row_index(p, ["taxon", "event"])
 
 
 @query("m6_sample_groups")
