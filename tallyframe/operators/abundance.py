@@ -43,13 +43,21 @@ def first_per_key(df: DataFrame, key, order) -> DataFrame:
 
 
 def edna_index(df: DataFrame, sample: str = "sample", otu: str = "hash", n: str = "n_reads",
-               biol_rep: str | None = None, out: str = "index") -> DataFrame:
+               biol_rep: str | None = None, out: str = "index", per_row: bool = False) -> DataFrame:
     """eDNA index.
 
     Direct: per (sample, otu) sum, divide by the sample total, divide by the otu's max.
     With ``biol_rep``: proportions per (sample, replicate), summed over replicates and
     divided by the number of replicates of the sample, then divided by the otu max.
+    ``per_row``: the replicate-dissimilarity variant -- each input row (e.g. one run's
+    count) is divided by the sample total and by the otu's largest row share, and the
+    results are summed per (sample, otu).
     """
+    if per_row:
+        s = with_group_agg(df, sample, _tot=F.sum(n))
+        s = s.withColumn("_p", F.col(n) / F.col("_tot"))
+        s = with_group_agg(s, otu, _mx=F.max("_p"))
+        return s.groupBy(sample, otu).agg(F.sum(F.col("_p") / F.col("_mx")).alias(out))
     if biol_rep is None:
         s = df.groupBy(sample, otu).agg(F.sum(n).alias("_s"))
         s = with_group_agg(s, sample, _tot=F.sum("_s"))

@@ -82,7 +82,7 @@ def step3_replicated(spark, d) -> DataFrame:
 def normalized(spark, d) -> DataFrame:
     """eDNA index per sample of the replicated table: (sample, hash, value, bottle)."""
     def build():
-        idx = A.edna_index(step3_replicated(spark, d), "sample", "hash", "n_reads", out="value")
+        idx = A.edna_index(step3_replicated(spark, d), "sample", "hash", "n_reads", out="value", per_row=True)
         return idx.withColumn("bottle", F.substring_index("sample", ".", 1))
     return materialized(spark, d, "normalized", build)
 

@@ -47,7 +47,7 @@ def run_denoising(reads: DataFrame, low_p: float = 0.075, outlier_p: float = 0.9
         s3 = D.keep_occupied(s3, occupancy, occupancy_threshold)
     singles = D.single_replicates(s3)
     rep = D.drop_keys(s3, singles, "sample")
-    norm = A.edna_index(rep, out="value").withColumn("bottle", F.substring_index("sample", ".", 1))
+    norm = A.edna_index(rep, out="value", per_row=True).withColumn("bottle", F.substring_index("sample", ".", 1))
     if checkpoint:
         norm = norm.checkpoint()  # read three times by the replicate pairs
     pairs = X.within_group_distances(norm, "bottle", "sample", "hash", "value")

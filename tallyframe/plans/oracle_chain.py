@@ -68,9 +68,10 @@ VIEWS.update({
         GROUP BY b HAVING count(*) = 1)""", ["step3"]),
     "step3b": ("SELECT * FROM step3 WHERE sample NOT IN (SELECT sample FROM singles)", ["step3", "singles"]),
     "norm": ("""
-      SELECT sample, hash, p / max(p) OVER (PARTITION BY hash) AS value, split_part(sample, '.', 1) AS bottle
-      FROM (SELECT sample, hash, s / sum(s) OVER (PARTITION BY sample) AS p
-            FROM (SELECT sample, hash, sum(n_reads) AS s FROM step3b GROUP BY sample, hash))""", ["step3b"]),
+      SELECT sample, hash, sum(p / mx) AS value, split_part(sample, '.', 1) AS bottle FROM (
+        SELECT sample, hash, p, max(p) OVER (PARTITION BY hash) AS mx FROM (
+          SELECT sample, hash, n_reads / sum(n_reads) OVER (PARTITION BY sample) AS p FROM step3b))
+      GROUP BY sample, hash""", ["step3b"]),
     "bpairs": ("""
       SELECT ta.bottle, ta.sample AS a, tb.sample AS b,
              1.0 - 2.0 * coalesce(s.S, 0.0) / (ta.t + tb.t) AS bray
