@@ -293,3 +293,13 @@ def test_prefix_sum_across_arrow_batches(spark):
         assert all(nokey[float(i)] == i for i in range(60))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_per_row_index_sums_run_shares(spark):
+    # sample a: h1 in two runs (4 and 6 reads), h2 10 reads -> total 20
+    rows = [(1, "a", "h1", 4), (2, "a", "h1", 6), (1, "a", "h2", 10), (1, "b", "h1", 5), (1, "b", "h2", 5)]
+    df = spark.createDataFrame(rows, "run int, sample string, hash string, n_reads long")
+    got = {(r["sample"], r["hash"]): r["value"] for r in A.edna_index(df, out="value", per_row=True).collect()}
+    # row shares: a/h1 0.2 and 0.3, a/h2 0.5, b/h1 0.5, b/h2 0.5; maxima h1 0.5, h2 0.5
+    assert got[("a", "h1")] == pytest.approx(0.2 / 0.5 + 0.3 / 0.5)
+    assert got[("a", "h2")] == pytest.approx(1.0) and got[("b", "h1")] == pytest.approx(1.0)
