@@ -48,7 +48,20 @@ def m16p(spark, d):
     return M.predict_class(coef, QS.grid(spark, d), ["temperature", "ph"])
 
 
-@query("entry2_prepare_model_data")
+@query("entry2_prepare_model_data", """
+WITH e AS (SELECT * FROM env WHERE site IS NOT NULL AND date IS NOT NULL AND area IS NOT NULL
+           AND temperature IS NOT NULL AND ph IS NOT NULL AND salinity IS NOT NULL),
+j AS (SELECT e.site, e.date, e.area, e.temperature, e.ph, e.salinity, p.taxon, p.event, p.presence
+      FROM prevalent p JOIN e ON e.site = split_part(p.event, '_', 1)
+       AND e.date = strptime(split_part(p.event, '_', 2) || '01', '%Y%m%d')::DATE),
+s AS (SELECT *,
+        CASE WHEN coalesce(stddev_samp(temperature) OVER w, 0) = 0 THEN temperature
+             ELSE (temperature - avg(temperature) OVER w) / stddev_samp(temperature) OVER w END AS temperature_std,
+        CASE WHEN coalesce(stddev_samp(ph) OVER w, 0) = 0 THEN ph
+             ELSE (ph - avg(ph) OVER w) / stddev_samp(ph) OVER w END AS ph_std
+      FROM j WINDOW w AS (PARTITION BY area))
+SELECT *, CAST(dense_rank() OVER (ORDER BY taxon) AS INTEGER) AS taxon_id,
+       CAST(dense_rank() OVER (ORDER BY event) AS INTEGER) AS event_id FROM s""", ("prevalent", "env"))
 def entry2(spark, d):
     """Second entry point: cleaned reads to the model-ready presence table."""
     from . import q_taxonomy as QT
