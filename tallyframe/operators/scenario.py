@@ -270,13 +270,17 @@ def predict_class(coef: DataFrame, points: DataFrame, point_cols, by: str = "are
         F.max_by(F.col(cls), F.struct(F.col("__s"), -F.col(cls))).alias(cls))
 
 
-def class_prevalence(df: DataFrame, by, cls: str = "cluster", wide: bool = False) -> DataFrame:
-    """Share of rows of each class per group (optionally one column per class)."""
+def class_prevalence(df: DataFrame, by, cls: str = "cluster", wide: bool = False,
+                     classes: list | None = None) -> DataFrame:
+    """Share of rows of each class per group (optionally one column per class;
+    pass ``classes`` to skip the pass that discovers the pivot values)."""
     by = as_list(by)
     g = df.groupBy(*by, cls).agg(F.count(F.lit(1)).alias("n"))
     g = with_group_agg(g, by, __t=F.sum("n")).withColumn("share", F.col("n") / F.col("__t")).drop("__t")
     if wide:
-        return g.groupBy(*by).pivot(cls).agg(F.first("share")).fillna(0.0)
+        p = g.groupBy(*by)
+        p = p.pivot(cls, classes) if classes is not None else p.pivot(cls)
+        return p.agg(F.first("share")).fillna(0.0)
     return g
 
 

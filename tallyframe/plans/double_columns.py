@@ -2,6 +2,7 @@
 Spark schemas); both sides round them the same way before comparison."""
 
 DOUBLE_COLUMNS = {
+    "m18_cluster_prevalence_wide": ['1', '2', '3'],
     "entry2_prepare_model_data": ['temperature', 'ph', 'salinity', 'temperature_std', 'ph_std'],
     "d15_occupancy_fit": ['psi', 'p11', 'p10'],
     "d16_prob_occupancy": ['prob'],

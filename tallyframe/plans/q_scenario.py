@@ -227,9 +227,16 @@ def m18(spark, d):
     return M.class_prevalence(predicted(spark, d), "area", "cluster")
 
 
-@query("m18_cluster_prevalence_wide")
+CLASSES = [1, 2, 3]  # the classes of the cluster coefficient table
+
+
+@query("m18_cluster_prevalence_wide", """
+SELECT area, """ + ", ".join(
+    f"coalesce(max(CASE WHEN cluster = {k} THEN share END), 0.0) AS \"{k}\"" for k in CLASSES) + """
+FROM (SELECT area, cluster, count(*) / sum(count(*)) OVER (PARTITION BY area) AS share
+      FROM predicted GROUP BY area, cluster) GROUP BY area""", ("predicted",))
 def m18w(spark, d):
-    return M.class_prevalence(predicted(spark, d), "area", "cluster", wide=True)
+    return M.class_prevalence(predicted(spark, d), "area", "cluster", wide=True, classes=CLASSES)
 
 
 VIEWS.update({
