@@ -303,3 +303,24 @@ def test_per_row_index_sums_run_shares(spark):
     # row shares: a/h1 0.2 and 0.3, a/h2 0.5, b/h1 0.5, b/h2 0.5; maxima h1 0.5, h2 0.5
     assert got[("a", "h1")] == pytest.approx(0.2 / 0.5 + 0.3 / 0.5)
     assert got[("a", "h2")] == pytest.approx(1.0) and got[("b", "h1")] == pytest.approx(1.0)
+
+
+def test_coverage_report_wide_and_order(spark):
+    import datetime as dt
+    reads = spark.createDataFrame([("AA_199501A.1", "h", 10), ("AA_199501A.2", "h", 20), ("BB_199601A.1", "h", 7)],
+                                  "sample string, hash string, n_reads long")
+    cov = spark.createDataFrame([("AA_1995", "AA", dt.date(1995, 1, 1), "X", 2), ("BB_1996", "BB", dt.date(1996, 1, 1), "X", 1)],
+                                "event string, site string, date date, area string, cases long")
+    # events are the sample ids without their last three characters
+    reads = reads.withColumn("sample", F.regexp_replace("sample", "01A", "A"))
+    w = D.coverage_report(reads, cov, wide=True, site_order=["BB", "AA"]).collect()
+    assert [r["site"] for r in w] == ["BB", "AA"]
+    aa = [r for r in w if r["site"] == "AA"][0]
+    assert aa["Jan'1995"] == "2 (15 +- 7)" and aa["Jan'1996"] == ""
+
+
+def test_lineage_wide_relabel(spark):
+    rows = [("k1", "family", "F1"), ("k1", "genus", "G1"), ("k1", "no rank", "cellular")]
+    df = spark.createDataFrame(rows, "key string, rank string, name string")
+    r = T.lineage_wide(df, ranks=["family", "genus"], relabel={"family": "Family"}).first()
+    assert r["Family"] == "F1" and r["genus"] == "G1"
