@@ -393,16 +393,18 @@ def _below_counts(xs: DataFrame, ys: DataFrame, keys) -> DataFrame:
     return u.where(F.col("__t") == 0)
 
 
-def hodges_lehmann(df: DataFrame, by, group: str, x: str, g1, g2, rounds: int = 6,
-                   fan: int = 64) -> DataFrame:
-    """Hodges-Lehmann shift, the median of all differences x_i - y_j, without
-    forming the pairs.
+def hodges_lehmann(df: DataFrame, by, group: str, x: str, g1, g2, fan: int = 64,
+                   band_rows: int = 50_000, max_rounds: int = 30) -> DataFrame:
+    """Hodges-Lehmann shift, the median of all differences x_i - y_j, exactly and
+    without forming all pairs.
 
     ``count(d) = #{x - y <= d}`` is a sort-based count (each x against the sorted y
-    values), evaluated for ``fan`` candidate values per round; each round narrows the
-    bracket of the middle order statistics by ``fan``. The bracket state is one small
-    row per (test, target) and is checkpointed between rounds. The final value is the
-    smallest difference above the bracket's lower end.
+    values, via range-partitioned prefix sums), evaluated at ``fan`` candidates per
+    round; each round narrows the bracket (lo, hi] of the middle order statistics. When
+    every bracket holds at most ``band_rows`` differences they are listed with a
+    bucketed band join (each x meets only the y values in [x - hi, x - lo)) and the
+    wanted order statistic is read off exactly. The bracket state is one small row per
+    (test, target), checkpointed between rounds.
     """
     by = as_list(by)
     keys = by + ["target"]
@@ -417,31 +419,48 @@ def hodges_lehmann(df: DataFrame, by, group: str, x: str, g1, g2, rounds: int =
     t = s.withColumn("target", F.explode(F.array(F.lit(1), F.lit(2))))
     t = t.withColumn("k", F.when(F.col("target") == 1, F.floor((n + 1) / 2)).otherwise(F.floor(n / 2) + 1))
     span = F.col("xmax") - F.col("ymin") - (F.col("xmin") - F.col("ymax"))
-    state = t.select(*keys, "n2", "k", (F.col("xmin") - F.col("ymax") - 1e-9 * (span + 1)).alias("lo"),
-                     (F.col("xmax") - F.col("ymin")).alias("hi")).checkpoint()
-    for _ in range(rounds):
-        cand = state.withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(fan))))
+    state = t.select(*keys, "n2", "ymin", "k", (F.col("xmin") - F.col("ymax") - 1e-9 * (span + 1)).alias("lo"),
+                     (F.col("xmax") - F.col("ymin")).alias("hi"), F.lit(0).cast("bigint").alias("clo"),
+                     n.cast("bigint").alias("chi")).checkpoint()
+    # a bracket is done when it holds few differences, or when it is so narrow that it
+    # can only hold one (tied) value: the band join below meets each x with the distinct
+    # y values of the band only, so a tied block costs one row per x
+    scale = F.greatest(F.lit(1.0), F.abs(F.col("lo")), F.abs(F.col("hi")))
+    open_ = (F.col("chi") - F.col("clo") > band_rows) & ((F.col("hi") - F.col("lo")) > 1e-9 * scale)
+    for _ in range(max_rounds):
+        if state.where(open_).limit(1).count() == 0:
+            break
+        cand = state.where(open_).withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(fan))))
         cand = cand.withColumn("d", F.when(F.col("m") == fan, F.col("hi"))
                                .otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("m") / fan))
         xs = X.join(cand.select(*keys, "m", "d"), by).withColumn("u", F.col("x") - F.col("d"))
         ys = Yc.join(cand.select(*keys, "m"), by)
         b = _below_counts(xs, ys, keys + ["m"])
         cnt = b.join(cand.select(*keys, "m", "n2"), keys + ["m"]).groupBy(*keys, "m").agg(
-            F.sum(F.col("n2") - F.col("__below")).alias("cnt"))
-        cnt = cnt.join(cand.select(*keys, "m", "d", "k", "lo"), keys + ["m"])
+            F.sum(F.col("n2") - F.col("__below")).cast("bigint").alias("cnt"))
+        cnt = cnt.join(cand.select(*keys, "m", "d", "k"), keys + ["m"])
         hit = cnt.where(F.col("cnt") >= F.col("k")).groupBy(*keys).agg(F.min("m").alias("m"))
-        new = hit.join(cnt.select(*keys, "m", "d"), keys + ["m"]).withColumnRenamed("d", "hi")
-        prev = cnt.select(*keys, (F.col("m") + 1).alias("m"), F.col("d").alias("lo2"))
+        new = hit.join(cnt.select(*keys, "m", F.col("d").alias("hi2"), F.col("cnt").alias("chi2")), keys + ["m"])
+        prev = cnt.select(*keys, (F.col("m") + 1).alias("m"), F.col("d").alias("lo2"), F.col("cnt").alias("clo2"))
         new = new.join(prev, keys + ["m"], "left")
-        state = (state.drop("hi").join(new.select(*keys, "hi", "lo2"), keys)
-                 .withColumn("lo", F.coalesce("lo2", "lo")).drop("lo2").checkpoint())
-    # smallest difference above lo: for each x, the largest y below x - lo
-    xs = X.join(state.select(*keys, "lo"), by).withColumn("u", F.col("x") - F.col("lo"))
-    u = (xs.select(*keys, "x", "u", F.lit(0).alias("__t"), F.lit(None).cast("double").alias("__y"))
-         .unionByName(Yc.join(state.select(*keys), by).select(
-             *keys, F.lit(None).cast("double").alias("x"), F.col("v").alias("u"), F.lit(1).alias("__t"),
-             F.col("v").alias("__y"))))
-    w = Window.partitionBy(*keys).orderBy("u", F.desc("__t")).rowsBetween(Window.unboundedPreceding, -1)
-    u = u.withColumn("__ymax", F.last("__y", ignorenulls=True).over(w)).where(F.col("__t") == 0)
-    kth = u.groupBy(*keys).agg(F.min(F.col("x") - F.col("__ymax")).alias("dk"))
+        state = (state.join(new.select(*keys, "hi2", "chi2", "lo2", "clo2"), keys, "left")
+                 .withColumn("hi2", F.coalesce("hi2", "hi")).withColumn("chi2", F.coalesce("chi2", "chi"))
+                 .withColumn("hi", F.col("hi2")).withColumn("chi", F.col("chi2"))
+                 .withColumn("lo", F.coalesce("lo2", "lo")).withColumn("clo", F.coalesce("clo2", "clo"))
+                 .drop("hi2", "chi2", "lo2", "clo2").checkpoint())
+    # list the differences inside each bracket: y in [x - hi, x - lo), bucketed by width
+    st = state.withColumn("w", F.col("hi") - F.col("lo"))
+    xb = (X.join(st.select(*keys, "lo", "hi", "w", "ymin"), by)
+          .withColumn("b0", F.floor((F.col("x") - F.col("hi") - F.col("ymin")) / F.col("w")))
+          .withColumn("bucket", F.explode(F.array(F.col("b0") - 1, F.col("b0"), F.col("b0") + 1))))
+    yb = (Yc.join(st.select(*keys, "w", "ymin"), by)
+          .withColumn("bucket", F.floor((F.col("v") - F.col("ymin")) / F.col("w"))))
+    band = (xb.join(yb.select(*keys, "bucket", "v", "c"), keys + ["bucket"])
+            .withColumn("diff", F.col("x") - F.col("v"))
+            .where((F.col("diff") > F.col("lo")) & (F.col("diff") <= F.col("hi"))))
+    band = band.groupBy(*keys, "diff").agg(F.sum("c").alias("c"))
+    band = band.join(state.select(*keys, "k", "clo"), keys)
+    w = Window.partitionBy(*keys).orderBy("diff").rowsBetween(Window.unboundedPreceding, 0)
+    band = band.withColumn("cum", F.col("clo") + F.sum("c").over(w))
+    kth = band.where(F.col("cum") >= F.col("k")).groupBy(*keys).agg(F.min("diff").alias("dk"))
     return kth.groupBy(*by).agg(F.avg("dk").alias("hl"))

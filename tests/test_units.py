@@ -324,3 +324,14 @@ def test_lineage_wide_relabel(spark):
     df = spark.createDataFrame(rows, "key string, rank string, name string")
     r = T.lineage_wide(df, ranks=["family", "genus"], relabel={"family": "Family"}).first()
     assert r["Family"] == "F1" and r["genus"] == "G1"
+
+
+@pytest.mark.parametrize("band_rows", [10, 100000])
+def test_hodges_lehmann_exact(spark, band_rows):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(5, 2, 40), 1)
+    y = np.round(rng.normal(4, 2, 37), 1)
+    rows = [("k", "a", float(v)) for v in x] + [("k", "b", float(v)) for v in y]
+    df = spark.createDataFrame(rows, "key string, grp string, v double")
+    got = M.hodges_lehmann(df, "key", "grp", "v", "a", "b", band_rows=band_rows).first()["hl"]
+    assert got == pytest.approx(float(np.median(np.subtract.outer(x, y).ravel())), abs=1e-9)
