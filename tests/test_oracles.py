@@ -13,6 +13,7 @@ NAMES = [
     "t17_translate_filter", "t18_threshold_cascade", "d13_presence_pattern", "d15_occupancy_fit",
     "m3_presence_matrix", "m9_score_taxa", "m11_scenario_params", "m14_range_grid", "m24_rank_sum_test",
     "u5_transform_by_sample", "u7_rank_transform", "u9_permanova", "u20_box_stats",
+    "u15_simper", "u10_constraint_moments", "m25_hodges_lehmann", "s1_read_runs", "entry2_prepare_model_data",
 ]
 
 
