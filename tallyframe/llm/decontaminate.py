@@ -6,7 +6,8 @@ share of the item's words) insertions, deletions or substitutions of words of th
 1. Windows. Windows of an item's size are laid on the document where they can matter: a
    run within d edits of an item of m words shares one of the item's word q-grams with it
    whenever m - q + 1 - q * d > 0 (q is 3, or less for short items, so this always holds).
-   Each shared q-gram lays one window, aligned with the q-gram's place in the item.
+   Each shared q-gram lays one window, aligned with the q-gram's place in the item, if the
+   document has that many of the item's q-grams at all.
 2. CGK embedding. A window's words walk into a string of 3 * m symbols: at step j the
    current word is copied and the pointer moves on or stays by a random bit of (j, word).
    Words at edit distance d end at Hamming distance O(d^2) with constant probability.
@@ -28,6 +29,8 @@ bears an output name is replaced).
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +43,7 @@ EDITS = 0.2
 TABLES, SAMPLES = 32, 2
 #: Most bytes of benchmark text to broadcast.
 MAX_ITEM_BYTES = 256 << 20
+_ITEMS: dict = {}  # a worker embeds the items once
 OUT = {"n_items": T.LongType(), "items": T.ArrayType(T.LongType()), "contaminated": T.BooleanType()}
 
 
@@ -91,10 +95,16 @@ class Items:
         self.table = X.HashTable(max(8, 4 * len(keys)))
         if len(keys):
             self.table.put(keys, np.arange(len(keys), dtype=np.int32))
-        self.keys = [self.lsh_keys(w[None, :], np.array([i])) for i, w in enumerate(self.words) if len(w)]
+        #: q-grams that a run within the edit limit shares with the item at least
+        self.shared = np.maximum(1, self.m - np.array([gram_length(int(x)) if x else 0 for x in self.m]) + 1
+                                 - np.array([gram_length(int(x)) if x else 0 for x in self.m]) * edit_limit(self.m))
         self.key_of = np.zeros((len(self.words), TABLES), np.uint64)
-        for i, k in zip([i for i, w in enumerate(self.words) if len(w)], self.keys):
-            self.key_of[i] = k[0]
+        for c in range(0, len(self.words), 4096):
+            some = np.arange(c, min(c + 4096, len(self.words)))
+            win = np.zeros((len(some), max(1, int(self.m[some].max(initial=0)))), np.uint64)
+            for i in some:
+                win[i - c, :self.m[i]] = self.words[i]
+            self.key_of[some] = self.lsh_keys(win, some)
 
     def lsh_keys(self, win: np.ndarray, item: np.ndarray) -> np.ndarray:
         """One key per window and table: the sampled symbols of its walks. ``win``: windows
@@ -174,9 +184,11 @@ def find(items: Items, texts) -> tuple[np.ndarray, np.ndarray]:
         return none, none
     doc = np.concatenate(docs[1:])
     start, item = np.concatenate(starts), np.concatenate(whose)
-    m = items.m[item]
+    # the lemma again: that many q-grams of the item lie in the document, or it has no such run
+    _, of, count = np.unique(doc * len(items.m) + item, return_inverse=True, return_counts=True)
+    enough = (count >= items.shared[item[np.unique(of, return_index=True)[1]]])[of]
     # one window for each (document, item, start)
-    uniq = np.unique(np.stack([doc, item, start], 1), axis=0)
+    uniq = np.unique(np.stack([doc[enough], item[enough], start[enough]], 1), axis=0)
     found_doc, found_item = [none], [none]
     for c in range(0, len(uniq), 8192):
         doc, item, start = uniq[c:c + 8192].T
@@ -210,12 +222,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         raise ValueError(f"the benchmark has {bytes_} bytes of text; run it in parts of {MAX_ITEM_BYTES} at most")
     rows = b.collect()  # bounded by the check above
     shared = spark.sparkContext.broadcast(([r.id for r in rows], [r.text for r in rows]))
+    token = uuid.uuid4().hex
     kept = [c for c in docs.columns if c not in OUT]
     d = docs.select(*[F.col(f"`{c}`") for c in kept])
     schema = T.StructType([*d.schema.fields, *[T.StructField(k, t) for k, t in OUT.items()]])
 
     def run(batches):
-        items = Items(*shared.value)
+        items = _ITEMS.get(token)
+        if items is None:
+            _ITEMS.clear()
+            items = _ITEMS[token] = Items(*shared.value)
         for batch in batches:
             for part in X.slices(batch, text_col):
                 doc, item = find(items, part.column(part.schema.get_field_index(text_col)))
