@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, mixing, neardup, quality, sharding, token_files
+from . import chat, decontaminate, extract, licenses, lm_scores, mixing, neardup, quality, sharding, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -137,3 +137,13 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return neardup.near_duplicates(docs, shingle=2)
+
+
+@query("op8_extract_content")
+def op8_extract_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op5_gru_score")
+def op5_gru_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
