@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import numpy as np
 
-CLASSES, WIDTH = 64, 64
+CLASSES, WIDTH = 32, 32
 VOCAB = CLASSES * WIDTH
-DIM, HIDDEN = 16, 16
+DIM, HIDDEN = 8, 12
 UNKNOWN, END = 0, 1
-LANES, WINDOW, SCORE_WINDOW = 256, 16, 32
+LANES, WINDOW, SCORE_WINDOW = 512, 16, 64
 RATE = 0.08
 SHAPES = {"emb": (VOCAB, DIM), "wx": (DIM, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,),
           "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "wo": (CLASSES, WIDTH, HIDDEN), "bo": (CLASSES, WIDTH)}
@@ -74,71 +74,86 @@ def lanes(ids: np.ndarray, bounds: np.ndarray, most: int = LANES):
     return given, target, doc, fresh
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
-
-
 def _run(p, given, fresh, h, keep):
-    """Hidden states of a window; with ``keep`` also what the way back needs."""
+    """Hidden states of a window; with ``keep`` also what the way back needs. The reset and
+    update gates come from one tanh: 1 / (1 + exp(-x)) = (1 + tanh(x / 2)) / 2."""
     steps, width = given.shape
     x = p["emb"][given.ravel()]
     xg = (x @ p["wx"] + p["b"]).reshape(steps, width, 3 * HIDDEN)
     out = np.empty((steps, width, HIDDEN), np.float32)
-    saved = []
+    saved, two, half = [], 2 * HIDDEN, np.float32(0.5)
+    resets = fresh.any(axis=1)
+    wh = p["wh"]
     for t in range(steps):
-        h = np.where(fresh[t][:, None], np.float32(0), h)
-        hg = h @ p["wh"]
-        rz = _sigmoid(xg[t, :, :2 * HIDDEN] + hg[:, :2 * HIDDEN])
-        r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
-        n = np.tanh(xg[t, :, 2 * HIDDEN:] + r * hg[:, 2 * HIDDEN:])
+        if resets[t]:
+            h = np.where(fresh[t][:, None], np.float32(0), h)
+        hg = h @ wh
+        rz = xg[t, :, :two] + hg[:, :two]
+        rz *= half
+        np.tanh(rz, out=rz)
+        rz += 1
+        rz *= half
+        hn = hg[:, two:]
+        n = rz[:, :HIDDEN] * hn
+        n += xg[t, :, two:]
+        np.tanh(n, out=n)
         if keep:
-            saved.append((h, r, z, n, hg[:, 2 * HIDDEN:]))
-        h = n + z * (h - n)
-        out[t] = h
+            saved.append((h, rz, n, hn))
+        h = np.subtract(h, n, out=out[t])
+        h *= rz[:, HIDDEN:]
+        h += n
     return out, h, x, saved
 
 
-def _softmax(a):
-    a -= a.max(axis=1, keepdims=True)
+def _exp_sum(a):
+    """exp(a) in place and its row sums. Logits are log frequencies and a bounded sum of
+    states in (-1, 1), far from overflow; should one grow, rows are shifted."""
+    if a.size and a.max() > 60:
+        a -= a.max(axis=1, keepdims=True)
     np.exp(a, out=a)
-    s = a.sum(axis=1, keepdims=True)
-    a /= s
-    return a
+    return a @ np.ones(a.shape[1], np.float32)
 
 
 def _output(p, hs, target, grad):
     """Log probabilities of targets; with ``grad`` also gradients of their negative sum."""
     n = len(target)
-    cls, word = target // WIDTH, target % WIDTH
-    pc = _softmax(hs @ p["wc"] + p["bc"])
-    rows = np.arange(n)
-    logp = np.log(np.maximum(pc[rows, cls], 1e-30))
-    order = np.argsort(cls, kind="stable")
+    # everything in order of class: one slice for each class
+    order = np.argsort((target // WIDTH).astype(np.uint8), kind="stable")
+    hs_o, target_o = hs[order], target[order]
+    cls, word = target_o // WIDTH, target_o % WIDTH
     sizes = np.bincount(cls, minlength=CLASSES)
     ends = np.cumsum(sizes)
-    hs_o, word_o = hs[order], word[order]
-    lw = np.empty(n, np.float32)
-    if grad:
-        g = {"wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
-        dh_o = np.empty_like(hs_o)
+    rows = np.arange(n)
+    pc = hs_o @ p["wc"]
+    pc += p["bc"]
+    total = _exp_sum(pc)
+    logp = np.log(pc[rows, cls] / total)
+    lw = np.empty((n, WIDTH), np.float32)
     for c in np.flatnonzero(sizes):
-        a, b = ends[c] - sizes[c], ends[c]
-        h, w, i = hs_o[a:b], word_o[a:b], np.arange(b - a)
-        q = _softmax(h @ p["wo"][c].T + p["bo"][c])
-        lw[a:b] = np.log(np.maximum(q[i, w], 1e-30))
-        if grad:
-            q[i, w] -= 1
-            g["wo"][c], g["bo"][c] = q.T @ h, q.sum(axis=0)
-            dh_o[a:b] = q @ p["wo"][c]
-    logp[order] += lw
+        np.matmul(hs_o[ends[c] - sizes[c]:ends[c]], p["wo"][c].T, out=lw[ends[c] - sizes[c]:ends[c]])
+    lw += p["bo"][cls]
+    total_w = _exp_sum(lw)
+    logp += np.log(lw[rows, word] / total_w)
+    back = np.empty_like(logp)
+    back[order] = logp
     if not grad:
-        return logp, None, None
+        return back, None, None
+    g = {"wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
+    lw /= total_w[:, None]
+    lw[rows, word] -= 1
+    pc /= total[:, None]
+    pc[rows, cls] -= 1
+    dh_o = pc @ p["wc"].T
+    ones = np.ones(n, np.float32)
+    for c in np.flatnonzero(sizes):
+        a, b = ends[c] - sizes[c], ends[c]
+        q = lw[a:b]
+        g["wo"][c], g["bo"][c] = q.T @ hs_o[a:b], ones[a:b] @ q
+        dh_o[a:b] += q @ p["wo"][c]
     dh = np.empty_like(hs)
     dh[order] = dh_o
-    pc[rows, cls] -= 1
-    g["wc"], g["bc"] = hs.T @ pc, pc.sum(axis=0)
-    dh += pc @ p["wc"].T
-    return logp, dh, g
+    g["wc"], g["bc"] = hs_o.T @ pc, ones @ pc
+    return back, dh, g
 
 
 def log10_probs(p, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -207,18 +222,26 @@ class Trainer:
         dx = np.empty((steps, width, 3 * HIDDEN), np.float32)
         dg = np.empty((steps, width, 3 * HIDDEN), np.float32)
         back = np.zeros((width, HIDDEN), np.float32)
-        wht = p["wh"].T
+        wht, resets = np.ascontiguousarray(p["wh"].T), fresh.any(axis=1)
+        two = 2 * HIDDEN
         for t in range(steps - 1, -1, -1):
-            before, r, z, n, hn = saved[t]
-            d = dh_all[t] + back
-            dn = d * (1 - z) * (1 - n * n)
-            dx[t, :, :HIDDEN] = dn * hn * r * (1 - r)
-            dx[t, :, HIDDEN:2 * HIDDEN] = d * (before - n) * z * (1 - z)
-            dx[t, :, 2 * HIDDEN:] = dn
-            dg[t] = dx[t]
-            dg[t, :, 2 * HIDDEN:] = dn * r
-            back = d * z + dg[t] @ wht
-            back[fresh[t]] = 0
+            before, rz, n, hn = saved[t]
+            r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
+            d = dh_all[t]
+            d += back
+            keep = d * z
+            dn = (d - keep) * (1 - n * n)
+            gates = dx[t, :, :two]
+            np.multiply(dn, hn, out=gates[:, :HIDDEN])
+            np.multiply(d, before - n, out=gates[:, HIDDEN:])
+            gates *= rz - rz * rz
+            dx[t, :, two:] = dn
+            dg[t, :, :two] = gates
+            np.multiply(dn, r, out=dg[t, :, two:])
+            back = dg[t] @ wht
+            back += keep
+            if resets[t]:
+                back[fresh[t]] = 0
         dx, dg = dx.reshape(-1, 3 * HIDDEN), dg.reshape(-1, 3 * HIDDEN)
         prev = np.concatenate([s[0] for s in saved])
         g["wx"], g["wh"], g["b"] = x.T @ dx, prev.T @ dg, dx.sum(axis=0)
