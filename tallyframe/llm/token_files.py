@@ -6,8 +6,9 @@ is a header, blocks, a block index, a document index and a footer, little-endian
     header    8 bytes   magic ``TFS8B1\\0\\0``
     blocks    64-bit words; a block holds up to BLOCK ids (the last one fewer)
     index     per block: byte offset, number of words, number of ids (3 x uint64)
-    documents per document: position of its id, number of tokens (2 x uint64)
-    footer    blocks, documents, ids, byte offset of the index (4 x uint64), magic
+    documents per document: its id, position of its first token, number of tokens (3 x int64)
+    footer    blocks, documents, documents without id (they come first), tokens, byte
+              offset of the index (5 x uint64), magic
 
 A 64-bit word has a selector in its top 4 bits and 60 bits of payload: selector ``k`` packs
 ``COUNT[k]`` values of ``WIDTH[k]`` bits, lowest first. Selector 15 is the escape: the next
@@ -37,6 +38,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,8 +53,6 @@ WIDTH = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60], np.int64)
 ESCAPE = 15
 END_ID = 2
 CACHE_WORDS = 1 << 20
-#: Text bytes a file should hold (a file is read back by one task).
-FILE_BYTES = 32 << 20
 
 
 # ---------------------------------------------------------------- Simple-8b
@@ -130,7 +130,7 @@ class FileWriter:
 
     def __init__(self, sink):
         self.sink, self.at = sink, len(MAGIC)
-        self.index, self.docs, self.rest, self.held, self.ids = [], [], [], 0, 0
+        self.index, self.docs, self.rest, self.held, self.ids, self.nameless = [], [], [], 0, 0, 0
         sink.write(MAGIC)
 
     def _block(self, v: np.ndarray) -> None:
@@ -139,9 +139,11 @@ class FileWriter:
         self.sink.write(words.tobytes())
         self.at += 8 * len(words)
 
-    def add(self, ids: np.ndarray, lens: np.ndarray) -> None:
-        """The ids of consecutive documents."""
-        self.docs.append(np.stack([self.ids + np.cumsum(lens) - lens, lens], 1))
+    def add(self, ids: np.ndarray, lens: np.ndarray, doc_ids: pa.Array) -> None:
+        """The token ids of consecutive documents."""
+        names = pc.fill_null(doc_ids, 0).to_numpy(zero_copy_only=False)
+        self.docs.append(np.stack([names, self.ids + np.cumsum(lens) - lens, lens], 1))
+        self.nameless += doc_ids.null_count
         self.ids += len(ids)
         self.rest.append(ids)
         self.held += len(ids)
@@ -155,27 +157,28 @@ class FileWriter:
     def close(self) -> None:
         if self.held:
             self._block(np.concatenate(self.rest))
-        docs = np.concatenate(self.docs) if self.docs else np.zeros((0, 2))
+        docs = np.concatenate(self.docs) if self.docs else np.zeros((0, 3))
         self.sink.write(np.array(self.index, "<u8").tobytes())
-        self.sink.write(docs.astype("<u8").tobytes())
-        self.sink.write(np.array([len(self.index), len(docs), self.ids, self.at], "<u8").tobytes() + MAGIC)
+        self.sink.write(docs.astype("<i8").tobytes())
+        self.sink.write(np.array([len(self.index), len(docs), self.nameless, self.ids, self.at], "<u8").tobytes() + MAGIC)
 
 
 def read_file(raw: bytes):
-    """(per block: offset, words, ids), (per document: position, tokens) of a file."""
+    """(per block: offset, words, ids), (per document: id, position, tokens), documents
+    without id of a file."""
     if raw[:8] != MAGIC or raw[-8:] != MAGIC:
         raise ValueError("not a token file")
-    blocks, docs, _, at = np.frombuffer(raw[-40:-8], "<u8").astype(np.int64)
+    blocks, docs, nameless, _, at = np.frombuffer(raw[-48:-8], "<u8").astype(np.int64)
     index = np.frombuffer(raw, "<u8", 3 * blocks, at).reshape(-1, 3).astype(np.int64)
-    table = np.frombuffer(raw, "<u8", 2 * docs, at + 24 * blocks).reshape(-1, 2).astype(np.int64)
-    return index, table
+    table = np.frombuffer(raw, "<i8", 3 * docs, at + 24 * blocks).reshape(-1, 3)
+    return index, table, int(nameless)
 
 
 def documents_of(raw: bytes):
     """The ids of each document in turn, decoding one block at a time."""
-    index, table = read_file(raw)
+    index, table, _ = read_file(raw)
     have, base, b = np.zeros(0, np.uint32), 0, 0
-    for pos, n in table.tolist():
+    for _, pos, n in table.tolist():
         while base + len(have) < pos + n:
             o, words, ids = index[b]
             more = decode_block(np.frombuffer(raw, "<u8", words, o), ids).astype(np.uint32)
@@ -301,8 +304,8 @@ def with_end(ids: np.ndarray, per: np.ndarray, end: int) -> tuple[np.ndarray, np
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
                  end: int = END_ID, files: int | None = None) -> DataFrame:
-    """Write the files; returns one row per file: (file_no, file, n_docs, n_ids, ids of its
-    documents stand in the file's own order). ``files``: how many, else by input size."""
+    """Write the files; returns one row per file: (file_no, file, n_docs, n_ids).
+    ``files``: how many, else as many as shuffle partitions."""
     spark = docs.sparkSession
     d = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -311,7 +314,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
     def run(batches):
         from pyspark import TaskContext
         from pyarrow import fs
-        ctx, writer, ids_seen = TaskContext.get(), None, []
+        ctx, writer, n_docs = TaskContext.get(), None, 0
         store, base = fs.FileSystem.from_uri(folder)
         name = f"part-{ctx.partitionId():06d}.s8b"
         temp = f"{base}/.{name}-{ctx.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
@@ -322,21 +325,18 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
                     store.create_dir(base, recursive=True)
                     sink = store.open_output_stream(temp)
                     writer = FileWriter(sink)
-                writer.add(*with_end(*tok.ids(part.column(1)), end))
-                ids_seen.append(part.column(0))
+                writer.add(*with_end(*tok.ids(part.column(1)), end), part.column(0))
+                n_docs += part.num_rows
         if writer is None:
             return
         writer.close()
         sink.close()
         store.move(temp, f"{base}/{name}")
-        doc_ids = pa.chunked_array(ids_seen).combine_chunks()
         yield pa.RecordBatch.from_arrays([
-            pa.array([ctx.partitionId()], pa.int32()), pa.array([name]), pa.array([len(doc_ids)], pa.int64()),
-            pa.array([writer.ids], pa.int64()),
-            pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids)],
-            ["file_no", "file", "n_docs", "n_ids", "doc_ids"])
+            pa.array([ctx.partitionId()], pa.int32()), pa.array([name]), pa.array([n_docs], pa.int64()),
+            pa.array([writer.ids], pa.int64())], ["file_no", "file", "n_docs", "n_ids"])
 
-    return d.mapInArrow(run, "file_no int, file string, n_docs bigint, n_ids bigint, doc_ids array<bigint>")
+    return d.mapInArrow(run, "file_no int, file string, n_docs bigint, n_ids bigint")
 
 
 def read_tokens(spark: SparkSession, folder: str, listing: DataFrame) -> DataFrame:
@@ -346,20 +346,18 @@ def read_tokens(spark: SparkSession, folder: str, listing: DataFrame) -> DataFra
     start = listing.withColumn("before", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.s8b").load(folder) \
         .select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    joined = raw.join(start, "file").select("before", "doc_ids", "content")
+    # the listing has a short row per file, as many as the writer had partitions
+    joined = raw.join(F.broadcast(start.select("file", "before")), "file").select("before", "content")
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                doc_ids = batch.column(1)[i].values
-                lens, crc = [], []
-                for ids in documents_of(batch.column(2)[i].as_py()):
-                    lens.append(len(ids))
-                    crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                lens = np.array(lens, np.int64)
-                first = batch.column(0)[i].as_py() + np.cumsum(lens) - lens
-                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(first), pa.array(lens), pa.array(crc, pa.int64())],
-                                                 ["doc_id", "start", "n_tokens", "ids_crc32"])
+                raw = batch.column(1)[i].as_py()
+                _, table, nameless = read_file(raw)
+                crc = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in documents_of(raw)]
+                names = pa.array(table[:, 0], mask=np.arange(len(table)) < nameless)
+                yield pa.RecordBatch.from_arrays([names, pa.array(batch.column(0)[i].as_py() + table[:, 1]), pa.array(table[:, 2]),
+                                                  pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
     return joined.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
