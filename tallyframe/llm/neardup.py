@@ -10,10 +10,11 @@ register with a probability close to their similarity J.
    copies are never paired.
 2. Bands of ``ROWS`` registers are hashed into buckets. At J = 0.8 a pair shares none of
    the ``BANDS`` buckets with probability 5e-6; at J = 0.2 it shares one with 0.003.
-3. Pairs from buckets: first every member with one member of the bucket (its hub), twice
-   with different hubs; groups that hang together are then known, and only pairs of
-   different groups that still meet in a bucket are listed in full. A group of thousands of
-   near copies so costs a few rows a copy, and no link between different groups is lost.
+3. Pairs from buckets: first every member with the bucket's hub (the member that meets most
+   others), then the members of other groups with a second hub; groups that hang together
+   are then known, and only pairs of different groups that still meet in a bucket are listed,
+   less those that the triangle inequality for distances to the hub excludes. A group of
+   thousands of near copies so costs a few rows a copy, and no link between groups is lost.
 4. For each pair the joint likelihood of the registers (counts of larger, smaller, equal)
    estimates J; pairs more than ``MARGIN`` (6 standard errors) below the limit end here.
    All others are confirmed by counting their whole sets.
@@ -135,8 +136,9 @@ def sketch(docs: DataFrame, text_col: str, n: int, out: dict[str, str], regs: bo
     return docs.mapInArrow(run, schema)
 
 
-def _confirm(pairs: DataFrame, sides: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links."""
+def _measure(pairs: DataFrame, sides: DataFrame, percent: int, every: bool) -> DataFrame:
+    """(a, b, link, dist) of pairs (a, b): dist is the exact Jaccard distance. Unless ``every``
+    is set, pairs whose estimate is far below the limit are left out."""
     a = sides.select(F.col("cls").alias("a"), F.col("regs").alias("ra"), F.col("shingles").alias("sa"))
     b = sides.select(F.col("cls").alias("b"), F.col("regs").alias("rb"), F.col("shingles").alias("sb"))
     both = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "ra", "rb", "sa", "sb")
@@ -148,15 +150,16 @@ def _confirm(pairs: DataFrame, sides: DataFrame, percent: int) -> DataFrame:
                 ra, rb = (np.stack([np.frombuffer(x.as_py(), "<u2") for x in part.column(i)]) for i in (2, 3))
                 sa, sb = ([np.frombuffer(x.as_py(), "<u8") for x in part.column(i)] for i in (4, 5))
                 na, nb = (np.array([len(x) for x in s]) for s in (sa, sb))
-                near = estimate(ra, rb, na, nb) >= percent / 100 - MARGIN
-                keep = []
-                for i in np.flatnonzero(near):
-                    common = len(np.intersect1d(sa[i], sb[i], assume_unique=True))
-                    if 100 * common >= percent * (na[i] + nb[i] - common):
-                        keep.append(i)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())),
-                                                  part.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
-    return both.mapInArrow(run, "a binary, b binary")
+                keep = np.arange(len(na))
+                if not every:
+                    keep = np.flatnonzero(estimate(ra, rb, na, nb) >= percent / 100 - MARGIN)
+                common = np.array([len(np.intersect1d(sa[i], sb[i], assume_unique=True)) for i in keep], np.int64)
+                union = na[keep] + nb[keep] - common
+                rows = pa.array(keep)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(rows), part.column(1).take(rows), pa.array(100 * common >= percent * union),
+                     pa.array(1 - common / np.maximum(union, 1))], ["a", "b", "link", "dist"])
+    return both.mapInArrow(run, "a binary, b binary, link boolean, dist double")
 
 
 def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -173,9 +176,16 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     band = F.expr(f"explode(transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(regs, i * {2 * ROWS} + 1, {2 * ROWS}))))")
     bands = classes.select("cls", "n", band.alias("key"))
     # buckets of one class go at once; the rest is a small table
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("cls").alias("hub"), F.max("cls").alias("hub2")).where("c > 1")
-    members = stored(bands.join(shared, "key"), "members")
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    met = stored(bands.join(shared, "key"), "members")
+    # a bucket's hub: the member that meets most others over all its buckets, as the origin of
+    # a family of copies does
+    degree = met.groupBy("cls").agg(F.sum("c").alias("degree"))
+    met = met.join(degree, "cls")
+    hubs = met.groupBy("key").agg(F.max(F.struct("degree", "cls")).alias("h")).select("key", F.col("h.cls").alias("hub"))
+    members = stored(met.join(hubs, "key").select("key", "cls", "n", "degree", "hub"), "members")
     fits = f"least({{0}}, {{1}}) * 100 >= greatest({{0}}, {{1}}) * {percent}"
+    reach = 1 - percent / 100 + 1e-9
 
     # whole sets of the classes that meet another one, from the texts of their representatives
     wanted = classes.join(members.select("cls").distinct(), "cls").select("rep.id", "rep.th", "cls", "regs")
@@ -188,35 +198,45 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def pair(x, y):
         return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
-    # first hub: every member with the bucket's least class
+    # first hub: every member with its bucket's hub, measured exactly
     first = members.where(F.col("cls") != F.col("hub")).select("cls", "n", F.col("hub").alias("other")).distinct() \
-        .join(sizes, "other").where(fits.format("n", "other_n")).select(*pair(F.col("cls"), F.col("other")))
-    links = stored(_confirm(first, sides, percent), "links")
-    tested = first
+        .join(sizes, "other").where(fits.format("n", "other_n")).select(*pair(F.col("cls"), F.col("other"))).distinct()
+    first = stored(_measure(first, sides, percent, True), "measured")
+    links = first.where("link").select("a", "b")
     root = components(links)
-    # second hub: the greatest class, with the members of other groups
-    labelled = members.join(root, members["cls"] == root["node"], "left").select(
-        "key", "cls", "n", "hub", "hub2", F.coalesce("root", "cls").alias("root"))
+    # how far each member is from its hub. Jaccard distance is a metric: two members whose
+    # distances to one hub differ by more than the limit's distance cannot be linked.
+    far = first.select("a", "b", "dist")
+    far = far.union(far.select(F.col("b"), F.col("a"), F.col("dist"))).toDF("x", "y", "dist")
+    labelled = members.join(far, (members["cls"] == far["x"]) & (members["hub"] == far["y"]), "left") \
+        .join(root, members["cls"] == root["node"], "left") \
+        .select("key", "cls", "n", "degree", "hub", F.coalesce("root", "cls").alias("root"),
+                F.when(F.col("cls") == F.col("hub"), 0.0).otherwise(F.col("dist")).alias("dist"))
     labelled = stored(labelled, "members")
-    hubs = labelled.where(F.col("cls") == F.col("hub2")).select("key", F.col("cls").alias("other"), F.col("n").alias("other_n"),
-                                                                 F.col("root").alias("other_root"))
-    second = labelled.where(F.col("cls") != F.col("hub2")).join(hubs, "key") \
-        .where((F.col("root") != F.col("other_root")) & F.expr(fits.format("n", "other_n"))) \
-        .select(*pair(F.col("cls"), F.col("other"))).distinct().join(tested.distinct(), ["a", "b"], "left_anti")
-    second = stored(second, "pairs")
-    links = stored(links.union(_confirm(second, sides, percent)), "links")
-    tested = tested.union(second)
+    near = F.coalesce(F.abs(F.col("x.dist") - F.col("y.dist")) <= reach, F.lit(True))
+    # second hub: of the members outside the first hub's group, the one that meets most
+    of_hub = labelled.where(F.col("cls") == F.col("hub")).select("key", F.col("root").alias("hub_root"))
+    outside = labelled.join(of_hub, "key").where(F.col("root") != F.col("hub_root"))
+    second_hub = outside.groupBy("key").agg(F.max(F.struct("degree", "cls", "n", "root", "dist")).alias("h")).select("key", "h.*")
+    x, y = labelled.alias("x"), second_hub.alias("y")
+    second = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.cls") != F.col("x.hub"))
+                    & F.expr(fits.format("x.n", "y.n")) & near).select(*pair(F.col("x.cls"), F.col("y.cls"))).distinct()
+    tested = first.select("a", "b")
+    second = stored(second.join(tested, ["a", "b"], "left_anti"), "pairs")
+    more = stored(_measure(second, sides, percent, False).where("link").select("a", "b"), "links")
+    links = links.union(more)
     root = components(links)
     # all pairs of different groups that still meet in a bucket
     again = labelled.drop("root").join(root, labelled["cls"] == root["node"], "left") \
-        .withColumn("root", F.coalesce("root", "cls"))
+        .select("key", "cls", "n", "dist", "hub", F.coalesce("root", "cls").alias("root"))
     open_ = again.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("key")
-    again = stored(again.join(open_, "key").select("key", "cls", "n", "root"), "members")
+    again = stored(again.join(open_, "key").where(F.col("cls") != F.col("hub")), "members")  # hubs are done
     x, y = again.alias("x"), again.alias("y")
     third = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
-                   & F.expr(fits.format("x.n", "y.n"))) \
-        .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(tested.distinct(), ["a", "b"], "left_anti")
-    last = stored(_confirm(third, sides, percent), "links")
+                   & F.expr(fits.format("x.n", "y.n")) & near) \
+        .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct() \
+        .join(tested.union(second), ["a", "b"], "left_anti")
+    last = stored(_measure(third, sides, percent, False).where("link").select("a", "b"), "links")
     if last.limit(1).count():
         root = components(links.union(last))
     groups = classes.select("cls", "low").join(root, classes["cls"] == root["node"], "left") \
