@@ -11,10 +11,11 @@ register with a probability close to their similarity J.
 2. Bands of ``ROWS`` registers are hashed into buckets. At J = 0.8 a pair shares none of
    the ``BANDS`` buckets with probability 5e-6; at J = 0.2 it shares one with 0.003.
 3. Pairs from buckets: first every member with the bucket's hub (the member that meets most
-   others), then the members of other groups with a second hub; groups that hang together
-   are then known, and only pairs of different groups that still meet in a bucket are listed,
-   less those that the triangle inequality for distances to the hub excludes. A group of
-   thousands of near copies so costs a few rows a copy, and no link between groups is lost.
+   others); groups that hang together are then known, and only pairs of different groups are
+   looked at further. Those that meet in a bucket are listed, less those that the triangle
+   inequality for distances to the hub excludes; within a large family of classes around one
+   hub all of them are compared in blocks, and only links leave the tasks. Thousands of near
+   copies so cost a few rows a copy, and no link between groups is lost.
 4. For each pair the joint likelihood of the registers (counts of larger, smaller, equal)
    estimates J; pairs more than ``MARGIN`` (6 standard errors) below the limit end here.
    All others are confirmed by counting their whole sets.
@@ -45,6 +46,8 @@ BASE_B, RATE_A = 1.001, 20.0
 BANDS, ROWS = 40, 6
 REGISTERS = BANDS * ROWS
 MARGIN = 0.2
+#: Families of more classes are compared in blocks of about BLOCK classes.
+FAMILY, BLOCK = 64, 512
 _G = np.random.Generator(np.random.PCG64(10))
 _MUL = _G.integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _G.integers(0, 2**63, REGISTERS, dtype=np.uint64)
@@ -162,6 +165,39 @@ def _measure(pairs: DataFrame, sides: DataFrame, percent: int, every: bool) -> D
     return both.mapInArrow(run, "a binary, b binary, link boolean, dist double")
 
 
+def _family_links(members: DataFrame, sides: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes of one family and different groups. ``members``: cls, n,
+    root, family, blocks. A class goes to one task for each block of its family; a task holds
+    two blocks of about ``BLOCK`` classes whatever the family's size, and emits links only."""
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    m = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    m = m.select("cls", "root", "family", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    m = m.join(sides, "cls").select("cls", "root", "family", "own", "i", "j", "regs", "shingles")
+
+    def links(table: pa.Table) -> pa.Table:
+        cls, regs = table.column("cls").to_pylist(), np.stack([np.frombuffer(x, "<u2") for x in table.column("regs").to_pylist()])
+        sets = [np.frombuffer(x, "<u8") for x in table.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        _, root = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)
+        own = table.column("own").to_numpy()
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        a, b = [], []
+        cols = np.flatnonzero(own == j)
+        for x in np.flatnonzero(own == i):
+            y = cols[(root[cols] != root[x]) & (np.minimum(size[cols], size[x]) * 100 >= np.maximum(size[cols], size[x]) * percent)]
+            if i == j:
+                y = y[y > x]
+            if len(y):
+                y = y[estimate(np.broadcast_to(regs[x], (len(y), REGISTERS)), regs[y], np.full(len(y), size[x]), size[y]) >= percent / 100 - MARGIN]
+            for k in y:
+                common = len(np.intersect1d(sets[x], sets[k], assume_unique=True))
+                if 100 * common >= percent * (size[x] + size[k] - common):
+                    a.append(min(cls[x], cls[k]))
+                    b.append(max(cls[x], cls[k]))
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+    return m.groupBy("family", "i", "j").applyInArrow(links, "a binary, b binary")
+
+
 def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                           percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): rows has id, th (text hash), n and cls of each row of ``docs``;
@@ -214,29 +250,30 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 F.when(F.col("cls") == F.col("hub"), 0.0).otherwise(F.col("dist")).alias("dist"))
     labelled = stored(labelled, "members")
     near = F.coalesce(F.abs(F.col("x.dist") - F.col("y.dist")) <= reach, F.lit(True))
-    # second hub: of the members outside the first hub's group, the one that meets most
-    of_hub = labelled.where(F.col("cls") == F.col("hub")).select("key", F.col("root").alias("hub_root"))
-    outside = labelled.join(of_hub, "key").where(F.col("root") != F.col("hub_root"))
-    second_hub = outside.groupBy("key").agg(F.max(F.struct("degree", "cls", "n", "root", "dist")).alias("h")).select("key", "h.*")
-    x, y = labelled.alias("x"), second_hub.alias("y")
-    second = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.cls") != F.col("x.hub"))
-                    & F.expr(fits.format("x.n", "y.n")) & near).select(*pair(F.col("x.cls"), F.col("y.cls"))).distinct()
-    tested = first.select("a", "b")
-    second = stored(second.join(tested, ["a", "b"], "left_anti"), "pairs")
-    more = stored(_measure(second, sides, percent, False).where("link").select("a", "b"), "links")
-    links = links.union(more)
-    root = components(links)
-    # all pairs of different groups that still meet in a bucket
-    again = labelled.drop("root").join(root, labelled["cls"] == root["node"], "left") \
-        .select("key", "cls", "n", "dist", "hub", F.coalesce("root", "cls").alias("root"))
-    open_ = again.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("key")
-    again = stored(again.join(open_, "key").where(F.col("cls") != F.col("hub")), "members")  # hubs are done
-    x, y = again.alias("x"), again.alias("y")
-    third = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
-                   & F.expr(fits.format("x.n", "y.n")) & near) \
+    # a family: the classes whose best-connected hub is the same. Large families with several
+    # groups left are compared in blocks, each pair of blocks in one task, and only their
+    # links come out; all other pairs that still meet in a bucket are listed.
+    strong = members.select("key", "hub").distinct().join(degree.select(F.col("cls").alias("hub"), "degree"), "hub")
+    lead = labelled.select("key", "cls", "n", "root").join(strong, "key").groupBy("cls").agg(
+        F.max(F.struct("degree", "hub")).alias("h"), F.max("n").alias("n"), F.max("root").alias("root")) \
+        .select("cls", "n", "root", F.col("h.hub").alias("family"))
+    lead = stored(lead, "families")
+    large = lead.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r1"), F.max("root").alias("r2")) \
+        .where((F.col("size") > FAMILY) & (F.col("r1") < F.col("r2"))).select("family", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    within = _family_links(lead.join(large, "family"), sides, percent)
+    both = labelled.join(lead.select("cls", "family"), "cls").join(large.select("family", F.lit(True).alias("large")), "family", "left")
+    open_ = both.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("key")
+    both = stored(both.where(F.col("cls") != F.col("hub")).join(open_, "key")  # hubs are done
+                  .select("key", "cls", "n", "dist", "root", "family", "large"), "members")
+    near = F.coalesce(F.abs(F.col("x.dist") - F.col("y.dist")) <= reach, F.lit(True))
+    x, y = both.alias("x"), both.alias("y")
+    done = F.coalesce(F.col("x.large"), F.lit(False)) & (F.col("x.family") == F.col("y.family"))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
+                  & ~done & F.expr(fits.format("x.n", "y.n")) & near) \
         .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct() \
-        .join(tested.union(second), ["a", "b"], "left_anti")
-    last = stored(_measure(third, sides, percent, False).where("link").select("a", "b"), "links")
+        .join(first.select("a", "b"), ["a", "b"], "left_anti")
+    last = _measure(rest, sides, percent, False).where("link").select("a", "b").union(within)
+    last = stored(last, "links")
     if last.limit(1).count():
         root = components(links.union(last))
     groups = classes.select("cls", "low").join(root, classes["cls"] == root["node"], "left") \
