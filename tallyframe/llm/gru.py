@@ -14,7 +14,7 @@ CLASSES, WIDTH = 32, 32
 VOCAB = CLASSES * WIDTH
 DIM, HIDDEN = 8, 12
 UNKNOWN, END = 0, 1
-LANES, WINDOW, SCORE_WINDOW = 512, 16, 64
+LANES, WINDOW, SCORE_WINDOW = 512, 32, 64
 RATE = 0.08
 SHAPES = {"emb": (VOCAB, DIM), "wx": (DIM, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,),
           "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "wo": (CLASSES, WIDTH, HIDDEN), "bo": (CLASSES, WIDTH)}
