@@ -70,6 +70,8 @@ def prefix_sum(df: DataFrame, keys, order, value: str, out: str = "prefix",
     """
     import pandas as pd
     from pyspark.sql import types as T
+
+    from ..session import ensure_checkpoint_dir
     keys, order = as_list(keys), as_list(order)
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -108,7 +110,10 @@ def prefix_sum(df: DataFrame, keys, order, value: str, out: str = "prefix",
             last_key = tail
             yield pdf
 
-    loc = r.mapInPandas(local, schema)
+    # Two reads follow (totals and rows). The range bounds are sampled anew whenever the plan
+    # runs again, so the numbered rows are written once and both read the same copy.
+    ensure_checkpoint_dir(spark)
+    loc = r.mapInPandas(local, schema).checkpoint()
     tot = loc.groupBy("__pid", *keys).agg(F.sum(value).cast("double").alias("__t"))
     # partitions x keys rows; with no keys this is one row per partition
     w = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -452,7 +452,7 @@ def simper_permutation_p(df: DataFrame, groups: DataFrame, nperm: int = 99, seed
     perm = perm.select(F.col("s").alias(sample), F.col("g").alias(group),
                        F.concat("by", F.lit("#"), F.col("perm").cast("string")).alias("__pby"))
     ps = simper(df, perm, sample, taxon, value, group, "__pby")
-    ps = ps.select(F.substring_index("by", "#", 1).alias("by"), "comparison", "taxon",
+    ps = ps.select(F.regexp_replace("by", "#[0-9]+$", "").alias("by"), "comparison", "taxon",
                    F.col("average").alias("perm_average"))
     j = obs.join(ps, ["by", "comparison", "taxon"], "left")
     return j.groupBy("by", "comparison", "taxon", "average").agg(

@@ -4,6 +4,8 @@ coefficients -- one per model parameter -- come back as a small table."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from .scenario import hash_uniform
 def _design(df: DataFrame, taxon: str, area: str, xs):
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import Interaction, OneHotEncoder, StringIndexer, VectorAssembler
-    d = df.withColumn("__ta", F.concat_ws("||", F.col(taxon), F.col(area)))
+    d = df.withColumn("__ta", F.to_json(F.struct(F.col(taxon).alias("t"), F.col(area).alias("a"))))
     stages = [StringIndexer(inputCols=[taxon, "__ta"], outputCols=["__ti", "__tai"], stringOrderType="alphabetAsc",
                             handleInvalid="skip"),
               OneHotEncoder(inputCols=["__ti", "__tai"], outputCols=["__tv", "__tav"], dropLast=False)]
@@ -47,7 +49,8 @@ def taxon_response_model(df: DataFrame, taxon: str = "taxon", area: str = "area"
     rows = []
     tpos = {t: i for i, t in enumerate(taxa)}
     for j, ta in enumerate(tas):
-        t, a = ta.split("||", 1)
+        pair = json.loads(ta)  # any text in a label survives
+        t, a = pair["t"], pair["a"]
         i = tpos[t]
         slopes = [float(coef[n_ta1 + k * n_t1 + i]) for k in range(len(xs))]
         rows.append((t, a, float(coef[j]), *slopes))

@@ -50,11 +50,12 @@ def presence_pattern(hist: DataFrame, bottles: DataFrame, K: int = 3, by_site: b
 
 
 def pattern_representatives(patterns: DataFrame, hash: str = "hash") -> DataFrame:
-    """One (smallest) hash, with its site, per distinct pattern."""
+    """One (smallest) hash per distinct pattern, with its site where patterns have one."""
     cols = [c for c in patterns.columns if c.startswith("n") and c[1:].isdigit()]
-    b = F.min(F.struct(F.col(hash), F.col("site")))
+    which = [hash, "site"] if "site" in patterns.columns else [hash]
+    b = F.min(F.struct(*which))
     return (patterns.groupBy("pattern", *cols).agg(b.alias("__b"))
-            .select("pattern", *cols, F.col("__b")[hash].alias(hash), F.col("__b.site").alias("site")))
+            .select("pattern", *cols, *[F.col("__b")[c].alias(c) for c in which]))
 
 
 def _grid(g: int, lo: float = 0.0, hi: float = 1.0) -> Column:

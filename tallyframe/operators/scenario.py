@@ -144,8 +144,11 @@ def scenario_params(env: DataFrame, years, area: str = "area", temperature: str
                     ph: str = "ph") -> DataFrame:
     """Per area observed normal fit (population sd) shifted by the linear trend of
     each year; the pH sd also adds the spread of the trend. Years outside the trend
-    window are rejected."""
-    years = [int(y) for y in years if TREND_START <= int(y) <= TREND_END]
+    window are an error."""
+    years = [int(y) for y in years]
+    outside = [y for y in years if not TREND_START <= y <= TREND_END]
+    if outside:
+        raise ValueError(f"years outside the trend window {TREND_START}-{TREND_END}: {outside}")
     fit = env.groupBy(area).agg(F.avg(temperature).alias("t_obs"), F.stddev_pop(temperature).alias("t_sd"),
                                 F.avg(ph).alias("ph_obs"), F.stddev_pop(ph).alias("ph_sd0"))
     fit = fit.withColumn("year", F.explode(F.array(*[F.lit(y) for y in years])))
@@ -319,10 +322,10 @@ def taxon_change(df: DataFrame, taxon: str, area: str, year: str, value: str, y0
 
 
 def select_taxa(df: DataFrame, label: str, patterns) -> DataFrame:
-    """Rows whose label matches any of the patterns (literal substrings)."""
+    """Rows whose label matches any of the patterns (regular expressions)."""
     cond = F.lit(False)
     for p in as_list(patterns):
-        cond = cond | F.col(label).contains(p)
+        cond = cond | F.col(label).rlike(p)
     return df.where(cond)
 
 
@@ -356,7 +359,7 @@ def rank_sum_test(df: DataFrame, by, group: str, x: str, g1, g2) -> DataFrame:
     corr = F.signum(z0) * 0.5
     z = F.try_divide(z0 - corr, sigma)  # all values tied: no spread, no z
     return s.select(*by, "n1", "n2", W.alias("W"), z.alias("z"),
-                    (2 * (1 - pnorm_col(F.abs(z)))).alias("p"))
+                    (2 * pnorm_col(-F.abs(z))).alias("p"))  # the tail itself: 1 - pnorm would cancel to 0
 
 
 def group_median(df: DataFrame, by, x: str, out: str = "median") -> DataFrame:

@@ -17,18 +17,19 @@ def sequential_join(df1: DataFrame, df2: DataFrame, keys, values, confidence: st
     Level 1 may fan out (every df2 row with that key). Later levels use distinct
     (key, values) rows of df2; a key with more than one distinct value combination gets
     ``undetermined`` in every value column. ``confidence`` records the key used; rows
-    never matched are kept with null values. Null keys never match.
+    never matched are kept with null values. Null keys never match. Values come out as
+    strings, since ``undetermined`` may stand among them.
     """
     keys, values = as_list(keys), as_list(values)
     left = df1
     parts = []
     for i, k in enumerate(keys):
-        sub = df2.select(k, *values).where(F.col(k).isNotNull())
+        sub = df2.select(k, *[F.col(v).cast("string").alias(v) for v in values]).where(F.col(k).isNotNull())
         if i > 0:
             sub = sub.distinct()
             n = sub.groupBy(k).agg(F.count(F.lit(1)).alias("_n"))
             sub = sub.join(n, k)
-            sub = sub.select(k, *[F.when(F.col("_n") == 1, F.col(v)).otherwise(F.lit(UNDETERMINED)).alias(v)
+            sub = sub.select(k, *[F.when(F.col("_n") == 1, F.col(v).cast("string")).otherwise(F.lit(UNDETERMINED)).alias(v)
                                   for v in values]).distinct()
         matched = left.join(sub, k).withColumn(confidence, F.lit(k))
         parts.append(matched)

@@ -12,7 +12,7 @@ from .oracle_views import VIEWS
 from .registry import query
 
 AREAS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
-YEARS = [1990, 2017, 2050, 2095, 2100]
+YEARS = [2017, 2050, 2095]
 PH_MIN = 7.4
 
 VIEWS.update({

@@ -33,11 +33,16 @@ def build_session(master: str | None = None, app: str = "tallyframe",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins; a scratch folder is only created when the
-    setting is absent (local tests).
+    A folder that the session already uses stays; else the cluster's setting holds. A scratch
+    folder is only created in local mode (tests), where all tasks share the driver's disk.
     """
+    used = spark.sparkContext._jsc.sc().getCheckpointDir()
     d = spark.conf.get("spark.checkpoint.dir", None)
+    if used.isDefined():
+        return used.get()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="tallyframe-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

@@ -3,8 +3,8 @@
 New key files arriving in ``source_dir`` are read with Structured Streaming; each
 micro-batch is anti-joined with the result table (``new_keys``), looked up in the
 classifier table and appended (``append_results``). The checkpoint folder makes the
-stream restartable after executor or driver loss; results are written as parquet
-appends, so a batch is never applied twice.
+stream restartable after executor or driver loss. A batch that runs again after a failure
+appends nothing twice: its keys are in the result table by then and drop out.
 """
 
 from __future__ import annotations
@@ -18,11 +18,12 @@ def classify_new_keys(spark: SparkSession, source_dir: str, key_schema: str, cla
                       results_dir: str, checkpoint_dir: str, key: str = "hash"):
     """Start (and return) the streaming query; ``trigger(availableNow=True)`` drains
     the files present now and stops."""
-    import os
+    path = spark._jvm.org.apache.hadoop.fs.Path(results_dir)  # any store Spark can reach
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
 
     def batch(df: DataFrame, epoch: int) -> None:
         s = df.sparkSession
-        if os.path.exists(results_dir) and any(f.endswith(".parquet") for f in os.listdir(results_dir)):
+        if store.exists(path) and any(f.getPath().getName().endswith(".parquet") for f in store.listStatus(path)):
             done = s.read.parquet(results_dir).select(key)
         else:
             done = s.createDataFrame([], f"{key} string")
