@@ -22,20 +22,22 @@ def count_char(col, ch: str) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))
 
 
-def normalize_sample_id(col) -> Column:
+def normalize_sample_id(col, year: str = r"\d{4}") -> Column:
     """Apply the five id repairs in order.
 
     (a) two underscores: first ``_B`` -> ``B``; (b) ``Ostrich[123]`` -> ``Ostrich.N``;
     (c) ``Kangaroo.4`` -> ``Kangaroo.3``; (d) two capitals glued to a year get an
     underscore; (e) an 8-digit date after ``_`` keeps its first 6 digits.
+    ``year`` is the pattern of the years that (d) repairs: any by default; the reference's
+    own files need ``"2017"`` only.
     """
     c = _c(col)
     c = F.when(count_char(c, "_") == 2, F.regexp_replace(c, r"^(.*?)_B", "$1B")).otherwise(c)
     c = (F.when(c.rlike("Ostrich[123]"), F.regexp_replace(c, r"^(.*?)Ostrich", "$1Ostrich."))
          .when(c == "Kangaroo.4", F.lit("Kangaroo.3"))
          .otherwise(c))
-    c = F.when(c.rlike(r"[A-Z][A-Z]\d{4}"),
-               F.regexp_replace(c, r"^(.*?[A-Z][A-Z])(\d{4})", "$1_$2")).otherwise(c)
+    c = F.when(c.rlike(f"[A-Z][A-Z](?:{year})"),
+               F.regexp_replace(c, f"^(.*?[A-Z][A-Z])({year})", "$1_$2")).otherwise(c)
     c = F.when(c.rlike(r"_\d{8}"), F.regexp_replace(c, r"^(.*?)_(\d{6})\d{2}", "$1_$2")).otherwise(c)
     return c
 

@@ -24,6 +24,32 @@ from pyspark.sql import functions as F
 from ._util import with_group_agg
 
 PAIR_SCHEMA = "a string, b string, bray double, jaccard double"
+#: Entries (left row, right row of the same feature) that a block task holds at once.
+PAIR_CHUNK = 2_000_000
+
+
+def _shared_sums(li, lv, l_codes, ri, rv, r_codes, shape, n_feats, chunk=PAIR_CHUNK) -> np.ndarray:
+    """S[i, j]: sum over shared features of the smaller value. Left rows are taken in runs of
+    at most ``chunk`` entries (one row at least), so memory does not grow with the features."""
+    order = np.argsort(r_codes, kind="stable")
+    r_codes, ri, rv = r_codes[order], ri[order], rv[order]
+    count = np.bincount(r_codes, minlength=n_feats)
+    start = np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64)
+    reps = count[l_codes]
+    ends = np.cumsum(reps)
+    S = np.zeros(shape[0] * shape[1])
+    lo = 0
+    while lo < len(li):
+        done = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, done + chunk, side="right")))
+        r = reps[lo:hi]
+        total = int(r.sum())
+        if total:
+            pos = np.repeat(start[l_codes[lo:hi]], r) + np.arange(total) - np.repeat(np.cumsum(r) - r, r)
+            S += np.bincount(np.repeat(li[lo:hi], r) * shape[1] + ri[pos],
+                             weights=np.minimum(np.repeat(lv[lo:hi], r), rv[pos]), minlength=len(S))
+        lo = hi
+    return S.reshape(shape)
 
 
 def _pair_block(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -36,29 +62,13 @@ def _pair_block(pdf: pd.DataFrame) -> pd.DataFrame:
     ri = pd.Index(rs).get_indexer(right["s"])
     ltot = np.bincount(li, weights=left["v"].to_numpy(float), minlength=len(ls))
     rtot = np.bincount(ri, weights=right["v"].to_numpy(float), minlength=len(rs))
-    # shared-feature min sums, vectorised over (left entry, right entry) pairs per feature
     lo = left["f"].to_numpy()
     ro = right["f"].to_numpy()
     feats, l_codes = np.unique(lo, return_inverse=True)
     r_codes = pd.Index(feats).get_indexer(ro)
     keep = r_codes >= 0
-    r_codes, r_idx, r_val = r_codes[keep], ri[keep], right["v"].to_numpy(float)[keep]
-    order = np.argsort(r_codes, kind="stable")
-    r_codes, r_idx, r_val = r_codes[order], r_idx[order], r_val[order]
-    r_count = np.bincount(r_codes, minlength=len(feats))
-    r_start = np.concatenate([[0], np.cumsum(r_count)[:-1]])
-    reps = r_count[l_codes]
-    total = int(reps.sum())
-    S = np.zeros(len(ls) * len(rs))
-    if total:
-        li_rep = np.repeat(li, reps)
-        lv_rep = np.repeat(left["v"].to_numpy(float), reps)
-        base = np.repeat(r_start[l_codes], reps)
-        offs = np.arange(total) - np.repeat(np.cumsum(reps) - reps, reps)
-        pos = base + offs
-        S = np.bincount(li_rep * len(rs) + r_idx[pos],
-                        weights=np.minimum(lv_rep, r_val[pos]), minlength=len(ls) * len(rs))
-    S = S.reshape(len(ls), len(rs))
+    S = _shared_sums(li, left["v"].to_numpy(float), l_codes, ri[keep], right["v"].to_numpy(float)[keep],
+                     r_codes[keep], (len(ls), len(rs)), len(feats))
     A = ltot[:, None] + rtot[None, :]
     with np.errstate(divide="ignore", invalid="ignore"):
         bray = np.where(A > 0, 1.0 - 2.0 * S / A, 0.0)
@@ -82,7 +92,8 @@ def dissimilarity(df: DataFrame, sample: str = "sample", feature: str = "hash",
     """U4: Bray-Curtis and quantitative Jaccard for every pair of samples (a < b).
 
     Pairs sharing no feature get 1. ``blocks`` defaults to ceil(samples / block_size);
-    each task holds two blocks of samples, so memory is bounded by the block size.
+    each task holds the rows of two blocks of samples, their pair matrix and ``PAIR_CHUNK``
+    entries of shared features.
     """
     x = df.select(F.col(sample).cast("string").alias("s"), F.col(feature).cast("string").alias("f"),
                   F.col(value).cast("double").alias("v")).where(F.col("v") > 0)
@@ -158,6 +169,8 @@ def _spatial_median_group(pdf: pd.DataFrame) -> pd.DataFrame:
     Xp = V[:, pos] * np.sqrt(w[pos])
     Xn = V[:, neg] * np.sqrt(-w[neg])
     X = np.hstack([Xp, Xn])
+    if not X.shape[1]:  # all members are alike
+        return pd.DataFrame({"g": pdf["g"].iloc[0], "sample": names, "distance": 0.0})
     c = X.mean(axis=0)
     for _ in range(200):
         dist = np.sqrt(((X - c) ** 2).sum(axis=1))

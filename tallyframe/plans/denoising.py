@@ -22,11 +22,16 @@ from ..session import ensure_checkpoint_dir
 
 def run_denoising(reads: DataFrame, low_p: float = 0.075, outlier_p: float = 0.95,
                   extra_remove=(), occupancy: DataFrame | None = None,
-                  occupancy_threshold: float = 0.8, checkpoint: bool = True) -> DataFrame:
+                  occupancy_threshold: float = 0.8, checkpoint: bool = True,
+                  center: str = "median") -> DataFrame:
     """Return the cleaned (run, sample, hash, n_reads) table.
 
+    ``center``: what replicates are measured from, the spatial ``median`` of their bottle
+    (the default of the reference's dispersion test) or its ``centroid``, in closed form.
     ``occupancy`` (hash, max) optionally applies D19 between the two stages.
     """
+    if center not in ("median", "centroid"):
+        raise ValueError(f"center must be median or centroid, not {center!r}")
     spark = reads.sparkSession
     if checkpoint:
         ensure_checkpoint_dir(spark)
@@ -51,7 +56,8 @@ def run_denoising(reads: DataFrame, low_p: float = 0.075, outlier_p: float = 0.9
     if checkpoint:
         norm = norm.checkpoint()  # read three times by the replicate pairs
     pairs = X.within_group_distances(norm, "bottle", "sample", "hash", "value")
-    cent = X.centroid_distance(pairs, norm.select("bottle", "sample"), "bottle")
+    cent = X.median_distance(pairs, "bottle") if center == "median" else \
+        X.centroid_distance(pairs, norm.select("bottle", "sample"), "bottle")
     if checkpoint:
         cent = cent.checkpoint()  # one row per sample; read by the fit and the cut
     disc = D.tail_outliers(cent, outlier_p, singles=singles)

@@ -7,17 +7,17 @@ dependency order.
 from __future__ import annotations
 
 _BASE = """
-  SELECT l.*, s.s_nationkey,
+  SELECT l.* REPLACE (CASE WHEN l.l_suppkey % 10 <> 0 AND l.l_partkey % 50 = 0 AND l.l_orderkey % 20 <> 0
+                           THEN l.l_partkey - 1 ELSE l.l_partkey END AS l_partkey),
+         s.s_nationkey,
          (l.l_suppkey % 10 = 0) AS is_control,
-         CAST(l.l_orderkey % 3 + 1 AS INTEGER) AS k,
+         CAST(CASE WHEN l.l_suppkey % 10 <> 0 AND s.s_nationkey % 11 = 2 THEN 1
+                   WHEN l.l_suppkey % 10 <> 0 AND s.s_nationkey % 7 = 1 AND l.l_orderkey % 3 + 1 = 3 THEN 2
+                   ELSE l.l_orderkey % 3 + 1 END AS INTEGER) AS k,
          lpad(CAST(s.s_nationkey AS VARCHAR), 2, '0') AS site,
          CAST(year(l.l_shipdate) AS VARCHAR) AS yyyy,
          CASE l.l_returnflag WHEN 'A' THEN 'A' WHEN 'N' THEN 'B' ELSE 'C' END AS biol
   FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey
-  WHERE l.l_suppkey % 10 = 0
-     OR NOT ((s.s_nationkey % 7 = 1 AND l.l_orderkey % 3 + 1 = 3)
-          OR (s.s_nationkey % 11 = 2 AND l.l_orderkey % 3 + 1 >= 2)
-          OR (l.l_partkey % 50 = 0 AND l.l_orderkey % 20 <> 0))
 """
 
 _READS = """
@@ -55,12 +55,12 @@ _TAXONOMY = """
 
 _TRAITS = """
   SELECT DISTINCT
-         CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_name END AS species,
-         CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_type END AS genus,
-         p_brand AS family,
+         CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 3 <> 0 THEN p_name || ' var' ELSE p_name END AS species,
+         CASE WHEN p_partkey % 10 = 0 THEN NULL WHEN p_partkey % 3 <> 0 THEN p_type || ' var' ELSE p_type END AS genus,
+         CASE WHEN p_partkey % 3 <> 0 THEN p_brand || ' var' ELSE p_brand END AS family,
          'T' || CAST(p_size % 4 AS VARCHAR) AS trait_a,
          'L' || CAST(p_size % 3 AS VARCHAR) AS trait_b
-  FROM part WHERE p_partkey % 3 = 0
+  FROM part
 """
 
 _ENV = """

@@ -117,5 +117,11 @@ def d26w(spark, d):
 
 @query("d27_run_denoising", "SELECT * FROM step4", ("step4",))
 def d27(spark, d):
+    from .denoising import run_denoising
+    return run_denoising(V.reads(spark, d), center="centroid")
+
+
+@query("d27_denoising_median")
+def d27_median(spark, d):
     from .denoising import run_denoising
     return run_denoising(V.reads(spark, d))

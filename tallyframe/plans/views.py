@@ -21,7 +21,9 @@ def _rep_letter(flag: Column) -> Column:
 
 
 def _base_rows(spark: SparkSession, d: str) -> DataFrame:
-    """lineitem x supplier with the drop rules; keeps helper columns."""
+    """lineitem x supplier, every row; keeps helper columns. Some nations' replicates and
+    some parts are relabelled, so that bottles have one, two or three replicates and some
+    hashes are seen mostly in controls."""
     li = table(spark, d, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_discount", "l_tax", "l_returnflag", "l_shipdate")
@@ -30,12 +32,11 @@ def _base_rows(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("l_orderkey") % 3 + 1
     nat = F.col("s_nationkey")
     control = F.col("l_suppkey") % 10 == 0
-    dropped = (((nat % 7 == 1) & (k == 3))
-               | ((nat % 11 == 2) & (k >= 2))
-               | ((F.col("l_partkey") % 50 == 0) & (F.col("l_orderkey") % 20 != 0)))
-    return (j.where(control | ~dropped)
-            .withColumn("is_control", control)
-            .withColumn("k", k.cast("int"))
+    rare = (F.col("l_partkey") % 50 == 0) & (F.col("l_orderkey") % 20 != 0)
+    return (j.withColumn("is_control", control)
+            .withColumn("k", F.when(~control & (nat % 11 == 2), 1)
+                        .when(~control & (nat % 7 == 1) & (k == 3), 2).otherwise(k).cast("int"))
+            .withColumn("l_partkey", F.when(~control & rare, F.col("l_partkey") - 1).otherwise(F.col("l_partkey")))
             .withColumn("site", F.lpad(nat.cast("string"), 2, "0"))
             .withColumn("yyyy", F.year("l_shipdate").cast("string"))
             .withColumn("biol", _rep_letter(F.col("l_returnflag"))))
@@ -85,13 +86,15 @@ def taxonomy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def traits(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct (species, genus, family, trait_a, trait_b) for p_partkey mod 3 = 0."""
-    p = table(spark, d, "part").where(F.col("p_partkey") % 3 == 0)
+    """Distinct (species, genus, family, trait_a, trait_b) of all parts; the names of two
+    thirds of them are not those of the taxonomy."""
+    p = table(spark, d, "part")
     pk = F.col("p_partkey")
+    other = pk % 3 != 0
     return p.select(
-        F.when(pk % 5 == 0, None).otherwise(F.col("p_name")).alias("species"),
-        F.when(pk % 10 == 0, None).otherwise(F.col("p_type")).alias("genus"),
-        F.col("p_brand").alias("family"),
+        F.when(pk % 5 == 0, None).when(other, F.concat("p_name", F.lit(" var"))).otherwise(F.col("p_name")).alias("species"),
+        F.when(pk % 10 == 0, None).when(other, F.concat("p_type", F.lit(" var"))).otherwise(F.col("p_type")).alias("genus"),
+        F.when(other, F.concat("p_brand", F.lit(" var"))).otherwise(F.col("p_brand")).alias("family"),
         F.concat(F.lit("T"), (F.col("p_size") % 4).cast("string")).alias("trait_a"),
         F.concat(F.lit("L"), (F.col("p_size") % 3).cast("string")).alias("trait_b")).distinct()
 
