@@ -46,7 +46,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
     global _POW, _INV
     if len(_POW) < n:
-        size = max(n, 2 * len(_POW), 4096)
+        size = n + n // 8 + 4096
         one = np.ones(1, np.uint64)
         with np.errstate(over="ignore"):
             _POW = np.cumprod(np.concatenate([one, np.full(size - 1, _BASE)]))
@@ -69,7 +69,7 @@ def doc_bytes(texts) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0]:off[-1]], off - off[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2_000_000):
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 400_000):
     """Cut a record batch into runs of rows with about ``most_bytes`` of text each (one
     row at least), so numpy temporaries stay small whatever the batch holds."""
     n = batch.num_rows
