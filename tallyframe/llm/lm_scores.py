@@ -60,7 +60,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     def run(batches):
         parts, held = [], 0
         for batch in batches:
-            for part in X.slices(batch, "text"):
+            for part in X.slices(batch, "text", 2_000_000):
                 h, _ = word_hashes(part.column(0))
                 u, c = np.unique(h, return_counts=True)
                 parts.append((np.append(u, END_HASH), np.append(c, part.num_rows)))
@@ -112,7 +112,7 @@ def code(docs: DataFrame, common) -> DataFrame:
         row = TaskContext.get().partitionId() << 40
         v = _kept(id(common.value), lambda: Vocabulary(*common.value))
         for batch in batches:
-            for part in X.slices(batch, "text"):
+            for part in X.slices(batch, "text", 2_000_000):
                 h, wo = word_hashes(part.column(2))
                 n = part.num_rows
                 at = v.table.get(np.append(h, END_HASH))
