@@ -1,21 +1,20 @@
-"""Op 7. Benchmark decontamination: edit-distance search through Hamming space.
+"""Op 7. Benchmark decontamination: edit-distance search through shared word q-grams.
 
 A document is contaminated by an item if some run of its words is within ``EDITS`` (a
 share of the item's words) insertions, deletions or substitutions of words of the item.
-
-1. Windows. Windows of an item's size are laid on the document where they can matter: a
-   run within d edits of an item of m words shares one of the item's word q-grams with it
-   whenever m - q + 1 - q * d > 0 (q is 3, or less for short items, so this always holds).
-   Each shared q-gram lays one window, aligned with the q-gram's place in the item, if the
-   document has that many of the item's q-grams at all.
-2. CGK embedding. A window's words walk into a string of 3 * m symbols: at step j the
-   current word is copied and the pointer moves on or stays by a random bit of (j, word).
-   Words at edit distance d end at Hamming distance O(d^2) with constant probability.
-3. Bit-sampling LSH. ``TABLES`` walks, each with ``SAMPLES`` sampled places; a window and
-   an item that agree on all samples of a walk are candidates. With one walk a run at the
-   edit limit agrees with probability 0.15 or more, so ``TABLES`` = 32 reach 0.99.
-4. Verification. The exact least edit distance of the item to any part of the window and
-   its margins decides (dynamic programming over all candidates of a slice at once).
+Every such run is found, whatever the length of the item:
+
+1. Shared q-grams. A run within d edits of an item of m words shares m - q + 1 - q * d of
+   the item's word q-grams with it at least (q is 3, or less for short items, so this is
+   always above 0).
+2. Diagonals. The diagonal of a shared q-gram is its place in the document less its place in
+   the item. Each insertion or deletion moves the diagonal by one, so the q-grams that a run
+   shares lie on d + 1 neighbouring diagonals. A diagonal is kept if that many shared q-grams
+   lie on it and the d next ones; the lowest diagonal of every run is.
+3. Verification. The run lies between d words before the lowest diagonal and d words after
+   its end there. The exact least edit distance of the item to any part of that region
+   decides (dynamic programming over many regions at once); kept diagonals close to each
+   other share one region.
 
 Items are a bounded table (a benchmark): they are broadcast after a check of their size;
 documents are never shuffled, and every word of them is looked at. Words are lower-cased
@@ -40,10 +39,11 @@ from pyspark.sql import types as T
 from . import _text as X
 
 EDITS = 0.2
-TABLES, SAMPLES = 32, 2
 #: Most bytes of benchmark text to broadcast.
 MAX_ITEM_BYTES = 256 << 20
-_ITEMS: dict = {}  # a worker embeds the items once
+#: Cells of a row of the edit tables that are worked on at once.
+CELLS = 1 << 19
+_ITEMS: dict = {}  # a worker indexes the items once
 OUT = {"n_items": T.LongType(), "items": T.ArrayType(T.LongType()), "contaminated": T.BooleanType()}
 
 
@@ -66,17 +66,13 @@ def gram_length(m: int) -> int:
 
 
 class Items:
-    """Embedded benchmark items and the q-grams that lead to them."""
+    """Benchmark items and the q-grams that lead to them."""
 
     def __init__(self, ids: list, texts: list):
         h, wo = words_of(pa.array(texts, pa.string()))
         self.ids = ids
         self.words = [h[a:b] for a, b in zip(wo[:-1], wo[1:])]
         self.m = np.diff(wo)
-        rng = np.random.Generator(np.random.PCG64(7))
-        steps = 3 * int(self.m.max(initial=1))
-        self.step_salt = rng.integers(1, 2**63, (TABLES, steps), dtype=np.uint64)
-        self.picks = rng.random((TABLES, SAMPLES))
         # q-grams of every item: hash -> (item, place), sorted by hash
         g, item, place, size = [], [], [], []
         for i, w in enumerate(self.words):
@@ -98,34 +94,6 @@ class Items:
         #: q-grams that a run within the edit limit shares with the item at least
         self.shared = np.maximum(1, self.m - np.array([gram_length(int(x)) if x else 0 for x in self.m]) + 1
                                  - np.array([gram_length(int(x)) if x else 0 for x in self.m]) * edit_limit(self.m))
-        self.key_of = np.zeros((len(self.words), TABLES), np.uint64)
-        for c in range(0, len(self.words), 4096):
-            some = np.arange(c, min(c + 4096, len(self.words)))
-            win = np.zeros((len(some), max(1, int(self.m[some].max(initial=0)))), np.uint64)
-            for i in some:
-                win[i - c, :self.m[i]] = self.words[i]
-            self.key_of[some] = self.lsh_keys(win, some)
-
-    def lsh_keys(self, win: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """One key per window and table: the sampled symbols of its walks. ``win``: windows
-        of word hashes, padded with zeros beyond the size of the window's item."""
-        n, m = win.shape[0], self.m[item]
-        out = np.zeros((n, TABLES), np.uint64)
-        rows = np.arange(n)
-        for t in range(TABLES):
-            want = np.floor(self.picks[t][None, :] * 2 * m[:, None]).astype(np.int64)  # places of the walk
-            at = np.zeros(n, np.int64)
-            key = np.zeros(n, np.uint64)
-            with np.errstate(over="ignore"):
-                for j in range(int(want.max(initial=-1)) + 1):
-                    sym = np.where(at < m, win[rows, np.minimum(at, win.shape[1] - 1)], np.uint64(0))
-                    for k in range(SAMPLES):
-                        hit = want[:, k] == j
-                        if hit.any():
-                            key[hit] ^= X.mix(sym[hit] + np.uint64(k + 1) * X._BASE)
-                    at += ((sym * (self.step_salt[t, j] | np.uint64(1))) >> np.uint64(63)).astype(np.int64)
-            out[:, t] = key
-        return out
 
 
 def least_edits(items: list[np.ndarray], regions: list[np.ndarray]) -> np.ndarray:
@@ -133,8 +101,13 @@ def least_edits(items: list[np.ndarray], regions: list[np.ndarray]) -> np.ndarra
     n = len(items)
     out = np.zeros(n, np.int64)
     order = np.argsort([len(r) for r in regions])
-    for c in range(0, n, 512):
-        pick = order[c:c + 512]
+    c = 0
+    while c < n:
+        k = 512
+        while k > 1 and k * len(regions[order[min(c + k, n) - 1]]) > CELLS:
+            k //= 2
+        pick = order[c:c + k]
+        c += k
         a, r = [items[i] for i in pick], [regions[i] for i in pick]
         la, lr = np.array([len(x) for x in a]), np.array([len(x) for x in r])
         A, R = np.zeros((len(pick), la.max(initial=0)), np.uint64), np.zeros((len(pick), lr.max(initial=0)), np.uint64)
@@ -182,32 +155,31 @@ def find(items: Items, texts) -> tuple[np.ndarray, np.ndarray]:
         docs.append(docs_here)
     if not starts:
         return none, none
-    doc = np.concatenate(docs[1:])
-    start, item = np.concatenate(starts), np.concatenate(whose)
-    # the lemma again: that many q-grams of the item lie in the document, or it has no such run
-    _, of, count = np.unique(doc * len(items.m) + item, return_inverse=True, return_counts=True)
-    enough = (count >= items.shared[item[np.unique(of, return_index=True)[1]]])[of]
-    # one window for each (document, item, start)
-    uniq = np.unique(np.stack([doc[enough], item[enough], start[enough]], 1), axis=0)
+    doc, diag, item = np.concatenate(docs[1:]), np.concatenate(starts), np.concatenate(whose)
+    # that many q-grams of the item lie in the document, or it has no such run
+    pair, of, count = np.unique(doc * len(items.m) + item, return_inverse=True, return_counts=True)
+    keep = np.flatnonzero((count >= items.shared[pair % len(items.m)])[of])
+    order = keep[np.lexsort((diag[keep], of[keep]))]
+    doc, diag, item, of = doc[order], diag[order], item[order], of[order]
+    # and on d + 1 neighbouring diagonals
+    m, d = items.m[item], edit_limit(items.m[item])
+    step = len(h) + 2 * int(items.m.max()) + 1
+    key = of * step + diag + int(items.m.max())
+    near = np.searchsorted(key, key + d, "right") - np.arange(len(key)) >= items.shared[item]
+    # one region for the kept diagonals of each stretch of m + 2 * d words
+    doc, diag, item, of, m, d = (x[near] for x in (doc, diag, item, of, m, d))
+    stretch = diag // (m + 2 * d)
+    first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (stretch[1:] != stretch[:-1])])[:len(of)])
+    last = np.append(first[1:], len(of))[:len(first)] - 1
+    doc, item, m, d = doc[first], item[first], m[first], d[first]
+    a = np.maximum(diag[first] - d, wo[doc])
+    b = np.minimum(diag[last] + m + d, wo[doc + 1])
     found_doc, found_item = [none], [none]
-    for c in range(0, len(uniq), 8192):
-        doc, item, start = uniq[c:c + 8192].T
-        lo, hi = wo[doc], wo[doc + 1]
-        m = items.m[item]
-        width = int(m.max())
-        idx = start[:, None] + np.arange(width)
-        ok = (idx >= lo[:, None]) & (idx < hi[:, None]) & (np.arange(width) < m[:, None])
-        win = np.where(ok, h[np.clip(idx, 0, len(h) - 1)], np.uint64(0))
-        agree = (items.lsh_keys(win, item) == items.key_of[item]).any(axis=1)
-        pick = np.flatnonzero(agree)
-        if not len(pick):
-            continue
-        d = edit_limit(m[pick])
-        a = np.maximum(start[pick] - d, lo[pick])
-        b = np.minimum(start[pick] + m[pick] + d, hi[pick])
-        edits = least_edits([items.words[i] for i in item[pick]], [h[x:y] for x, y in zip(a, b)])
-        good = pick[edits <= d]
-        found_doc.append(doc[good]), found_item.append(item[good])
+    for c in range(0, len(doc), 8192):
+        pick = slice(c, c + 8192)
+        edits = least_edits([items.words[i] for i in item[pick]], [h[x:y] for x, y in zip(a[pick], b[pick])])
+        good = edits <= d[pick]
+        found_doc.append(doc[pick][good]), found_item.append(item[pick][good])
     pairs = np.unique(np.stack([np.concatenate(found_doc), np.concatenate(found_item)], 1), axis=0)
     return pairs[:, 0], pairs[:, 1]
 

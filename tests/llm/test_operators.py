@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,6 +211,29 @@ def test_decontamination(spark, none):
     assert decontaminate.contamination(d, b.where("false")).where("contaminated").count() == 0
 
 
+def test_decontamination_finds_long_items_at_the_edit_limit():
+    g = np.random.default_rng(11)
+    items, texts, want = [], [], []
+    for m in (60, 100, 160, 200, 400):
+        w = sentence(3000 + m, m).split()
+        items.append(" ".join(w))
+        for kind in ("delete", "insert", "mixed"):
+            for _ in range(8):
+                run, left = list(w), int(0.2 * m)
+                for p in sorted(g.choice(m, left, replace=False), reverse=True):
+                    how = int(g.integers(0, 3)) if kind == "mixed" else ("delete", "insert").index(kind)
+                    run[p:p + 1] = [[], ["new", run[p]], ["zzz"]][how]
+                texts.append(" ".join([sentence(4000 + len(texts), 30), *run, sentence(5000 + len(texts), 30)]))
+                want.append((len(texts) - 1, len(items) - 1))
+    index = decontaminate.Items(list(range(len(items))), items)
+    found = decontaminate.find(index, pa.array(texts, pa.string()))
+    assert list(zip(*(x.tolist() for x in found))) == want
+    # all q-grams are there, but on distant diagonals
+    w = items[0].split()
+    apart = " ".join(" ".join(w[i:i + 3]) + " " + sentence(6000 + i, 30) for i in range(58))
+    assert all(len(x) == 0 for x in decontaminate.find(index, pa.array([apart])))
+
+
 PAGE = """<html><body><header><h1>Site</h1></header><div class="cookie-notice"><p>We use cookies to make this better.</p></div>
 <div id="wrap"><div class="post-content"><h2>T</h2><p>Hello <a href=x>link</a> world, &lt;b&gt; is   nice.</p>
 <div class="sidebar"><p>Side text.</p></div><p>Second <span class="ad">buy!</span> part.<p>Third<br>line
