@@ -137,6 +137,13 @@ def test_language_model(docs, none):
     assert lm_scores.lm_scores(none).count() == 0
 
 
+def test_common_words_have_ids_of_their_own():
+    h = np.append(lm_scores.END_HASH, np.arange(2, 4096, dtype=np.uint64))
+    v = lm_scores.Vocabulary(h, np.arange(len(h), 0, -1))
+    assert v.id.tolist() == [*range(1, 4096), gru.UNKNOWN]
+    assert gru.DIM >= 16 and gru.HIDDEN >= 16
+
+
 def test_recurrent_model_gradient_and_lanes():
     g = np.random.default_rng(0)
     ids, bounds = g.integers(0, gru.VOCAB, 300), np.array([0, 9, 10, 200, 300])
