@@ -140,6 +140,30 @@ def contains_any(df: DataFrame, key: str, text: str, terms: DataFrame, term: str
     return g.join(t, term)
 
 
+def contains_substring(df: DataFrame, key: str, text: str, terms: DataFrame, term: str = "term",
+                       q: int = 6) -> DataFrame:
+    """Which terms occur anywhere in each text, inside longer words too, as the
+    reference's pattern search finds them.
+
+    A term is looked up by one of its character q-grams, the one that the fewest terms
+    hold (a term shorter than ``q`` by itself), joined to the q-grams of the texts;
+    ``contains`` decides. Output (key, term) pairs.
+    """
+    def grams(c, n):
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))),
+                                            lambda i: F.substring(c, i, n)))
+    t = terms.select(F.regexp_replace(F.trim(F.col(term)), r"\s+", " ").alias(term)).where(F.length(term) > 0).distinct()
+    tg = t.select(term, F.explode(grams(F.col(term), F.lit(q))).alias("__g"))
+    held = tg.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
+    t = tg.join(held, "__g").groupBy(term).agg(F.min_by("__g", F.struct("__n", "__g")).alias("__g"))
+    sizes = [r[0] for r in t.select(F.length("__g")).distinct().collect()]  # q rows at most
+    if is_small(t, 200_000):
+        t = F.broadcast(t)
+    g = df.select(key, F.col(text).alias("__x"), F.explode(F.concat(
+        F.array().cast("array<string>"), *[grams(F.col(text), F.lit(n)) for n in sorted(sizes)])).alias("__g"))
+    return g.join(t, "__g").where(F.col("__x").contains(F.col(term))).select(key, term).distinct()
+
+
 def membership_report(df: DataFrame, col: str, dim: DataFrame, dim_col: str | None = None) -> DataFrame:
     """Distinct values of ``col`` present in / absent from ``dim``: (status, n)."""
     vals = df.select(F.col(col).alias("v")).where(F.col("v").isNotNull()).distinct()

@@ -210,6 +210,18 @@ def t10(spark, d):
     return T.contains_any(t, "hash", "txt", terms)
 
 
+@query("t10_contains_substring", r"""
+SELECT DISTINCT t.hash, s.term FROM
+  (SELECT hash, concat_ws(';', kingdom, phylum, family, genus, species) AS txt FROM taxonomy) t
+JOIN (SELECT DISTINCT regexp_replace(trim(species), '\s+', ' ', 'g') AS term FROM traits
+      WHERE species IS NOT NULL AND length(trim(species)) > 0) s
+  ON contains(t.txt, s.term)""", ("taxonomy", "traits"))
+def t10s(spark, d):
+    t = V.taxonomy(spark, d).select("hash", F.concat_ws(";", "kingdom", "phylum", "family", "genus", "species").alias("txt"))
+    terms = V.traits(spark, d).where(F.col("species").isNotNull()).select(F.col("species").alias("term"))
+    return T.contains_substring(t, "hash", "txt", terms)
+
+
 @query("t11_membership_report", """
 SELECT CASE WHEN d.v IS NOT NULL THEN 'present' ELSE 'absent' END AS status, count(*) AS n
 FROM (SELECT DISTINCT genus AS v FROM taxonomy WHERE genus IS NOT NULL) x

@@ -195,6 +195,23 @@ def test_contains_any_word_ngrams(spark):
     assert got == [("k1", "small ring"), ("k2", "x")]
 
 
+def test_contains_substring_inside_words_and_across_separators(spark):
+    df = spark.createDataFrame([("k1", "Animalia;Brand#3;small ring"), ("k2", "tired ring;x"), ("k3", None), ("k4", "")],
+                               "key string, txt string")
+    terms = spark.createDataFrame([("small ring",), ("red ring",), ("x",), ("ring;x",), ("al",), ("no ring",), (" ",), (None,)],
+                                  "term string")
+    got = sorted((r["key"], r["term"]) for r in T.contains_substring(df, "key", "txt", terms).collect())
+    assert got == [("k1", "al"), ("k1", "small ring"), ("k2", "red ring"), ("k2", "ring;x"), ("k2", "x")]
+
+
+def test_contains_substring_query_matches_its_sql(spark):
+    import __spark_entry__ as E
+    from oracle_check import compare, duck
+    d = "/root/testdata/sf0.001"
+    ok, msg = compare(E.queries()["t10_contains_substring"](spark, d), duck(d), E.oracle_sql()["t10_contains_substring"])
+    assert ok, msg
+
+
 def test_sources_roundtrip(spark, tmpdir_path):
     root = os.path.join(tmpdir_path, "runs")
     for run, body in (("Run_1_2017", "sample,Hash,nReads\nA_1.1,h1,5\n"), ("Run_3_2018", "sample,Hash,nReads\nB_1.1,h2,NA\n")):
