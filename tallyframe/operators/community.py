@@ -61,6 +61,66 @@ def permuted_labels(groups: DataFrame, nperm: int, seed: int = 1, sample: str =
     return p.join(orig.select(*w, "_pos", group), w + ["_pos"]).select("perm", *w, sample, group)
 
 
+#: Permutations whose labels stand in one array.
+PERM_BLOCK = 256
+
+
+def _label_arrays(perm: DataFrame, value: Column) -> DataFrame:
+    """(blk, s, v): ``value`` of a sample in up to PERM_BLOCK permutations, in their order."""
+    blk = F.floor((F.col("perm") - 1) / PERM_BLOCK).cast("int")
+    rows = F.array_sort(F.collect_list(F.struct("perm", value.alias("v"))))
+    return perm.groupBy(blk.alias("blk"), "s").agg(F.transform(rows, lambda x: x["v"]).alias("v"))
+
+
+def _pair_labels(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(blk, d2, va, vb): each pair (a, b, d) with the label arrays of its samples, a row
+    for each block of permutations."""
+    la = labels.select("blk", F.col("s").alias("a"), F.col("v").alias("va"))
+    lb = labels.select("blk", F.col("s").alias("b"), F.col("v").alias("vb"))
+    return pairs.join(la, "a").join(lb, ["blk", "b"]).select(
+        "blk", (F.col("d") * F.col("d")).cast("double").alias("d2"), "va", "vb")
+
+
+def _by_block(batches):
+    """(blk, d2, va, vb) of the rows of each block in a batch; va and vb as matrices."""
+    import numpy as np
+    import pyarrow as pa
+    for batch in batches:
+        blk = batch.column(0).to_numpy()
+        for x in np.unique(blk):
+            rows = batch.take(pa.array(np.flatnonzero(blk == x)))
+            n = rows.num_rows
+            yield (int(x), rows.column(1).to_numpy(), rows.column(2).flatten().to_numpy().reshape(n, -1),
+                   rows.column(3).flatten().to_numpy().reshape(n, -1))
+
+
+def _within_sums(batches):
+    import numpy as np
+    import pyarrow as pa
+    sums = {}
+    for blk, d2, va, vb in _by_block(batches):
+        same = va == vb
+        for g in np.unique(va):
+            s = d2 @ (same & (va == g))
+            sums[blk, int(g)] = sums.get((blk, int(g)), 0.0) + s
+    for (blk, g), s in sums.items():
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(blk * PERM_BLOCK + 1 + np.arange(len(s)), pa.int32()), pa.array([g] * len(s), pa.int64()), pa.array(s)],
+            ["perm", "code", "ss"])
+
+
+def _ss_within_permuted(pairs: DataFrame, lab: DataFrame, nperm: int, seed: int) -> DataFrame:
+    """``_ss_within`` of every permutation of ``lab``: (perm, ss_within). The labels of a
+    sample stand in arrays, so a pair has a row for PERM_BLOCK permutations; group sizes
+    do not change by permuting."""
+    code = F.xxhash64("g")
+    arrays = _label_arrays(permuted_labels(lab, nperm, seed), code)
+    sums = _pair_labels(pairs, arrays).mapInArrow(_within_sums, "perm int, code bigint, ss double")
+    size = lab.groupBy(code.alias("code")).agg(F.count(F.lit(1)).alias("n_g"))
+    s = sums.groupBy("perm", "code").agg(F.sum("ss").alias("ss")).join(size, "code")
+    return s.groupBy("perm").agg(F.sum(F.col("ss") / F.col("n_g")).alias("ss_within"))
+
+
 def permanova_test(pairs: DataFrame, groups: DataFrame, nperm: int = 199, seed: int = 1,
                    sample: str = "sample", group: str = "group", a: str = "sample1",
                    b: str = "sample2", d: str = "bray") -> DataFrame:
@@ -68,8 +128,7 @@ def permanova_test(pairs: DataFrame, groups: DataFrame, nperm: int = 199, seed:
     obs = permanova(pairs, groups, sample, group, a, b, d)
     lab = groups.select(F.col(sample).alias("s"), F.col(group).alias("g")).distinct()
     pr = pairs.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(d).alias("d"))
-    perm = permuted_labels(lab, nperm, seed)
-    ssw = _ss_within(pr, perm, ["perm"], "d")
+    ssw = _ss_within_permuted(pr, lab, nperm, seed)
     o = obs.select("n", "n_groups", "ss_total", F.col("F").alias("F_obs"), "R2")
     f = ((F.col("ss_total") - F.col("ss_within")) / (F.col("n_groups") - 1)) / \
         (F.col("ss_within") / (F.col("n") - F.col("n_groups")))
@@ -313,8 +372,8 @@ def ordination_test(pairs: DataFrame, env: DataFrame, terms, nperm: int = 199, s
 
     F = (constrained / p) / ((total - constrained) / (n - p - 1)) with
     constrained = trace(C^-1 M). Permuting the constraint rows leaves C unchanged, so
-    each permutation only needs sum over pairs of -d^2 * z_i' C^-1 z_j, one aggregate
-    per permutation id over the pair table.
+    each permutation only needs sum over pairs of -d^2 * z_i' C^-1 z_j; the constraints of
+    many permutations stand in one array of a sample, so one pass over the pairs adds all.
     """
     import numpy as np
     from .scenario import standardize_by
@@ -332,14 +391,21 @@ def ordination_test(pairs: DataFrame, env: DataFrame, terms, nperm: int = 199, s
     obs = float(np.trace(Ci @ M))
     f_obs = (obs / p) / ((total - obs) / (n - p - 1))
     z = standardize_by(env.select(F.col(sample).alias("s"), *terms).na.drop(), terms, suffix="")
-    lab = z.select("s", F.struct(*terms).alias("g"))
-    perm = permuted_labels(lab, nperm, seed)  # (perm, s, g): g = another sample's z
-    pr = pairs.select(F.col(a).alias("s1"), F.col(b).alias("s2"), F.col(d).alias("d"))
-    pa = perm.select("perm", F.col("s").alias("s1"), F.col("g").alias("g1"))
-    pb = perm.select("perm", F.col("s").alias("s2"), F.col("g").alias("g2"))
-    j = pr.join(pa, "s1").join(pb, ["perm", "s2"])
-    q = sum(F.col("g1")[ta] * F.col("g2")[tb] * float(Ci[idx[ta], idx[tb]]) for ta in terms for tb in terms)
-    con = j.groupBy("perm").agg(F.sum(-F.col("d") * F.col("d") * q).alias("con"))
+    lab = z.select("s", F.array(*terms).alias("g"))
+    # a sample's array: the constraints of the first permutation, of the second, ...
+    arrays = _label_arrays(permuted_labels(lab, nperm, seed), F.col("g")).withColumn("v", F.flatten("v"))
+    pr = pairs.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(d).alias("d"))
+
+    def sums(batches):
+        import pyarrow as pa
+        con = {}
+        for blk, d2, va, vb in _by_block(batches):
+            za, zb = va.reshape(len(d2), -1, p), vb.reshape(len(d2), -1, p)
+            con[blk] = con.get(blk, 0.0) - d2 @ ((za @ Ci) * zb).sum(axis=2)
+        for blk, s in con.items():
+            yield pa.RecordBatch.from_arrays([pa.array(blk * PERM_BLOCK + 1 + np.arange(len(s)), pa.int32()), pa.array(s)],
+                                             ["perm", "con"])
+    con = _pair_labels(pr, arrays).mapInArrow(sums, "perm int, con double").groupBy("perm").agg(F.sum("con").alias("con"))
     fp = (F.col("con") / p) / ((F.lit(total) - F.col("con")) / (n - p - 1))
     res = con.agg(((F.count_if(fp >= f_obs - 1e-12) + 1) / (nperm + 1)).alias("p"), F.count(F.lit(1)).alias("nperm"))
     return res.select(F.lit(f_obs).alias("F"), F.lit(obs).alias("constrained"), F.lit(total).alias("total"), "p", "nperm")

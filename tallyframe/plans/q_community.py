@@ -73,14 +73,14 @@ def u9(spark, d):
 
 @query("u9_permanova_p")
 def u9p(spark, d):
-    return U.permanova_test(event_pairs(spark, d), event_groups(spark, d), nperm=99, seed=5,
+    return U.permanova_test(event_pairs(spark, d), event_groups(spark, d), nperm=9999, seed=5,
                             a="event1", b="event2")
 
 
 @query("u12_kmeans_clusters")
 def u12(spark, d):
     emb = V.table(spark, d, "embeddings")
-    out, _ = U.kmeans_clusters(emb, "embedding", k=10, restarts=3, seed=1)
+    out, _ = U.kmeans_clusters(emb, "embedding", k=10, restarts=15, seed=1)
     return out.select("vec_id", "label", "cluster")
 
 
@@ -336,7 +336,7 @@ def u10b(spark, d):
 
 @query("u11_ordination_test")
 def u11(spark, d):
-    return U.ordination_test(event_pairs(spark, d), event_env(spark, d), ORD_TERMS, nperm=99, seed=2,
+    return U.ordination_test(event_pairs(spark, d), event_env(spark, d), ORD_TERMS, nperm=999, seed=2,
                              a="event1", b="event2")
 
 
@@ -389,7 +389,7 @@ def u15(spark, d):
 
 @query("u16_simper_permutation_p")
 def u16(spark, d):
-    return U.simper_permutation_p(event_table(spark, d), event_clusters(spark, d), nperm=19, seed=4,
+    return U.simper_permutation_p(event_table(spark, d), event_clusters(spark, d), nperm=999, seed=4,
                                   sample="event", taxon="taxon", value="edna_index", group="cluster", by="area")
 
 

@@ -77,4 +77,4 @@ def entry3(spark, d):
     from .analysis import project_scenarios
     groups = V.taxonomy(spark, d).select(F.col("hash").alias("taxon"), "phylum")
     return project_scenarios(QS.env_valid(spark, d), V.coef(spark, d), groups, QS.YEARS,
-                             n_draws=50, seed=9, presence_draws=20)
+                             n_draws=1000, seed=9, presence_draws=100)

@@ -175,6 +175,36 @@ def test_permanova_sums_and_brute_force(spark):
     assert 0 < p["p"] <= 1 and p["nperm"] == 49
 
 
+def test_permutation_sums_of_many_permutations_match_single_rows(spark):
+    rng = np.random.default_rng(4)
+    names = [f"s{i}" for i in range(9)]
+    rows = [(a, b, float(rng.uniform(0.1, 1))) for i, a in enumerate(names) for b in names[i + 1:]]
+    pairs = spark.createDataFrame(rows, "a string, b string, d double")
+    lab = spark.createDataFrame([(x, "xyz"[i % 3] if i else "x") for i, x in enumerate(names)], "s string, g string")
+    got = {r["perm"]: r["ss_within"] for r in U._ss_within_permuted(pairs, lab, 300, 3).collect()}
+    perm = {}
+    for r in U.permuted_labels(lab, 300, 3).collect():
+        perm.setdefault(r["perm"], {})[r["s"]] = r["g"]
+    assert sorted(got) == sorted(perm) == list(range(1, 301))
+    for k, g in perm.items():
+        n = list(g.values())
+        assert got[k] == pytest.approx(sum(d * d / n.count(g[a]) for a, b, d in rows if g[a] == g[b]))
+
+
+def test_registered_permutations_are_the_references(spark):
+    from unittest import mock
+    from tallyframe.plans import q_community as Q
+    with mock.patch.multiple(Q.U, permanova_test=mock.DEFAULT, ordination_test=mock.DEFAULT, simper_permutation_p=mock.DEFAULT,
+                             kmeans_clusters=mock.MagicMock(return_value=(mock.MagicMock(), 0.0))) as m, \
+            mock.patch.multiple(Q, event_pairs=mock.DEFAULT, event_groups=mock.DEFAULT, event_env=mock.DEFAULT,
+                                event_table=mock.DEFAULT, event_clusters=mock.DEFAULT), mock.patch.object(Q.V, "table"):
+        Q.u9p(None, ""), Q.u11(None, ""), Q.u16(None, ""), Q.u12(None, "")
+        assert m["permanova_test"].call_args.kwargs["nperm"] == 9999
+        assert m["ordination_test"].call_args.kwargs["nperm"] == 999
+        assert m["simper_permutation_p"].call_args.kwargs["nperm"] == 999
+        assert Q.U.kmeans_clusters.call_args.kwargs["restarts"] == 15
+
+
 def test_rank_sum_against_direct_formula(spark):
     x = [1.0, 2.0, 2.0, 5.0, 7.0]
     y = [2.0, 3.0, 4.0, 8.0, 9.0, 9.0]
