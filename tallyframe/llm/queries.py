@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, extract, licenses, lm_scores, mixing, neardup, quality, sharding, token_files
+from . import chat, decontaminate, extract, lexical, licenses, lm_scores, mixing, neardup, quality, sharding, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -147,3 +147,30 @@ def op8_extract_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_gru_score")
 def op5_gru_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores.lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP11_SQL = r"""
+with words as (
+  select row_number() over () as r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+d as (select r, doc_id, ts, len(ts)::bigint as n from words where len(ts) > 0),
+c as (select count(*)::bigint as all_docs, sum(n)::bigint as all_words from d),
+tf as (select r, t, count(*)::bigint as tf from (select r, unnest(ts) as t from d) group by 1, 2),
+w as (select t, floor(1000 * ln((2 * all_docs + 2)::double / (2 * count(*) + 1)))::bigint as w from tf, c group by t, all_docs),
+q as (select i, item_id, t, count(*)::bigint as times from (
+        select row_number() over () as i, item_id,
+               unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark) group by 1, 2, 3),
+s as (select i, item_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * all_docs) // all_words))))::bigint as score
+      from q join tf using (t) join w using (t) join d using (r), c group by 1, 2, 3),
+k as (select item_id, row_number() over (partition by i order by score desc, doc_id nulls last) as rank, doc_id, score
+      from s join d using (r) where score > 0)
+select item_id, rank::int as rank, doc_id, score from k where rank <= 10
+"""
+
+
+@query("op11_ranked_search", OP11_SQL)
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                 table(spark, sf_dir, "benchmark").select("item_id", "text"))
