@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, extract, lexical, licenses, lm_scores, mixing, neardup, quality, repair, sharding, token_files
+from . import chat, decontaminate, extract, lexical, licenses, lm_scores, mixing, nearest, neardup, quality, repair, sharding, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -180,3 +180,8 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return repair.repair_report(conv, repair.damaged(conv))
+
+
+@query("op12_nearest_neighbours")
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 100 == 0)
