@@ -48,74 +48,93 @@ def permanova(pairs: DataFrame, groups: DataFrame, sample: str = "sample", group
 def permuted_labels(groups: DataFrame, nperm: int, seed: int = 1, sample: str = "s",
                     group: str = "g", within: str | None = None) -> DataFrame:
     """Seeded permutations of group labels: (perm, [within,] s, g). Position i in the
-    hash order of permutation k takes the label of position i in sample order;
-    ``within`` restricts the shuffling to strata. One row per sample and permutation."""
+    order of permutation k (by md5 of ``sample|k|seed``, the same in every engine) takes the
+    label of position i in sample order; ``within`` restricts the shuffling to strata. One
+    row per sample and permutation."""
     w = [within] if within else []
     lab = groups.select(*w, sample, group)
     # sample-order position 1..n per stratum from a range-partitioned prefix count
     orig = prefix_sum(lab.withColumn("_one", F.lit(1)), w, [sample], "_one", "_p")
     orig = orig.withColumn("_pos", (F.col("_p") + 1).cast("int")).drop("_one", "_p")
     p = lab.select(*w, sample).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(nperm))))
-    p = p.withColumn("_pos", F.row_number().over(
-        Window.partitionBy("perm", *w).orderBy(F.xxhash64(F.col(sample), F.col("perm"), F.lit(seed)), sample)))
+    mark = F.md5(F.concat_ws("|", F.col(sample).cast("string"), F.col("perm").cast("string"), F.lit(str(seed))).cast("binary"))
+    p = p.withColumn("_pos", F.row_number().over(Window.partitionBy("perm", *w).orderBy(mark, sample)))
     return p.join(orig.select(*w, "_pos", group), w + ["_pos"]).select("perm", *w, sample, group)
 
 
-#: Permutations whose labels stand in one array.
-PERM_BLOCK = 256
+#: Permutations whose labels stand in one array, and samples of a block.
+PERM_BLOCK, SAMPLE_BLOCK = 4096, 256
 
 
-def _label_arrays(perm: DataFrame, value: Column) -> DataFrame:
-    """(blk, s, v): ``value`` of a sample in up to PERM_BLOCK permutations, in their order."""
-    blk = F.floor((F.col("perm") - 1) / PERM_BLOCK).cast("int")
+def _label_arrays(perm: DataFrame, value: Column, *within: str) -> DataFrame:
+    """([within,] chunk, s, v): ``value`` of a sample in up to PERM_BLOCK permutations, in their order."""
+    chunk = F.floor((F.col("perm") - 1) / PERM_BLOCK).cast("int")
     rows = F.array_sort(F.collect_list(F.struct("perm", value.alias("v"))))
-    return perm.groupBy(blk.alias("blk"), "s").agg(F.transform(rows, lambda x: x["v"]).alias("v"))
+    return perm.groupBy(*within, chunk.alias("chunk"), "s").agg(F.transform(rows, lambda x: x["v"]).alias("v"))
 
 
-def _pair_labels(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(blk, d2, va, vb): each pair (a, b, d) with the label arrays of its samples, a row
-    for each block of permutations."""
-    la = labels.select("blk", F.col("s").alias("a"), F.col("v").alias("va"))
-    lb = labels.select("blk", F.col("s").alias("b"), F.col("v").alias("vb"))
-    return pairs.join(la, "a").join(lb, ["blk", "b"]).select(
-        "blk", (F.col("d") * F.col("d")).cast("double").alias("d2"), "va", "vb")
+def _block_of(s: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(s), F.lit(blocks)).cast("int")
 
 
-def _by_block(batches):
-    """(blk, d2, va, vb) of the rows of each block in a batch; va and vb as matrices."""
-    import numpy as np
-    import pyarrow as pa
-    for batch in batches:
-        blk = batch.column(0).to_numpy()
-        for x in np.unique(blk):
-            rows = batch.take(pa.array(np.flatnonzero(blk == x)))
-            n = rows.num_rows
-            yield (int(x), rows.column(1).to_numpy(), rows.column(2).flatten().to_numpy().reshape(n, -1),
-                   rows.column(3).flatten().to_numpy().reshape(n, -1))
+def _to_block_pairs(df: DataFrame, s: str, blocks: int) -> DataFrame:
+    """Rows of samples, once for every pair of blocks (bi <= bj) that the sample's block is in."""
+    d = df.withColumn("_b", _block_of(F.col(s), blocks)).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return d.withColumn("bi", F.least("_b", "_o")).withColumn("bj", F.greatest("_b", "_o")).drop("_b", "_o")
+
 
+def _chunks(nperm: int) -> Column:
+    """One row for every PERM_BLOCK permutations."""
+    return F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-nperm // PERM_BLOCK) - 1)))).alias("chunk")
 
-def _within_sums(batches):
+
+def _with_labels(pairs: DataFrame, labels: DataFrame, n: int, nperm: int, run, schema: str) -> DataFrame:
+    """``run(distances, labels)`` for every pair of blocks of samples and chunk of permutations:
+    squared distances as a matrix between the samples of both blocks (each pair once), labels as
+    the list array of those samples. A pair row never carries labels: those of a sample go to the
+    tasks of its block, once for each other block."""
+    import math
+    blocks = max(1, math.ceil(n / SAMPLE_BLOCK))
+    d = pairs.select(F.col("a"), F.col("b"), (F.col("d") * F.col("d")).cast("double").alias("d2"))
+    x, y = _block_of(F.col("a"), blocks), _block_of(F.col("b"), blocks)
+    d = d.withColumn("bi", F.least(x, y)).withColumn("bj", F.greatest(x, y)).select("*", _chunks(nperm))
+    lab = _to_block_pairs(labels, "s", blocks)
+    keys = ["bi", "bj", "chunk"]
+
+    def task(left, right):
+        import numpy as np
+        import pandas as pd
+        names = pd.Index(right.column("s").to_pylist())
+        i, j = names.get_indexer(left.column("a").to_pylist()), names.get_indexer(left.column("b").to_pylist())
+        known = (i >= 0) & (j >= 0)
+        m = np.zeros((len(names), len(names)))
+        m[i[known], j[known]] = left.column("d2").to_numpy()[known]
+        first = right.column("chunk")[0].as_py() * PERM_BLOCK + 1 if len(names) else 1
+        return run(m, right.column("v").combine_chunks(), first)
+    return d.groupBy(*keys).cogroup(lab.groupBy(*keys)).applyInArrow(task, schema)
+
+
+def _within_sums(m, labels, first):
+    """Sums of squared distances within each group, for every permutation of the labels."""
     import numpy as np
     import pyarrow as pa
-    sums = {}
-    for blk, d2, va, vb in _by_block(batches):
-        same = va == vb
-        for g in np.unique(va):
-            s = d2 @ (same & (va == g))
-            sums[blk, int(g)] = sums.get((blk, int(g)), 0.0) + s
-    for (blk, g), s in sums.items():
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(blk * PERM_BLOCK + 1 + np.arange(len(s)), pa.int32()), pa.array([g] * len(s), pa.int64()), pa.array(s)],
-            ["perm", "code", "ss"])
+    if not len(labels) or not m.any():
+        return pa.table({"perm": pa.array([], pa.int32()), "code": pa.array([], pa.int64()), "ss": pa.array([], pa.float64())})
+    v = labels.flatten().to_numpy().reshape(len(labels), -1)
+    perm, code, ss = [], [], []
+    for g in np.unique(v):
+        own = (v == g).astype(np.float64)
+        s = ((m @ own) * own).sum(axis=0)
+        perm.append(first + np.arange(len(s))), code.append(np.full(len(s), g)), ss.append(s)
+    return pa.table({"perm": pa.array(np.concatenate(perm).astype(np.int32)), "code": pa.array(np.concatenate(code)), "ss": pa.array(np.concatenate(ss))})
 
 
 def _ss_within_permuted(pairs: DataFrame, lab: DataFrame, nperm: int, seed: int) -> DataFrame:
-    """``_ss_within`` of every permutation of ``lab``: (perm, ss_within). The labels of a
-    sample stand in arrays, so a pair has a row for PERM_BLOCK permutations; group sizes
-    do not change by permuting."""
+    """``_ss_within`` of every permutation of ``lab``: (perm, ss_within). Group sizes do not
+    change by permuting."""
     code = F.xxhash64("g")
     arrays = _label_arrays(permuted_labels(lab, nperm, seed), code)
-    sums = _pair_labels(pairs, arrays).mapInArrow(_within_sums, "perm int, code bigint, ss double")
+    sums = _with_labels(pairs, arrays, lab.count(), nperm, _within_sums, "perm int, code bigint, ss double")
     size = lab.groupBy(code.alias("code")).agg(F.count(F.lit(1)).alias("n_g"))
     s = sums.groupBy("perm", "code").agg(F.sum("ss").alias("ss")).join(size, "code")
     return s.groupBy("perm").agg(F.sum(F.col("ss") / F.col("n_g")).alias("ss_within"))
@@ -232,7 +251,10 @@ def top_k_signed(df: DataFrame, by, value: str, positive: Column, k: int = 5, ti
     """Top ``k`` rows by ``value`` per group and direction, with the value signed
     by direction (a top-k report: the limit is the feature)."""
     d = df.withColumn("direction", positive)
-    w = Window.partitionBy(*as_list(by), "direction").orderBy(F.desc(value), *as_list(tie))
+    order = F.col(value)
+    if d.schema[value].dataType.simpleString() in ("double", "float"):
+        order = F.round(order * 1e12)  # equal values may differ in their last bits
+    w = Window.partitionBy(*as_list(by), "direction").orderBy(F.desc(order), *as_list(tie))
     r = d.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k).drop("__rn")
     return r.withColumn("signed", F.when(F.col("direction"), F.col(value)).otherwise(-F.col(value)))
 
@@ -372,8 +394,8 @@ def ordination_test(pairs: DataFrame, env: DataFrame, terms, nperm: int = 199, s
 
     F = (constrained / p) / ((total - constrained) / (n - p - 1)) with
     constrained = trace(C^-1 M). Permuting the constraint rows leaves C unchanged, so
-    each permutation only needs sum over pairs of -d^2 * z_i' C^-1 z_j; the constraints of
-    many permutations stand in one array of a sample, so one pass over the pairs adds all.
+    each permutation only needs sum over pairs of -d^2 * z_i' C^-1 z_j: a product of a block
+    of distances with the permuted constraints of its samples.
     """
     import numpy as np
     from .scenario import standardize_by
@@ -396,16 +418,12 @@ def ordination_test(pairs: DataFrame, env: DataFrame, terms, nperm: int = 199, s
     arrays = _label_arrays(permuted_labels(lab, nperm, seed), F.col("g")).withColumn("v", F.flatten("v"))
     pr = pairs.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(d).alias("d"))
 
-    def sums(batches):
+    def sums(m, labels, first):
         import pyarrow as pa
-        con = {}
-        for blk, d2, va, vb in _by_block(batches):
-            za, zb = va.reshape(len(d2), -1, p), vb.reshape(len(d2), -1, p)
-            con[blk] = con.get(blk, 0.0) - d2 @ ((za @ Ci) * zb).sum(axis=2)
-        for blk, s in con.items():
-            yield pa.RecordBatch.from_arrays([pa.array(blk * PERM_BLOCK + 1 + np.arange(len(s)), pa.int32()), pa.array(s)],
-                                             ["perm", "con"])
-    con = _pair_labels(pr, arrays).mapInArrow(sums, "perm int, con double").groupBy("perm").agg(F.sum("con").alias("con"))
+        v = labels.flatten().to_numpy().reshape(len(labels), -1)
+        con = -((v.reshape(len(v), -1, p) @ Ci).reshape(v.shape) * (m @ v)).sum(axis=0).reshape(-1, p).sum(axis=1)
+        return pa.table({"perm": pa.array((first + np.arange(len(con))).astype(np.int32)), "con": pa.array(con, pa.float64())})
+    con = _with_labels(pr, arrays, n, nperm, sums, "perm int, con double").groupBy("perm").agg(F.sum("con").alias("con"))
     fp = (F.col("con") / p) / ((F.lit(total) - F.col("con")) / (n - p - 1))
     res = con.agg(((F.count_if(fp >= f_obs - 1e-12) + 1) / (nperm + 1)).alias("p"), F.count(F.lit(1)).alias("nperm"))
     return res.select(F.lit(f_obs).alias("F"), F.lit(obs).alias("constrained"), F.lit(total).alias("total"), "p", "nperm")
@@ -499,27 +517,81 @@ def simper(df: DataFrame, groups: DataFrame, sample: str = "sample", taxon: str
     r = r.withColumn("ratio", F.try_divide(F.col("average"), F.col("sd")))
     r = r.withColumn("ava", F.coalesce(F.col("sva"), F.lit(0.0)) / F.col("na")) \
          .withColumn("avb", F.coalesce(F.col("svb"), F.lit(0.0)) / F.col("nb"))
-    w = Window.partitionBy("by", "ga", "gb").orderBy(F.desc("average"), "taxon") \
+    # equal averages may differ in their last bits with the order of summation: ties by taxon
+    w = Window.partitionBy("by", "ga", "gb").orderBy(F.desc(F.round(F.col("average") * 1e12)), "taxon") \
         .rowsBetween(Window.unboundedPreceding, 0)
     r = r.withColumn("cusum", F.sum("average").over(w) / F.sum("average").over(Window.partitionBy("by", "ga", "gb")))
     return r.select("by", F.concat("ga", F.lit("_"), "gb").alias("comparison"), "taxon", "average", "sd", "ratio",
                     "ava", "avb", "cusum")
 
 
+def _simper_permuted(left, right):
+    """Per taxon and two groups, the sums of contributions over the pairs of samples of two
+    blocks that have these groups: with the true labels first, then for every permutation."""
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+    out = {"by": [], "ga": [], "gb": [], "taxon": [], "chunk": [], "sums": []}
+    schema = pa.schema([("by", pa.string()), ("ga", pa.string()), ("gb", pa.string()), ("taxon", pa.string()), ("chunk", pa.int32()),
+                        ("sums", pa.list_(pa.float64()))])
+    if not left.num_rows or not right.num_rows:
+        return pa.table(out, schema)
+    names, block = pd.Index(right.column("s").to_pylist()), np.array(right.column("blk").to_pylist())
+    bi, bj = left.column("bi")[0].as_py(), left.column("bj")[0].as_py()
+    codes, groups = pd.factorize(np.array(right.column("v").combine_chunks().flatten().to_pylist(), object), sort=True)
+    v = codes.reshape(len(names), -1)
+    row = names.get_indexer(left.column("s").to_pylist())
+    taxa, col = np.unique(left.column("f").to_numpy(), return_inverse=True)
+    x = np.zeros((len(taxa), len(names)))
+    np.add.at(x, (col, row), left.column("v").to_numpy())
+    total = x.sum(axis=0)
+    side = block == bi
+    pair = np.triu(np.ones((len(names), len(names)), bool), 1) if bi == bj else side[:, None] & ~side[None, :]
+    with np.errstate(divide="ignore"):
+        w = np.where(pair & (total[:, None] + total[None, :] > 0), 1.0 / (total[:, None] + total[None, :]), 0.0)
+    w = w + w.T
+    has = [(v == g).astype(np.float64) for g in range(len(groups))]
+    by, chunk = left.column("by")[0].as_py(), right.column("chunk")[0].as_py()
+    for k, taxon in enumerate(taxa):
+        c = np.abs(x[k][:, None] - x[k][None, :]) * w
+        for b in range(1, len(groups)):
+            some = c @ has[b]
+            for a in range(b):
+                s = (some * has[a]).sum(axis=0)
+                if s.any():
+                    for name, value in zip(out, (by, groups[a], groups[b], taxon, chunk, s)):
+                        out[name].append(value)
+    return pa.table(out, schema)
+
+
 def simper_permutation_p(df: DataFrame, groups: DataFrame, nperm: int = 99, seed: int = 1,
                          sample: str = "sample", taxon: str = "taxon", value: str = "value",
-                         group: str = "group", by: str | None = None) -> DataFrame:
-    """U16: permutation p-value of each SIMPER average: labels are shuffled within
-    ``by``; every permutation is one more key of the same blocked computation."""
-    obs = simper(df, groups, sample, taxon, value, group, by)
+                         group: str = "group", by: str | None = None, block_size: int = 128) -> DataFrame:
+    """U16: permutation p-value of each SIMPER average: labels are shuffled within ``by``. The
+    rows and labels of two blocks of samples meet in one task, which sums the contributions of
+    each taxon for all permutations at once by products with the label matrix; a row per taxon
+    and two groups leaves it, with an array of sums."""
+    import math
     g = groups.select(F.col(sample).alias("s"), F.col(group).cast("string").alias("g"),
                       (F.col(by).cast("string") if by else F.lit("all")).alias("by")).distinct()
-    perm = permuted_labels(g, nperm, seed, within="by")
-    perm = perm.select(F.col("s").alias(sample), F.col("g").alias(group),
-                       F.concat("by", F.lit("#"), F.col("perm").cast("string")).alias("__pby"))
-    ps = simper(df, perm, sample, taxon, value, group, "__pby")
-    ps = ps.select(F.regexp_replace("by", "#[0-9]+$", "").alias("by"), "comparison", "taxon",
-                   F.col("average").alias("perm_average"))
-    j = obs.join(ps, ["by", "comparison", "taxon"], "left")
-    return j.groupBy("by", "comparison", "taxon", "average").agg(
-        ((F.count_if(F.col("perm_average") >= F.col("average") - 1e-12) + 1) / (nperm + 1)).alias("p"))
+    x = df.select(F.col(sample).alias("s"), F.col(taxon).alias("f"), F.col(value).cast("double").alias("v")).where(F.col("v") > 0).join(g.drop("g"), "s")
+    sizes = g.groupBy("by", "g").agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.groupBy("by").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 1
+    blocks = max(1, math.ceil(most / block_size))
+    labels = _label_arrays(permuted_labels(g, nperm, seed, within="by"), F.col("g"), "by")
+    labels = labels.join(g, ["by", "s"]).withColumn("v", F.concat(F.array("g"), "v")).withColumn("blk", _block_of(F.col("s"), blocks))
+    lab = _to_block_pairs(labels.select("by", "s", "blk", "chunk", "v"), "s", blocks)
+    rows = _to_block_pairs(x, "s", blocks).select("*", _chunks(nperm))
+    keys = ["by", "bi", "bj", "chunk"]
+    parts = rows.select(F.concat("by", F.lit("")).alias("by"), *keys[1:], "s", "f", "v").groupBy(*keys).cogroup(lab.groupBy(*keys)).applyInArrow(
+        _simper_permuted, "by string, ga string, gb string, taxon string, chunk int, sums array<double>")
+    both = F.aggregate(F.slice("__l", 2, F.size("__l")), F.get("__l", F.lit(0)), lambda a, b: F.zip_with(a, b, lambda u, w: u + w))
+    d = parts.groupBy("by", "ga", "gb", "taxon", "chunk").agg(F.collect_list("sums").alias("__l")).withColumn("sums", both)
+    # rounding noise between equal sums does not count as a difference
+    least = F.get("sums", F.lit(0)) * (1 - 1e-12) - 1e-12
+    d = d.withColumn("more", F.size(F.filter(F.slice("sums", 2, F.size("sums")), lambda v: v >= least)))
+    d = d.groupBy("by", "ga", "gb", "taxon").agg(F.sum("more").alias("more"), F.max(F.get("sums", F.lit(0))).alias("s1"))
+    na, nb = (sizes.select("by", F.col("g").alias(c), F.col("n").alias(n)) for c, n in (("ga", "na"), ("gb", "nb")))
+    d = d.join(na, ["by", "ga"]).join(nb, ["by", "gb"]).where(F.col("s1") > 0)
+    return d.select("by", F.concat("ga", F.lit("_"), "gb").alias("comparison"), "taxon", (F.col("s1") / (F.col("na") * F.col("nb"))).alias("average"),
+                    ((F.col("more") + 1) / (nperm + 1)).alias("p"))

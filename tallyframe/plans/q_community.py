@@ -71,7 +71,32 @@ def u9(spark, d):
     return round_cols(r, ["ss_total", "ss_within", "ss_between", "F", "R2"])
 
 
-@query("u9_permanova_p")
+_PERM_SQL = """
+pos AS (SELECT s, g, row_number() OVER (ORDER BY s) AS i FROM lab),
+sh AS (SELECT perm, s, row_number() OVER (PARTITION BY perm ORDER BY md5(s || '|' || perm || '|{seed}'), s) AS i
+       FROM lab, (SELECT unnest(range(1, {nperm} + 1)) AS perm)),
+pl AS MATERIALIZED (SELECT perm, sh.s, pos.g FROM sh JOIN pos USING (i))"""
+
+
+@query("u9_permanova_p", """
+WITH lab AS (SELECT sample AS s, "group" AS g FROM egroups),
+pr AS MATERIALIZED (SELECT sample1, sample2, bray * bray AS d2 FROM epairs
+                    WHERE sample1 IN (SELECT s FROM lab) AND sample2 IN (SELECT s FROM lab)),
+n AS (SELECT count(*) AS n, count(DISTINCT g) AS n_groups FROM lab),
+size AS (SELECT g, count(*) AS n_g FROM lab GROUP BY g),
+sst AS (SELECT sum(d2) / max(n) AS ss_total FROM pr, n),
+obs AS (SELECT sum(ss / n_g) AS ss FROM (SELECT la.g, sum(d2) AS ss FROM pr JOIN lab la ON pr.sample1 = la.s
+          JOIN lab lb ON pr.sample2 = lb.s AND la.g = lb.g GROUP BY 1) JOIN size USING (g)),
+""" + _PERM_SQL.format(seed=5, nperm=9999) + """,
+w AS (SELECT perm, sum(ss / n_g) AS ss FROM (
+        SELECT la.perm, la.g, sum(d2) AS ss FROM pl la JOIN pl lb ON la.perm = lb.perm AND la.g = lb.g AND la.s < lb.s
+        JOIN pr ON pr.sample1 = la.s AND pr.sample2 = lb.s GROUP BY 1, 2) JOIN size USING (g) GROUP BY perm),
+f AS (SELECT (((ss_total - obs.ss) / (n_groups - 1)) / (obs.ss / (n - n_groups))) AS F_obs, (ss_total - obs.ss) / ss_total AS R2
+      FROM obs, sst, n)
+SELECT round(F_obs, 6) AS F_obs, round(R2, 6) AS R2,
+       round((count_if(((ss_total - w.ss) / (n_groups - 1)) / (w.ss / (n - n_groups)) >= F_obs - 1e-12) + 1) / 10000.0, 6)::DOUBLE AS p,
+       count(*) AS nperm
+FROM w, sst, n, f GROUP BY F_obs, R2""", ("epairs", "egroups"))
 def u9p(spark, d):
     return U.permanova_test(event_pairs(spark, d), event_groups(spark, d), nperm=9999, seed=5,
                             a="event1", b="event2")
@@ -115,7 +140,7 @@ WITH g AS (SELECT area, taxon, avg(CASE WHEN year(date) = 1995 THEN p END) AS av
                   avg(CASE WHEN year(date) = 2001 THEN p END) AS avb FROM score GROUP BY area, taxon),
 h AS (SELECT area, taxon, '1995_2001' AS comparison, abs(ava - avb) AS average, ava > avb AS direction
       FROM g WHERE ava IS NOT NULL AND avb IS NOT NULL),
-r AS (SELECT *, row_number() OVER (PARTITION BY area, comparison, direction ORDER BY average DESC, taxon) AS rn FROM h)
+r AS (SELECT *, row_number() OVER (PARTITION BY area, comparison, direction ORDER BY round(average * 1e12) DESC, taxon) AS rn FROM h)
 SELECT area, taxon, comparison, round(average, 6) AS average, direction,
        round(CASE WHEN direction THEN average ELSE -average END, 6) AS signed
 FROM r WHERE rn <= 5""", ("score",))
@@ -334,7 +359,25 @@ def u10b(spark, d):
     return bp
 
 
-@query("u11_ordination_test")
+@query("u11_ordination_test", "WITH " + _ZSQL + """,
+c AS (SELECT sum(temperature * temperature) AS a, sum(temperature * ph) AS b, sum(temperature * salinity) AS c,
+             sum(ph * ph) AS d, sum(ph * salinity) AS e, sum(salinity * salinity) AS f FROM z),
+i AS (SELECT (d * f - e * e) / det AS i11, (c * e - b * f) / det AS i12, (b * e - c * d) / det AS i13,
+             (a * f - c * c) / det AS i22, (b * c - a * e) / det AS i23, (a * d - b * b) / det AS i33
+      FROM (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM c)),
+lab AS (SELECT s, s AS g FROM z),
+""" + _PERM_SQL.format(seed=2, nperm=999) + """,
+who AS (SELECT 0 AS perm, s, s AS g FROM z UNION ALL SELECT * FROM pl),
+v AS MATERIALIZED (SELECT perm, who.s, z.temperature AS t, z.ph AS p, z.salinity AS q,
+                          i11 * z.temperature + i12 * z.ph + i13 * z.salinity AS t2, i12 * z.temperature + i22 * z.ph + i23 * z.salinity AS p2,
+                          i13 * z.temperature + i23 * z.ph + i33 * z.salinity AS q2 FROM who JOIN z ON z.s = who.g, i),
+pr AS MATERIALIZED (SELECT sample1, sample2, bray * bray AS d2 FROM epairs WHERE sample1 IN (SELECT s FROM z) AND sample2 IN (SELECT s FROM z)),
+con AS (SELECT va.perm, -sum(d2 * (va.t2 * vb.t + va.p2 * vb.p + va.q2 * vb.q)) AS con
+        FROM pr JOIN v va ON va.s = pr.sample1 JOIN v vb ON vb.s = pr.sample2 AND vb.perm = va.perm GROUP BY va.perm),
+f AS (SELECT perm, con, total_inertia AS total, (con / 3) / ((total_inertia - con) / (n - 4)) AS F FROM con, tot)
+SELECT round(o.F, 6) AS F, round(o.con, 6) AS constrained, round(o.total, 6) AS total,
+       round((count_if(f.F >= o.F - 1e-12) + 1) / 1000.0, 6)::DOUBLE AS p, count(*) AS nperm
+FROM f, (SELECT * FROM f WHERE perm = 0) o WHERE f.perm > 0 GROUP BY o.F, o.con, o.total""", ("epairs", "planktonic", "env"))
 def u11(spark, d):
     return U.ordination_test(event_pairs(spark, d), event_env(spark, d), ORD_TERMS, nperm=999, seed=2,
                              a="event1", b="event2")
@@ -375,7 +418,7 @@ m AS (SELECT cl.area, cl.cluster, ev.taxon, sum(ev.v) AS sv FROM ev JOIN cl ON e
 SELECT s.area AS by, s.ga || '_' || s.gb AS comparison, s.taxon, round(s.average, 6) AS average, round(s.sd, 6) AS sd,
        round(s.average / s.sd, 6) AS ratio,
        round(coalesce(ma.sv, 0) / na.n, 6) AS ava, round(coalesce(mb.sv, 0) / nb.n, 6) AS avb,
-       round(sum(s.average) OVER (PARTITION BY s.area, s.ga, s.gb ORDER BY s.average DESC, s.taxon
+       round(sum(s.average) OVER (PARTITION BY s.area, s.ga, s.gb ORDER BY round(s.average * 1e12) DESC, s.taxon
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
              / sum(s.average) OVER (PARTITION BY s.area, s.ga, s.gb), 6) AS cusum
 FROM s JOIN n na ON na.area = s.area AND na.cluster = s.ga JOIN n nb ON nb.area = s.area AND nb.cluster = s.gb
