@@ -85,15 +85,12 @@ def top_feature(df: DataFrame, by: str = "sample", feature: str = "hash", value:
 def densify(df: DataFrame, sample: str = "sample", otu: str = "hash", value: str = "value") -> DataFrame:
     """U3 long form: every (sample, otu) pair, zero-filled.
 
-    Dense by definition (samples x features rows); only for bounded matrices, e.g.
-    the per-event community table. Built as distinct keys joined on a constant, which
-    the planner turns into a broadcast nested loop with the smaller key list.
+    Dense by definition (samples x features rows), formed in blocks (``sparse.SparseTable``):
+    rows that are there stay as they are, the others come from the two key lists.
     """
-    s = df.select(sample).distinct()
-    o = df.select(otu).distinct()
-    grid = s.join(o, how="cross")
-    return (grid.join(df.select(sample, otu, value), [sample, otu], "left")
-            .fillna(0, subset=[value]))
+    from .sparse import SparseTable
+    t = SparseTable.of(df.fillna(0, subset=[value]), sample, otu, value, zeros=True)
+    return t.dense().select(sample, otu, value)
 
 
 def community_matrix(df: DataFrame, sample: str, otu: str, value: str, otus: list | None = None) -> DataFrame:
@@ -165,11 +162,17 @@ def transform(df: DataFrame, method: str, sample: str = "sample", otu: str = "ha
         return (r.withColumn(out, F.when(rng > 0, (v - mn) / rng).otherwise(F.lit(0.0)))
                 .drop("_mx", "_mn", "_c"))
     if method == "standardize":
-        # mean and sd (n-1) over all samples, zeros included; returns the dense table
-        # because zeros become non-zero after centring.
-        d = densify(df.select(sample, otu, value), sample, otu, value)
-        r = with_group_agg(d, otu, _m=F.avg(value), _sd=F.stddev_samp(value))
-        return r.withColumn(out, F.try_divide(v - F.col("_m"), F.col("_sd"))).drop("_m", "_sd")
+        # mean and sd (n-1) over all samples, zeros included, from the cells alone (k of the n
+        # samples have one); returns the dense table because zeros become non-zero by centring
+        from .sparse import SparseTable
+        t = SparseTable.of(df.select(sample, otu, value).fillna(0, subset=[value]), sample, otu, value, zeros=True)
+        g = t.cells.groupBy(otu).agg(F.count(F.lit(1)).alias("_k"), F.avg(value).alias("_a"), F.var_pop(value).alias("_v"))
+        m, k = F.col("_k") * F.col("_a") / n_samples, F.col("_k")
+        ss = k * F.col("_v") + k * (F.col("_a") - m) * (F.col("_a") - m) + (n_samples - k) * m * m
+        g = g.select(otu, m.alias("_m"), F.sqrt(F.try_divide(ss, n_samples - 1)).alias("_sd"))
+        t.cols = t.cols.join(g, otu)
+        r = t.dense()
+        return r.select(sample, otu, value, F.try_divide(v - F.col("_m"), F.col("_sd")).alias("__z")).withColumn(out, F.col("__z")).drop("__z")
     if method == "chi.square":
         # sqrt(grand total) * x / (row total * sqrt(col total))   (vegan, MARGIN = 1)
         r = with_group_agg(df, sample, _rs=F.sum(value))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._util import as_list, prefix_sum, with_group_agg
+from .quantiles import pick_quantiles, value_counts
 
 
 # ---- PERMANOVA ------------------------------------------------------------------------
@@ -276,18 +277,20 @@ def env_long(env: DataFrame, keys, predictors, date: str = "date", valid: Column
 
 def box_stats(df: DataFrame, by, x: str) -> DataFrame:
     """The numbers behind a boxplot: quartiles (linear interpolation), whiskers at
-    the most extreme values within 1.5 IQR, and the outlier count."""
+    the most extreme values within 1.5 IQR, and the outlier count, all from value counts that
+    are spread over tasks by value (``quantiles``)."""
     by = as_list(by)
-    q = df.groupBy(*by).agg(F.min(x).alias("min"), F.percentile(x, 0.25).alias("q1"),
-                            F.median(x).alias("median"), F.percentile(x, 0.75).alias("q3"),
-                            F.max(x).alias("max"))
-    j = df.select(*by, x).join(q, by)
+    c = value_counts(df, by, x)
+    q = pick_quantiles(c, x, {"q1": 0.25, "median": 0.5, "q3": 0.75}).drop("n")
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    w = j.groupBy(*by).agg(F.min(F.when(F.col(x) >= lo, F.col(x))).alias("whisker_lo"),
-                           F.max(F.when(F.col(x) <= hi, F.col(x))).alias("whisker_hi"),
-                           F.count_if((F.col(x) < lo) | (F.col(x) > hi)).alias("n_outliers"))
-    return q.join(w, by)
+    w = c.join(q, "key").groupBy("key", "q1", "median", "q3").agg(
+        F.min(x).alias("min"), F.max(x).alias("max"),
+        F.min(F.when(F.col(x) >= lo, F.col(x))).alias("whisker_lo"), F.max(F.when(F.col(x) <= hi, F.col(x))).alias("whisker_hi"),
+        F.sum(F.when((F.col(x) < lo) | (F.col(x) > hi), F.col("c")).otherwise(0)).alias("n_outliers"))
+    groups = df.select(*by).distinct().withColumn("key", F.to_json(F.struct(*by)) if by else F.lit(""))
+    return groups.join(w, "key", "left").select(*by, "min", "q1", "median", "q3", "max", "whisker_lo", "whisker_hi",
+                                                F.coalesce("n_outliers", F.lit(0)).alias("n_outliers"))
 
 
 def histogram(df: DataFrame, x: str, width: float, by=None, origin: float = 0.0) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import norm_ppf, pnorm_col
 from ._util import as_list, is_small, prefix_sum, with_group_agg
+from .quantiles import grouped_quantiles
+from .sparse import SparseTable
 
 # Fixed values that must equal the reference's for identical results:
 # linear trends over 2000-2095 (pH -0.18, temperature +1.51) and the year window
@@ -82,23 +84,19 @@ def from_std(df: DataFrame, constants: DataFrame, col: str, key: str, by, out: s
         .drop("__m", "__s")
 
 
-def presence_matrix(df: DataFrame, event: str = "event", taxon: str = "taxon", value: str = "edna_index",
-                    event_attrs=(), exclude: str | None = None, max_events: int = 200_000) -> DataFrame:
-    """M3: every event x taxon with 1 when present (value > 0) and 0 otherwise.
-
-    Dense by definition (the model needs the absences). The event list is broadcast
-    when its size check passes, otherwise the product is partitioned.
-    """
+def presence_table(df: DataFrame, event: str = "event", taxon: str = "taxon", value: str = "edna_index",
+                   event_attrs=(), exclude: str | None = None) -> SparseTable:
+    """M3 without its zeros: the present (event, taxon) cells and the two key lists."""
     x = df if exclude is None else df.where(~F.col(taxon).rlike(exclude))
-    events = x.select(event, *as_list(event_attrs)).distinct()
-    taxa = x.select(taxon).distinct()
-    if is_small(events, max_events):
-        grid = taxa.join(F.broadcast(events), how="cross")
-    else:  # beyond the bound: a partitioned cartesian product, no broadcast
-        grid = taxa.join(events, how="cross")
-    pres = x.where(F.col(value) > 0).select(event, taxon).distinct().withColumn("__p", F.lit(1))
-    return grid.join(pres, [event, taxon], "left").select(
-        *grid.columns, F.coalesce("__p", F.lit(0)).alias("presence"))
+    return SparseTable.of(x, event, taxon, value, event_attrs).presence()
+
+
+def presence_matrix(df: DataFrame, event: str = "event", taxon: str = "taxon", value: str = "edna_index",
+                    event_attrs=(), exclude: str | None = None) -> DataFrame:
+    """M3: every event x taxon with 1 when present (value > 0) and 0 otherwise: the dense form
+    of ``presence_table``, for results (the operators that follow work on the sparse one)."""
+    t = presence_table(df, event, taxon, value, event_attrs, exclude)
+    return t.dense().select(taxon, *t.rows.columns, "presence")
 
 
 def prevalence_filter(df: DataFrame, taxon: str = "taxon", presence: str = "presence",
@@ -363,8 +361,8 @@ def rank_sum_test(df: DataFrame, by, group: str, x: str, g1, g2) -> DataFrame:
 
 
 def group_median(df: DataFrame, by, x: str, out: str = "median") -> DataFrame:
-    """Exact median (linear interpolation) per group."""
-    return df.groupBy(*as_list(by)).agg(F.median(x).alias(out))
+    """Exact median (linear interpolation) per group, by distributed selection."""
+    return grouped_quantiles(df, by, x, {out: 0.5})
 
 
 def condition_share(df: DataFrame, by, cond: Column, value: str | None = None) -> DataFrame:

@@ -18,6 +18,8 @@ from ..functions.keys import with_sample_parts
 from ..operators import abundance as A
 from ..operators import scenario as M
 from ..operators import taxonomy as T
+from ..operators._util import with_group_agg
+from ..operators.sparse import SparseTable
 
 
 def planktonic_index(reads: DataFrame, annot: DataFrame, drop: DataFrame | None = None,
@@ -31,15 +33,31 @@ def planktonic_index(reads: DataFrame, annot: DataFrame, drop: DataFrame | None
     return A.edna_index(a, "event", "taxon", "n_reads", biol_rep="biol", out="edna_index")
 
 
+def model_table(presence: SparseTable, env: DataFrame, lo: int = 7, hi: int = 69, predictors=("temperature", "ph")) -> SparseTable:
+    """M4 -> T15 -> M1 -> M5 on a sparse presence table: its rows carry the environment, the
+    standardised predictors and codes. Means and deviations over the dense rows follow from the
+    event list, in which every event stands for as many rows as there are taxa."""
+    p = presence.prevalent(lo, hi)
+    events = M.join_environment(p.rows, env, p.row).where(F.col("area").isNotNull())
+    taxa = p.cols.select(F.count(F.lit(1)).alias("n")).scalar()
+    aggs = {}
+    for c in predictors:
+        aggs |= {f"__m_{c}": F.avg(c), f"__v_{c}": F.var_pop(c)}
+    events = with_group_agg(events, "area", __e=F.count(F.lit(1)), **aggs)
+    for c in predictors:
+        n = taxa * F.col("__e")
+        sd = F.sqrt(F.try_divide(n * F.col(f"__v_{c}"), n - 1))
+        z = F.when(sd.isNull() | (sd == 0), F.col(c)).otherwise((F.col(c) - F.col(f"__m_{c}")) / sd)
+        events = events.withColumn(f"{c}_std", z)
+    return p.keep_rows(events.drop("__e", *aggs).checkpoint()).coded("event_id", "taxon_id")
+
+
 def prepare_model_data(index: DataFrame, env: DataFrame, exclude_taxa: str | None = None,
                        lo: int = 7, hi: int = 69, predictors=("temperature", "ph")) -> DataFrame:
-    """M3 -> T15 -> M1 -> M4 -> M5 on an (event, taxon, edna_index) table."""
-    p = M.presence_matrix(index, "event", "taxon", "edna_index", exclude=exclude_taxa)
-    p = M.prevalence_filter(p, "taxon", "presence", lo, hi)
-    j = M.join_environment(p, env).where(F.col("area").isNotNull())
-    j = M.standardize_by(j, list(predictors), "area")
-    j = M.dense_index(M.dense_index(j, "taxon", "taxon_id"), "event", "event_id")
-    return j
+    """M3 -> M4 -> T15 -> M1 -> M5 on an (event, taxon, edna_index) table; the dense matrix is
+    formed last, of the prevalent taxa and the events with environment only."""
+    p = M.presence_table(index, "event", "taxon", "edna_index", exclude=exclude_taxa)
+    return model_table(p, env, lo, hi, predictors).dense()
 
 
 def project_scenarios(env: DataFrame, coef: DataFrame, groups: DataFrame, years, n_draws: int = 100,

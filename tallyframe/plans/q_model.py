@@ -22,11 +22,9 @@ REG = 0.01
 
 def model_data(spark, d):
     """Prevalent presence matrix with standardised temperature and pH of each event."""
-    def build():
-        p = M.prevalence_filter(QS.presence(spark, d), "taxon", "presence", 7, 69)
-        j = M.join_environment(p, V.env(spark, d)).where(F.col("area").isNotNull())
-        return M.standardize_by(j, ["temperature", "ph"], "area")
-    return C.materialized(spark, d, "model_data", build)
+    from .analysis import model_table
+    return C.materialized(spark, d, "model_data", lambda: model_table(
+        QS.presence_table(spark, d), V.env(spark, d)).dense().drop("taxon_id", "event_id"))
 
 
 @query("m7_taxon_response_model")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scenario as M
 from ..operators._util import round_cols
+from . import chain as C
 from . import q_taxonomy as QT
 from . import views as V
 from .oracle_views import VIEWS
@@ -118,8 +119,16 @@ VIEWS.update({
 })
 
 
+def presence_table(spark, d):
+    """The sparse presence table, built once: read by M3 to M6 and the models."""
+    key = (spark.sparkContext.applicationId, d, "presence_table")
+    if key not in C._MEMO:
+        C._MEMO[key] = M.presence_table(QT.planktonic(spark, d), "event", "taxon", "edna_index", exclude=EXCLUDE_TAXA)
+    return C._MEMO[key]
+
+
 def presence(spark, d):
-    return M.presence_matrix(QT.planktonic(spark, d), "event", "taxon", "edna_index", exclude=EXCLUDE_TAXA)
+    return presence_table(spark, d).dense().select("taxon", "event", "presence")
 
 
 @query("m3_presence_matrix", "SELECT * FROM presence", ("presence",))
@@ -129,7 +138,7 @@ def m3(spark, d):
 
 @query("m4_prevalence_filter", "SELECT * FROM prevalent", ("prevalent",))
 def m4(spark, d):
-    return M.prevalence_filter(presence(spark, d), "taxon", "presence", 7, 69)
+    return presence_table(spark, d).prevalent(7, 69).dense().select("taxon", "event", "presence")
 
 
 @query("m5_dense_index", """
@@ -137,9 +146,11 @@ SELECT taxon, event, presence, CAST(dense_rank() OVER (ORDER BY taxon) AS INTEGE
        CAST(dense_rank() OVER (ORDER BY event) AS INTEGER) AS event_id,
        row_number() OVER (ORDER BY taxon, event) AS row FROM prevalent""", ("prevalent",))
 def m5(spark, d):
-    p = M.prevalence_filter(presence(spark, d), "taxon", "presence", 7, 69)
-    p = M.dense_index(M.dense_index(p, "taxon", "taxon_id"), "event", "event_id")
-    return M.row_index(p, ["taxon", "event"])
+    t = presence_table(spark, d).prevalent(7, 69).coded("event_id", "taxon_id")
+    r = t.dense().select("taxon", "event", "presence", "taxon_id", "event_id")
+    # the matrix is complete, so the row number by (taxon, event) follows from the codes
+    n = t.rows.select(F.count(F.lit(1))).scalar()
+    return r.withColumn("row", (F.col("taxon_id") - 1) * n + F.col("event_id"))
 
 
 @query("m6_sample_groups")
