@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,8 +127,13 @@ def row_index(df: DataFrame, order, out: str = "row") -> DataFrame:
 
 def sample_groups(df: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
     """M6: keep ``n`` keys chosen by a seeded hash order (a sampling operator)."""
-    keys = df.select(key).distinct().orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
-    return df.join(keys, key, "left_semi")
+    return df.join(sampled_keys(df.select(key), key, n, seed), key, "left_semi")
+
+
+def sampled_keys(df: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
+    """The ``n`` distinct keys that come first by md5 of ``key|seed``."""
+    mark = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
+    return df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(mark, key).limit(n)
 
 
 def trend_sd(change: float, start: int = TREND_START, end: int = TREND_END,
@@ -163,6 +170,18 @@ def hash_uniform(*cols) -> Column:
     return (F.pmod(h, F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
 
 
+def md5_uniform(*cols) -> Column:
+    """Uniform (0, 1) from the md5 of the columns' texts joined by bars: the same in every
+    engine. For keys that are strings and whole numbers."""
+    mark = F.md5(F.concat_ws("|", *[c.cast("string") for c in cols]).cast("binary"))
+    return (F.conv(F.substring(mark, 1, 13), 16, 10).cast("bigint").cast("double") + 0.5) / float(1 << 52)
+
+
+def md5_normal(*cols) -> Column:
+    """Standard normal via Box-Muller from two md5 uniforms."""
+    return F.sqrt(-2.0 * F.log(md5_uniform(*cols, F.lit("u1")))) * F.cos(2 * math.pi * md5_uniform(*cols, F.lit("u2")))
+
+
 def hash_normal(*cols) -> Column:
     """Standard normal via Box-Muller from two independent hash uniforms."""
     u1 = hash_uniform(*cols, F.lit("u1"))
@@ -176,8 +195,8 @@ def scenario_draws(params: DataFrame, n: int, seed: int = 1, ref_year: int | Non
     draws are standardised by that year's distribution."""
     d = params.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
     key = [F.col(area), F.col("year"), F.col("draw"), F.lit(seed)]
-    d = d.withColumn("temperature", F.col("t_mean") + F.col("t_sd") * hash_normal(*key, F.lit("t")))
-    d = d.withColumn("ph", F.col("ph_mean") + F.col("ph_sd") * hash_normal(*key, F.lit("ph")))
+    d = d.withColumn("temperature", F.col("t_mean") + F.col("t_sd") * md5_normal(*key, F.lit("t")))
+    d = d.withColumn("ph", F.col("ph_mean") + F.col("ph_sd") * md5_normal(*key, F.lit("ph")))
     if ref_year is not None:
         ref = params.where(F.col("year") == ref_year).select(
             area, F.col("t_mean").alias("__tm"), F.col("t_sd").alias("__ts"),
@@ -243,6 +262,45 @@ def score_taxa(coef: DataFrame, points: DataFrame, by: str = "area", x: str = "t
     return j.withColumn(out, 1.0 / (1.0 + F.exp(-eta)))
 
 
+#: Trials that one uniform is inverted for; more trials take several uniforms.
+MAX_TRIALS = 512
+
+
+def _binomial_inverse(n: int):
+    """Successes of ``n`` trials of probability p at the place u of their distribution function."""
+    @F.pandas_udf("double")
+    def run(u: pd.Series, p: pd.Series) -> pd.Series:
+        u, p = u.to_numpy(float), p.to_numpy(float)
+        low = p <= 0.5
+        q = np.where(low, p, 1.0 - p)  # the rarer outcome: its first term does not vanish
+        ratio = q / (1.0 - q)
+        term = (1.0 - q) ** n
+        below, k = term.copy(), np.zeros(len(u))
+        for j in range(n):
+            more = below < u
+            if not more.any():
+                break
+            k += more
+            term = term * ((n - j) / (j + 1)) * ratio
+            below = below + term
+        return pd.Series(np.where(np.isnan(p), np.nan, np.where(low, k, n - k)))
+    return run
+
+
+def binomial_mean(df: DataFrame, p: str, key_cols, n: int = 100, seed: int = 1, out: str = "mean_presence") -> DataFrame:
+    """Mean of ``n`` Bernoulli(p) draws per row from one uniform: the number of successes
+    is read off the binomial distribution at that place (several uniforms for more than
+    ``MAX_TRIALS`` draws). The uniform is the md5 of the row's keys, so results do not depend on
+    partitioning and can be checked in SQL."""
+    keys = [F.col(c) for c in as_list(key_cols)]
+    parts = [MAX_TRIALS] * (n // MAX_TRIALS) + [n % MAX_TRIALS] * (n % MAX_TRIALS > 0)
+    found = F.lit(0.0)
+    for i, m in enumerate(parts):
+        more = [F.lit(i)] if i else []
+        found = found + _binomial_inverse(m)(md5_uniform(*keys, F.lit(seed), *more), F.col(p).cast("double"))
+    return df.withColumn(out, F.nanvl(found, F.lit(None).cast("double")) / float(n))
+
+
 def bernoulli_mean(df: DataFrame, p: str, key_cols, n: int = 100, seed: int = 1,
                    out: str = "mean_presence") -> DataFrame:
     """Mean of ``n`` Bernoulli(p) draws per row, computed with a higher-order

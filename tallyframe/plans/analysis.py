@@ -18,8 +18,9 @@ from ..functions.keys import with_sample_parts
 from ..operators import abundance as A
 from ..operators import scenario as M
 from ..operators import taxonomy as T
-from ..operators._util import with_group_agg
+from ..operators._util import product_by, with_group_agg
 from ..operators.sparse import SparseTable
+from ..session import ensure_checkpoint_dir
 
 
 def planktonic_index(reads: DataFrame, annot: DataFrame, drop: DataFrame | None = None,
@@ -66,13 +67,17 @@ def project_scenarios(env: DataFrame, coef: DataFrame, groups: DataFrame, years,
     """Expected richness per scenario draw and group (e.g. phylum).
 
     ``coef`` is (taxon, area, intercept, b_t, b_ph); ``groups`` maps taxon -> group.
-    Draws are keyed (area, year, draw); every taxon of an area is scored at every draw
-    of that area (an equi-join on the area).
+    Draws are keyed (area, year, draw); every taxon of an area is scored at every draw of that
+    area, in even pieces of the product (a few areas hold all rows). The group goes with the
+    coefficients, so a scored row is summed at once and never shuffled.
     """
+    ensure_checkpoint_dir(env.sparkSession)
     params = M.scenario_params(env, years)
     draws = M.scenario_draws(params, n_draws, seed)
-    draws = M.trim_tails(draws, ("temperature", "ph"), ("year", "area"), lo, hi)
-    scored = M.score_taxa(coef, draws, "area", "temperature", "ph", "p")
-    scored = M.bernoulli_mean(scored, "p", ["taxon", "area", "year", "draw"], presence_draws, seed)
-    scored = scored.join(groups, "taxon", "left")
+    draws = M.trim_tails(draws, ("temperature", "ph"), ("year", "area"), lo, hi).checkpoint()
+    own = coef.join(groups, "taxon", "left").checkpoint()
+    scored = product_by(own, draws, "area")
+    eta = F.col("intercept") + F.col("b_t") * F.col("temperature") + F.col("b_ph") * F.col("ph")
+    scored = scored.withColumn("p", 1.0 / (1.0 + F.exp(-eta)))
+    scored = M.binomial_mean(scored, "p", ["taxon", "area", "year", "draw"], presence_draws, seed)
     return M.richness_by_point(scored, ["area", "year", "draw"], "phylum", "mean_presence")

@@ -2,6 +2,13 @@
 Spark schemas); both sides round them the same way before comparison."""
 
 DOUBLE_COLUMNS = {
+    "m10_bernoulli_mean": ['p', 'mean_presence'],
+    "m12_scenario_draws": ['temperature', 'ph'],
+    "m12_scenario_draws_std": ['temperature', 'ph'],
+    "m7_score_equations": ['n', 'temperature', 'ph'],
+    "m16_score_equations": ['n', 'temperature', 'ph'],
+    "u9_permanova_p": ['F_obs', 'R2', 'p'],
+    "u11_ordination_test": ['F', 'constrained', 'total', 'p'],
     "m18_cluster_prevalence_wide": ['1', '2', '3'],
     "entry2_prepare_model_data": ['temperature', 'ph', 'salinity', 'temperature_std', 'ph_std'],
     "d15_occupancy_fit": ['psi', 'p11', 'p10'],

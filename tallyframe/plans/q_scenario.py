@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import scenario as M
@@ -153,9 +155,12 @@ def m5(spark, d):
     return r.withColumn("row", (F.col("taxon_id") - 1) * n + F.col("event_id"))
 
 
-@query("m6_sample_groups")
+@query("m6_sample_groups", """
+SELECT * FROM presence WHERE taxon IN (
+  SELECT taxon FROM (SELECT DISTINCT taxon FROM presence) ORDER BY md5(taxon || '|7'), taxon LIMIT 25)""", ("presence",))
 def m6(spark, d):
-    return M.sample_groups(presence(spark, d), "taxon", 25, seed=7)
+    t = presence_table(spark, d)
+    return t.keep_cols(M.sampled_keys(t.cols, "taxon", 25, seed=7)).dense().select("taxon", "event", "presence")
 
 
 @query("m9_score_taxa", """
@@ -164,10 +169,38 @@ def m9(spark, d):
     return round_cols(scores(spark, d).select("taxon", "area", "site", "date", "p"), "p")
 
 
-@query("m10_bernoulli_mean")
+def uniform_sql(*parts) -> str:
+    """``md5_uniform`` of SQL expressions."""
+    said = " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    return f"((('0x' || substr(md5({said}), 1, 13))::BIGINT + 0.5) / {float(1 << 52)})"
+
+
+def normal_sql(*parts) -> str:
+    return f"(sqrt(-2.0 * ln({uniform_sql(*parts, _q('u1'))})) * cos({2 * math.pi!r} * {uniform_sql(*parts, _q('u2'))}))"
+
+
+def _q(x: str) -> str:
+    return f"'{x}'"
+
+
+def binomial_sql(rows: str, p: str, u: str, n: int) -> str:
+    """``rows`` with k, the successes of ``n`` trials: the terms of the distribution one by one,
+    a row leaving when its place is reached."""
+    return f"""
+WITH RECURSIVE b0 AS (SELECT *, {u} AS u__, CASE WHEN {p} <= 0.5 THEN {p} ELSE 1.0 - {p} END AS q__ FROM ({rows})),
+b AS (SELECT *, q__ / (1.0 - q__) AS r__, pow(1.0 - q__, {n}) AS t__, pow(1.0 - q__, {n}) AS b__, 0 AS j__ FROM b0
+      UNION ALL
+      SELECT * REPLACE (t__ * (({n} - j__) / (j__ + 1)::DOUBLE) * r__ AS t__, b__ + t__ * (({n} - j__) / (j__ + 1)::DOUBLE) * r__ AS b__,
+                        j__ + 1 AS j__) FROM b WHERE b__ < u__ AND j__ < {n})
+SELECT * EXCLUDE (u__, q__, r__, t__, b__, j__), CASE WHEN {p} <= 0.5 THEN j__ ELSE {n} - j__ END AS k
+FROM b WHERE b__ >= u__ OR j__ = {n}"""
+
+
+@query("m10_bernoulli_mean", "SELECT taxon, area, site, date, p, k / 100.0 AS mean_presence FROM (" + binomial_sql(
+    "SELECT taxon, area, site, date, p FROM score", "p", uniform_sql("taxon", "site", "date", "11"), 100) + ")", ("score",))
 def m10(spark, d):
     s = scores(spark, d).select("taxon", "area", "site", "date", "p")
-    return M.bernoulli_mean(s, "p", ["taxon", "site", "date"], n=100, seed=11)
+    return round_cols(M.binomial_mean(s, "p", ["taxon", "site", "date"], n=100, seed=11), ["p", "mean_presence"])
 
 
 _TSD = M.trend_sd(M.PH_TREND)
@@ -187,12 +220,29 @@ def m11(spark, d):
     return round_cols(r, ["t_mean", "t_sd", "ph_mean", "ph_sd"])
 
 
-@query("m12_scenario_draws")
+VIEWS.update({
+    "params": (f"""
+      SELECT area, year, t_obs + (year - {M.TREND_START}) / {float(M.TREND_END - M.TREND_START)} * {M.T_TREND} AS t_mean, t_sd,
+             ph_obs + (year - {M.TREND_START}) / {float(M.TREND_END - M.TREND_START)} * ({M.PH_TREND}) AS ph_mean, ph_sd0 + {_TSD!r} AS ph_sd
+      FROM (SELECT area, avg(temperature) AS t_obs, stddev_pop(temperature) AS t_sd, avg(ph) AS ph_obs, stddev_pop(ph) AS ph_sd0
+            FROM env_valid GROUP BY area), (SELECT unnest([2017, 2050, 2095])::INTEGER AS year)""", ["env_valid"]),
+})
+
+
+def draws_sql(seed: int) -> str:
+    key = ("area", "year", "draw", str(seed))
+    return f"""
+SELECT area, year, draw, t_mean + t_sd * {normal_sql(*key, _q('t'))} AS temperature, ph_mean + ph_sd * {normal_sql(*key, _q('ph'))} AS ph
+FROM params, (SELECT unnest(range(1, 1001))::INTEGER AS draw)"""
+
+
+@query("m12_scenario_draws", draws_sql(3), ("params",))
 def m12(spark, d):
     return M.scenario_draws(M.scenario_params(env_valid(spark, d), YEARS), 1000, seed=3)
 
 
-@query("m12_scenario_draws_std")
+@query("m12_scenario_draws_std", "SELECT d.area, d.year, d.draw, (d.temperature - r.t_mean) / r.t_sd AS temperature, "
+       "(d.ph - r.ph_mean) / r.ph_sd AS ph FROM (" + draws_sql(3) + ") d JOIN params r ON r.area = d.area AND r.year = 2017", ("params",))
 def m12b(spark, d):
     return M.scenario_draws(M.scenario_params(env_valid(spark, d), YEARS), 1000, seed=3, ref_year=2017)
 
