@@ -36,7 +36,9 @@ BLOCK = frozenset("html head body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd tabl
                   "center dialog search legend".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose whole inside is no text of the page.
-RAW = frozenset("script style title template noscript iframe svg textarea select object canvas audio video math".split())
+RAW = frozenset("script style title template noscript iframe textarea select".split())
+#: Elements whose inside stands in for what cannot be shown, if they are closed at all.
+MEDIA = frozenset("svg object canvas audio video".split())
 #: Controls count as nodes of their own.
 CONTROL = frozenset("button label option output input".split())
 #: Elements that by themselves mark a region of a page. Those and elements with class, id
@@ -48,7 +50,7 @@ P_SCOPE = frozenset("td th table button html body".split())
 SPACES = re.compile(r"[\s\x00]+")
 TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|$)"
                  r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)|<[!?/][^>]*(?:>|$)", re.S)
-ATTR = re.compile(r"""\b(class|id|role|y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTR = re.compile(r"""(?<![\w-])(class|id|role|y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
 
 
@@ -56,7 +58,7 @@ class Page:
     """Nodes in document order (parents first): parent, depth, features; text runs with
     their node and block; ``marks``: the labels, on training pages."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, labelled: bool = False):
         self.parent, self.depth, self.feats, self.marks = [-1], [0], [("tag:#root",)], [1]
         self.region = [0]  # the nearest region node, itself included
         self.runs: list[list] = []  # node, block, pieces, linked characters
@@ -81,9 +83,7 @@ class Page:
             run[2].append(piece)
             run[3] += len(piece) if links else 0
 
-        for m in TAG.finditer(html):
-            if m.start() < at:
-                continue
+        while m := TAG.search(html, at):  # from the place reached: what a script holds is no tag
             text(html[at:m.start()])
             at = m.end()
             name = m[2] or m[5]
@@ -103,10 +103,10 @@ class Page:
                     if name not in BLOCK and stack[i][0] in BLOCK:
                         break
                 continue
-            if name in RAW:
+            if name in RAW or name in MEDIA:
                 if not attrs.endswith("/"):
                     end = re.compile(rf"</{name}\s*(?:>|$)", re.I).search(html, at)
-                    at = end.end() if end else n
+                    at = end.end() if end else at if name in MEDIA else n
                 continue
             if name == "br":
                 text(" ")
@@ -117,7 +117,8 @@ class Page:
             if attrs and ("=" in attrs):
                 found = ATTR.findall(attrs)
                 words = tuple(f"word:{w}" for k, *v in found if k.lower() != "y" for w in WORD.findall("".join(v).lower()))
-                mark = next((int("".join(v)) for k, *v in found if k == "y"), None)
+                if labelled:
+                    mark = next((int("".join(v)) for k, *v in found if k == "y"), None)
             if name in BLOCK:
                 block, fresh = block + 1, True
                 if name in CLOSED_BY:
@@ -182,7 +183,7 @@ def train(labelled: list[str]) -> tuple[dict[str, float], np.ndarray]:
     """(log odds of each feature, log edge potentials [plain or region child, parent, child]) from marked pages."""
     seen, edge, prior = Counter(), np.ones((2, 2, 2)), np.ones(2)
     for html in labelled:
-        page = Page(html)
+        page = Page(html, labelled=True)
         page.finish()
         y = page.marks
         for i in range(len(y)):
