@@ -221,10 +221,9 @@ def translate(seq, start: int = 2, amino: str = CODE5_AMINO) -> Column:
     """Translate from 1-based ``start`` in complete codons (unknown codons -> X)."""
     s = F.col(seq) if isinstance(seq, str) else seq
     m = F.create_map(*[F.lit(x) for kv in codon_table(amino).items() for x in kv])
-    n = F.floor((F.length(s) - (start - 1)) / 3).cast("int")
-    idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    aa = F.transform(idx, lambda i: F.coalesce(m[F.substring(s, i * 3 + start, 3)], F.lit("X")))
-    return F.array_join(aa, "")
+    # one pass over the text, whatever its length
+    codons = F.regexp_extract_all(F.substring(s, start, 2**31 - 1), F.lit("(?s)..."), F.lit(0))
+    return F.array_join(F.transform(codons, lambda c: F.coalesce(m[c], F.lit("X"))), "")
 
 
 def translate_filter(df: DataFrame, seq: str = "sequence", start: int = 2, out: str = "aa") -> DataFrame:

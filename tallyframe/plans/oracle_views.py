@@ -79,7 +79,8 @@ _ENV = """
 
 _HASH_KEY = """
   SELECT CAST(doc_id AS VARCHAR) AS hash,
-         translate(md5(text), '0123456789abcdef', 'AAAACCCCGGGGTTTT') AS sequence
+         'A' || translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                          'ACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTACGT') AS sequence
   FROM documents
 """
 

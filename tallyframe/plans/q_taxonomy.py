@@ -285,9 +285,10 @@ def _codes_sql() -> str:
 
 @query("t17_translate_filter", f"""
 WITH {_codes_sql()},
-c AS (SELECT hash, sequence, unnest(range(0, (length(sequence) - 1) // 3)) AS i FROM hash_key),
-p AS (SELECT c.hash, c.sequence, string_agg(coalesce(k.aa, 'X'), '' ORDER BY c.i) AS aa
-      FROM c LEFT JOIN codes k ON k.codon = substring(c.sequence, 2 + 3 * c.i, 3) GROUP BY c.hash, c.sequence)
+c AS (SELECT hash, unnest(l) AS codon, generate_subscripts(l, 1) AS i
+      FROM (SELECT hash, regexp_extract_all(substring(sequence, 2), '...') AS l FROM hash_key)),
+q AS (SELECT c.hash, string_agg(coalesce(k.aa, 'X'), '' ORDER BY c.i) AS aa FROM c LEFT JOIN codes k ON k.codon = c.codon GROUP BY c.hash),
+p AS (SELECT h.hash, h.sequence, coalesce(q.aa, '') AS aa FROM hash_key h LEFT JOIN q ON q.hash = h.hash WHERE h.sequence IS NOT NULL)
 SELECT hash, sequence, aa FROM p WHERE NOT contains(aa, '*')""", ("hash_key",))
 def t17(spark, d):
     return T.translate_filter(V.hash_key(spark, d), "sequence", 2)

@@ -118,10 +118,16 @@ def env(spark: SparkSession, d: str) -> DataFrame:
         "salinity")
 
 
+#: The letters of a text as bases, in turn.
+BASE_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+BASES = ("ACGT" * 13)
+
+
 def hash_key(spark: SparkSession, d: str) -> DataFrame:
+    """(hash, sequence): every letter A-Z of the whole text as a base, after one A."""
     doc = table(spark, d, "documents").select("doc_id", "text")
     return doc.select(F.col("doc_id").cast("string").alias("hash"),
-                      F.translate(F.md5("text"), "0123456789abcdef", "AAAACCCCGGGGTTTT").alias("sequence"))
+                      F.concat(F.lit("A"), F.translate(F.regexp_replace("text", "[^A-Za-z]", ""), BASE_LETTERS, BASES)).alias("sequence"))
 
 
 LINEAGE_RANKS = ["kingdom", "phylum", "family", "genus", "species"]
