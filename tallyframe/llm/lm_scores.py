@@ -8,8 +8,10 @@
    up what the common counts give; the rest of the words stay as (hash, times) and meet
    their counts in a join, so every count of the corpus is used, however rare.
 3. Training. A gated recurrent network (``gru``) learns from every training document once,
-   in ``ROUNDS`` parts: in each, replicas start from the same parameters, each trains on the
-   documents of its partition, and their parameters are averaged by tokens.
+   in ``ROUNDS`` parts: in each, replicas start from the same parameters, each trains on its
+   documents, and their parameters are averaged by tokens. Part, replica and order of a document
+   follow from a hash of its id and text, the number of replicas from the corpus' tokens, so
+   the model does not depend on how the input is partitioned or on the session's cores.
 4. Scoring. Each document is scored as a whole, its state carried from window to window.
    An unknown word adds its probability among unknown words, (c + 1) / (N' + V' + 1) with
    the counts outside the vocabulary, so scores are probabilities over all words.
@@ -24,6 +26,8 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +39,8 @@ from ._store import stored
 
 FOLDS, HELD = 7, 2
 COMMON = 1 << 20
+#: Tokens that a replica should learn from in all rounds, and the most replicas.
+REPLICA_TOKENS = 6_000_000
 ROUNDS, REPLICAS = 2, 1024
 END_HASH = np.uint64(1)
 CHUNK_TOKENS = 1 << 19
@@ -103,17 +109,18 @@ def _kept(key, make):
 
 def code(docs: DataFrame, common) -> DataFrame:
     """Tokens as ids and sums (see the module's text): one row per document, with its own
-    ``row``."""
-    schema = ("row bigint, id bigint, held_out boolean, n_tokens bigint, n_common bigint, log_common double, "
+    ``row`` and a ``key`` from its id and text."""
+    token = uuid.uuid4().hex
+    schema = ("row bigint, id bigint, key bigint, held_out boolean, n_tokens bigint, n_common bigint, log_common double, "
               "n_oov bigint, log_oov double, ids binary, rare_h array<bigint>, rare_n array<bigint>")
 
     def run(batches):
         from pyspark import TaskContext
         row = TaskContext.get().partitionId() << 40
-        v = _kept(id(common.value), lambda: Vocabulary(*common.value))
+        v = _kept(token, lambda: Vocabulary(*common.value))
         for batch in batches:
             for part in X.slices(batch, "text", 2_000_000):
-                h, wo = word_hashes(part.column(2))
+                h, wo = word_hashes(part.column(3))
                 n = part.num_rows
                 at = v.table.get(np.append(h, END_HASH))
                 end_at, at = at[-1], at[:-1]
@@ -137,15 +144,15 @@ def code(docs: DataFrame, common) -> DataFrame:
                 times = np.diff(np.append(begin, len(rh)))
                 offs = pa.array(np.searchsorted(rd[begin], np.arange(n + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(row + np.arange(n)), part.column(0), part.column(1), pa.array(lens + 1),
+                    pa.array(row + np.arange(n)), part.column(0), part.column(1), part.column(2), pa.array(lens + 1),
                     pa.array(X.per_doc(known, wo) + int(end_at >= 0)), pa.array(log_sum[wo[1:]] - log_sum[wo[:-1]] + end_log),
                     pa.array(X.per_doc(oov, wo)), pa.array(oov_sum[wo[1:]] - oov_sum[wo[:-1]]),
                     pa.array([raw[2 * a:2 * b] for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
                     pa.ListArray.from_arrays(offs, pa.array(rh[begin].view(np.int64))),
                     pa.ListArray.from_arrays(offs, pa.array(times))],
-                    ["row", "id", "held_out", "n_tokens", "n_common", "log_common", "n_oov", "log_oov", "ids", "rare_h", "rare_n"])
+                    ["row", "id", "key", "held_out", "n_tokens", "n_common", "log_common", "n_oov", "log_oov", "ids", "rare_h", "rare_n"])
                 row += n
-    return docs.select("id", "held_out", "text").mapInArrow(run, schema)
+    return docs.select("id", F.xxhash64("id", "text").alias("key"), "held_out", "text").mapInArrow(run, schema)
 
 
 def _documents(column):
@@ -166,33 +173,61 @@ def _chunks(batches, column: int):
             i = j
 
 
-def train(coded: DataFrame, params: np.ndarray) -> np.ndarray:
+def _by_replica(batches):
+    """(replica, binary array of about CHUNK_TOKENS tokens) of rows that come sorted by replica,
+    cut alike whatever the batches are."""
+    now, held, size = None, [], 0
+    for batch in batches:
+        for replica, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
+            n = len(ids.as_buffer()) // 2
+            if held and (replica != now or size + n > CHUNK_TOKENS):
+                yield now, held
+                held, size = [], 0
+            now = replica
+            held.append(ids)
+            size += n
+    if held:
+        yield now, held
+
+
+def train(coded: DataFrame, params: np.ndarray, tokens: int) -> np.ndarray:
     """Parameters after every training row was learnt from once."""
     spark = coded.sparkSession
     size = len(params)
-    replicas = min(REPLICAS, 2 * spark.sparkContext.defaultParallelism)
+    replicas = max(1, min(REPLICAS, -(-tokens // REPLICA_TOKENS)))
     for part in range(ROUNDS):
         now = spark.sparkContext.broadcast(params)
 
         def run(batches, now=now):
-            t = gru.Trainer(gru.shaped(now.value))
-            for chunk in _chunks(batches, 0):
-                t.learn(*_documents(chunk.column(0)))
-            if t.tokens:
+            def out():
                 v = gru.flat(t.p)
                 cut = range(0, size, BLOCK)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(range(len(cut)), pa.int32()), pa.array([t.tokens] * len(cut), pa.int64()),
-                    pa.array([v[i:i + BLOCK].tobytes() for i in cut], pa.binary())], ["block", "tokens", "v"])
+                return pa.RecordBatch.from_arrays([
+                    pa.array(range(len(cut)), pa.int32()), pa.array([replica] * len(cut), pa.int32()), pa.array([t.tokens] * len(cut), pa.int64()),
+                    pa.array([v[i:i + BLOCK].tobytes() for i in cut], pa.binary())], ["block", "replica", "tokens", "v"])
+
+            replica, t = None, None
+            for own, chunk in _by_replica(batches):
+                if own != replica:
+                    if t is not None:
+                        yield out()
+                    replica, t = own, gru.Trainer(gru.shaped(now.value))
+                t.learn(*_documents(chunk))
+            if t is not None:
+                yield out()
 
         def mean(table: pa.Table) -> pa.Table:  # a block of each replica: REPLICAS x 32 KB at most
+            table = table.sort_by("replica")
             w = np.array(table.column("tokens").to_pylist(), np.float64)
             v = np.stack([np.frombuffer(x, np.float32) for x in table.column("v").to_pylist()])
             out = ((v * w[:, None]).sum(axis=0) / w.sum()).astype(np.float32)
             return pa.table({"block": table.column("block")[:1], "v": pa.array([out.tobytes()], pa.binary())})
 
-        rows = coded.where((~F.col("held_out")) & (F.pmod(F.xxhash64("row"), F.lit(ROUNDS)) == part)).select("ids")
-        got = rows.coalesce(replicas).mapInArrow(run, "block int, tokens bigint, v binary") \
+        mark = F.xxhash64("key")
+        rows = coded.where((~F.col("held_out")) & (F.pmod(mark, F.lit(ROUNDS)) == part)) \
+            .select(F.pmod(F.shiftright(mark, 8), F.lit(replicas)).cast("int").alias("replica"), "key", "ids")
+        got = rows.repartition(replicas, "replica").sortWithinPartitions("replica", "key").select("replica", "ids") \
+            .mapInArrow(run, "block int, replica int, tokens bigint, v binary") \
             .groupBy("block").applyInArrow(mean, "block int, v binary").collect()  # one model's size
         if got:
             params = np.concatenate([np.frombuffer(r.v, np.float32) for r in sorted(got, key=lambda r: r.block)])
@@ -224,7 +259,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     log_oov = float(np.log10(n - c[inside].sum() + v - inside.sum() + 1))
 
     coded = stored(code(d, common), "coded")
-    params = train(coded, gru.flat(gru.start(freq)))
+    params = train(coded, gru.flat(gru.start(freq)), n)
     model = spark.sparkContext.broadcast(params)
 
     def score(batches):
