@@ -1,19 +1,20 @@
 """Occupancy: detection histories, presence patterns and a grid posterior.
 
 The reference fits a Bayesian site-occupancy model once per distinct detection
-pattern (an MCMC sampler). Here the posterior is integrated on a regular grid of
-(psi, p11, p10): every pattern row expands into the grid with ``explode``, the
-log-likelihood is a column expression of the pattern counts, and posterior medians
-come from cumulative marginal weights. Work is per distinct pattern, then joined
-back to every hash with that pattern.
+pattern (an MCMC sampler). Here the posterior is integrated on a grid of (psi, p11,
+p10) that is laid again, several times, on the box that holds the pattern's mass;
+posterior medians are read off the last grid's marginals. Work is per distinct pattern,
+spread over the tasks, then joined back to every hash with that pattern.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import as_list, with_group_agg
+from ._util import as_list
 
 
 def detection_histories(df: DataFrame, sample: str = "sample", hash: str = "hash",
@@ -58,39 +59,60 @@ def pattern_representatives(patterns: DataFrame, hash: str = "hash") -> DataFram
             .select("pattern", *cols, *[F.col("__b")[c].alias(c) for c in which]))
 
 
-def _grid(g: int, lo: float = 0.0, hi: float = 1.0) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.lit(g)), lambda i: F.lit(lo) + (i - 0.5) * (hi - lo) / g)
+#: Mass that each end of a parameter may leave outside the next grid's box.
+TAIL = 1e-5
+
+
+def _posterior_medians(n: np.ndarray, grid: int, p10_beta: float, p11_min: float, rounds: int) -> np.ndarray:
+    """Medians (psi, p11, p10) of each row of pattern counts ``n`` (n0..nK)."""
+    rows, K = len(n), n.shape[1] - 1
+    lo = np.tile([0.0, p11_min, 0.0], (rows, 1))
+    hi = np.ones((rows, 3))
+    least, most = lo.copy(), hi.copy()
+    mid = np.arange(grid) + 0.5
+    for r in range(rounds):
+        step = (hi - lo) / grid
+        psi, p11, p10 = ((lo[:, k, None] + mid * step[:, k, None]).reshape(rows, *shape)
+                         for k, shape in enumerate([(grid, 1, 1), (1, grid, 1), (1, 1, grid)]))
+        lp = (p10_beta - 1) * np.log(1 - p10)
+        for y in range(K + 1):
+            lp = lp + n[:, y, None, None, None] * np.log(
+                psi * p11**y * (1 - p11)**(K - y) + (1 - psi) * p10**y * (1 - p10)**(K - y))
+        w = np.exp(lp - lp.max(axis=(1, 2, 3), keepdims=True))
+        w /= w.sum(axis=(1, 2, 3), keepdims=True)
+        m = np.stack([w.sum(axis=(2, 3)), w.sum(axis=(1, 3)), w.sum(axis=(1, 2))], 1)
+        c = m.cumsum(axis=2)
+        if r == rounds - 1:
+            cell = (c < 0.5).sum(axis=2).clip(max=grid - 1)
+            at = lambda x: np.take_along_axis(x, cell[:, :, None], 2)[:, :, 0]
+            return lo + (cell + 1 - (at(c) - 0.5) / at(m)) * step
+        # from the cell where the lower tail ends to the one where the upper begins, and one more
+        first, last = (c <= TAIL).sum(axis=2), (c < 1 - TAIL).sum(axis=2)
+        lo, hi = np.maximum(least, lo + (first - 1) * step), np.minimum(most, lo + (last + 2) * step)
 
 
 def occupancy_fit(patterns: DataFrame, K: int = 3, grid: int = 20, p10_beta: float = 50.0,
-                  p11_min: float = 0.01) -> DataFrame:
+                  p11_min: float = 0.01, rounds: int = 4) -> DataFrame:
     """Posterior medians of psi, p11, p10 for each distinct pattern.
 
-    Priors psi ~ U(0,1), p11 ~ U(p11_min, 1), p10 ~ Beta(1, p10_beta), evaluated at
-    the midpoints of ``grid`` cells per parameter. Output (pattern, psi, p11, p10).
+    Priors psi ~ U(0,1), p11 ~ U(p11_min, 1), p10 ~ Beta(1, p10_beta). Each of ``rounds``
+    grids has ``grid`` cells a parameter; the first covers the priors, each next one the
+    cells that hold all but ``TAIL`` of a parameter's mass at either end (and a cell more).
+    Medians lie where the last grid's marginal, even inside a cell, reaches one half.
+    Output (pattern, psi, p11, p10).
     """
     ncols = [f"n{y}" for y in range(K + 1)]
-    p = patterns.select("pattern", *ncols).distinct()
-    p = (p.withColumn("psi", F.explode(_grid(grid)))
-         .withColumn("p11", F.explode(_grid(grid, p11_min, 1.0)))
-         .withColumn("p10", F.explode(_grid(grid))))
-    psi, p11, p10 = F.col("psi"), F.col("p11"), F.col("p10")
-    ll = F.lit(0.0)
-    for y in range(K + 1):
-        L = psi * F.pow(p11, y) * F.pow(1 - p11, K - y) + (1 - psi) * F.pow(p10, y) * F.pow(1 - p10, K - y)
-        ll = ll + F.col(f"n{y}") * F.log(L)
-    lp = ll + (p10_beta - 1) * F.log(1 - p10)
-    p = p.withColumn("__lp", lp)
-    p = with_group_agg(p, "pattern", __mx=F.max("__lp")).withColumn("__w", F.exp(F.col("__lp") - F.col("__mx")))
-    out = None
-    for par in ("psi", "p11", "p10"):
-        m = p.groupBy("pattern", par).agg(F.sum("__w").alias("__m"))
-        w = Window.partitionBy("pattern").orderBy(par).rowsBetween(Window.unboundedPreceding, 0)
-        m = m.withColumn("__c", F.sum("__m").over(w))
-        m = with_group_agg(m, "pattern", __t=F.sum("__m"))
-        med = m.where(F.col("__c") >= 0.5 * F.col("__t")).groupBy("pattern").agg(F.min(par).alias(par))
-        out = med if out is None else out.join(med, "pattern")
-    return out
+    tasks = int(patterns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = patterns.select("pattern", *[F.col(c).cast("double") for c in ncols]).distinct().repartition(tasks, "pattern")
+    some = max(1, 2**18 // grid**3)  # patterns at once, so that a task holds a few MB
+
+    def fit(batches):
+        for pdf in batches:
+            n = pdf[ncols].to_numpy()
+            med = [_posterior_medians(n[i:i + some], grid, p10_beta, p11_min, rounds) for i in range(0, len(n), some)]
+            med = np.concatenate(med) if med else np.zeros((0, 3))
+            yield pd.DataFrame({"pattern": pdf["pattern"], "psi": med[:, 0], "p11": med[:, 1], "p10": med[:, 2]})
+    return p.mapInPandas(fit, "pattern string, psi double, p11 double, p10 double")
 
 
 def prob_occupancy(x, psi, p11, p10, K: int = 3) -> Column:

@@ -12,8 +12,9 @@ from . import oracle_chain  # noqa: F401
 from .oracle_views import VIEWS
 from .registry import query
 
-GRID = 10
-ATTEMPT_GRIDS = (6, 8, 10)
+GRID = 20
+ATTEMPT_GRIDS = (20, 24, 28)
+ROUNDS = 4
 K = 3
 
 
@@ -29,30 +30,43 @@ def patterns(spark, d):
 
 
 def fit(spark, d, grid=GRID):
-    f = O.occupancy_fit(patterns(spark, d), K, grid)
+    f = O.occupancy_fit(patterns(spark, d), K, grid, rounds=ROUNDS)
     reps = O.pattern_representatives(patterns(spark, d)).select("pattern", O.max_detections(K).alias("x"))
     return f.join(reps, "pattern").withColumn("prob", O.prob_occupancy("x", "psi", "p11", "p10", K))
 
 
 def _fit_sql(g: int) -> str:
-    grid = f"(SELECT (CAST(i AS DOUBLE) - 0.5) * 1.0 / {g} AS v FROM range(1, {g + 1}) t(i))"
-    grid11 = f"(SELECT 0.01 + (CAST(i AS DOUBLE) - 0.5) * CAST(0.99 AS DOUBLE) / {g} AS v FROM range(1, {g + 1}) t(i))"
     ll = " + ".join(
         f"n{y} * ln(psi * pow(p11, {y}) * pow(1 - p11, {K - y}) + (1 - psi) * pow(p10, {y}) * pow(1 - p10, {K - y}))"
         for y in range(K + 1))
-    meds = []
-    for par in ("psi", "p11", "p10"):
-        meds.append(f"""
-      m_{par} AS (SELECT pattern, min({par}) AS {par} FROM (
-        SELECT pattern, {par}, sum(m) OVER (PARTITION BY pattern ORDER BY {par}) AS c, sum(m) OVER (PARTITION BY pattern) AS t
-        FROM (SELECT pattern, {par}, sum(w) AS m FROM w GROUP BY pattern, {par})) WHERE c >= 0.5 * t GROUP BY pattern)""")
+    pars = {"psi": 0.0, "p11": 0.01, "p10": 0.0}
+    parts = ["pt AS (SELECT DISTINCT pattern, n0, n1, n2, n3 FROM pats)",
+             "box0 AS (SELECT *, " + ", ".join(f"CAST({lo} AS DOUBLE) AS lo_{p}, CAST(1 AS DOUBLE) AS hi_{p}"
+                                              for p, lo in pars.items()) + " FROM pt)"]
+    for r in range(ROUNDS):
+        parts.append(f"""lp{r} AS MATERIALIZED (SELECT *, {ll} + 49.0 * ln(1 - p10) AS lp FROM (
+          SELECT b.*, a.i AS i_psi, d.i AS i_p11, e.i AS i_p10, lo_psi + (a.i + 0.5) * (hi_psi - lo_psi) / {g} AS psi,
+                 lo_p11 + (d.i + 0.5) * (hi_p11 - lo_p11) / {g} AS p11, lo_p10 + (e.i + 0.5) * (hi_p10 - lo_p10) / {g} AS p10
+          FROM box{r} b, range({g}) a(i), range({g}) d(i), range({g}) e(i)))""")
+        parts.append(f"w{r} AS MATERIALIZED (SELECT l.*, exp(lp - mx) AS w FROM lp{r} l "
+                     f"JOIN (SELECT pattern, max(lp) AS mx FROM lp{r} GROUP BY pattern) USING (pattern))")
+        for p, lo in pars.items():
+            cum = f"""SELECT pattern, i, lo, step, m / t AS m, c / t AS c FROM (
+              SELECT *, sum(m) OVER (PARTITION BY pattern ORDER BY i) AS c, sum(m) OVER (PARTITION BY pattern) AS t FROM (
+                SELECT pattern, i_{p} AS i, any_value(lo_{p}) AS lo, any_value((hi_{p} - lo_{p}) / {g}) AS step, sum(w) AS m
+                FROM w{r} GROUP BY pattern, i_{p}))"""
+            if r == ROUNDS - 1:
+                parts.append(f"""m_{p} AS (SELECT pattern, min_by(lo + (i + 1 - (c - 0.5) / m) * step, i) AS {p} FROM ({cum})
+                  WHERE c >= 0.5 GROUP BY pattern)""")
+            else:
+                parts.append(f"""n{r}_{p} AS (SELECT pattern,
+                  greatest({lo}, any_value(lo) + (count_if(c <= 1e-5) - 1) * any_value(step)) AS lo_{p},
+                  least(1.0, any_value(lo) + (count_if(c < 1 - 1e-5) + 2) * any_value(step)) AS hi_{p}
+                  FROM ({cum}) GROUP BY pattern)""")
+        if r < ROUNDS - 1:
+            parts.append(f"box{r + 1} AS (SELECT * FROM pt " + " ".join(f"JOIN n{r}_{p} USING (pattern)" for p in pars) + ")")
     return f"""(
-      WITH pt AS (SELECT DISTINCT pattern, n0, n1, n2, n3 FROM pats),
-      lp AS (SELECT pattern, a.v AS psi, b.v AS p11, c.v AS p10,
-                    0.0 + {ll} + 49.0 * ln(1 - c.v) AS lp
-             FROM pt, {grid} a, {grid11} b, {grid} c),
-      w AS (SELECT *, exp(lp - max(lp) OVER (PARTITION BY pattern)) AS w FROM lp),
-      {",".join(meds)},
+      WITH {", ".join(parts)},
       rep AS (SELECT pattern, CASE WHEN max(n3) > 0 THEN 3 WHEN max(n2) > 0 THEN 2 WHEN max(n1) > 0 THEN 1 ELSE 0 END AS x
               FROM pt GROUP BY pattern)
       SELECT m_psi.pattern, psi, p11, p10, x,
@@ -107,7 +121,7 @@ def d14(spark, d):
 @query("d15_occupancy_fit", """
 SELECT pattern, round(psi, 6) AS psi, round(p11, 6) AS p11, round(p10, 6) AS p10 FROM occfit""", ("occfit",))
 def d15(spark, d):
-    return round_cols(O.occupancy_fit(patterns(spark, d), K, GRID), ["psi", "p11", "p10"])
+    return round_cols(O.occupancy_fit(patterns(spark, d), K, GRID, rounds=ROUNDS), ["psi", "p11", "p10"])
 
 
 @query("d16_prob_occupancy", "SELECT pattern, x, round(prob, 6) AS prob FROM occfit", ("occfit",))
@@ -117,9 +131,9 @@ def d16(spark, d):
 
 @query("d17_attempt_summary", "WITH " + ",\n".join(
     f"f{g} AS (SELECT pattern, prob FROM {_fit_sql(g)})" for g in ATTEMPT_GRIDS) + """
-SELECT pattern, round((f6.prob + f8.prob + f10.prob) / 3, 6) AS mean,
-       round(list_sort([f6.prob, f8.prob, f10.prob])[2], 6) AS median, round(greatest(f6.prob, f8.prob, f10.prob), 6) AS max
-FROM f6 JOIN f8 USING (pattern) JOIN f10 USING (pattern)""", ("pats",))
+SELECT pattern, round((a.prob + b.prob + c.prob) / 3, 6) AS mean,
+       round(list_sort([a.prob, b.prob, c.prob])[2], 6) AS median, round(greatest(a.prob, b.prob, c.prob), 6) AS max
+""" + "FROM f{} a JOIN f{} b USING (pattern) JOIN f{} c USING (pattern)".format(*ATTEMPT_GRIDS), ("pats",))
 def d17(spark, d):
     fits = None
     for g in ATTEMPT_GRIDS:

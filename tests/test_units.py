@@ -382,3 +382,14 @@ def test_hodges_lehmann_exact(spark, band_rows):
     df = spark.createDataFrame(rows, "key string, grp string, v double")
     got = M.hodges_lehmann(df, "key", "grp", "v", "a", "b", band_rows=band_rows).first()["hl"]
     assert got == pytest.approx(float(np.median(np.subtract.outer(x, y).ravel())), abs=1e-9)
+
+
+def test_occupancy_medians_settle_and_follow_long_runs_of_bottles():
+    n = np.array([[10, 0, 0, 0], [7, 1, 1, 1], [0, 0, 0, 10], [70000, 200, 9000, 20800], [0, 0, 0, 0]], float)
+    a, b = (O._posterior_medians(n, g, 50.0, 0.01, 4) for g in (20, 40))
+    assert np.abs(a - b).max() < 2e-3
+    # without bottles the priors' medians come back
+    assert np.allclose(b[4], [0.5, 0.505, 1 - 0.5 ** (1 / 50)], atol=2e-3)
+    # many bottles: psi, p11 and p10 are those that made the pattern (p11 = 0.87, psi = 0.31)
+    psi, p11 = b[3, :2]
+    assert abs(psi - 0.3) < 0.01 and abs(p11 - (200 + 2 * 9000 + 3 * 20800) / 3 / 30000) < 0.01
