@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators._util import as_list, union_all
+from ..operators._util import as_list
 
 
 def read_runs(spark: SparkSession, root: str, file_name: str, schema=None,
@@ -20,19 +22,31 @@ def read_runs(spark: SparkSession, root: str, file_name: str, schema=None,
 
 
 def read_union(spark: SparkSession, paths, cols, sep: str = ",") -> DataFrame:
-    """CSVs whose headers differ: read each, keep ``cols`` (missing ones null),
-    union by name. Each file keeps its path in ``source_file``."""
-    parts = []
-    for p in as_list(paths):
-        df = spark.read.option("header", "true").option("sep", sep).option("nullValue", "NA").csv(p)
-        have = [c for c in cols if c in df.columns]
-        df = df.select(*have, F.col("_metadata.file_path").alias("source_file"))
-        parts.append(df)
-    out = union_all(parts)
-    for c in cols:
-        if c not in out.columns:
-            out = out.withColumn(c, F.lit(None).cast("string"))
-    return out.select(*cols, "source_file")
+    """CSVs whose headers differ, as one table of ``cols`` (missing ones null). Each
+    row keeps its file's path in ``source_file``.
+
+    One job over all files finds every header: the first line with text of a file's first
+    block. The values are read by position in one scan and meet a table of one row per file,
+    which says where each wanted column stands there. Of two columns with one name in a
+    header the first counts; files without a header have no rows; short rows end in nulls.
+    """
+    paths = as_list(paths)
+    first = (spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("source_file"),
+                                           F.col("_metadata.file_block_start").alias("__at"))
+             .where((F.col("__at") == 0) & (F.trim("value") != ""))
+             .withColumn("__line", F.monotonically_increasing_id())  # in order inside a block
+             .groupBy("source_file").agg(F.min_by("value", "__line").alias("header")))
+    width = first.agg(F.max(F.size(F.split("header", re.escape(sep), -1)))).first()[0] or 1
+    fields = ", ".join(f"`{i}` string" for i in range(width))
+    names = F.from_csv(F.regexp_replace("header", "^\ufeff", ""), fields, {"sep": sep})
+    where = first.select("source_file", F.array(*[names[str(i)] for i in range(width)]).alias("__h"))
+    where = where.select("source_file", *[F.array_position("__h", c).alias(f"__p{i}") for i, c in enumerate(cols)])
+    values = (spark.read.schema(fields).option("header", "true").option("sep", sep).option("nullValue", "NA").csv(paths)
+              .select(F.array(*[F.col(f"`{i}`") for i in range(width)]).alias("__v"),
+                      F.col("_metadata.file_path").alias("source_file")))
+    return values.join(where, "source_file").select(
+        *[F.try_element_at("__v", F.nullif(F.col(f"__p{i}"), F.lit(0)).cast("int")).alias(c) for i, c in enumerate(cols)],
+        "source_file")
 
 
 def read_table(spark: SparkSession, path: str, schema, sep: str = ",", header: bool = True,

@@ -1,35 +1,32 @@
 """T16 as a stream: classify only keys not seen before and append the results.
 
-New key files arriving in ``source_dir`` are read with Structured Streaming; each
-micro-batch is anti-joined with the result table (``new_keys``), looked up in the
-classifier table and appended (``append_results``). The checkpoint folder makes the
-stream restartable after executor or driver loss. A batch that runs again after a failure
-appends nothing twice: its keys are in the result table by then and drop out.
+Key files arriving in ``source_dir`` are read with Structured Streaming. The keys seen so
+far are keyed state in the state store (``dropDuplicates``), so a batch costs what its own
+files hold, however many results there are. New keys are looked up in the classifier table
+and go to Parquet files through Spark's file sink, whose log commits each epoch once: an
+epoch that runs again after a failure, or a restart from ``checkpoint_dir``, adds nothing
+twice. For many keys choose the RocksDB state store of the session
+(``spark.sql.streaming.stateStore.providerClass``).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.taxonomy import new_keys
-
 
 def classify_new_keys(spark: SparkSession, source_dir: str, key_schema: str, classifier: DataFrame,
-                      results_dir: str, checkpoint_dir: str, key: str = "hash"):
+                      results_dir: str, checkpoint_dir: str, key: str = "hash",
+                      previous: DataFrame | None = None):
     """Start (and return) the streaming query; ``trigger(availableNow=True)`` drains
-    the files present now and stops."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(results_dir)  # any store Spark can reach
-    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def batch(df: DataFrame, epoch: int) -> None:
-        s = df.sparkSession
-        if store.exists(path) and any(f.getPath().getName().endswith(".parquet") for f in store.listStatus(path)):
-            done = s.read.parquet(results_dir).select(key)
-        else:
-            done = s.createDataFrame([], f"{key} string")
-        fresh = new_keys(df, done, key)
-        fresh.join(classifier, key, "left").write.mode("append").parquet(results_dir)
-
-    stream = spark.readStream.schema(key_schema).parquet(source_dir)
-    return (stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint_dir)
-            .trigger(availableNow=True).start())
+    the files present now and stops.
+
+    ``previous`` holds results from before the stream (a fixed table, kept elsewhere: the
+    sink owns ``results_dir``); its keys are left out. A key without a row in the classifier
+    gets nulls, one with several rows all of them; a null key counts as one key.
+    """
+    keys = spark.readStream.schema(key_schema).parquet(source_dir).select(key)
+    if previous is not None:
+        keys = keys.join(previous.select(key), key, "left_anti")
+    fresh = keys.dropDuplicates([key]).join(classifier, key, "left")
+    return (fresh.writeStream.format("parquet").outputMode("append").option("path", results_dir)
+            .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())

@@ -307,6 +307,51 @@ def test_incremental_stream_classifies_each_key_once(spark, tmpdir_path):
     assert got == [("h1", "F1"), ("h2", "F2"), ("h3", "F3")]
 
 
+def test_stream_state_survives_repeated_epochs_and_previous_results(spark, tmpdir_path):
+    from tallyframe.streaming.incremental import classify_new_keys
+    src, res, ck = (os.path.join(tmpdir_path, x) for x in ("src", "res", "ck"))
+    cls = spark.createDataFrame([("h1", "F1"), ("h2", "F2")], "hash string, family string")
+    old = spark.createDataFrame([("h0", "F0")], "hash string, family string")
+
+    def arrive(name, keys):
+        spark.createDataFrame([(k,) for k in keys], "hash string").write.parquet(os.path.join(src, name))
+        classify_new_keys(spark, src + "/*", "hash string", cls, res, ck, previous=old).awaitTermination()
+        return sorted(((r["hash"], r["family"]) for r in spark.read.parquet(res).collect()), key=str)
+
+    assert arrive("b1", ["h1", "h1", "h0"]) == [("h1", "F1")]
+    want = [("h1", "F1"), ("h2", "F2"), ("h3", None), (None, None)]
+    assert sorted(arrive("b2", ["h2", "h3", None, None, "h1"]), key=str) == sorted(want, key=str)
+    # the last epoch runs again, as after a failure between its output and its commit
+    commits = os.path.join(ck, "commits")
+    last = max(int(f) for f in os.listdir(commits) if f.isdigit())
+    for f in (f"{last}", f".{last}.crc"):
+        if os.path.exists(os.path.join(commits, f)):
+            os.remove(os.path.join(commits, f))
+    assert sorted(arrive("b3", ["h3", "h2"]), key=str) == sorted(want, key=str)
+    for i in range(3):  # batches of known keys only
+        arrive(f"c{i}", ["h1", "h2"])
+    assert sorted(arrive("d", ["h4"]), key=str) == sorted([*want, ("h4", None)], key=str)
+
+
+def test_union_of_many_headers(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "many")
+    os.makedirs(d)
+    files = {"a.csv": "\n\nx,y,z\n1,2,3\n4,NA\n", "b.csv": 'z,"q,r",x\n9,"8,8",7\n', "c.csv": "\ufeffx\n5\n", "d.csv": "",
+             "e.csv": "y,x,x\n", "f.csv": "k\n1\n"}
+    for name, text in files.items():
+        open(os.path.join(d, name), "w").write(text)
+    for i in range(40):
+        open(os.path.join(d, f"m{i:02d}.csv"), "w").write("w," * (i % 5) + "x,y\n" + "0," * (i % 5) + f"x{i},y{i}\n")
+    got = {}
+    for r in S.read_union(spark, d, ["x", "y", "q,r"]).collect():
+        got.setdefault(os.path.basename(r["source_file"]), []).append((r["x"], r["y"], r["q,r"]))
+    assert sorted(got.pop("a.csv")) == [("1", "2", None), ("4", None, None)]
+    assert got.pop("b.csv") == [("7", None, "8,8")] and got.pop("c.csv") == [("5", None, None)]
+    assert got.pop("f.csv") == [(None, None, None)]
+    assert got == {f"m{i:02d}.csv": [(f"x{i}", f"y{i}", None)] for i in range(40)}
+    assert S.read_union(spark, os.path.join(d, "d.csv"), ["x"]).count() == 0
+
+
 def test_prefix_sum_spans_partitions(spark):
     from tallyframe.operators._util import prefix_sum
     rows = [("k", float(i), 1) for i in range(100)] + [("j", float(i), 2) for i in range(10)]
