@@ -75,34 +75,40 @@ def lanes(ids: np.ndarray, bounds: np.ndarray, most: int = LANES):
 
 
 def _run(p, given, fresh, h, keep):
-    """Hidden states of a window; with ``keep`` also what the way back needs. The reset and
-    update gates come from one tanh: 1 / (1 + exp(-x)) = (1 + tanh(x / 2)) / 2."""
+    """Hidden states of a window, one row per step and lane, and the last state; with ``keep``
+    also what the way back needs. Inside, features come before lanes, so that the gates of a
+    step are whole blocks of memory. The reset and update gates come from one tanh:
+    1 / (1 + exp(-x)) = (1 + tanh(x / 2)) / 2; their weights are halved beforehand."""
     steps, width = given.shape
-    x = p["emb"][given.ravel()]
-    xg = (x @ p["wx"] + p["b"]).reshape(steps, width, 3 * HIDDEN)
-    out = np.empty((steps, width, HIDDEN), np.float32)
-    saved, two, half = [], 2 * HIDDEN, np.float32(0.5)
-    resets = fresh.any(axis=1)
-    wh = p["wh"]
+    two, half = 2 * HIDDEN, np.float32(0.5)
+    scale = np.repeat(np.array([0.5, 1], np.float32), [two, HIDDEN])[:, None]
+    x = np.ascontiguousarray(p["emb"].T)[:, given].transpose(1, 0, 2)
+    gates = np.matmul(p["wx"].T * scale, x)
+    gates += p["b"][:, None] * scale
+    wht = p["wh"].T * scale
+    out = np.empty((steps, HIDDEN, width), np.float32)
+    hg = np.empty((steps if keep else 1, 3 * HIDDEN, width), np.float32)
+    resets, first = fresh.any(axis=1).tolist(), h
     for t in range(steps):
         if resets[t]:
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-        hg = h @ wh
-        rz = xg[t, :, :two] + hg[:, :two]
-        rz *= half
+            h = np.where(fresh[t], np.float32(0), h)
+        g, rz, n = hg[t if keep else 0], gates[t, :two], gates[t, two:]
+        np.matmul(wht, h, out=g)
+        rz += g[:two]
         np.tanh(rz, out=rz)
         rz += 1
         rz *= half
-        hn = hg[:, two:]
-        n = rz[:, :HIDDEN] * hn
-        n += xg[t, :, two:]
+        n += rz[:HIDDEN] * g[two:]
         np.tanh(n, out=n)
-        if keep:
-            saved.append((h, rz, n, hn))
         h = np.subtract(h, n, out=out[t])
-        h *= rz[:, HIDDEN:]
+        h *= rz[HIDDEN:]
         h += n
-    return out, h, x, saved
+    saved = None
+    if keep:
+        before = np.concatenate([first[None], out[:-1]])
+        before.transpose(0, 2, 1)[fresh] = 0
+        saved = x, before, gates, hg[:, two:]
+    return out.transpose(0, 2, 1).reshape(-1, HIDDEN), h, saved
 
 
 def _exp_sum(a):
@@ -117,42 +123,43 @@ def _exp_sum(a):
 def _output(p, hs, target, grad):
     """Log probabilities of targets; with ``grad`` also gradients of their negative sum."""
     n = len(target)
-    # everything in order of class: one slice for each class
+    # everything in order of class: one slice for each class; a last column of ones carries the biases
     order = np.argsort((target // WIDTH).astype(np.uint8), kind="stable")
-    hs_o, target_o = hs[order], target[order]
+    hs_o, target_o = np.ones((n, HIDDEN + 1), np.float32), target[order]
+    hs_o[:, :HIDDEN] = hs[order]
+    wo = np.concatenate([p["wo"], p["bo"][:, :, None]], axis=2)
     cls, word = target_o // WIDTH, target_o % WIDTH
     sizes = np.bincount(cls, minlength=CLASSES)
-    ends = np.cumsum(sizes)
+    ends = np.cumsum(sizes).tolist()
+    here = [(c, ends[c] - k, ends[c]) for c, k in enumerate(sizes.tolist()) if k]
     rows = np.arange(n)
-    pc = hs_o @ p["wc"]
-    pc += p["bc"]
+    pc = hs_o @ np.concatenate([p["wc"], p["bc"][None, :]])
     total = _exp_sum(pc)
     logp = np.log(pc[rows, cls] / total)
     lw = np.empty((n, WIDTH), np.float32)
-    for c in np.flatnonzero(sizes):
-        np.matmul(hs_o[ends[c] - sizes[c]:ends[c]], p["wo"][c].T, out=lw[ends[c] - sizes[c]:ends[c]])
-    lw += p["bo"][cls]
+    for c, a, b in here:
+        np.matmul(hs_o[a:b], wo[c].T, out=lw[a:b])
     total_w = _exp_sum(lw)
-    logp += np.log(lw[rows, word] / total_w)
+    at_word = lw[rows, word] / total_w
+    logp += np.log(at_word)
     back = np.empty_like(logp)
     back[order] = logp
     if not grad:
         return back, None, None
-    g = {"wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
-    lw /= total_w[:, None]
-    lw[rows, word] -= 1
-    pc /= total[:, None]
+    g_wo, dh_w = np.zeros_like(wo), np.empty((n, HIDDEN), np.float32)
+    lw *= (1 / total_w)[:, None]
+    lw[rows, word] = at_word - 1
+    pc *= (1 / total)[:, None]
     pc[rows, cls] -= 1
-    dh_o = pc @ p["wc"].T
-    ones = np.ones(n, np.float32)
-    for c in np.flatnonzero(sizes):
-        a, b = ends[c] - sizes[c], ends[c]
+    for c, a, b in here:
         q = lw[a:b]
-        g["wo"][c], g["bo"][c] = q.T @ hs_o[a:b], ones[a:b] @ q
-        dh_o[a:b] += q @ p["wo"][c]
-    dh = np.empty_like(hs)
-    dh[order] = dh_o
-    g["wc"], g["bc"] = hs_o.T @ pc, ones @ pc
+        np.matmul(q.T, hs_o[a:b], out=g_wo[c])
+        np.matmul(q, p["wo"][c], out=dh_w[a:b])
+    dh_w += pc @ p["wc"].T
+    dh = np.empty((n, HIDDEN), np.float32)
+    dh[order] = dh_w
+    g_wc = hs_o.T @ pc
+    g = {"wo": g_wo[:, :, :HIDDEN], "bo": g_wo[:, :, HIDDEN], "wc": g_wc[:HIDDEN], "bc": g_wc[HIDDEN]}
     return back, dh, g
 
 
@@ -162,17 +169,17 @@ def log10_probs(p, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     if len(ids) == 0:
         return out
     given, target, doc, fresh = lanes(ids, bounds)
-    h = np.zeros((given.shape[1], HIDDEN), np.float32)
+    h = np.zeros((HIDDEN, given.shape[1]), np.float32)
     for t in range(0, len(given), SCORE_WINDOW):
         w = slice(t, t + SCORE_WINDOW)
-        hs, h, _, _ = _run(p, given[w], fresh[w], h, False)
+        hs, h, _ = _run(p, given[w], fresh[w], h, False)
         d = doc[w].ravel()
         use = np.flatnonzero(d >= 0)
-        logp, _, _ = _output(p, hs.reshape(-1, HIDDEN)[use], target[w].ravel()[use], False)
+        logp, _, _ = _output(p, hs[use], target[w].ravel()[use], False)
         out += np.bincount(d[use], weights=logp, minlength=len(out))
         if len(use) * 4 < len(d):  # most lanes are done: go on with the others
             left = (doc[t + SCORE_WINDOW:] >= 0).any(axis=0)
-            given, target, doc, fresh, h = given[:, left], target[:, left], doc[:, left], fresh[:, left], h[left]
+            given, target, doc, fresh, h = given[:, left], target[:, left], doc[:, left], fresh[:, left], h[:, left]
             if not left.any():
                 break
     return out / np.log(10)
@@ -189,7 +196,9 @@ class Trainer:
     def _step(self, k, g, rows=None):
         if rows is None:
             self.sq[k] += g * g
-            self.p[k] -= RATE * g / np.sqrt(self.sq[k])
+            g *= RATE
+            g /= np.sqrt(self.sq[k])
+            self.p[k] -= g
         else:
             self.sq[k][rows] += g * g
             self.p[k][rows] -= RATE * g / np.sqrt(self.sq[k][rows])
@@ -199,53 +208,52 @@ class Trainer:
             return
         given, target, doc, fresh = lanes(ids, bounds)
         self.tokens += len(ids)
-        h = np.zeros((given.shape[1], HIDDEN), np.float32)
+        h = np.zeros((HIDDEN, given.shape[1]), np.float32)
         for t in range(0, len(given), WINDOW):
             w = slice(t, t + WINDOW)
             if (doc[w] >= 0).sum() * 4 < doc[w].size:
                 left = (doc[t:] >= 0).any(axis=0)
                 if not left.any():
                     break
-                given, target, doc, fresh, h = given[:, left], target[:, left], doc[:, left], fresh[:, left], h[left]
+                given, target, doc, fresh, h = given[:, left], target[:, left], doc[:, left], fresh[:, left], h[:, left]
             h = self._window(given[w], target[w], doc[w], fresh[w], h)
 
     def _window(self, given, target, doc, fresh, h):
         p = self.p
         steps, width = given.shape
-        hs, last, x, saved = _run(p, given, fresh, h, True)
+        hs, last, (x, before, gates, hn) = _run(p, given, fresh, h, True)
         use = np.flatnonzero(doc.ravel() >= 0)
-        _, dh_use, g = _output(p, hs.reshape(-1, HIDDEN)[use], target.ravel()[use], True)
+        _, dh_use, g = _output(p, hs[use], target.ravel()[use], True)
         scale = np.float32(1 / max(1, len(use)) * 32)
         dh_all = np.zeros((steps * width, HIDDEN), np.float32)
         dh_all[use] = dh_use
-        dh_all = dh_all.reshape(steps, width, HIDDEN)
-        dx = np.empty((steps, width, 3 * HIDDEN), np.float32)
-        dg = np.empty((steps, width, 3 * HIDDEN), np.float32)
-        back = np.zeros((width, HIDDEN), np.float32)
-        wht, resets = np.ascontiguousarray(p["wh"].T), fresh.any(axis=1)
+        dh_all = np.ascontiguousarray(dh_all.reshape(steps, width, HIDDEN).transpose(0, 2, 1))
         two = 2 * HIDDEN
+        # slopes of all steps at once: of the candidate state, and of both gates
+        rz, n = gates[:, :two], gates[:, two:]
+        n_slope = 1 - n * n
+        rz_slope = rz - rz * rz
+        rz_slope[:, :HIDDEN] *= hn
+        rz_slope[:, HIDDEN:] *= before - n
+        dx, dg = np.empty_like(gates), np.empty_like(gates)
+        back, wh, resets = np.zeros((HIDDEN, width), np.float32), p["wh"], fresh.any(axis=1).tolist()
         for t in range(steps - 1, -1, -1):
-            before, rz, n, hn = saved[t]
-            r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
-            d = dh_all[t]
+            d, dn, dgt, slope = dh_all[t], dx[t, two:], dg[t], rz_slope[t]
             d += back
-            keep = d * z
-            dn = (d - keep) * (1 - n * n)
-            gates = dx[t, :, :two]
-            np.multiply(dn, hn, out=gates[:, :HIDDEN])
-            np.multiply(d, before - n, out=gates[:, HIDDEN:])
-            gates *= rz - rz * rz
-            dx[t, :, two:] = dn
-            dg[t, :, :two] = gates
-            np.multiply(dn, r, out=dg[t, :, two:])
-            back = dg[t] @ wht
-            back += keep
+            back = d * rz[t, HIDDEN:]
+            np.subtract(d, back, out=dn)
+            dn *= n_slope[t]
+            np.multiply(dn, slope[:HIDDEN], out=dgt[:HIDDEN])
+            np.multiply(d, slope[HIDDEN:], out=dgt[HIDDEN:two])
+            np.multiply(dn, rz[t, :HIDDEN], out=dgt[two:])
+            back += wh @ dgt
             if resets[t]:
-                back[fresh[t]] = 0
-        dx, dg = dx.reshape(-1, 3 * HIDDEN), dg.reshape(-1, 3 * HIDDEN)
-        prev = np.concatenate([s[0] for s in saved])
-        g["wx"], g["wh"], g["b"] = x.T @ dx, prev.T @ dg, dx.sum(axis=0)
-        demb = dx @ p["wx"].T
+                back[:, fresh[t]] = 0
+        dx[:, :two] = dg[:, :two]
+        g["wx"] = np.matmul(x, dx.transpose(0, 2, 1)).sum(axis=0)
+        g["wh"] = np.matmul(before, dg.transpose(0, 2, 1)).sum(axis=0)
+        g["b"] = dx.sum(axis=(0, 2))
+        demb = np.matmul(p["wx"], dx).transpose(0, 2, 1).reshape(-1, DIM)
         for k in ("wx", "wh", "b", "wc", "bc", "wo", "bo"):
             self._step(k, np.clip(g[k] * scale, -5, 5))
         flat_ids = given.ravel()
