@@ -268,14 +268,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
          .where(F.octet_length("text") > 0).distinct())
     bytes_ = b.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     parts = -(-2 * bytes_ // max_bytes) if bytes_ > max_bytes else 1
-    out = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in OUT])
+    names = {c: f"__in{i}" for i, c in enumerate(c for c in docs.columns if c.lower() not in OUT)}
+    text_col = next(n for c, n in names.items() if c.lower() == text_col.lower())
+    out = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])  # mapInArrow takes no names with dots
     out = out.withColumns({"n_items": F.lit(0).cast("bigint"), "items": F.array().cast("array<bigint>"),
                            "contaminated": F.lit(False)})
     for p in range(max(parts, 1)):
         # a part's size is bounded: rows go to parts by hash
         rows = b.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == p).collect() if parts > 1 else b.collect()
         out = _add_part(out, [r.id for r in rows], [r.text for r in rows], text_col)
-    return out
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()], *OUT)
 
 
 def _add_part(docs: DataFrame, ids: list, texts: list, text_col: str) -> DataFrame:

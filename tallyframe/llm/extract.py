@@ -257,8 +257,9 @@ OUT = {"text": T.StringType(), "n_chars": T.LongType()}
 
 def extract(pages_df: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages_df`` without its html, with text and n_chars."""
-    kept = [c for c in pages_df.columns if c not in OUT and c != html_col]
-    d = pages_df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{html_col}`").alias("__html"))
+    kept = [c for c in pages_df.columns if c.lower() not in OUT and c.lower() != html_col.lower()]
+    names = {c: f"__in{i}" for i, c in enumerate(kept)}  # plain names: mapInArrow takes none with dots
+    d = pages_df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col(f"`{html_col}`").alias("__html"))
     schema = T.StructType([*d.schema.fields[:-1], *[T.StructField(k, t) for k, t in OUT.items()]])
 
     def run(batches):
@@ -266,5 +267,5 @@ def extract(pages_df: DataFrame, html_col: str = "html") -> DataFrame:
             for part in X.slices(batch, "__html", 1_000_000):
                 texts = main_texts(part.column(len(kept)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()),
-                                                  pa.array([len(t) for t in texts], pa.int64())], [*kept, *OUT])
-    return d.mapInArrow(run, schema)
+                                                  pa.array([len(t) for t in texts], pa.int64())], [*names.values(), *OUT])
+    return d.mapInArrow(run, schema).select(*[F.col(n).alias(c) for c, n in names.items()], *OUT)

@@ -93,9 +93,10 @@ aggregate(__dets,
 def scan_licenses(docs: DataFrame, text_col: str = "text", rule_list=None) -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score and
     detections (number left after suppression)."""
-    kept = [c for c in docs.columns if c not in OUT]
+    kept = [c for c in docs.columns if c.lower() not in OUT]
+    names = {c: f"__in{i}" for i, c in enumerate(kept)}  # no clash with columns of the scan
     rule_list = rule_list or rules()
-    d = docs.select(*[F.col(f"`{c}`") for c in kept], normalise(F.col(f"`{text_col}`")).alias("__norm"))
+    d = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], normalise(F.col(f"`{text_col}`")).alias("__norm"))
     gate = reduce(lambda a, b: a | b, [F.col("__norm").contains(a) for a in anchors(rule_list)])
     d = d.withColumn("__gate", gate).withColumn("__rules", _rule_array(rule_list))
     d = d.withColumn("__dets", F.expr(f"sort_array({_DETECT})"))
@@ -103,7 +104,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", rule_list=None) -> Da
     spaces = F.length("__norm") - F.length(F.replace(F.col("__norm"), F.lit(" ")))
     base_labels = F.array_sort(F.array_distinct(F.transform("__base", lambda x: x["label"])))
     return d.select(
-        *[F.col(f"`{c}`") for c in kept],
+        *[F.col(n).alias(c) for c, n in names.items()],
         (spaces - 1).cast("bigint").alias("n_words"),
         F.size("__base").cast("bigint").alias("n_base"),
         F.array_min(F.transform("__base", lambda x: x["s"])).alias("first_word"),

@@ -64,9 +64,12 @@ def source_targets(totals: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 weights=WEIGHTS, share: float = 1.5, most: int = 2, range_bits: int = RANGE_BITS) -> DataFrame:
     """``docs`` with size, source_size, target (the source's) and taken (words)."""
-    kept = [c for c in docs.columns if c not in OUT]
-    d = docs.select(*[F.col(f"`{c}`") for c in kept]) \
-        .withColumn("size", word_count(F.col(f"`{text_col}`"))) \
+    kept = [c for c in docs.columns if c.lower() not in OUT]
+    names = {c: f"__in{i}" for i, c in enumerate(kept)}  # no clash with columns of the mix
+    d = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    at = {c.lower(): n for c, n in names.items()}
+    id_col, text_col, source_col = (at[c.lower()] for c in (id_col, text_col, source_col))
+    d = d.withColumn("size", word_count(F.col(f"`{text_col}`"))) \
         .withColumn("__key", hash_key(F.col(f"`{id_col}`"))) \
         .withColumn("__range", F.shiftright("__key", 60 - range_bits)) \
         .withColumn("__tie", F.xxhash64(F.col(f"`{text_col}`")))
@@ -86,7 +89,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = budget - F.col("__epochs") * F.col("source_size")
     first = F.col("__before") + F.col("__upto") - F.col("size")
     once = F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), rest - first))
-    return d.select(*[F.col(f"`{c}`") for c in kept], "size", "source_size", "target",
+    return d.select(*[F.col(n).alias(c) for c, n in names.items()], "size", "source_size", "target",
                     (F.col("__epochs") * F.col("size") + once).alias("taken"))
 
 

@@ -130,16 +130,18 @@ def measure(texts) -> dict[str, np.ndarray]:
 
 def quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the measures, base_failed and kept."""
-    kept = [c for c in docs.columns if c not in OUT]
-    d = docs.select(*[F.col(f"`{c}`") for c in kept])
+    names = {c: f"__in{i}" for i, c in enumerate(c for c in docs.columns if c.lower() not in OUT)}
+    kept = list(names.values())  # plain names: mapInArrow takes none with dots
+    text = next(n for c, n in names.items() if c.lower() == text_col.lower())
+    d = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     schema = T.StructType([*d.schema.fields, *[T.StructField(k, t) for k, t in OUT.items()]])
 
     def run(batches):
         for batch in batches:
-            for part in X.slices(batch, text_col):
-                out = measure(part.column(part.schema.get_field_index(text_col)))
+            for part in X.slices(batch, text):
+                out = measure(part.column(part.schema.get_field_index(text)))
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(out[k]) for k in OUT]], [*kept, *OUT])
-    return d.mapInArrow(run, schema)
+    return d.mapInArrow(run, schema).select(*[F.col(n).alias(c) for c, n in names.items()], *OUT)
 
 
 def filter_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -65,6 +65,6 @@ def assign_shards(df: DataFrame, key: str, shards: list[str], size: int = TABLE_
     table = spark.createDataFrame([(i, shards[o]) for i, o in enumerate(claim_table(shards, size))],
                                   f"`{slot_col}` int, `{shard_col}` string")
     slot = slot_of(F.col(f"`{key}`"), size)
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in (slot_col, shard_col)]
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in (slot_col.lower(), shard_col.lower())]
     # the table has ``size`` rows whatever the data: a broadcast of a proven bound
     return df.select(*kept, slot.alias(slot_col)).join(F.broadcast(table), slot_col)
