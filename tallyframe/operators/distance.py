@@ -3,11 +3,11 @@
 Bray-Curtis ``1 - 2 S / (A + B)`` with ``S = sum_k min(x_k, y_k)`` and quantitative
 Jaccard ``2 b / (1 + b)``. ``S`` only has terms for shared features.
 
-* ``dissimilarity`` (all pairs) is a blocked computation: samples are hashed into
-  ``blocks``; every (block_i, block_j) pair is one task that receives the rows of the
-  two blocks and returns only the finished pair distances. A feature present in
-  every sample therefore never forms one giant group, and no per-feature pair rows
-  go through the shuffle.
+* ``dissimilarity`` (all pairs) is a blocked computation: samples are numbered and cut into
+  ``blocks``; a task receives the rows of one (block_i, block_j) pair for a share of the
+  features, sorted by feature, and streams through them with the pair matrix in memory. It
+  returns one sum per pair; the sums of the shares are added by Spark. Memory of a task does
+  not depend on the rows or the features, and no per-feature pair rows go through the shuffle.
 * ``within_group_distances`` (replicates of one bottle) is a Spark self-join on
   (group, feature): each key holds only the few replicates of one group.
 """
@@ -15,17 +15,24 @@ Jaccard ``2 b / (1 + b)``. ``S`` only has terms for shared features.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import with_group_agg
+from ..session import ensure_checkpoint_dir
+from ._util import prefix_sum
 
-PAIR_SCHEMA = "a string, b string, bray double, jaccard double"
 #: Entries (left row, right row of the same feature) that a block task holds at once.
 PAIR_CHUNK = 2_000_000
+#: Rows that a block task sums at once, and rows that a task reads in all.
+FEATURE_ROWS = 200_000
+PART_ROWS = 1_000_000
+#: Samples up to which their names, codes and totals are broadcast (a few MB).
+SMALL = 100_000
 
 
 def _shared_sums(li, lv, l_codes, ri, rv, r_codes, shape, n_feats, chunk=PAIR_CHUNK) -> np.ndarray:
@@ -52,62 +59,84 @@ def _shared_sums(li, lv, l_codes, ri, rv, r_codes, shape, n_feats, chunk=PAIR_CH
     return S.reshape(shape)
 
 
-def _pair_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    bi, bj = int(pdf["_bi"].iloc[0]), int(pdf["_bj"].iloc[0])
-    left = pdf[pdf["_blk"] == bi]
-    right = pdf[pdf["_blk"] == bj] if bj != bi else left
-    ls = np.sort(left["s"].unique())
-    rs = np.sort(right["s"].unique()) if bj != bi else ls
-    li = pd.Index(ls).get_indexer(left["s"])
-    ri = pd.Index(rs).get_indexer(right["s"])
-    ltot = np.bincount(li, weights=left["v"].to_numpy(float), minlength=len(ls))
-    rtot = np.bincount(ri, weights=right["v"].to_numpy(float), minlength=len(rs))
-    lo = left["f"].to_numpy()
-    ro = right["f"].to_numpy()
-    feats, l_codes = np.unique(lo, return_inverse=True)
-    r_codes = pd.Index(feats).get_indexer(ro)
-    keep = r_codes >= 0
-    S = _shared_sums(li, left["v"].to_numpy(float), l_codes, ri[keep], right["v"].to_numpy(float)[keep],
-                     r_codes[keep], (len(ls), len(rs)), len(feats))
-    A = ltot[:, None] + rtot[None, :]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        bray = np.where(A > 0, 1.0 - 2.0 * S / A, 0.0)
-    ia, ib = np.meshgrid(np.arange(len(ls)), np.arange(len(rs)), indexing="ij")
-    a, b = ls[ia.ravel()], rs[ib.ravel()]
-    br = bray.ravel()
-    if bj == bi:
-        m = a < b
-    else:
-        m = np.ones(len(a), bool)
-    a, b, br = a[m], b[m], br[m]
-    sw = a > b
-    a2 = np.where(sw, b, a)
-    b2 = np.where(sw, a, b)
-    return pd.DataFrame({"a": a2, "b": b2, "bray": br, "jaccard": 2 * br / (1 + br)})
+def _pair_sums(size: int, n: int, rows: int = FEATURE_ROWS):
+    """Shared sums of one task: a pair of blocks of ``size`` samples and a share of the features.
+    Rows come sorted by feature; a run of ``rows`` rows (whole features) is summed at a time, so
+    memory holds the pair matrix and that run."""
+    def run(key: tuple[Any, ...], pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bi, bj = int(key[0]), int(key[1])
+        S = np.zeros([min(size, n - k * size) for k in (bi, bj)])
+
+        def add(codes, marks, v):
+            feats = np.concatenate([[0], np.cumsum(marks[1:] != marks[:-1])])
+            left = codes // size == bi
+            right = ~left if bi != bj else left
+            S[:] += _shared_sums(codes[left] - bi * size, v[left], feats[left], codes[right] - bj * size, v[right],
+                                 feats[right], S.shape, int(feats[-1]) + 1)
+
+        held, count = [], 0
+        for pdf in pdfs:
+            held.append([pdf["i"].to_numpy(), pdf["f"].to_numpy(), pdf["v"].to_numpy()])
+            count += len(pdf)
+            if count >= rows:
+                cols = [np.concatenate(c) for c in zip(*held)]
+                other = np.flatnonzero(cols[1] != cols[1][-1])
+                end = int(other[-1]) + 1 if len(other) else 0  # the last feature may go on
+                if end:
+                    add(*[c[:end] for c in cols])
+                held, count = [[c[end:] for c in cols]], count - end
+        if count:
+            add(*[np.concatenate(c) for c in zip(*held)])
+        if bi == bj:
+            S = np.triu(S, 1)
+        a, b = np.nonzero(S)
+        for k in range(0, len(a), 100_000):
+            i, j = a[k:k + 100_000], b[k:k + 100_000]
+            yield pd.DataFrame({"ia": i + bi * size, "ib": j + bj * size, "S": S[i, j]})
+    return run
 
 
 def dissimilarity(df: DataFrame, sample: str = "sample", feature: str = "hash",
                   value: str = "value", blocks: int | None = None,
-                  block_size: int = 256) -> DataFrame:
+                  block_size: int = 2000, part_rows: int = PART_ROWS) -> DataFrame:
     """U4: Bray-Curtis and quantitative Jaccard for every pair of samples (a < b).
 
-    Pairs sharing no feature get 1. ``blocks`` defaults to ceil(samples / block_size);
-    each task holds the rows of two blocks of samples, their pair matrix and ``PAIR_CHUNK``
-    entries of shared features.
+    Pairs sharing no feature get 1. ``blocks`` defaults to ceil(samples / block_size). Each
+    pair of blocks is cut by a hash of the feature into tasks of about ``part_rows`` rows, which
+    return sums over their own features. Null samples are no part of any pair; null features
+    count in a sample's total and are shared with nothing.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     x = df.select(F.col(sample).cast("string").alias("s"), F.col(feature).cast("string").alias("f"),
-                  F.col(value).cast("double").alias("v")).where(F.col("v") > 0)
-    if blocks is None:
-        n = x.select(F.count_distinct("s")).first()[0]
-        blocks = max(1, math.ceil(n / block_size))
-    x = x.withColumn("_blk", F.pmod(F.xxhash64("s"), F.lit(blocks)).cast("int"))
+                  F.col(value).cast("double").alias("v")).where((F.col("v") > 0) & F.col("s").isNotNull())
+    tot = x.groupBy("s").agg(F.sum("v").alias("t"), F.count(F.lit(1)).alias("__r"))
+    tot = prefix_sum(tot.withColumn("__one", F.lit(1)), [], ["s"], "__one", "__p")
+    tot = tot.select("s", "t", "__r", F.col("__p").cast("long").alias("i")).checkpoint()
+    n, rows = tot.agg(F.count(F.lit(1)), F.coalesce(F.sum("__r"), F.lit(0))).first()
+    size = max(1, math.ceil(n / blocks) if blocks is not None else block_size)
+    blocks = max(1, math.ceil(n / size))
+    own = tot.select("s", "i")
+    x = x.where(F.col("f").isNotNull()).join(F.broadcast(own) if n <= SMALL else own, "s")
+    x = x.select("i", "f", "v", F.floor(F.col("i") / size).cast("int").alias("_blk"))
     # each row goes to every block pair it belongs to: (min(b, j), max(b, j)) for all j
     x = x.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    x = x.select("s", "f", "v", "_blk",
-                 F.least("_blk", "_j").alias("_bi"), F.greatest("_blk", "_j").alias("_bj"))
-    x = x.repartition(blocks * (blocks + 1) // 2, "_bi", "_bj")
-    out = x.groupBy("_bi", "_bj").applyInPandas(_pair_block, PAIR_SCHEMA)
-    return out.select(F.col("a").alias(f"{sample}1"), F.col("b").alias(f"{sample}2"), "bray", "jaccard")
+    parts = max(1, math.ceil(rows * min(2, blocks) / blocks / part_rows))
+    task = ["_bi", "_bj", "_p"]
+    x = x.select("i", "f", "v", F.least("_blk", "_j").alias("_bi"), F.greatest("_blk", "_j").alias("_bj"),
+                 F.pmod(F.xxhash64("f"), F.lit(parts)).cast("int").alias("_p"))
+    x = x.repartition(blocks * (blocks + 1) // 2 * parts, *task).sortWithinPartitions(*task, "f")
+    # rows of a feature are neighbours now: its hash only marks where the next one begins
+    x = x.withColumn("f", F.xxhash64("f", F.lit(1)))
+    shared = x.groupBy(*task).applyInPandas(_pair_sums(size, n), "ia long, ib long, S double")
+    every = df.sparkSession.range(max(0, n - 1)).select(
+        F.col("id").alias("ia"), F.explode(F.sequence(F.col("id") + 1, F.lit(n - 1))).alias("ib"), F.lit(0.0).alias("S"))
+    S = shared.unionByName(every).groupBy("ia", "ib").agg(F.sum("S").alias("S"))
+    name = lambda i, s, t: (lambda d: F.broadcast(d) if n <= SMALL else d)(tot.select(F.col("i").alias(i), F.col("s").alias(s), F.col("t").alias(t)))
+    p = S.join(name("ia", "a", "ta"), "ia").join(name("ib", "b", "tb"), "ib")
+    A = F.col("ta") + F.col("tb")
+    p = p.withColumn("bray", F.when((A > 0) & ~F.isnan(A), 1.0 - 2.0 * F.col("S") / A).otherwise(F.lit(0.0)))
+    br = F.col("bray")
+    return p.select(F.col("a").alias(f"{sample}1"), F.col("b").alias(f"{sample}2"), "bray", (2 * br / (1 + br)).alias("jaccard"))
 
 
 def within_group_distances(df: DataFrame, group: str, sample: str = "sample",

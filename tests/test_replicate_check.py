@@ -62,3 +62,26 @@ def test_views_read_whole_tables(spark):
     assert V.reads(spark, SF).count() == V.table(spark, SF, "lineitem").count()
     parts = V.table(spark, SF, "part")
     assert V.traits(spark, SF).count() > parts.where("p_partkey % 3 = 0").count()
+
+
+@pytest.mark.parametrize("block_size", [3, 100])
+def test_dissimilarity_shares_of_features_and_runs_of_rows(spark, monkeypatch, block_size):
+    """Tasks hold a run of whole features; their sums add up, repeated and null rows included."""
+    rng = np.random.default_rng(8)
+    rows = [(f"s{rng.integers(9)}", f"f{rng.integers(30)}", float(rng.integers(1, 9))) for _ in range(400)]
+    rows += [("s1", None, 5.0), (None, "f1", 2.0), ("s2", "f3", 0.0)]
+    df = spark.createDataFrame(rows, "sample string, hash string, value double")
+    want = {}
+    for a in range(9):
+        for b in range(a + 1, 9):
+            x, y = ([(f, v) for s, f, v in rows if s == f"s{k}"] for k in (a, b))
+            shared = sum(min(v, w) for f, v in x for g, w in y if f is not None and f == g)
+            want[f"s{a}", f"s{b}"] = 1 - 2 * shared / (sum(v for _, v in x) + sum(v for _, v in y))
+    got = X.dissimilarity(df, block_size=block_size, part_rows=60)
+    assert {(r[0], r[1]): r[2] for r in got.collect()} == pytest.approx(want, abs=1e-12)
+    # the same from one task in runs of 7 rows
+    f = sorted((g, int(s[1]), v) for s, g, v in rows if s and g)
+    pdf = pd.DataFrame({"i": [r[1] for r in f], "f": [int(r[0][1:]) for r in f], "v": [r[2] for r in f]})
+    out = pd.concat(X._pair_sums(100, 9, rows=7)((0, 0, 0), (pdf[k:k + 5] for k in range(0, len(pdf), 5))))
+    whole = pd.concat(X._pair_sums(100, 9)((0, 0, 0), iter([pdf])))
+    assert np.allclose(out.to_numpy(float), whole.to_numpy(float))
