@@ -58,6 +58,40 @@ def is_small(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+#: Rows up to which a list of keys or group totals is broadcast.
+SMALL_ROWS = 200_000
+
+
+def small_list(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` evaluated once into the checkpoint folder, to be broadcast when it is small: the
+    table it meets is then not shuffled."""
+    from ..session import stored
+    t = stored(df, "list")
+    return F.broadcast(t) if is_small(t, max_rows) else t
+
+
+def with_group_total(df: DataFrame, keys, to: DataFrame | None = None, max_rows: int = SMALL_ROWS, **aggs: Column) -> DataFrame:
+    """``with_group_agg`` for few large groups (samples): the aggregates are formed first, combined
+    map-side, and broadcast, so ``df`` is neither shuffled nor sorted; it is evaluated twice. More
+    than ``max_rows`` groups take the window, or a join where the aggregates go ``to`` another
+    table of the same keys. Null keys are a group, as in a window."""
+    from ..session import stored
+    keys = as_list(keys)
+    named = {k: f"__k{i}" for i, k in enumerate(keys)}
+    g = stored(df.groupBy(*[F.col(k).alias(c) for k, c in named.items()]).agg(*[e.alias(n) for n, e in aggs.items()]), "totals")
+    small = is_small(g, max_rows)
+    if not small and to is None:
+        return with_group_agg(df, keys, **aggs)
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(c)) for k, c in named.items()])
+    return (df if to is None else to).join(F.broadcast(g) if small else g, same).drop(*named.values())
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly to as many tasks as the session shuffles to, before work that makes many
+    rows of one (a small table is read by a task or two)."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def prefix_sum(df: DataFrame, keys, order, value: str, out: str = "prefix",
                partitions: int | None = None) -> DataFrame:
     """Exclusive running sum of ``value`` within ``keys`` in ``order``, without

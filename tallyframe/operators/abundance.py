@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import as_list, with_group_agg
+from ..session import stored
+from ._util import SMALL_ROWS, as_list, is_small, with_group_agg, with_group_total
 
 
 def collapse_counts(df: DataFrame, keys=("run", "sample", "hash"), n: str = "n_reads") -> DataFrame:
@@ -54,7 +55,7 @@ def edna_index(df: DataFrame, sample: str = "sample", otu: str = "hash", n: str
     results are summed per (sample, otu).
     """
     if per_row:
-        s = with_group_agg(df, sample, _tot=F.sum(n))
+        s = with_group_total(df, sample, _tot=F.sum(n))
         s = s.withColumn("_p", F.col(n) / F.col("_tot"))
         s = with_group_agg(s, otu, _mx=F.max("_p"))
         return s.groupBy(sample, otu).agg(F.sum(F.col("_p") / F.col("_mx")).alias(out))
@@ -63,10 +64,12 @@ def edna_index(df: DataFrame, sample: str = "sample", otu: str = "hash", n: str
         s = with_group_agg(s, sample, _tot=F.sum("_s"))
         s = s.withColumn("_p", F.col("_s") / F.col("_tot"))
     else:
+        # totals per replicate and replicates per sample from the rows, one small table
+        t = df.groupBy(F.col(sample).alias("__s"), F.col(biol_rep).alias("__b")).agg(F.sum(n).alias("_tot"))
+        t = stored(with_group_agg(t, "__s", _nrep=F.count("__b")), "totals")  # a null replicate does not count
         s = df.groupBy(sample, otu, biol_rep).agg(F.sum(n).alias("_s"))
-        s = with_group_agg(s, [sample, biol_rep], _tot=F.sum("_s"))
-        s = with_group_agg(s, sample, _reps=F.collect_set(biol_rep))
-        s = s.withColumn("_nrep", F.size("_reps")).drop("_reps")
+        same = F.col(sample).eqNullSafe(F.col("__s")) & F.col(biol_rep).eqNullSafe(F.col("__b"))
+        s = s.join(F.broadcast(t) if is_small(t, SMALL_ROWS) else t, same).drop("__s", "__b")
         s = (s.groupBy(sample, otu)
              .agg((F.sum(F.col("_s") / F.col("_tot")) / F.max("_nrep")).alias("_p")))
     s = with_group_agg(s, otu, _mx=F.max("_p"))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import POSITIVE_PATTERN, classify_source
 from ..functions.stats import norm_ppf
-from ._util import as_list, union_all, with_group_agg
+from ..session import stored
+from ._util import as_list, small_list, union_all, with_group_total
 
 
 def tag_source(df: DataFrame, sample: str = "sample", pattern: str = POSITIVE_PATTERN,
@@ -41,7 +42,7 @@ def contamination_vector(positives: DataFrame, run: str = "run", sample: str = "
                          hash: str = "hash", n: str = "n_reads",
                          out: str = "vector_contamination") -> DataFrame:
     """D3: per run and hash, the largest share a hash takes of a positive sample."""
-    t = with_group_agg(positives, [run, sample], _tot=F.sum(n))
+    t = with_group_total(positives, [run, sample], _tot=F.sum(n))
     return t.groupBy(run, hash).agg(F.max(F.col(n) / F.col("_tot")).alias(out))
 
 
@@ -49,8 +50,8 @@ def subtract_contamination(samples: DataFrame, vec: DataFrame, run: str = "run",
                            sample: str = "sample", hash: str = "hash", n: str = "n_reads",
                            v: str = "vector_contamination") -> DataFrame:
     """N - ceil(v * sample total) where the hash has a vector; keep counts > 0."""
-    s = with_group_agg(samples, [run, sample], _tot=F.sum(n))
-    s = s.join(vec.select(run, hash, v), [run, hash], "left")
+    s = samples.select(run, sample, hash, n).join(vec.select(run, hash, v), [run, hash], "left")
+    s = with_group_total(samples, [run, sample], to=s, _tot=F.sum(n))
     upd = F.when(F.col(v).isNotNull(), F.col(n) - F.ceil(F.col(v) * F.col("_tot"))).otherwise(F.col(n))
     return (s.select(run, sample, hash, upd.cast("bigint").alias(n))
             .where(F.col(n) > 0))
@@ -77,7 +78,7 @@ def low_read_samples(df: DataFrame, p: float = 0.075, sample: str = "sample",
 def drop_low_reads(df: DataFrame, p: float = 0.075, sample: str = "sample",
                    n: str = "n_reads") -> DataFrame:
     """Remove the low-read samples."""
-    return df.join(low_read_samples(df, p, sample, n).select(sample), sample, "left_anti")
+    return df.join(small_list(low_read_samples(df, p, sample, n).select(sample)), sample, "left_anti")
 
 
 def origin_stats(df: DataFrame, source: str = "source", sample: str = "sample",
@@ -102,10 +103,11 @@ def origin_stats(df: DataFrame, source: str = "source", sample: str = "sample",
 def origin_stats_wide(df: DataFrame, source: str = "source", sample: str = "sample",
                       hash: str = "hash", n: str = "n_reads") -> DataFrame:
     """D7 in wide form: one row per hash seen in positives with the three statistics
-    for each source (null when the hash never occurs in that source)."""
+    for each source (null when the hash never occurs in that source). The rows of those
+    hashes are stored once, by hash: totals and statistics are then combined map-side."""
     pos = df.where(F.col(source) == "Positives").select(hash).distinct()
-    x = df.join(pos, hash, "left_semi")
-    x = with_group_agg(x, sample, _tot=F.sum(n))
+    x = stored(df.select(source, sample, hash, n).join(pos, hash, "left_semi"), "origin")
+    x = with_group_total(x, sample, _tot=F.sum(n))
     prop = F.col(n) / F.col("_tot")
     return x.groupBy(hash).agg(
         F.max(F.when(F.col(source) == "Positives", prop)).alias("max_Positives"),
@@ -160,12 +162,12 @@ def removed_sequences(removed: DataFrame, hash_key: DataFrame, hash: str = "hash
 
 def drop_keys(df: DataFrame, keys: DataFrame, on) -> DataFrame:
     """Rows whose key is not in ``keys`` (null-safe, unlike NOT IN)."""
-    return df.join(keys.select(*as_list(on)).distinct(), as_list(on), "left_anti")
+    return df.join(small_list(keys.select(*as_list(on)).distinct()), as_list(on), "left_anti")
 
 
 def keep_keys(df: DataFrame, keys: DataFrame, on) -> DataFrame:
     """Rows whose key is in ``keys``."""
-    return df.join(keys.select(*as_list(on)).distinct(), as_list(on), "left_semi")
+    return df.join(small_list(keys.select(*as_list(on)).distinct()), as_list(on), "left_semi")
 
 
 def keep_occupied(df: DataFrame, fate: DataFrame, threshold: float = 0.8,
@@ -199,7 +201,7 @@ def single_replicates(df: DataFrame, sample: str = "sample") -> DataFrame:
 
 def drop_single_replicates(df: DataFrame, sample: str = "sample") -> DataFrame:
     """Remove bottles with a single technical replicate."""
-    return df.join(single_replicates(df, sample), sample, "left_anti")
+    return df.join(small_list(single_replicates(df, sample)), sample, "left_anti")
 
 
 def tail_outliers(dist: DataFrame, p: float = 0.95, singles: DataFrame | None = None,

@@ -11,21 +11,20 @@ from pyspark.sql import functions as F
 
 from ..operators import abundance as A
 from ..operators import denoise as D
-from ..session import ensure_checkpoint_dir
+from ..session import stored
 from . import views as V
 
-# Step boundaries are materialised once per session and data folder with
-# ``checkpoint()`` (into the shared ``spark.checkpoint.dir``): later steps then plan
-# against a short lineage instead of re-deriving every step, and a lost executor
-# recomputes from the checkpoint, not from the raw scan.
+# Step boundaries are materialised once per session and data folder as Parquet in the
+# shared ``spark.checkpoint.dir``: later steps then plan against a short lineage and known
+# sizes instead of re-deriving every step, and a lost executor recomputes from the stored
+# table, not from the raw scan.
 _MEMO: dict = {}
 
 
 def materialized(spark: SparkSession, d: str, name: str, build) -> DataFrame:
     key = (spark.sparkContext.applicationId, d, name)
     if key not in _MEMO:
-        ensure_checkpoint_dir(spark)
-        _MEMO[key] = build().checkpoint()
+        _MEMO[key] = stored(build(), name)
     return _MEMO[key]
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..operators import abundance as A
 from ..operators import denoise as D
 from ..operators import distance as X
-from ..session import ensure_checkpoint_dir
+from ..session import stored
 
 
 def run_denoising(reads: DataFrame, low_p: float = 0.075, outlier_p: float = 0.95,
@@ -32,36 +32,33 @@ def run_denoising(reads: DataFrame, low_p: float = 0.075, outlier_p: float = 0.9
     """
     if center not in ("median", "centroid"):
         raise ValueError(f"center must be median or centroid, not {center!r}")
-    spark = reads.sparkSession
-    if checkpoint:
-        ensure_checkpoint_dir(spark)
     c = D.tag_source(A.collapse_counts(reads))
     if checkpoint:
-        c = c.checkpoint()  # read by the subtraction, the fate statistics and the occurrences
+        c = stored(c)  # read by the subtraction, the fate statistics and the occurrences
     pos = c.where(F.col("source") == "Positives")
     smp = c.where(F.col("source") == "Samples")
     s1 = D.subtract_contamination(smp, D.contamination_vector(pos))
     if checkpoint:
-        s1 = s1.checkpoint()  # read by the per-sample totals, their fit and the anti join
+        s1 = stored(s1)  # read by the per-sample totals, their fit and the anti join
     s2 = D.drop_low_reads(s1, low_p)
     fate = D.occurrence_fate(c, D.unanimous_from_wide(D.origin_stats_wide(c)), extra=extra_remove)
     s3 = D.drop_keys(s2, fate, "hash")
     if checkpoint:
-        s3 = s3.checkpoint()
+        s3 = stored(s3)
     if occupancy is not None:
         s3 = D.keep_occupied(s3, occupancy, occupancy_threshold)
     singles = D.single_replicates(s3)
     rep = D.drop_keys(s3, singles, "sample")
     norm = A.edna_index(rep, out="value", per_row=True).withColumn("bottle", F.substring_index("sample", ".", 1))
     if checkpoint:
-        norm = norm.checkpoint()  # read three times by the replicate pairs
+        norm = stored(norm)  # read three times by the replicate pairs
     pairs = X.within_group_distances(norm, "bottle", "sample", "hash", "value")
     cent = X.median_distance(pairs, "bottle") if center == "median" else \
         X.centroid_distance(pairs, norm.select("bottle", "sample"), "bottle")
     if checkpoint:
-        cent = cent.checkpoint()  # one row per sample; read by the fit and the cut
+        cent = stored(cent)  # one row per sample; read by the fit and the cut
     disc = D.tail_outliers(cent, outlier_p, singles=singles)
     out = D.drop_keys(s3, disc, "sample")
     if checkpoint:
-        out = out.checkpoint()
+        out = stored(out)
     return out
