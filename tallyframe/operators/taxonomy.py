@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import unite_label
-from ._util import as_list, is_small, union_all
+from ._util import as_list, is_small, small_list, spread, union_all
 
 UNDETERMINED = "undetermined"
 
@@ -31,9 +31,16 @@ def sequential_join(df1: DataFrame, df2: DataFrame, keys, values, confidence: st
             sub = sub.join(n, k)
             sub = sub.select(k, *[F.when(F.col("_n") == 1, F.col(v).cast("string")).otherwise(F.lit(UNDETERMINED)).alias(v)
                                   for v in values]).distinct()
-        matched = left.join(sub, k).withColumn(confidence, F.lit(k))
+        if i == 0:
+            # equal rows of a key are met once, counted, and repeated at the end; the left rows are
+            # spread over all tasks before they fan out (a few keys may hold them all)
+            sub = small_list(sub.groupBy(k, *values).agg(F.count(F.lit(1)).alias("_n")))
+            matched = spread(left).join(sub, k).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("_n")
+        else:
+            matched = left.join(small_list(sub), k)
+        matched = matched.withColumn(confidence, F.lit(k))
         parts.append(matched)
-        left = left.join(df2.select(k).where(F.col(k).isNotNull()).distinct(), k, "left_anti")
+        left = left.join(small_list(df2.select(k).where(F.col(k).isNotNull()).distinct()), k, "left_anti")
     rest = left
     for v in values:
         rest = rest.withColumn(v, F.lit(None).cast("string"))
@@ -130,14 +137,16 @@ def contains_any(df: DataFrame, key: str, text: str, terms: DataFrame, term: str
     """
     t = terms.select(F.regexp_replace(F.trim(F.col(term)), r"\s+", " ").alias(term)).where(F.length(term) > 0).distinct()
     max_words = t.select(F.max(F.size(F.split(term, " ")))).first()[0] or 1
-    words = F.split(F.trim(F.col(text)), sep_regex)
+    words = F.split(F.trim(F.col("__x")), sep_regex)
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(int(max_words))), lambda n: F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))),
         lambda i: F.array_join(F.slice(words, i, n), " "))))
-    g = df.select(key, F.explode(grams).alias(term)).distinct()
+    # few files may hold all texts: they are spread before their n-grams, and n-grams meet the
+    # terms before equal ones are dropped
+    g = spread(df.select(key, F.col(text).alias("__x"))).select(key, F.explode(F.array_distinct(grams)).alias(term))
     if is_small(t, 200_000):
         t = F.broadcast(t)
-    return g.join(t, term)
+    return g.join(t, term).select(term, key).distinct()
 
 
 def contains_substring(df: DataFrame, key: str, text: str, terms: DataFrame, term: str = "term",
