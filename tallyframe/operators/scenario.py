@@ -442,12 +442,12 @@ def expand_cross(df1: DataFrame, df2: DataFrame, max_small_rows: int = 200_000)
 
 
 def _below_counts(xs: DataFrame, ys: DataFrame, keys) -> DataFrame:
-    """For every x row (value ``u``), the number of y values strictly below ``u``.
+    """For every x value ``u`` (``__n`` rows), the number of y values strictly below ``u``.
 
     One sort per key: y rows carry their counts, x rows sort before equal y values.
     """
-    u = (xs.select(*keys, "u", F.lit(0).alias("__t"), F.lit(0).cast("bigint").alias("__c"))
-         .unionByName(ys.select(*keys, F.col("v").alias("u"), F.lit(1).alias("__t"), F.col("c").alias("__c"))))
+    u = (xs.select(*keys, "u", F.lit(0).alias("__t"), F.lit(0).cast("bigint").alias("__c"), "__n")
+         .unionByName(ys.select(*keys, F.col("v").alias("u"), F.lit(1).alias("__t"), F.col("c").alias("__c"), F.lit(0).cast("bigint").alias("__n"))))
     u = prefix_sum(u, keys, ["u", "__t"], "__c", "__below")
     return u.where(F.col("__t") == 0)
 
@@ -469,10 +469,11 @@ def hodges_lehmann(df: DataFrame, by, group: str, x: str, g1, g2, fan: int = 64,
     keys = by + ["target"]
     X = df.where(F.col(group) == g1).where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("x"))
     Y = df.where(F.col(group) == g2).where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("v"))
-    X = X.checkpoint()
+    # equal values count once on both sides: work follows the distinct values, not the rows
+    X = X.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("__n")).checkpoint()
     Yc = Y.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c")).checkpoint()
-    sx = X.groupBy(*by).agg(F.count(F.lit(1)).alias("n1"), F.min("x").alias("xmin"), F.max("x").alias("xmax"))
-    sy = Y.groupBy(*by).agg(F.count(F.lit(1)).alias("n2"), F.min("v").alias("ymin"), F.max("v").alias("ymax"))
+    sx = X.groupBy(*by).agg(F.sum("__n").alias("n1"), F.min("x").alias("xmin"), F.max("x").alias("xmax"))
+    sy = Yc.groupBy(*by).agg(F.sum("c").alias("n2"), F.min("v").alias("ymin"), F.max("v").alias("ymax"))
     s = sx.join(sy, by)
     n = F.col("n1") * F.col("n2")
     t = s.withColumn("target", F.explode(F.array(F.lit(1), F.lit(2))))
@@ -496,7 +497,7 @@ def hodges_lehmann(df: DataFrame, by, group: str, x: str, g1, g2, fan: int = 64,
         ys = Yc.join(cand.select(*keys, "m"), by)
         b = _below_counts(xs, ys, keys + ["m"])
         cnt = b.join(cand.select(*keys, "m", "n2"), keys + ["m"]).groupBy(*keys, "m").agg(
-            F.sum(F.col("n2") - F.col("__below")).cast("bigint").alias("cnt"))
+            F.sum(F.col("__n") * (F.col("n2") - F.col("__below"))).cast("bigint").alias("cnt"))
         cnt = cnt.join(cand.select(*keys, "m", "d", "k"), keys + ["m"])
         hit = cnt.where(F.col("cnt") >= F.col("k")).groupBy(*keys).agg(F.min("m").alias("m"))
         new = hit.join(cnt.select(*keys, "m", F.col("d").alias("hi2"), F.col("cnt").alias("chi2")), keys + ["m"])
@@ -517,7 +518,7 @@ def hodges_lehmann(df: DataFrame, by, group: str, x: str, g1, g2, fan: int = 64,
     band = (xb.join(yb.select(*keys, "bucket", "v", "c"), keys + ["bucket"])
             .withColumn("diff", F.col("x") - F.col("v"))
             .where((F.col("diff") > F.col("lo")) & (F.col("diff") <= F.col("hi"))))
-    band = band.groupBy(*keys, "diff").agg(F.sum("c").alias("c"))
+    band = band.groupBy(*keys, "diff").agg(F.sum(F.col("__n") * F.col("c")).alias("c"))
     band = band.join(state.select(*keys, "k", "clo"), keys)
     w = Window.partitionBy(*keys).orderBy("diff").rowsBetween(Window.unboundedPreceding, 0)
     band = band.withColumn("cum", F.col("clo") + F.sum("c").over(w))

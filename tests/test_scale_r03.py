@@ -63,3 +63,15 @@ def test_terms_are_met_before_equal_ones_are_dropped(spark):
     out = T.contains_any(df, "k", "x", spark.createDataFrame([("a b",), ("b",), ("a  b",)], "term string"))
     assert rows(out) == [("a b", 1), ("b", 1)] and out.columns == ["term", "k"]
     assert "RoundRobinPartitioning" in plan(out)
+
+
+def test_hodges_lehmann_meets_equal_values_once(spark, monkeypatch):
+    import numpy as np
+    from tallyframe.operators import scenario as M
+    x, y = np.repeat([1.0, 2.5, 4.0], [400, 300, 50]), np.repeat([0.5, 2.0, 3.0, 7.0], [100, 200, 150, 30])
+    df = spark.createDataFrame([("k", "a", float(v)) for v in x] + [("k", "b", float(v)) for v in y], "test string, g string, x double")
+    seen, below = [], M._below_counts
+    monkeypatch.setattr(M, "_below_counts", lambda xs, ys, keys: seen.append(xs.count()) or below(xs, ys, keys))
+    got = M.hodges_lehmann(df, "test", "g", "x", "a", "b", fan=8, band_rows=200_000).first()["hl"]
+    assert got == np.median(np.subtract.outer(x, y))
+    assert seen and max(seen) <= 3 * 8 * 2  # values x candidates x targets
