@@ -157,16 +157,24 @@ def prefix_sum(df: DataFrame, keys, order, value: str, out: str = "prefix",
         .drop("__pid", "__local", "__off")
 
 
-def product_by(a: DataFrame, b: DataFrame, by, rows: int = 2000) -> DataFrame:
+#: Most tasks that the pieces of a product are dealt to.
+MAX_PIECE_TASKS = 2000
+
+
+def product_by(a: DataFrame, b: DataFrame, by, rows: int = 1000) -> DataFrame:
     """Every row of ``a`` with every row of ``b`` of the same ``by``, in pieces of about ``rows``
     times ``rows``: each side is cut into blocks by a hash of its rows and goes to the blocks of
-    the other, so a few large keys make many even tasks. Both sides are read twice (sizes, rows).
-    Null keys match nothing."""
+    the other, so a few large keys make many even tasks. The number of tasks follows the pieces:
+    both sides are few bytes, and partitions made by their size would put all pieces into one.
+    Both sides are read twice (sizes, rows). Null keys match nothing."""
     by = as_list(by)
     pieces = lambda d, name: d.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
     size = pieces(a, "__na").join(pieces(b, "__nb"), by)
+    total = size.agg(F.sum(F.col("__na").cast("bigint") * F.col("__nb"))).first()[0] or 1
+    tasks = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(4 * total, MAX_PIECE_TASKS))
     own = lambda d, n, name: F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in d.columns]), F.col(n)).cast("int").alias(name)
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
     x = a.join(size, by).select(*a.columns, own(a, "__na", "__x"), every("__nb", "__y"))
     y = b.join(size, by).select(*b.columns, own(b, "__nb", "__y"), every("__na", "__x"))
-    return x.join(y, [*by, "__x", "__y"]).drop("__x", "__y")
+    keys = [*by, "__x", "__y"]
+    return x.repartition(tasks, *keys).join(y.repartition(tasks, *keys), keys).drop("__x", "__y")

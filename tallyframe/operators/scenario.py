@@ -275,12 +275,17 @@ def _binomial_inverse(n: int):
         q = np.where(low, p, 1.0 - p)  # the rarer outcome: its first term does not vanish
         ratio = q / (1.0 - q)
         term = (1.0 - q) ** n
-        below, k = term.copy(), np.zeros(len(u))
+        below, k, rows = term.copy(), np.zeros(len(u)), np.arange(len(u))
         for j in range(n):
             more = below < u
-            if not more.any():
+            left = np.count_nonzero(more)
+            if not left:
                 break
-            k += more
+            if 4 * left < 3 * len(rows):  # go on with the rows that are not there yet
+                rows, u, below, term, ratio = rows[more], u[more], below[more], term[more], ratio[more]
+                k[rows] += 1
+            else:
+                k[rows] += more
             term = term * ((n - j) / (j + 1)) * ratio
             below = below + term
         return pd.Series(np.where(np.isnan(p), np.nan, np.where(low, k, n - k)))

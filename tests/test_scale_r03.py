@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tallyframe.operators import abundance as A
 from tallyframe.operators import denoise as D
 from tallyframe.operators import taxonomy as T
-from tallyframe.operators._util import with_group_agg, with_group_total
+from tallyframe.operators._util import product_by, with_group_agg, with_group_total
 from tallyframe.plans import chain as C
 from test_plans import plan
 
@@ -75,3 +75,15 @@ def test_hodges_lehmann_meets_equal_values_once(spark, monkeypatch):
     got = M.hodges_lehmann(df, "test", "g", "x", "a", "b", fan=8, band_rows=200_000).first()["hl"]
     assert got == np.median(np.subtract.outer(x, y))
     assert seen and max(seen) <= 3 * 8 * 2  # values x candidates x targets
+
+
+def parts(df):
+    return df.select(F.spark_partition_id()).distinct().count()
+
+
+def test_pieces_of_a_product_are_dealt_to_many_tasks(spark):
+    a = spark.createDataFrame([("k", i) for i in range(80)], "k string, i int")
+    b = spark.createDataFrame([("k", -i) for i in range(80)] + [(None, 1)], "k string, j int")
+    out = product_by(a, b, "k", rows=20)
+    assert out.distinct().count() == out.count() == 80 * 80
+    assert parts(out) >= 5  # of 16 pieces; their bytes fit one partition
