@@ -64,10 +64,11 @@ def edna_index(df: DataFrame, sample: str = "sample", otu: str = "hash", n: str
         s = with_group_agg(s, sample, _tot=F.sum("_s"))
         s = s.withColumn("_p", F.col("_s") / F.col("_tot"))
     else:
-        # totals per replicate and replicates per sample from the rows, one small table
-        t = df.groupBy(F.col(sample).alias("__s"), F.col(biol_rep).alias("__b")).agg(F.sum(n).alias("_tot"))
+        # the rows are summed once; totals per replicate and replicates per sample, one small
+        # table, come from the sums
+        s = stored(df.groupBy(sample, otu, biol_rep).agg(F.sum(n).alias("_s")), "sums")
+        t = s.groupBy(F.col(sample).alias("__s"), F.col(biol_rep).alias("__b")).agg(F.sum("_s").alias("_tot"))
         t = stored(with_group_agg(t, "__s", _nrep=F.count("__b")), "totals")  # a null replicate does not count
-        s = df.groupBy(sample, otu, biol_rep).agg(F.sum(n).alias("_s"))
         same = F.col(sample).eqNullSafe(F.col("__s")) & F.col(biol_rep).eqNullSafe(F.col("__b"))
         s = s.join(F.broadcast(t) if is_small(t, SMALL_ROWS) else t, same).drop("__s", "__b")
         s = (s.groupBy(sample, otu)

@@ -87,3 +87,10 @@ def test_pieces_of_a_product_are_dealt_to_many_tasks(spark):
     out = product_by(a, b, "k", rows=20)
     assert out.distinct().count() == out.count() == 80 * 80
     assert parts(out) >= 5  # of 16 pieces; their bytes fit one partition
+
+
+def test_index_reads_its_rows_once(spark):
+    df = spark.createDataFrame([("e", "x", "h", 3), ("e", "x", "h", 1), ("e", None, "g", 4)], "event string, biol string, hash string, n_reads long")
+    idx = A.edna_index(df, "event", "hash", "n_reads", biol_rep="biol", out="i")
+    assert "ExistingRDD" not in plan(idx)  # totals and shares both come from the stored sums
+    assert rows(idx) == [("e", "g", 1.0), ("e", "h", 1.0)]
