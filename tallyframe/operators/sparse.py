@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from ._util import as_list, prefix_sum
+from ._util import MAX_PIECE_TASKS, as_list, prefix_sum
 
 #: Row keys packed in one array.
 PACK = 4096
+#: Columns that one piece of the product takes.
+COLUMNS = 256
 
 
 @dataclass
@@ -60,21 +62,25 @@ class SparseTable:
     def dense(self, default=0) -> DataFrame:
         """Every (row, col) with both lists' columns and the value, ``default`` where there is no
         cell. The row keys are packed in blocks; a column's missing keys of a block are the
-        block less the keys of its cells there, so no cell is compared with the product."""
-        ensure_checkpoint_dir(self.rows.sparkSession)
+        block less the keys of its cells there, so no cell is compared with the product. The
+        blocks are dealt to tasks by their number: their bytes say nothing of the rows to come."""
+        spark = self.rows.sparkSession
+        ensure_checkpoint_dir(spark)
         rows, cols = self.rows.checkpoint(), self.cols.checkpoint()
         n = max(1, math.ceil(rows.count() / PACK))
-        m = max(1, math.ceil(cols.count() / PACK))
+        m = max(1, math.ceil(cols.count() / COLUMNS))
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4 * n * m, MAX_PIECE_TASKS))
         r, c = [x for x in rows.columns if x != self.row], [x for x in cols.columns if x != self.col]
         blk = F.pmod(F.xxhash64(self.row), F.lit(n)).alias("__blk")
         own = F.struct(self.row, *r)
         there = self.cells.join(rows, self.row).join(cols, self.col)
         packed = rows.select(blk, own.alias("__r")).groupBy("__blk").agg(F.collect_list("__r").alias("__all")) \
-            .withColumn("__cb", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+            .withColumn("__cb", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).repartition(tasks, "__cb", "__blk")
         every = cols.withColumn("__cb", F.pmod(F.xxhash64(self.col), F.lit(m)).cast("int")) \
             .withColumn("__blk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
         has = there.select(self.col, blk, own.alias("__r")).groupBy(self.col, "__blk").agg(F.collect_set("__r").alias("__has"))
-        every = every.join(packed, ["__cb", "__blk"]).join(has, [self.col, "__blk"], "left")
+        # a column's cells of a block first, then the block: the packed keys are not shuffled again
+        every = every.join(has, [self.col, "__blk"], "left").repartition(tasks, "__cb", "__blk").join(packed, ["__cb", "__blk"])
         none = F.coalesce(F.array_except("__all", "__has"), F.col("__all"))
         zero = every.select(self.col, *c, F.explode(none).alias("__r")).select("__r.*", self.col, *c, F.lit(default).alias(self.value))
         names = [self.row, *r, self.col, *c, self.value]

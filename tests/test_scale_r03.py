@@ -89,6 +89,14 @@ def test_pieces_of_a_product_are_dealt_to_many_tasks(spark):
     assert parts(out) >= 5  # of 16 pieces; their bytes fit one partition
 
 
+def test_zeros_of_a_dense_table_come_from_many_tasks(spark):
+    df = spark.createDataFrame([(f"e{i % 5}", f"t{i}", 1.0) for i in range(3000)], "event string, taxon string, v double")
+    out = A.densify(df, "event", "taxon", "v")
+    assert out.count() == out.select("event", "taxon").distinct().count() == 5 * 3000
+    assert out.agg(F.sum("v")).first()[0] == 3000
+    assert parts(out.where("v = 0")) >= 4
+
+
 def test_index_reads_its_rows_once(spark):
     df = spark.createDataFrame([("e", "x", "h", 3), ("e", "x", "h", 1), ("e", None, "g", 4)], "event string, biol string, hash string, n_reads long")
     idx = A.edna_index(df, "event", "hash", "n_reads", biol_rep="biol", out="i")
