@@ -185,8 +185,9 @@ def membership_report(df: DataFrame, col: str, dim: DataFrame, dim_col: str | No
 
 def reads_by_status(df: DataFrame, annot: DataFrame, key: str = "hash", status: str = "status",
                     n: str = "n_reads") -> DataFrame:
-    """Hashes and reads per annotation status; unmatched hashes are ``unassigned``."""
-    j = df.join(annot.select(key, status), key, "left")
+    """Hashes and reads per annotation status; unmatched hashes are ``unassigned``. Reads are
+    summed per hash first, so one row per hash meets the annotation."""
+    j = df.groupBy(key).agg(F.sum(n).alias(n)).join(annot.select(key, status), key, "left")
     s = F.coalesce(F.col(status), F.lit("unassigned"))
     return j.groupBy(s.alias(status)).agg(F.count_distinct(key).alias("n_hashes"),
                                           F.sum(n).alias("n_reads"))

@@ -102,3 +102,11 @@ def test_index_reads_its_rows_once(spark):
     idx = A.edna_index(df, "event", "hash", "n_reads", biol_rep="biol", out="i")
     assert "ExistingRDD" not in plan(idx)  # totals and shares both come from the stored sums
     assert rows(idx) == [("e", "g", 1.0), ("e", "h", 1.0)]
+
+
+def test_reads_are_summed_per_hash_before_they_meet_the_annotation(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 4), (None, 8), ("c", None)], "hash string, n_reads long")
+    annot = spark.createDataFrame([("a", "PLK"), ("a", "BEN"), ("b", None), (None, "PLK"), ("c", "BEN")], "hash string, status string")
+    out = T.reads_by_status(df, annot)
+    assert rows(out) == [("BEN", 2, 3), ("PLK", 1, 3), ("unassigned", 1, 12)]
+    assert "Aggregate [hash" in out._jdf.queryExecution().optimizedPlan().toString()
