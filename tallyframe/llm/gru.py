@@ -127,7 +127,7 @@ def _output(p, hs, target, grad):
     order = np.argsort((target // WIDTH).astype(np.uint8), kind="stable")
     hs_o, target_o = np.ones((n, HIDDEN + 1), np.float32), target[order]
     hs_o[:, :HIDDEN] = hs[order]
-    wo = np.concatenate([p["wo"], p["bo"][:, :, None]], axis=2)
+    wo = p["wob"] if "wob" in p else np.concatenate([p["wo"], p["bo"][:, :, None]], axis=2)
     cls, word = target_o // WIDTH, target_o % WIDTH
     sizes = np.bincount(cls, minlength=CLASSES)
     ends = np.cumsum(sizes).tolist()
@@ -146,20 +146,25 @@ def _output(p, hs, target, grad):
     back[order] = logp
     if not grad:
         return back, None, None
-    g_wo, dh_w = np.zeros_like(wo), np.empty((n, HIDDEN), np.float32)
+    g_wo, dh_w = np.empty((len(here), WIDTH, HIDDEN + 1), np.float32), np.empty((n, HIDDEN), np.float32)
     lw *= (1 / total_w)[:, None]
     lw[rows, word] = at_word - 1
     pc *= (1 / total)[:, None]
     pc[rows, cls] -= 1
-    for c, a, b in here:
+    for i, (c, a, b) in enumerate(here):
         q = lw[a:b]
-        np.matmul(q.T, hs_o[a:b], out=g_wo[c])
-        np.matmul(q, p["wo"][c], out=dh_w[a:b])
+        np.matmul(q.T, hs_o[a:b], out=g_wo[i])
+        np.matmul(q, wo[c, :, :HIDDEN], out=dh_w[a:b])
     dh_w += pc @ p["wc"].T
     dh = np.empty((n, HIDDEN), np.float32)
     dh[order] = dh_w
     g_wc = hs_o.T @ pc
-    g = {"wo": g_wo[:, :, :HIDDEN], "bo": g_wo[:, :, HIDDEN], "wc": g_wc[:HIDDEN], "bc": g_wc[HIDDEN]}
+    g, classes = {"wc": g_wc[:HIDDEN], "bc": g_wc[HIDDEN]}, [c for c, _, _ in here]
+    if "wob" in p:  # the other classes have no gradient: an Adagrad step leaves them as they are
+        return back, dh, g | {"wob": g_wo, "classes": classes}
+    every = np.zeros_like(wo)
+    every[classes] = g_wo
+    g |= {"wo": every[:, :, :HIDDEN], "bo": every[:, :, HIDDEN]}
     return back, dh, g
 
 
@@ -189,8 +194,12 @@ class Trainer:
     """Truncated back-propagation over windows with Adagrad steps."""
 
     def __init__(self, p):
+        # output weights and biases are one array here: each class is a whole block of memory, and
+        # ``wo`` and ``bo`` are parts of it
         self.p = {k: v.copy() for k, v in p.items()}
-        self.sq = {k: np.full(s, 1e-2, np.float32) for k, s in SHAPES.items()}
+        wob = self.p["wob"] = np.concatenate([p["wo"], p["bo"][:, :, None]], axis=2)
+        self.p["wo"], self.p["bo"] = wob[:, :, :HIDDEN], wob[:, :, HIDDEN]
+        self.sq = {k: np.full(v.shape, 1e-2, np.float32) for k, v in self.p.items() if k not in ("wo", "bo")}
         self.tokens = 0
 
     def _step(self, k, g, rows=None):
@@ -200,8 +209,12 @@ class Trainer:
             g /= np.sqrt(self.sq[k])
             self.p[k] -= g
         else:
-            self.sq[k][rows] += g * g
-            self.p[k][rows] -= RATE * g / np.sqrt(self.sq[k][rows])
+            sq = self.sq[k][rows]
+            sq += g * g
+            self.sq[k][rows] = sq
+            g *= RATE
+            g /= np.sqrt(sq, out=sq)
+            self.p[k][rows] -= g
 
     def learn(self, ids: np.ndarray, bounds: np.ndarray) -> None:
         if len(ids) == 0:
@@ -254,8 +267,10 @@ class Trainer:
         g["wh"] = np.matmul(before, dg.transpose(0, 2, 1)).sum(axis=0)
         g["b"] = dx.sum(axis=(0, 2))
         demb = np.matmul(p["wx"], dx).transpose(0, 2, 1).reshape(-1, DIM)
-        for k in ("wx", "wh", "b", "wc", "bc", "wo", "bo"):
-            self._step(k, np.clip(g[k] * scale, -5, 5))
+        classes = g.pop("classes")
+        for k in ("wx", "wh", "b", "wc", "bc", "wob"):
+            d = g[k] * scale
+            self._step(k, np.clip(d, -5, 5, out=d), classes if k == "wob" else None)
         flat_ids = given.ravel()
         order = np.argsort(flat_ids, kind="stable")
         s = flat_ids[order]

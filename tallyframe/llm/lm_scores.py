@@ -43,7 +43,9 @@ COMMON = 1 << 20
 REPLICA_TOKENS = 6_000_000
 ROUNDS, REPLICAS = 2, 1024
 END_HASH = np.uint64(1)
-CHUNK_TOKENS = 1 << 19
+#: Tokens learnt from at once, and scored at once: a chunk takes as many steps as its longest
+#: document, so larger chunks have wider steps (about 40 bytes of memory a token).
+CHUNK_TOKENS, SCORE_TOKENS = 1 << 19, 1 << 21
 BLOCK = 1 << 13
 
 
@@ -163,12 +165,12 @@ def _documents(column):
 
 
 def _chunks(batches, column: int):
-    """Rows in runs of about CHUNK_TOKENS tokens."""
+    """Rows in runs of about SCORE_TOKENS tokens."""
     for batch in batches:
         lens = np.array([len(x.as_buffer()) // 2 for x in batch.column(column)], np.int64)
         ends, i = np.cumsum(lens), 0
         while i < batch.num_rows:
-            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + CHUNK_TOKENS, "right")))
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SCORE_TOKENS, "right")))
             yield batch.slice(i, j - i)
             i = j
 
