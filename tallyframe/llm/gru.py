@@ -80,28 +80,28 @@ def _run(p, given, fresh, h, keep):
     step are whole blocks of memory. The reset and update gates come from one tanh:
     1 / (1 + exp(-x)) = (1 + tanh(x / 2)) / 2; their weights are halved beforehand."""
     steps, width = given.shape
-    two, half = 2 * HIDDEN, np.float32(0.5)
+    two, one, half = 2 * HIDDEN, np.array(1, np.float32), np.array(0.5, np.float32)
     scale = np.repeat(np.array([0.5, 1], np.float32), [two, HIDDEN])[:, None]
-    x = np.ascontiguousarray(p["emb"].T)[:, given].transpose(1, 0, 2)
+    x = p["emb"].take(given, axis=0).transpose(0, 2, 1)
     gates = np.matmul(p["wx"].T * scale, x)
     gates += p["b"][:, None] * scale
     wht = p["wh"].T * scale
     out = np.empty((steps, HIDDEN, width), np.float32)
     hg = np.empty((steps if keep else 1, 3 * HIDDEN, width), np.float32)
     resets, first = fresh.any(axis=1).tolist(), h
-    for t in range(steps):
+    for t, (rz, r, z, n, o) in enumerate(zip(gates[:, :two], gates[:, :HIDDEN], gates[:, HIDDEN:two], gates[:, two:], out)):
         if resets[t]:
             h = np.where(fresh[t], np.float32(0), h)
-        g, rz, n = hg[t if keep else 0], gates[t, :two], gates[t, two:]
-        np.matmul(wht, h, out=g)
+        g = hg[t if keep else 0]
+        np.dot(wht, h, out=g)
         rz += g[:two]
         np.tanh(rz, out=rz)
-        rz += 1
+        rz += one
         rz *= half
-        n += rz[:HIDDEN] * g[two:]
+        n += r * g[two:]
         np.tanh(n, out=n)
-        h = np.subtract(h, n, out=out[t])
-        h *= rz[HIDDEN:]
+        h = np.subtract(h, n, out=o)
+        h *= z
         h += n
     saved = None
     if keep:
@@ -125,47 +125,44 @@ def _output(p, hs, target, grad):
     n = len(target)
     # everything in order of class: one slice for each class; a last column of ones carries the biases
     order = np.argsort((target // WIDTH).astype(np.uint8), kind="stable")
-    hs_o, target_o = np.ones((n, HIDDEN + 1), np.float32), target[order]
-    hs_o[:, :HIDDEN] = hs[order]
+    hs_o, target_o = np.ones((n, HIDDEN + 1), np.float32), target.take(order)
+    hs_o[:, :HIDDEN] = hs.take(order, axis=0)
     wo = p["wob"] if "wob" in p else np.concatenate([p["wo"], p["bo"][:, :, None]], axis=2)
-    cls, word = target_o // WIDTH, target_o % WIDTH
+    cls = target_o // WIDTH
     sizes = np.bincount(cls, minlength=CLASSES)
     ends = np.cumsum(sizes).tolist()
     here = [(c, ends[c] - k, ends[c]) for c, k in enumerate(sizes.tolist()) if k]
-    rows = np.arange(n)
+    at_cls, at_word = np.arange(0, n * CLASSES, CLASSES) + cls, np.arange(0, n * WIDTH, WIDTH) + target_o % WIDTH
     pc = hs_o @ np.concatenate([p["wc"], p["bc"][None, :]])
     total = _exp_sum(pc)
-    logp = np.log(pc[rows, cls] / total)
+    logp = np.log(pc.ravel().take(at_cls) / total)
     lw = np.empty((n, WIDTH), np.float32)
     for c, a, b in here:
-        np.matmul(hs_o[a:b], wo[c].T, out=lw[a:b])
+        np.dot(hs_o[a:b], wo[c].T, out=lw[a:b])
     total_w = _exp_sum(lw)
-    at_word = lw[rows, word] / total_w
-    logp += np.log(at_word)
+    p_word = lw.ravel().take(at_word) / total_w
+    logp += np.log(p_word)
     back = np.empty_like(logp)
     back[order] = logp
     if not grad:
         return back, None, None
-    g_wo, dh_w = np.empty((len(here), WIDTH, HIDDEN + 1), np.float32), np.empty((n, HIDDEN), np.float32)
+    g_wo, dh_w = np.zeros((CLASSES, WIDTH, HIDDEN + 1), np.float32), np.empty((n, HIDDEN + 1), np.float32)
     lw *= (1 / total_w)[:, None]
-    lw[rows, word] = at_word - 1
+    lw.ravel()[at_word] = p_word - 1
     pc *= (1 / total)[:, None]
-    pc[rows, cls] -= 1
-    for i, (c, a, b) in enumerate(here):
+    pc.ravel()[at_cls] -= 1
+    for c, a, b in here:
         q = lw[a:b]
-        np.matmul(q.T, hs_o[a:b], out=g_wo[i])
-        np.matmul(q, wo[c, :, :HIDDEN], out=dh_w[a:b])
-    dh_w += pc @ p["wc"].T
+        np.dot(q.T, hs_o[a:b], out=g_wo[c])
+        np.dot(q, wo[c], out=dh_w[a:b])
+    dh_w = dh_w[:, :HIDDEN] + pc @ p["wc"].T
     dh = np.empty((n, HIDDEN), np.float32)
     dh[order] = dh_w
     g_wc = hs_o.T @ pc
-    g, classes = {"wc": g_wc[:HIDDEN], "bc": g_wc[HIDDEN]}, [c for c, _, _ in here]
-    if "wob" in p:  # the other classes have no gradient: an Adagrad step leaves them as they are
-        return back, dh, g | {"wob": g_wo, "classes": classes}
-    every = np.zeros_like(wo)
-    every[classes] = g_wo
-    g |= {"wo": every[:, :, :HIDDEN], "bo": every[:, :, HIDDEN]}
-    return back, dh, g
+    g = {"wc": g_wc[:HIDDEN], "bc": g_wc[HIDDEN]}
+    if "wob" in p:
+        return back, dh, g | {"wob": g_wo, "classes": [c for c, _, _ in here]}
+    return back, dh, g | {"wo": g_wo[:, :, :HIDDEN], "bo": g_wo[:, :, HIDDEN]}
 
 
 def log10_probs(p, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -173,6 +170,7 @@ def log10_probs(p, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     out = np.zeros(len(bounds) - 1)
     if len(ids) == 0:
         return out
+    p = p | {"wob": np.concatenate([p["wo"], p["bo"][:, :, None]], axis=2)}
     given, target, doc, fresh = lanes(ids, bounds)
     h = np.zeros((HIDDEN, given.shape[1]), np.float32)
     for t in range(0, len(given), SCORE_WINDOW):
@@ -180,7 +178,7 @@ def log10_probs(p, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         hs, h, _ = _run(p, given[w], fresh[w], h, False)
         d = doc[w].ravel()
         use = np.flatnonzero(d >= 0)
-        logp, _, _ = _output(p, hs[use], target[w].ravel()[use], False)
+        logp, _, _ = _output(p, hs.take(use, axis=0), target[w].ravel().take(use), False)
         out += np.bincount(d[use], weights=logp, minlength=len(out))
         if len(use) * 4 < len(d):  # most lanes are done: go on with the others
             left = (doc[t + SCORE_WINDOW:] >= 0).any(axis=0)
@@ -209,12 +207,12 @@ class Trainer:
             g /= np.sqrt(self.sq[k])
             self.p[k] -= g
         else:
-            sq = self.sq[k][rows]
+            sq = self.sq[k].take(rows, axis=0)
             sq += g * g
             self.sq[k][rows] = sq
             g *= RATE
             g /= np.sqrt(sq, out=sq)
-            self.p[k][rows] -= g
+            self.p[k][rows] = self.p[k].take(rows, axis=0) - g
 
     def learn(self, ids: np.ndarray, bounds: np.ndarray) -> None:
         if len(ids) == 0:
@@ -236,30 +234,35 @@ class Trainer:
         steps, width = given.shape
         hs, last, (x, before, gates, hn) = _run(p, given, fresh, h, True)
         use = np.flatnonzero(doc.ravel() >= 0)
-        _, dh_use, g = _output(p, hs[use], target.ravel()[use], True)
         scale = np.float32(1 / max(1, len(use)) * 32)
-        dh_all = np.zeros((steps * width, HIDDEN), np.float32)
-        dh_all[use] = dh_use
+        if len(use) == len(hs):
+            _, dh_all, g = _output(p, hs, target.ravel(), True)
+        else:
+            dh_all = np.zeros((steps * width, HIDDEN), np.float32)
+            _, dh_all[use], g = _output(p, hs.take(use, axis=0), target.ravel().take(use), True)
         dh_all = np.ascontiguousarray(dh_all.reshape(steps, width, HIDDEN).transpose(0, 2, 1))
         two = 2 * HIDDEN
         # slopes of all steps at once: of the candidate state, and of both gates
         rz, n = gates[:, :two], gates[:, two:]
         n_slope = 1 - n * n
         rz_slope = rz - rz * rz
-        rz_slope[:, :HIDDEN] *= hn
-        rz_slope[:, HIDDEN:] *= before - n
-        dx, dg = np.empty_like(gates), np.empty_like(gates)
+        # by a step's gradient: update gate, state before; by its candidate's: reset gate, the part from the state
+        by_d, by_n = (np.empty((steps, 2, HIDDEN, width), np.float32) for _ in range(2))
+        np.multiply(rz_slope[:, HIDDEN:], before - n, out=by_d[:, 0])
+        np.multiply(rz_slope[:, :HIDDEN], hn, out=by_n[:, 0])
+        by_d[:, 1], by_n[:, 1] = rz[:, HIDDEN:], rz[:, :HIDDEN]
+        parts = np.empty((steps, 4, HIDDEN, width), np.float32)  # reset, update, part from the state, state before
+        dg, dx = parts.reshape(steps, -1, width)[:, :3 * HIDDEN], np.empty_like(gates)
         back, wh, resets = np.zeros((HIDDEN, width), np.float32), p["wh"], fresh.any(axis=1).tolist()
         for t in range(steps - 1, -1, -1):
-            d, dn, dgt, slope = dh_all[t], dx[t, two:], dg[t], rz_slope[t]
+            d, dn, part = dh_all[t], dx[t, two:], parts[t]
             d += back
-            back = d * rz[t, HIDDEN:]
-            np.subtract(d, back, out=dn)
+            np.multiply(d, by_d[t], out=part[1::2])
+            np.subtract(d, part[3], out=dn)
             dn *= n_slope[t]
-            np.multiply(dn, slope[:HIDDEN], out=dgt[:HIDDEN])
-            np.multiply(d, slope[HIDDEN:], out=dgt[HIDDEN:two])
-            np.multiply(dn, rz[t, :HIDDEN], out=dgt[two:])
-            back += wh @ dgt
+            np.multiply(dn, by_n[t], out=part[:3:2])
+            back = np.dot(wh, dg[t])
+            back += part[3]
             if resets[t]:
                 back[:, fresh[t]] = 0
         dx[:, :two] = dg[:, :two]
@@ -268,12 +271,16 @@ class Trainer:
         g["b"] = dx.sum(axis=(0, 2))
         demb = np.matmul(p["wx"], dx).transpose(0, 2, 1).reshape(-1, DIM)
         classes = g.pop("classes")
+        if len(classes) * 4 < CLASSES * 3:  # the others have no gradient: an Adagrad step leaves them as they are
+            g["wob"] = g["wob"].take(classes, axis=0)
+        else:
+            classes = None
         for k in ("wx", "wh", "b", "wc", "bc", "wob"):
             d = g[k] * scale
             self._step(k, np.clip(d, -5, 5, out=d), classes if k == "wob" else None)
-        flat_ids = given.ravel()
+        flat_ids = given.ravel().astype(np.uint16)
         order = np.argsort(flat_ids, kind="stable")
-        s = flat_ids[order]
+        s = flat_ids.take(order)
         begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        self._step("emb", np.clip(np.add.reduceat(demb[order], begin) * scale, -5, 5), s[begin])
+        self._step("emb", np.clip(np.add.reduceat(demb.take(order, axis=0), begin) * scale, -5, 5), s[begin])
         return last
