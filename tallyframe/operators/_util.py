@@ -161,15 +161,20 @@ def prefix_sum(df: DataFrame, keys, order, value: str, out: str = "prefix",
 MAX_PIECE_TASKS = 2000
 
 
-def product_by(a: DataFrame, b: DataFrame, by, rows: int = 1000) -> DataFrame:
-    """Every row of ``a`` with every row of ``b`` of the same ``by``, in pieces of about ``rows``
-    times ``rows``: each side is cut into blocks by a hash of its rows and goes to the blocks of
-    the other, so a few large keys make many even tasks. The number of tasks follows the pieces:
-    both sides are few bytes, and partitions made by their size would put all pieces into one.
-    Both sides are read twice (sizes, rows). Null keys match nothing."""
-    by = as_list(by)
-    pieces = lambda d, name: d.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
-    size = pieces(a, "__na").join(pieces(b, "__nb"), by)
+def dealt_pieces(a: DataFrame, b: DataFrame, by, rows_a, rows_b: int) -> tuple[DataFrame, DataFrame, list]:
+    """Both sides of a product in pieces of about ``rows_a`` times ``rows_b``, and the columns that
+    name a piece: each side is cut into blocks by a hash of its rows and goes to the blocks of the
+    other. ``rows_a`` may follow from the number of rows of ``a`` that have a partner. The number
+    of tasks follows the pieces: both sides are few bytes, and partitions made by their size would
+    put all pieces into one. Both sides are read twice (sizes, rows)."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(a.sparkSession)
+    count = lambda d, name: d.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+    size = count(a, "__na").join(count(b, "__nb"), by).checkpoint()
+    if callable(rows_a):
+        rows_a = rows_a(size.agg(F.sum("__na")).first()[0] or 0)
+    blocks = lambda name, rows: F.ceil(F.col(name) / rows).cast("int").alias(name)
+    size = size.select(*by, blocks("__na", rows_a), blocks("__nb", rows_b))
     total = size.agg(F.sum(F.col("__na").cast("bigint") * F.col("__nb"))).first()[0] or 1
     tasks = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(4 * total, MAX_PIECE_TASKS))
     own = lambda d, n, name: F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in d.columns]), F.col(n)).cast("int").alias(name)
@@ -177,4 +182,16 @@ def product_by(a: DataFrame, b: DataFrame, by, rows: int = 1000) -> DataFrame:
     x = a.join(size, by).select(*a.columns, own(a, "__na", "__x"), every("__nb", "__y"))
     y = b.join(size, by).select(*b.columns, own(b, "__nb", "__y"), every("__na", "__x"))
     keys = [*by, "__x", "__y"]
-    return x.repartition(tasks, *keys).join(y.repartition(tasks, *keys), keys).drop("__x", "__y")
+    return x.repartition(tasks, *keys), y.repartition(tasks, *keys), keys
+
+
+def product_by(a: DataFrame, b: DataFrame, by, rows: int = 1000, laid_out: bool = True):
+    """Every row of ``a`` with every row of ``b`` of the same ``by``, in pieces of about ``rows``
+    times ``rows``, so a few large keys make many even tasks. Null keys match nothing. Without
+    ``laid_out`` the result is a ``Product``, whose pairs never become rows."""
+    by = as_list(by)
+    if not laid_out:
+        from .product import Product
+        return Product(a, b, by)
+    x, y, keys = dealt_pieces(a, b, by, rows, rows)
+    return x.join(y, keys).drop("__x", "__y")

@@ -14,8 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import Texts, binomial_at, binomial_inverse, md5_places
 from ..functions.stats import norm_ppf, pnorm_col
 from ._util import as_list, is_small, prefix_sum, with_group_agg
+from .product import Product
 from .quantiles import grouped_quantiles
 from .sparse import SparseTable
 
@@ -262,6 +264,14 @@ def score_taxa(coef: DataFrame, points: DataFrame, by: str = "area", x: str = "t
     return j.withColumn(out, 1.0 / (1.0 + F.exp(-eta)))
 
 
+def logistic_of_pairs(x: str = "temperature", y: str = "ph"):
+    """M9 of a product's pairs: coefficients of its first table at the points of its second."""
+    def run(a, b, values):
+        with np.errstate(over="ignore"):
+            return 1.0 / (1.0 + np.exp(-(a["intercept"] + a["b_t"] * b[x] + a["b_ph"] * b[y])))
+    return run
+
+
 #: Trials that one uniform is inverted for; more trials take several uniforms.
 MAX_TRIALS = 512
 
@@ -270,35 +280,20 @@ def _binomial_inverse(n: int):
     """Successes of ``n`` trials of probability p at the place u of their distribution function."""
     @F.pandas_udf("double")
     def run(u: pd.Series, p: pd.Series) -> pd.Series:
-        u, p = u.to_numpy(float), p.to_numpy(float)
-        low = p <= 0.5
-        q = np.where(low, p, 1.0 - p)  # the rarer outcome: its first term does not vanish
-        ratio = q / (1.0 - q)
-        term = (1.0 - q) ** n
-        below, k, rows = term.copy(), np.zeros(len(u)), np.arange(len(u))
-        for j in range(n):
-            more = below < u
-            left = np.count_nonzero(more)
-            if not left:
-                break
-            if 4 * left < 3 * len(rows):  # go on with the rows that are not there yet
-                rows, u, below, term, ratio = rows[more], u[more], below[more], term[more], ratio[more]
-                k[rows] += 1
-            else:
-                k[rows] += more
-            term = term * ((n - j) / (j + 1)) * ratio
-            below = below + term
-        return pd.Series(np.where(np.isnan(p), np.nan, np.where(low, k, n - k)))
+        return pd.Series(binomial_inverse(u.to_numpy(float), p.to_numpy(float), n))
     return run
 
 
-def binomial_mean(df: DataFrame, p: str, key_cols, n: int = 100, seed: int = 1, out: str = "mean_presence") -> DataFrame:
+def binomial_mean(df: DataFrame | Product, p: str, key_cols, n: int = 100, seed: int = 1, out: str = "mean_presence") -> DataFrame | Product:
     """Mean of ``n`` Bernoulli(p) draws per row from one uniform: the number of successes
     is read off the binomial distribution at that place (several uniforms for more than
     ``MAX_TRIALS`` draws). The uniform is the md5 of the row's keys, so results do not depend on
-    partitioning and can be checked in SQL."""
+    partitioning and can be checked in SQL. The pairs of a product have the same means, hashed by
+    numpy; the keys of its first table come first."""
     keys = [F.col(c) for c in as_list(key_cols)]
     parts = [MAX_TRIALS] * (n // MAX_TRIALS) + [n % MAX_TRIALS] * (n % MAX_TRIALS > 0)
+    if isinstance(df, Product):
+        return _binomial_means_of_pairs(df, p, as_list(key_cols), n, parts, seed, out)
     found = F.lit(0.0)
     for i, m in enumerate(parts):
         more = [F.lit(i)] if i else []
@@ -306,6 +301,20 @@ def binomial_mean(df: DataFrame, p: str, key_cols, n: int = 100, seed: int = 1,
     return df.withColumn(out, F.nanvl(found, F.lit(None).cast("double")) / float(n))
 
 
+def _binomial_means_of_pairs(pairs: Product, p: str, keys: list, n: int, parts: list, seed: int, out: str) -> Product:
+    heads = keys[:next((i for i, c in enumerate(keys) if c not in pairs.a.columns), len(keys))]
+    if not set(keys[len(heads):]) <= set(pairs.b.columns):
+        raise ValueError(f"the keys of a product's first table come first: {keys}")
+    text = lambda cols, *more: F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in cols], *[F.lit(str(x)) for x in more])
+    tails = {f"__tail{i}": text(keys[len(heads):], seed, *([i] if i else [])) for i in range(len(parts))}
+    trials = list(zip(tails, parts, strict=True))
+
+    def run(a, b, values):
+        return sum(binomial_at(*md5_places(a["__head"], b[tail]), values[p], m) for tail, m in trials) / float(n)
+    # an empty text at the end leaves a bar there; null keys leave nothing, as in one text of all
+    return pairs.with_value(out, run, a={"__head": text(heads, "")}, b=tails)
+
+
 def bernoulli_mean(df: DataFrame, p: str, key_cols, n: int = 100, seed: int = 1,
                    out: str = "mean_presence") -> DataFrame:
     """Mean of ``n`` Bernoulli(p) draws per row, computed with a higher-order
@@ -348,10 +357,12 @@ def class_prevalence(df: DataFrame, by, cls: str = "cluster", wide: bool = False
     return g
 
 
-def richness_by_point(df: DataFrame, point_cols, group: str = "phylum", p: str = "p") -> DataFrame:
+def richness_by_point(df: DataFrame | Product, point_cols, group: str = "phylum", p: str = "p") -> DataFrame:
     """Expected richness (sum of probabilities) per point and group, plus the
-    point total."""
+    point total. A product's pairs are summed in its pieces first."""
     pc = as_list(point_cols)
+    if isinstance(df, Product):
+        df = df.sums(pc, group, p)
     g = df.groupBy(*pc, group).agg(F.sum(p).alias("richness"))
     return with_group_agg(g, pc, total=F.sum("richness"))
 

@@ -69,15 +69,14 @@ def project_scenarios(env: DataFrame, coef: DataFrame, groups: DataFrame, years,
     ``coef`` is (taxon, area, intercept, b_t, b_ph); ``groups`` maps taxon -> group.
     Draws are keyed (area, year, draw); every taxon of an area is scored at every draw of that
     area, in even pieces of the product (a few areas hold all rows). The group goes with the
-    coefficients, so a scored row is summed at once and never shuffled.
+    coefficients, so a piece's scored pairs are summed at once: they are never rows of a table.
     """
     ensure_checkpoint_dir(env.sparkSession)
     params = M.scenario_params(env, years)
     draws = M.scenario_draws(params, n_draws, seed)
     draws = M.trim_tails(draws, ("temperature", "ph"), ("year", "area"), lo, hi).checkpoint()
     own = coef.join(groups, "taxon", "left").checkpoint()
-    scored = product_by(own, draws, "area")
-    eta = F.col("intercept") + F.col("b_t") * F.col("temperature") + F.col("b_ph") * F.col("ph")
-    scored = scored.withColumn("p", 1.0 / (1.0 + F.exp(-eta)))
+    scored = product_by(own, draws, "area", laid_out=False)
+    scored = scored.with_value("p", M.logistic_of_pairs("temperature", "ph"))
     scored = M.binomial_mean(scored, "p", ["taxon", "area", "year", "draw"], presence_draws, seed)
     return M.richness_by_point(scored, ["area", "year", "draw"], "phylum", "mean_presence")
