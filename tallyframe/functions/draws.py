@@ -78,8 +78,7 @@ def _md5(head: np.ndarray, words: np.ndarray, varies: np.ndarray, room: list) ->
                 shape, free = (n, tails), [r[:n] for r in room]
             t, r = (free.pop() if free else np.empty(shape, np.uint32) for _ in range(2))
             if i < 16:
-                np.bitwise_xor(c, d, out=t)
-                np.bitwise_and(t, b, out=t)
+                np.bitwise_and(c ^ d if c.shape == d.shape != shape else np.bitwise_xor(c, d, out=t), b, out=t)
                 np.bitwise_xor(t, d, out=t)
             elif i < 32:
                 np.bitwise_xor(b, c, out=t)
@@ -97,12 +96,15 @@ def _md5(head: np.ndarray, words: np.ndarray, varies: np.ndarray, room: list) ->
                 np.invert(d, out=t)
                 np.bitwise_or(t, b, out=t)
                 np.bitwise_xor(t, c, out=t)
-            np.add(t, a, out=t)
             if varies[w]:
                 np.add(t, word[w], out=t)
                 np.add(t, _K[i], out=t)
-            else:
+                np.add(t, a, out=t)
+            elif a.shape == shape:
                 np.add(t, np.add(word[w], _K[i], dtype=np.uint32), out=t)
+                np.add(t, a, out=t)
+            else:
+                np.add(t, a + np.add(word[w], _K[i], dtype=np.uint32), out=t)
             np.right_shift(t, _RIGHT[i], out=r)
             np.left_shift(t, _LEFT[i], out=t)
             np.bitwise_or(t, r, out=t)
@@ -120,9 +122,9 @@ def md5_places(heads: Texts, tails: Texts) -> tuple[np.ndarray, np.ndarray]:
     high, low = (np.empty((len(heads.starts), len(tails.starts)), np.uint32) for _ in range(2))
     for rows, text in heads.by_length():
         for cols, words, varies in tails.tails(text.shape[1]):
-            step = max(1, HASH_PAIRS // len(cols))
+            step = -(-len(rows) // max(1, round(len(rows) * len(cols) / HASH_PAIRS)))  # even blocks of rows
             every = len(cols) == high.shape[1]
-            room = [np.empty((min(step, len(rows)), len(cols)), np.uint32) for _ in range(8)]
+            room = [np.empty((step, len(cols)), np.uint32) for _ in range(8)]
             for i in range(0, len(rows), step):
                 a, b = _md5(text[i:i + step], words, varies, room)
                 at = rows[i:i + step] if every else np.ix_(rows[i:i + step], cols)
@@ -188,13 +190,15 @@ def _inverse_table(n: int) -> np.ndarray:
 def binomial_at(high: np.ndarray, low: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
     """``binomial_inverse`` at the places of ``md5_places``: most are read off a table, those in
     cells with several counts (and p that is none) are summed as there."""
-    out = ~((p >= 0.0) & (p <= 1.0))
-    odd = out.any()
-    cell = np.ceil((np.where(out, 0.0, p) if odd else p) * float(2 * P_CELLS)).astype(np.int32)
+    shape, high, low, p = p.shape, high.ravel(), low.ravel(), p.ravel()
+    none = ~((p >= 0.0) & (p <= 1.0))
+    odd = none.any()
+    cell = (np.where(none, 0.0, p) if odd else p) * float(2 * P_CELLS)
+    cell = np.ceil(cell, out=cell).astype(np.intp)
     cell <<= U_BITS
-    cell += (high >> np.uint32(32 - U_BITS)).view(np.int32)
+    cell += high >> np.uint32(32 - U_BITS)
     k = _inverse_table(n).take(cell)
-    at = np.nonzero((k == _OPEN) | out if odd else k == _OPEN)
+    at = np.flatnonzero((k == _OPEN) | none if odd else k == _OPEN)
     k = k.astype(float)
     k[at] = binomial_inverse(uniform(high[at], low[at]), p[at], n)
-    return k
+    return k.reshape(shape)

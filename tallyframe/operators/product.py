@@ -18,7 +18,7 @@ from ._util import as_list, dealt_pieces
 #: Rows of both sides that a piece has at most, and rows of the first that it has at least.
 PIECE_A, PIECE_B, LEAST_A = 20_000, 4_000, 500
 #: Pairs that a task works on at once, and sums that it returns at once.
-PAIRS, OUT_ROWS = 2**18, 100_000
+PAIRS, OUT_ROWS = 2**19, 100_000
 
 
 class _Side:

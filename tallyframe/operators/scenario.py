@@ -267,8 +267,13 @@ def score_taxa(coef: DataFrame, points: DataFrame, by: str = "area", x: str = "t
 def logistic_of_pairs(x: str = "temperature", y: str = "ph"):
     """M9 of a product's pairs: coefficients of its first table at the points of its second."""
     def run(a, b, values):
+        eta = a["b_t"] * b[x]
+        eta += a["intercept"]
+        eta += a["b_ph"] * b[y]
         with np.errstate(over="ignore"):
-            return 1.0 / (1.0 + np.exp(-(a["intercept"] + a["b_t"] * b[x] + a["b_ph"] * b[y])))
+            e = np.exp(np.negative(eta, out=eta), out=eta)
+        e += 1.0
+        return np.divide(1.0, e, out=e)
     return run
 
 
